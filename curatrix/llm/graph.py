@@ -1,0 +1,48 @@
+"""Connected components of a link table, by alternating stars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import common
+
+
+def components(links: DataFrame) -> DataFrame:
+    """``links`` has columns a, b (long, not null). Returns node, root for every linked node.
+
+    ``root`` is the least node of the component. Each round lets every node point its
+    larger neighbours at the least one it sees (large star), then does so among its
+    smaller ones (small star); the tables of a round lie in the shared folder, so a
+    lost executor costs one round at most. Rounds end when the links don't change;
+    their number grows with the logarithm of the longest chain. A node with many
+    links is pre-aggregated, and Spark may split its rows in the join. Links from a
+    node to itself and repeated links are allowed; without links the result is empty.
+    """
+    spark, root = links.sparkSession, common.scratch(links.sparkSession)
+    now = common.written(_proper(links), f"{root}/0")
+    mark, k = _mark(now), 0
+    while True:
+        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least"))
+        large = _proper(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")))
+        # Small star: all links of a node lead to smaller ones now.
+        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        least = down.groupBy("a").agg(F.min("b").alias("least"))
+        small = down.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))).alias("x")).select("x.a", "x.b")
+        k += 1
+        after = common.written(_proper(small), f"{root}/{k}")
+        common.removed(spark, f"{root}/{k - 1}")
+        now, last, mark = after, mark, _mark(after)
+        if mark == last:
+            break
+    leaves = now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
+    return leaves.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def _proper(links: DataFrame) -> DataFrame:
+    return links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _mark(links: DataFrame) -> tuple:
+    return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, classify, flac, simhash
 from .common import table
 
 #: Token limit of the count query.
@@ -35,7 +35,42 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_groups(table(spark, sf_dir, "documents"), shingle=3, distance=2)
+    return out.select("doc_id", simhash.hex64(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = flac.read_back(flac.store(table(spark, sf_dir, "documents")))
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        F.length("pcm").cast("long").alias("payload_bytes"),
+        F.sha2("pcm", 256).alias("payload_sha256"),
+        F.crc32(F.substring("pcm", -16, 16)).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = classify.fit_toxicity(docs, labels, classify.fold(F.col("id"), 5) != 0)
+    held = classify.fold(F.col("doc_id"), 5) == 0
+    out = classify.scored(docs, model, {"doc_id": F.col("doc_id"), "held_out": F.coalesce(held, F.lit(False))})
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = classify.fit_quality(docs, labels, classify.fold(F.col("id"), 3) != 1)
+    held = classify.fold(F.col("doc_id"), 3) == 1
+    out = classify.scored(docs, model, {"doc_id": F.col("doc_id"), "held_out": F.coalesce(held, F.lit(False))})
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_bpe_encoding, op4_token_counts)
+    f.__name__: f for f in (op2_bpe_encoding, op4_token_counts, op6_simhash_near_dedup, op8_media_columns, op9_toxicity, op10_quality_classifier)
 }
 ORACLE_SQL: dict[str, str] = {}
