@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classify, flac, simhash
+from . import bpe, classify, decontaminate, flac, simhash
 from .common import table
 
 #: Token limit of the count query.
@@ -20,6 +20,50 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.judged(found).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+OP1_SQL = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM benchmark
+), item_window AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS m, array_to_string(w[i : i + least(len(w), 13) - 1], ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+), sizes AS (
+  SELECT DISTINCT m FROM item_window
+), doc_window AS (
+  SELECT doc_id, m, i, array_to_string(w[i : i + m - 1], ' ') AS g
+  FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, sizes WHERE len(w) >= m)
+), hit AS (
+  SELECT DISTINCT doc_id, m, i, item_id FROM doc_window JOIN item_window USING (m, g)
+), hit_word AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + m)) AS k FROM (SELECT DISTINCT doc_id, m, i FROM hit)
+), counted AS (
+  SELECT doc_id, count(*) AS n_hit FROM hit_word GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(t, ',' ORDER BY t) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS t FROM hit) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN counted USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
 def op2_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode_texts(table(spark, sf_dir, "documents"), vocabulary())
     return out.select(
@@ -71,6 +115,6 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_bpe_encoding, op4_token_counts, op6_simhash_near_dedup, op8_media_columns, op9_toxicity, op10_quality_classifier)
+    f.__name__: f for f in (op1_benchmark_decontamination, op2_bpe_encoding, op4_token_counts, op6_simhash_near_dedup, op8_media_columns, op9_toxicity, op10_quality_classifier)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_benchmark_decontamination": OP1_SQL}
