@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classify, decontaminate, flac, simhash
+from . import bpe, classify, decontaminate, flac, htmltext, simhash
 from .common import table
 
 #: Token limit of the count query.
@@ -79,6 +79,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_groups(table(spark, sf_dir, "documents"), shingle=3, distance=2)
     return out.select("doc_id", simhash.hex64(F.col("fingerprint")).alias("fingerprint"), "component_id")
@@ -115,6 +119,6 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_benchmark_decontamination, op2_bpe_encoding, op4_token_counts, op6_simhash_near_dedup, op8_media_columns, op9_toxicity, op10_quality_classifier)
+    f.__name__: f for f in (op1_benchmark_decontamination, op2_bpe_encoding, op4_token_counts, op5_html_extraction, op6_simhash_near_dedup, op8_media_columns, op9_toxicity, op10_quality_classifier)
 }
 ORACLE_SQL: dict[str, str] = {"op1_benchmark_decontamination": OP1_SQL}
