@@ -57,11 +57,31 @@ class Words:
         self.texts = len(self.n)
 
 
-def frequent(words: Words) -> np.ndarray:
+class Corpus:
+    """The buckets of all words of many texts, and their structure, made slice by slice."""
+
+    def __init__(self, texts: pa.Array, with_structure: bool = False):
+        batch = pa.RecordBatch.from_arrays([texts], names=["t"])
+        bucket, n, stats = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros((0, len(STATISTICS)))]
+        for part in common.slices(batch, 0):
+            words = Words(part.column(0))
+            bucket.append(words.bucket.astype(np.int32))
+            n.append(words.n)
+            if with_structure:
+                stats.append(structure(words))
+        self.bucket, self.n, self.stats = np.concatenate(bucket), np.concatenate(n), np.concatenate(stats)
+        self.first = np.concatenate([[0], np.cumsum(self.n)])
+        self.texts = len(self.n)
+
+
+def frequent(words: Corpus) -> np.ndarray:
     """Row of each bucket: 1, 2, ... for buckets met in MIN_DOCS texts, 0 for all others."""
-    doc = np.repeat(np.arange(words.texts), words.n)
-    pairs = np.unique(doc << HASH_BITS | words.bucket)
-    met = np.bincount(pairs & ((1 << HASH_BITS) - 1), minlength=1 << HASH_BITS)
+    met, step = np.zeros(1 << HASH_BITS, np.int64), 256
+    for a in range(0, words.texts, step):
+        b = min(words.texts, a + step)
+        doc = np.repeat(np.arange(b - a), words.n[a:b])
+        pairs = np.unique(doc << HASH_BITS | words.bucket[words.first[a] : words.first[b]])
+        met += np.bincount(pairs & ((1 << HASH_BITS) - 1), minlength=1 << HASH_BITS)
     rows = np.zeros(1 << HASH_BITS, np.int32)
     some = np.flatnonzero(met >= MIN_DOCS)
     rows[some] = np.arange(1, len(some) + 1)
@@ -153,8 +173,8 @@ class FactorisationMachine:
     @classmethod
     def fit(cls, texts: pa.Array, label: np.ndarray) -> FactorisationMachine:
         self = cls()
-        words = Words(texts)
-        stats = structure(words)
+        words = Corpus(texts, with_structure=True)
+        stats = words.stats
         self.rows = frequent(words)
         self.vocabulary = int(self.rows.max()) + 1
         self.edges = np.quantile(stats, np.linspace(0, 1, cls.BINS + 1)[1:-1], axis=0).T if len(stats) else np.zeros((len(STATISTICS), cls.BINS - 1))
@@ -166,7 +186,7 @@ class FactorisationMachine:
         if not len(label):
             return self
         self.bias[0] = np.log((label.sum() + 1) / (len(label) - label.sum() + 1))
-        word, first = self.rows[words.bucket].astype(np.int64), words.first
+        word, first = self.rows[words.bucket], words.first
         bins, opt = self._bins(stats), Adagrad(0.08)
         weight = np.where(label == 1, 0.5 / max(label.mean(), 1e-3), 0.5 / max(1 - label.mean(), 1e-3))
         weight = np.sqrt(weight)
@@ -242,7 +262,7 @@ class ConvolutionalClassifier:
     @classmethod
     def fit(cls, texts: pa.Array, label: np.ndarray) -> ConvolutionalClassifier:
         self = cls()
-        words = Words(texts)
+        words = Corpus(texts)
         rng = np.random.Generator(np.random.PCG64(9))
         self.rows = frequent(words)
         self.languages = _language_table()
@@ -262,25 +282,30 @@ class ConvolutionalClassifier:
             self._train(words, label, train, rng)
         self._settle()
         if held:
-            z, language = self._logits(words)
-            self._calibrate(z, language, label, len(train))
+            rest = pa.RecordBatch.from_arrays([texts.slice(len(train))], names=["t"])
+            parts = [self._logits(Words(part.column(0))) for part in common.slices(rest, 0)]
+            z, language = (np.concatenate(x) for x in zip(*parts, strict=True))
+            self._calibrate(z, language, label[len(train) :])
         return self
 
-    def _evidence(self, words: Words, label: np.ndarray, train: np.ndarray, size: int) -> np.ndarray:
+    def _evidence(self, words: Corpus, label: np.ndarray, train: np.ndarray, size: int) -> np.ndarray:
         """Start of the first dimension: the log odds of a word's texts, shrunk to 0."""
-        doc = np.repeat(np.arange(words.texts), words.n)
-        keep = doc < len(train)
-        pair = np.unique(doc[keep] * size + self.rows[words.bucket[keep]])
-        y = label[pair // size] == 1
-        one, zero = np.bincount(pair[y] % size, minlength=size), np.bincount(pair[~y] % size, minlength=size)
+        one, zero, step = np.zeros(size), np.zeros(size), 256
+        for a in range(0, len(train), step):
+            b = min(len(train), a + step)
+            doc = np.repeat(np.arange(a, b), words.n[a:b])
+            pair = np.unique(doc * size + self.rows[words.bucket[words.first[a] : words.first[b]]])
+            y = label[pair // size] == 1
+            one += np.bincount(pair[y] % size, minlength=size)
+            zero += np.bincount(pair[~y] % size, minlength=size)
         n1, n0 = max(1, int((label[train] == 1).sum())), max(1, int((label[train] == 0).sum()))
         p = n1 / (n1 + n0)
         strength = 4.0
         odds = np.log((one + strength * p) / n1) - np.log((zero + strength * (1 - p)) / n0)
         return odds / 2
 
-    def _train(self, words: Words, label: np.ndarray, train: np.ndarray, rng) -> None:
-        row, opt = self.rows[words.bucket].astype(np.int64), Adagrad(0.05)
+    def _train(self, words: Corpus, label: np.ndarray, train: np.ndarray, rng) -> None:
+        row, opt = self.rows[words.bucket], Adagrad(0.05)
         self.c[0] = np.log((label[train].sum() + 1) / ((label[train] == 0).sum() + 1)) - 1
         first, n_filters = words.first, self.FILTERS
         for _ in range(self.EPOCHS):
@@ -326,16 +351,14 @@ class ConvolutionalClassifier:
         docs = np.arange(words.texts)
         if not len(docs):
             return np.zeros(0), np.zeros(0, np.int64)
-        index, start, n = _padded(self.rows[words.bucket].astype(np.int64), words.first, docs, self.PAD)
+        index, start, n = _padded(self.rows[words.bucket], words.first, docs, self.PAD)
         m, at, pooled = len(index) - self.PAD, 0, []
         for b, w in zip(self.b, self.WIDTHS, strict=True):
             conv = self.table[index[:m], at : at + self.FILTERS]
             for j in range(1, w):
                 conv = conv + self.table[index[j : m + j], at + j * self.FILTERS : at + (j + 1) * self.FILTERS]
             at += w * self.FILTERS
-            # Windows that begin in a text's padding see no word of another text, only zeros.
-            inside = np.zeros(len(index), bool)
-            inside[start] = True
+            # A window that begins in a text sees its words and padding, none of the next text.
             ends = start + np.maximum(n, 1)
             bound = np.column_stack([start, ends]).ravel()
             conv = np.concatenate([conv, np.zeros((self.PAD, self.FILTERS), np.float32)])
@@ -346,14 +369,13 @@ class ConvolutionalClassifier:
         hits[:, 0] = 0
         return h @ self.o + self.c[0], np.where(hits.max(1) > 0, hits.argmax(1), 0)
 
-    def _calibrate(self, z: np.ndarray, language: np.ndarray, label: np.ndarray, trained: int) -> None:
+    def _calibrate(self, z: np.ndarray, language: np.ndarray, label: np.ndarray) -> None:
         """Thresholds of the best F measure: on all held texts, then for each language."""
-        z_, l_, y_ = z[trained:], language[trained:], label[trained:]
-        self.shift[:] = _threshold(z_, y_)
+        self.shift[:] = _threshold(z, label)
         for k in range(1, len(self.shift)):
-            some = l_ == k
-            if some.sum() >= self.LEAST and y_[some].sum() >= 5:
-                self.shift[k] = (_threshold(z_[some], y_[some]) + self.shift[0]) / 2
+            some = language == k
+            if some.sum() >= self.LEAST and label[some].sum() >= 5:
+                self.shift[k] = (_threshold(z[some], label[some]) + self.shift[0]) / 2
 
     def score(self, texts: pa.Array) -> np.ndarray:
         z, language = self._logits(Words(texts))
