@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classify, decontaminate, flac, htmltext, simhash
+from . import bpe, classify, decontaminate, flac, htmltext, pii, simhash
 from .common import table
 
 #: Token limit of the count query.
@@ -88,6 +88,14 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex64(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts are those of the base spans; ``spans`` also has the disguised ones."""
+    found = pii.detect(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    listed = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = flac.read_back(flac.store(table(spark, sf_dir, "documents")))
     return out.select(
@@ -119,6 +127,6 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_benchmark_decontamination, op2_bpe_encoding, op4_token_counts, op5_html_extraction, op6_simhash_near_dedup, op8_media_columns, op9_toxicity, op10_quality_classifier)
+    f.__name__: f for f in (op1_benchmark_decontamination, op2_bpe_encoding, op4_token_counts, op5_html_extraction, op6_simhash_near_dedup, op7_pii, op8_media_columns, op9_toxicity, op10_quality_classifier)
 }
 ORACLE_SQL: dict[str, str] = {"op1_benchmark_decontamination": OP1_SQL}
