@@ -162,7 +162,8 @@ def _documents(df: DataFrame, window: int, short: list[int], id_col: str, text_c
         lambda x: x.isNotNull(),
     )
     picks = [F.array(F.struct(F.lit(-1).alias("p"), F.lit(0).alias("m"), F.lit(0).cast("long").alias("fp"))), changed]
-    picks += [F.transform(f"k{m}", lambda g, i, m=m: pick(i, -m, g)) for m in short]
+    every = lambda m: lambda g, i: pick(i, -m, g)
+    picks += [F.transform(f"k{m}", every(m)) for m in short]
     return base.select("doc", "digest", "w", "n", F.concat(*picks).alias("picks"))
 
 
