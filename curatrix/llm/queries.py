@@ -88,10 +88,14 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex64(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def _same(value: str):
+    return lambda x: x == value
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts are those of the base spans; ``spans`` also has the disguised ones."""
     found = pii.detect(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    counts = [F.size(F.filter(F.col("base.kind"), _same(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     listed = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
