@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classify, decontaminate, flac, htmltext, pii, simhash
+from . import bpe, classify, decontaminate, flac, htmltext, pii, simhash, substrings
 from .common import table
 
 #: Token limit of the count query.
@@ -74,6 +74,11 @@ def op2_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.without_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.count_tokens(table(spark, sf_dir, "documents"), vocabulary())
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
@@ -131,6 +136,6 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_benchmark_decontamination, op2_bpe_encoding, op4_token_counts, op5_html_extraction, op6_simhash_near_dedup, op7_pii, op8_media_columns, op9_toxicity, op10_quality_classifier)
+    f.__name__: f for f in (op1_benchmark_decontamination, op2_bpe_encoding, op3_substring_dedup, op4_token_counts, op5_html_extraction, op6_simhash_near_dedup, op7_pii, op8_media_columns, op9_toxicity, op10_quality_classifier)
 }
 ORACLE_SQL: dict[str, str] = {"op1_benchmark_decontamination": OP1_SQL}
