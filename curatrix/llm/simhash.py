@@ -154,12 +154,16 @@ def hex64(column):
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
     """The rows of ``df`` that stay if one document of each near group does: the one of the smallest id.
 
-    All columns stay, whatever their names. Of repeated rows with that id one stays.
-    Rows whose whole group has null ids: one of them stays.
+    All columns stay, whatever their names. Of several rows with that id one stays. Rows
+    without an id have no place in the order: all of them stay.
     """
-    groups = near_groups(df, id_col, text_col, shingle, distance)
-    chosen = groups.select(F.col("component_id").alias("__keep")).distinct()
     id_ = common.column(df, id_col)
-    first = F.row_number().over(Window.partitionBy(id_).orderBy(F.xxhash64(*[common.column(df, c) for c in df.columns])))
-    kept = df.join(chosen, id_.eqNullSafe(F.col("__keep")), "left_semi")
-    return kept.withColumn("__nth", first).where("__nth = 1").drop("__nth")
+    groups = near_groups(df.where(id_.isNotNull()), id_col, text_col, shingle, distance)
+    own = common.column(groups, id_col)
+    chosen = groups.where(own == F.col("component_id")).groupBy(own.alias("__keep")).agg(F.count("*").alias("n"))
+    chosen = common.written(chosen, f"{common.scratch(df.sparkSession)}/chosen")
+    kept = df.join(chosen.select("__keep"), id_ == F.col("__keep"), "left_semi")
+    if not chosen.where("n > 1").isEmpty():
+        order = Window.partitionBy(common.column(kept, id_col)).orderBy(F.xxhash64(*[common.column(kept, c) for c in kept.columns]))
+        kept = kept.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth")
+    return kept.unionByName(df.where(id_.isNull()))
