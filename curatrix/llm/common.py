@@ -29,15 +29,15 @@ def text_or_empty(df: DataFrame, name: str) -> Column:
     return F.coalesce(column(df, name).cast("string"), F.lit(""))
 
 
-def slices(batch: pa.RecordBatch, text_index: int) -> Iterator[pa.RecordBatch]:
-    """Row ranges of about SLICE_BYTES of text, at least one row each."""
+def slices(batch: pa.RecordBatch, text_index: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Row ranges of about ``size`` bytes of text, at least one row each."""
     if not batch.num_rows:
         return
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_index)), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
         floor = ends[at - 1] if at else 0
-        stop = max(at + 1, int(np.searchsorted(ends, floor + SLICE_BYTES, "right")))
+        stop = max(at + 1, int(np.searchsorted(ends, floor + size, "right")))
         yield batch.slice(at, stop - at)
         at = stop
 

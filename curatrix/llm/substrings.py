@@ -28,6 +28,8 @@ CAPS = (2, 4, 4)
 BORDER = sum(2 * (c - 1) for c in CAPS)
 #: Text bytes of a bucket of documents; the names and windows of as many texts share one.
 BUCKET_BYTES = 4 << 20
+#: Text bytes whose arrays are held at a time: about eighty times as many.
+SLICE_BYTES = 1 << 20
 
 _U = np.uint64
 _BASE = _U(0x5851F42D4C957F2D)
@@ -194,7 +196,7 @@ def _with_id(part: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
 def _anchors(buckets: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in common.slices(batch, 1):
+            for part in common.slices(batch, 1, SLICE_BYTES):
                 texts, ids = _with_id(part)
                 w = Windows(Words(texts), window)
                 turn = np.append(True, (w.anchor[1:] != w.anchor[:-1]) | (w.doc[1:] != w.doc[:-1])) if len(w.at) else np.zeros(0, bool)
@@ -224,7 +226,7 @@ def _shared(buckets: int):
 
 def _parts(texts: pa.Table) -> Iterator[pa.RecordBatch]:
     for batch in texts.combine_chunks().to_batches():
-        yield from common.slices(batch, 1)
+        yield from common.slices(batch, 1, SLICE_BYTES)
 
 
 class _Lookup:
