@@ -89,7 +89,8 @@ def _sizes(window: int) -> tuple[int, int]:
 def _item_prints(items: DataFrame, window: int, item_col: str, text_col: str) -> DataFrame:
     """m, fp, item, and the words before (nearest first), in and after each kept gram.
 
-    ``m`` is the gram's length: k for items of a window or more, else the whole item.
+    ``m`` is the gram's length, negative if the gram is a whole short item; ``fp`` tells
+    grams of different lengths apart.
     """
     k, span = _sizes(window)
     low = _packed(span)
@@ -121,7 +122,7 @@ def _item_prints(items: DataFrame, window: int, item_col: str, text_col: str) ->
     )
     none = F.array().cast("array<string>")
     short = hashed.where(F.col("n") < window).select(
-        (-F.col("n")).alias("m"), _whole("g1", "n", window).bitwiseAND(F.lit(-low)).alias("fp"), "item", none.alias("i_left"), F.col("w").alias("i_gram"), none.alias("i_right")
+        (-F.col("n")).alias("m"), _marked(_whole("g1", "n", window), F.col("n")).alias("fp"), "item", none.alias("i_left"), F.col("w").alias("i_gram"), none.alias("i_right")
     )
     return long_.union(short)
 
@@ -148,21 +149,25 @@ def _whole(grams: str, n: str, window: int) -> Column:
     return made
 
 
+def _marked(gram: Column, size: Column) -> Column:
+    return F.xxhash64(gram, size.cast("int"))
+
+
 def _documents(df: DataFrame, window: int, short: list[int], id_col: str, text_col: str) -> DataFrame:
-    """doc, digest, w, n and ``picks``: (p, m, fp) of each kept gram, and one of p = -1."""
+    """doc, digest, w, n and ``picks``: (p, fp) of each kept gram, and one of p = -1."""
     k, span = _sizes(window)
     low = _packed(span)
     text = common.column(df, text_col).cast("string")
     base = df.select(common.column(df, id_col).alias("doc"), F.md5(text).alias("digest"), words(text).alias("w"))
     base = base.withColumn("n", F.size("w")).withColumn("g1", F.transform("w", lambda x: F.xxhash64(x)))
     base = _with_least(_with_grams(base, sorted({k, *short}), "n"), f"k{k}", span)
-    pick = lambda p, m, fp: F.struct(p.cast("int").alias("p"), F.lit(m).alias("m"), fp.bitwiseAND(F.lit(-low)).alias("fp"))
+    pick = lambda p, fp: F.struct(p.cast("int").alias("p"), fp.alias("fp"))
     changed = F.filter(
-        F.transform(F.zip_with("least", F.concat(F.array(F.lit(None).cast("long")), "least"), lambda a, b: F.when(~a.eqNullSafe(b), a)), lambda m, i: F.when(m.isNotNull(), pick(_place(m, i, low), k, m))),
+        F.transform(F.zip_with("least", F.concat(F.array(F.lit(None).cast("long")), "least"), lambda a, b: F.when(~a.eqNullSafe(b), a)), lambda m, i: F.when(m.isNotNull(), pick(_place(m, i, low), m.bitwiseAND(F.lit(-low))))),
         lambda x: x.isNotNull(),
     )
-    picks = [F.array(F.struct(F.lit(-1).alias("p"), F.lit(0).alias("m"), F.lit(0).cast("long").alias("fp"))), changed]
-    every = lambda m: lambda g, i: pick(i, -m, g)
+    picks = [F.array(F.struct(F.lit(-1).alias("p"), F.lit(None).cast("long").alias("fp"))), changed]
+    every = lambda m: lambda g, i: pick(i, _marked(g, F.lit(m)))
     picks += [F.transform(f"k{m}", every(m)) for m in short]
     return base.select("doc", "digest", "w", "n", F.concat(*picks).alias("picks"))
 
@@ -192,10 +197,10 @@ def contaminated(
     if size.n <= BROADCAST_ROWS and (size.bytes or 0) <= BROADCAST_BYTES:
         # Outer forms: no array is empty, and the filter that inner ones bring along would repeat all steps.
         held = docs.select("doc", "digest", "w", "n", F.inline_outer("picks"))
-        met = held.join(F.broadcast(prints), ["m", "fp"], "left").where(F.col("i_gram").isNotNull() | (F.col("p") < 0))
+        met = held.join(F.broadcast(prints), "fp", "left").where(F.col("i_gram").isNotNull() | (F.col("p") < 0))
     else:
         # Texts stay where they are until hits are known; then hits go to their document.
-        lean = docs.select("doc", "digest", F.inline_outer("picks")).where("p >= 0").join(prints, ["m", "fp"])
+        lean = docs.select("doc", "digest", F.inline_outer("picks")).where("p >= 0").join(prints, "fp")
         hits = lean.groupBy("doc", "digest").agg(F.collect_list(F.struct("p", "item", "i_left", "i_gram", "i_right")).alias("hits"))
         mark = F.array(F.struct(F.lit(-1).alias("p"), *[F.lit(None).cast(t).alias(c) for c, t in (("item", "string"), ("i_left", "array<string>"), ("i_gram", "array<string>"), ("i_right", "array<string>"))]))
         one = docs.groupBy("doc", "digest").agg(F.first("w").alias("w"), F.first("n").alias("n"), F.count("*").alias("copies"))
@@ -222,7 +227,8 @@ def contaminated(
     # A short item is its own window; else left + gram + right must reach a window's length.
     whole = (F.col("d_gram") == F.col("i_gram")) & ((F.col("left") + F.col("m") + F.col("right") >= window) | (F.col("m") != k) | (F.size("i_left") + F.size("i_right") == 0))
     hit = F.when((p >= 0) & whole, F.struct((p - F.col("left")).alias("a"), (p + F.col("m") + F.col("right") - 1).alias("b")))
-    marked = runs.select("doc", "digest", "n", (p < 0).cast("int").alias("row"), hit.alias("hit"), "item").where("row = 1 or hit is not null")
+    marked = runs.select("doc", "digest", "n", (p < 0).cast("int").alias("row"), hit.alias("hit"), "item")
+    # No filter on ``hit``: pushed below, it would make every kept gram carry its text along.
     told = marked.groupBy("doc", "digest", "n").agg(
         F.sum("row").alias("copies"), F.array_sort(F.collect_set("hit")).alias("hits"), F.array_sort(F.collect_set(F.when(F.col("hit").isNotNull(), F.col("item")))).alias("items")
     )
@@ -265,7 +271,11 @@ def clean(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str
     Rows of one id and one text are judged alike. A null id or text is never contaminated
     by itself: a null text has no words.
     """
-    bad = judged(contaminated(df.withColumn("__row", F.struct(common.column(df, id_col).alias("id"), F.md5(common.column(df, text_col).cast("string")).alias("digest"))), items, id_col="__row", text_col=text_col, **options)).where("contaminated")
-    keys = bad.select(F.col("__row.id").alias("__id"), F.col("__row.digest").alias("__digest")).distinct()
-    same = common.column(df, id_col).eqNullSafe(F.col("__id")) & (F.md5(common.column(df, text_col).cast("string")) == F.col("__digest"))
-    return df.join(keys, same, "left_anti")
+    digest = F.md5(common.column(df, text_col).cast("string"))
+    id_ = common.column(df, id_col)
+    found = contaminated(df.select(F.struct(id_.alias("id"), digest.alias("digest")).alias("row"), common.column(df, text_col).alias("text")), items, id_col="row", text_col="text", **options)
+    keys = judged(found).where("contaminated").select(F.col("row.id").alias("__id"), F.col("row.digest").alias("__digest")).distinct()
+    keys = common.written(keys, f"{common.scratch(df.sparkSession)}/contaminated")
+    if keys.count() <= BROADCAST_ROWS:
+        keys = F.broadcast(keys)
+    return df.join(keys, id_.eqNullSafe(F.col("__id")) & (digest == F.col("__digest")), "left_anti")
