@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import common
 
@@ -258,20 +259,14 @@ def mask(df: DataFrame, text_col: str = "text", length_col: str | None = "n_char
         return work
 
     others = [c for c in df.columns if c != text_col]
-    keep = {c: common.column(df, c) for c in others} | {"__null": common.column(df, text_col).isNull()}
-    made = common.map_texts(df, keep, common.text_or_empty(df, text_col), "`__text` string", factory)
-    from pyspark.sql import functions as F
-
-    text = F.when(~F.col("__null"), F.col("__text"))
-    columns = []
-    for c in df.columns:
-        if c == text_col:
-            columns.append(text.alias(c))
-        elif c == length_col:
-            columns.append(F.when(text.isNotNull(), F.char_length(text)).otherwise(common.column(made, c)).cast(df.schema[c].dataType).alias(c))
-        else:
-            columns.append(common.column(made, c))
-    return made.select(*columns)
+    keep = {f"c{i}": common.column(df, c) for i, c in enumerate(others)} | {"missing": common.column(df, text_col).isNull()}
+    made = common.map_texts(df, keep, common.text_or_empty(df, text_col), "masked string", factory)
+    text = F.when(~F.col("missing"), F.col("masked"))
+    columns = {c: F.col(f"c{i}") for i, c in enumerate(others)} | {text_col: text}
+    if length_col in columns:
+        own = df.schema[length_col].dataType
+        columns[length_col] = F.when(text.isNotNull(), F.char_length(text)).otherwise(columns[length_col]).cast(own)
+    return made.select(*[columns[c].alias(c) for c in df.columns])
 
 
 def masked(text: str) -> str:
