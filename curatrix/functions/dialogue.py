@@ -154,7 +154,7 @@ def from_summaries(df: DataFrame) -> DataFrame:
 
 def from_helpdesk(df: DataFrame) -> DataFrame:
     """id, turns[{sender, utterances[]}], annotations[{quality}]."""
-    said = lambda t: F.array_join(F.filter(F.transform(t["utterances"], cleaned), lambda x: x != ""), "\n")
+    said = lambda t: F.array_join(F.filter(F.transform(t["utterances"], lambda u: cleaned(u)), lambda x: x != ""), "\n")
     turns = F.filter(F.transform("turns", lambda t: F.struct(F.when(F.lower(t["sender"]) == "customer", "user").otherwise("assistant").alias("role"), F.coalesce(said(t), F.lit("")).alias("text"))), lambda t: t["text"] != "")
     rated = F.coalesce(F.exists("annotations", lambda a: a["quality"].isNotNull()), F.lit(False))
     labels = F.struct(F.lit("multi_turn_helpdesk").alias("trajectory_type"), F.greatest(F.size("annotations"), F.lit(0)).alias("annotation_count"), rated.alias("has_quality_scores"))

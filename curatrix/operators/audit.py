@@ -50,7 +50,7 @@ def dialogue_rules(turns: str, tools: tuple[str, ...], roles: tuple[str, ...] =
         "invalid_tool_call": ("error", F.exists(calls, lambda v: v.isNull() | name(v).isNull())),
         "unknown_tool": ("error", F.exists(calls, lambda v: ~name(v).isin(*tools))),
         "unpaired_tool_turn": ("error", F.size(of("function_call")) != F.size(of("observation"))),
-        "missing_final_answer": ("error", F.coalesce(F.element_at(t, -1)[role] != "gpt", F.lit(False))),
+        "missing_final_answer": ("error", F.coalesce(F.get(t, F.size(t) - 1)[role] != "gpt", F.lit(False))),
     }
 
 

@@ -107,7 +107,7 @@ def _all(flags: list[Column]) -> Column:
 
 def _at(document: Column, path: Column) -> Column:
     """Canonical JSON at a dotted path that varies by row; null where a part is missing."""
-    return F.aggregate(F.split(path, r"\."), canonical_json(document), lambda doc, part: F.element_at(F.from_json(doc, "map<string,string>"), part))
+    return F.aggregate(F.split(path, r"\."), canonical_json(document), lambda doc, part: F.to_json(F.element_at(F.from_json(doc, "map<string,variant>"), part)))
 
 
 def exact_checks(expected: DataFrame, predictions: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 
 def strict_json_lines(spark: SparkSession, path: str, schema: StructType | str, required: tuple[str, ...] = ()) -> DataFrame:
@@ -46,7 +46,7 @@ def tables(spark: SparkSession, path: str, schema: StructType | str) -> DataFram
     read = lambda glob: spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
     text = StructType([f for f in schema.fields if f.dataType.simpleString() == "string"])
     out = read("*.jsonl").schema(schema).json(path)
-    whole = StructType().add("data", f"array<{schema.simpleString()}>")
+    whole = StructType().add("data", ArrayType(schema))
     listed = read("*.json").schema(schema).option("multiLine", "true").json(path)
     nested = read("*.json").schema(whole).option("multiLine", "true").json(path)
     out = out.unionByName(listed.where(F.coalesce(*[F.col(f.name).cast("string") for f in schema.fields]).isNotNull()))
