@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import actions, dialogue, personal, text
-from ..operators import audit, dedup, evaluation, metrics, policy, selection
+from ..functions import actions, dialogue, personal, templates, text, toolformats
+from ..operators import audit, dedup, evaluation, metrics, policy, selection, synthesis
 from ..sources import scans, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -718,3 +718,62 @@ def multi_key_sort(spark, sf_dir):
 def left_join_with_default(spark, sf_dir):
     out = _documents(spark, sf_dir).join(_table(spark, sf_dir, "labels"), "doc_id", "left")
     return out.select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.col("toxic").isNull().alias("unlabelled"))
+
+
+# --- Templates, tool formats and made cases ---------------------------------------------
+
+
+@query(
+    _PAIRED + ", k AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY grp) AS nth, u, a FROM p WHERE u IS NOT NULL AND n > 0), c AS (SELECT conv_id FROM conversations GROUP BY 1), "
+    "m AS (SELECT conv_id, coalesce(string_agg(CASE WHEN nth = 1 THEN '<|im_start|>system' || chr(10) || 'You are a helpful assistant.<|im_end|>' || chr(10) || chr(10) ELSE chr(10) END "
+    "|| '<|im_start|>user' || chr(10) || u || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || a, '' ORDER BY nth), '') AS t FROM c LEFT JOIN k USING (conv_id) GROUP BY conv_id) "
+    "SELECT conv_id, sha256(t) AS prompt_sha256, length(t) AS n_chars FROM m"
+)
+def named_template_render(spark, sf_dir):
+    out = _conversations(spark, sf_dir).select("conv_id", templates.prompt(dialogue.history("turns"), "qwen").alias("t"))
+    return out.select("conv_id", text.content_hash("t").alias("prompt_sha256"), F.char_length("t").cast("long").alias("n_chars"))
+
+
+@query(
+    "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN NULL ELSE 'query_order_status' END AS name, CASE o_orderkey % 4 WHEN 3 THEN NULL ELSE '{\"order_id\":\"EC-' || o_orderkey || '\"}' END AS arguments FROM orders"
+)
+def tool_format_round_trip(spark, sf_dir):
+    """Calls written and read by the format of each order's family; every fourth output is an answer."""
+    k = F.col("o_orderkey")
+    call = F.array(F.struct(F.lit("query_order_status").alias("name"), F.concat(F.lit('{"order_id": "EC-'), k, F.lit('"}')).alias("arguments")))
+    families = ("default", "qwen", "mistral")
+    written = F.coalesce(*[F.when(k % 4 == i, toolformats.calls_text(call, f)) for i, f in enumerate(families)], F.lit("It is on its way"))
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", written.alias("output"))
+    read = F.coalesce(*[F.when(k % 4 == i, toolformats.calls_read("output", f)) for i, f in enumerate(families)])
+    return rows.select("o_orderkey", F.get(read, F.lit(0)).alias("c")).select("o_orderkey", "c.name", "c.arguments")
+
+
+@query(
+    "SELECT o_orderkey, CASE WHEN p = 'damage' THEN 'damaged_exchange' WHEN p = 'return' THEN 'no_reason_expired' ELSE (['order_not_found', 'tool_timeout', 'not_delivered'])"
+    "[('0x' || left(sha256('scenario:' || o_orderkey || ':variant-1'), 8))::BIGINT % 3 + 1] END AS scenario, 'EC-GEN-' || upper(left(sha256(o_orderkey::VARCHAR), 10)) AS order_id "
+    "FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'damage' WHEN 1 THEN 'return' ELSE '' END AS p FROM orders)"
+)
+def scenario_classifier(spark, sf_dir):
+    k = F.col("o_orderkey").cast("string")
+    intent = F.when(F.col("o_orderkey") % 3 == 0, "Damage").when(F.col("o_orderkey") % 3 == 1, "return").otherwise("")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", synthesis.scenario_of(intent, F.lit("single_call"), k, F.lit(1)).alias("scenario"), synthesis.order_id(k).alias("order_id"))
+
+
+@query()
+def oracle_replay(spark, sf_dir):
+    return synthesis.replayed(spark).select("case_id", "passed", F.array_join("errors", ",").alias("errors"))
+
+
+@query()
+def synthesised_trajectories(spark, sf_dir):
+    split = F.when(F.col("o_orderkey") % 10 == 0, "validation").otherwise("train")
+    evidence = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("record"), F.lit(0).alias("variant"), split.alias("split"), F.lit("").alias("intent"), F.lit("other").alias("trajectory"))
+    made = synthesis.trajectories(evidence)
+    return made.select("parent_id", "split", "scenario", F.size("conversations").alias("n_turns"), F.sha2(F.to_json("conversations"), 256).alias("conversation_sha256"))
+
+
+@query()
+def counterfactual_pairs(spark, sf_dir):
+    evidence = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("record"), F.lit(0).alias("variant"), F.lit("train").alias("split"), F.lit("damage").alias("intent"), F.lit("multi_call").alias("trajectory"))
+    made = synthesis.trajectories(evidence)
+    return evaluation.counterfactuals(made, "calls", "answer", "parent_id").select("parent_id", "level", "target", "primary_error", F.sha2(F.concat_ws("|", "chosen", "rejected"), 256).alias("pair_sha256"))
