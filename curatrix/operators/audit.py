@@ -114,3 +114,28 @@ def row_identity(df: DataFrame, *candidates: str) -> Column:
     """The first id that is there, else the hash of the row as canonical JSON."""
     row = content_hash(canonical_json(F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]))))
     return F.coalesce(*[F.col(c).cast("string") for c in candidates if c in df.columns], row)
+
+
+def smoke_rules(turns: str, tools: tuple[str, ...]) -> dict[str, tuple[str, Column]]:
+    """A laxer set: a call needs an observation, but an observation needs no call."""
+    strict = dialogue_rules(turns, tools)
+    t = F.col(turns)
+    calls, seen = F.size(F.filter(t, lambda x: x["from"] == "function_call")), F.size(F.filter(t, lambda x: x["from"] == "observation"))
+    return {k: v for k, v in strict.items() if k not in ("unpaired_tool_turn", "missing_final_answer")} | {"call_without_observation": ("error", (calls > 0) & (seen == 0))}
+
+
+def precheck_codes(turns: str, tools: tuple[str, ...], chosen: str | None = None, rejected: str | None = None) -> Column:
+    """Sorted codes that a machine gives a row before people see it."""
+    rules = dialogue_rules(turns, tools)
+    if chosen and rejected:
+        rules |= {"identical_pair": ("error", F.col(chosen) == F.col(rejected)), "missing_preference": ("error", F.col(chosen).isNull() | F.col(rejected).isNull())}
+    return F.array_sort(F.array_compact(F.array(*[F.when(c, F.lit(code)) for code, (_, c) in rules.items()])))
+
+
+def names_tools(text: Column, tools: tuple[str, ...]) -> Column:
+    """Does a user's text name a tool?"""
+    return F.greatest(*[F.contains(F.coalesce(text, F.lit("")), F.lit(t)) for t in tools], F.lit(False))
+
+
+def passes(issues_: DataFrame) -> bool:
+    return issues_.where("severity = 'error'").isEmpty()

@@ -240,3 +240,33 @@ def merged(parts: list[DataFrame], wanted: DataFrame, key: str) -> DataFrame:
     if not bad.isEmpty():
         raise ValueError("shards don't cover the wanted keys exactly once")
     return out
+
+
+def head_split(df: DataFrame, percent: float, *order: str) -> tuple[DataFrame, DataFrame]:
+    """(validation, train): the first ``percent`` of the rows in an order, and the rest."""
+    cut = df.select(F.struct(*order).alias("k"))
+    n = int(df.count() * percent / 100)
+    if not n:
+        return df.limit(0), df
+    last = cut.orderBy("k").limit(n).agg(F.max("k").alias("k")).withColumnRenamed("k", "__last")
+    bound = last.first()["__last"]
+    first = F.struct(*order) <= F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for v, c in zip(bound, order, strict=True)])
+    return df.where(first), df.where(~first)
+
+
+def balanced_preferences(df: DataFrame, level: str, kind: str, limit: int, order: Column, tie: str) -> DataFrame:
+    """40 % response, 25 % decision (half of them each kind of target), 35 % parameter pairs by hash;
+    what a group lacks is filled from the others' leftovers, and the result is in hash order."""
+    want = {("response", None): round(limit * 0.4), ("decision", "action"): round(limit * 0.25) // 2, ("decision", "response"): round(limit * 0.25) - round(limit * 0.25) // 2}
+    want[("parameter", None)] = limit - sum(want.values())
+    group = F.when(F.col(level) == "decision", F.concat(F.lit("decision:"), F.col(kind))).otherwise(F.col(level))
+    quota = F.coalesce(*[F.when(group == (f"{a}:{b}" if b else a), F.lit(n)) for (a, b), n in want.items()], F.lit(0))
+    nth = F.row_number().over(Window.partitionBy(group).orderBy(order, tie))
+    placed = df.withColumn("within", nth <= quota)
+    return placed.orderBy(F.col("within").desc(), order, tie).limit(limit)
+
+
+def capped_pairs(pairs: DataFrame, left: str, right: str, most: int) -> tuple[DataFrame, bool]:
+    """The first ``most`` pairs in the order (right, left) of a report, and whether there were more."""
+    some = pairs.orderBy(right, left).limit(most + 1)
+    return some.limit(most), some.count() > most

@@ -103,3 +103,16 @@ def open_sealed(spark: SparkSession, manifest: str, expected_sha256: str, marker
         raise ValueError("the manifest isn't the sealed one")
     write_report(spark, {"manifest_sha256": expected_sha256}, marker)
     return spark.read.text(manifest, wholetext=True)
+
+
+def run_manifest(spark: SparkSession, inputs: dict[str, str], parameters: dict) -> dict:
+    """What a run was made from: versions, session settings, and a fingerprint of each input folder."""
+    import platform
+
+    settings = {r.key: r.value for r in spark.sql("SET").collect() if r.key.startswith("spark.sql.")}
+    return {
+        "versions": {"python": platform.python_version(), "spark": spark.version},
+        "settings": settings,
+        "parameters": parameters,
+        "inputs": {name: directory_fingerprint(spark, path) for name, path in inputs.items()},
+    }
