@@ -16,6 +16,8 @@ BITS = 64
 #: Buckets of up to so many fingerprints are compared pair by pair; larger ones through
 #: their common neighbours, which finds the same links.
 PAIRWISE = 64
+#: Ids of documents to drop are broadcast up to so many; else joined by shuffle.
+BROADCAST_IDS = 1_000_000
 
 _OFFSETS = (np.arange(8, dtype=np.int64) * 256)[None, :]
 _BIT = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
@@ -160,10 +162,12 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     id_ = common.column(df, id_col)
     groups = near_groups(df.where(id_.isNotNull()), id_col, text_col, shingle, distance)
     own = common.column(groups, id_col)
-    chosen = groups.where(own == F.col("component_id")).groupBy(own.alias("__keep")).agg(F.count("*").alias("n"))
-    chosen = common.written(chosen, f"{common.scratch(df.sparkSession)}/chosen")
-    kept = df.join(chosen.select("__keep"), id_ == F.col("__keep"), "left_semi")
-    if not chosen.where("n > 1").isEmpty():
+    named = groups.groupBy(own.alias("__id")).agg(F.count_if(own == F.col("component_id")).alias("n"))
+    named = common.written(named.where("n <> 1"), f"{common.scratch(df.sparkSession)}/named")
+    dropped = named.where("n = 0").select("__id")
+    # Texts move only if the list of what goes is long.
+    kept = df.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped, id_ == F.col("__id"), "left_anti")
+    if not named.where("n > 1").isEmpty():
         order = Window.partitionBy(common.column(kept, id_col)).orderBy(F.xxhash64(*[common.column(kept, c) for c in kept.columns]))
-        kept = kept.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth")
-    return kept.unionByName(df.where(id_.isNull()))
+        kept = kept.withColumn("__nth", F.when(common.column(kept, id_col).isNull(), 1).otherwise(F.row_number().over(order))).where("__nth = 1").drop("__nth")
+    return kept
