@@ -354,6 +354,7 @@ def without_repeats(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     """
     if window <= 2 * BORDER + 2 * max(CAPS):
         raise ValueError(f"a window has more than {2 * BORDER + 2 * max(CAPS)} words")
+    common.bounded_batches(df.sparkSession)
     text = common.text_or_empty(df, text_col)
     docs = df.select(common.column(df, id_col).cast("long").alias("id"), text.alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
