@@ -141,26 +141,34 @@ class Transducer:
         self.before = -1  # the token before that border
 
     def feed(self, data: bytes) -> Iterator[int]:
-        m, known = self.m, self.m.known
-        for k in range(0, len(data), m.longest):
-            self.tail += data[k : k + m.longest]
-            tail, last, reached = self.tail, self.last, m.reached
-            for end in range(len(last), len(tail) + 1):
-                for start in range(max(0, end - m.longest), end):
-                    t = reached.get(tail[start:end])
-                    if t is None:
-                        continue
+        m, longest = self.m, self.m.longest
+        for k in range(0, len(data), longest):
+            self.tail += data[k : k + longest]
+            self._advance()
+            self.held = max(self.held, len(self.last))
+            if len(self.last) > longest:  # else the first state is still one to go back to
+                yield from self._stable()
+            if len(m.known) > 2_000_000:
+                m.known.clear()
+
+    def _advance(self) -> None:
+        """The last token after each new byte: the one suffix that fits the token before it."""
+        tail, last, reached, known, fits, longest = self.tail, self.last, self.m.reached, self.m.known, self.m.fits, self.m.longest
+        for end in range(len(last), len(tail) + 1):
+            for start in range(end - longest if end > longest else 0, end):
+                piece = tail[start:end]
+                if piece in reached:
+                    t = reached[piece]
                     left = last[start] if start else self.before
                     if left < 0:
                         break
-                    ok = known.get((left, t))
+                    pair = left, t
+                    ok = known.get(pair)
                     if ok is None:
-                        ok = known[left, t] = m.fits(left, t)
+                        ok = known[pair] = fits(left, t)
                     if ok:
                         break
-                last.append(t)
-            self.held = max(self.held, len(last))
-            yield from self._stable()
+            last.append(t)
 
     def _stable(self) -> Iterator[int]:
         """Emit what all states of the last ``longest`` bytes have in common."""
@@ -175,8 +183,6 @@ class Transducer:
             yield from self._path(border)
             self.before = last[border]
             self.tail, self.last = self.tail[border:], [-1, *last[border + 1 :]]
-            if len(self.m.known) > 2_000_000:
-                self.m.known.clear()
 
     def _path(self, end: int) -> list[int]:
         out = []
