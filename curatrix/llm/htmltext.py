@@ -36,23 +36,36 @@ ROLE = re.compile(
     r"|related|recommend\w*|newsletter|subscribe|signup|popup|modal|overlay|footer|masthead|site-header|widget|toolbar|pagination|search|login)(?:$|[\s_-])",
     re.I,
 )
-#: Fixed value: HTML's tag syntax; attribute values end within 4096 characters.
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']|\"[^\"]{0,4096}\"|'[^']{0,4096}')*+)>", re.S)
+#: Fixed value: HTML's tag syntax. Tags of more than 512 parts or values of more than 4096
+#: characters are text, so that reading takes time in proportion to the page.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"]{0,4096}\"|'[^']{0,4096}'){0,512}+)>", re.S)
 MARKS = re.compile(r"(?:^|\s)(id|class|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
-Block = tuple[tuple[int, ...], str, bool]
+#: Token of the page itself.
+ROOT = 0
+
+
+def token(parent: int, name: str) -> int:
+    """Token of an element or of a text (after a line end) within the element of a token."""
+    return xxhash.xxh64_intdigest(name.encode("utf-8", "replace"), seed=parent & ((1 << 64) - 1)) - (1 << 63)
+
+
+def _pop(stack: list[tuple[str, int]], held: dict[str, int]) -> str:
+    tag = stack.pop()[0]
+    held[tag] -= 1
+    return tag
 
 
 class Page:
-    """Elements (path, parent, dropped, main) and text blocks of one page, in page order."""
+    """Elements (token of the path, depth, parent, dropped, main) and text blocks of one page, in page order."""
 
     def __init__(self, source: str):
-        self.paths, self.parent, self.out, self.main = [""], [-1], [False], [False]
+        self.key, self.depth, self.parent, self.out, self.main = [ROOT], [0], [-1], [False], [False]
         self.blocks: list[tuple[int, str]] = []  # element, text
         self._read(source)
 
     def _read(self, source: str) -> None:
-        stack, buffer, at = [("", 0)], [], 0
+        stack, buffer, at, held = [("", 0)], [], 0, dict.fromkeys(("",), 1)
 
         def flush() -> None:
             if buffer:
@@ -92,23 +105,25 @@ class Page:
                 continue
             flush()
             if close:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
+                if held.get(tag):
+                    while _pop(stack, held) != tag:
+                        pass
                 continue
             closed = CLOSED_BY.get(tag, ())
             if tag in NOT_IN_P:
                 closed = (*closed, "p")
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in closed:
-                    del stack[k:]
-                    break
-                if stack[k][0] in SCOPE:
-                    break
+            if any(held.get(c) for c in closed):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k][0] in closed:
+                        while len(stack) > k:
+                            _pop(stack, held)
+                        break
+                    if stack[k][0] in SCOPE:
+                        break
             stack.append((tag, self._element(tag, attributes, stack[-1][1])))
+            held[tag] = held.get(tag, 0) + 1
             if attributes.endswith("/") and tag not in ("p", "div"):
-                stack.pop()
+                _pop(stack, held)
         flush()
 
     def _element(self, tag: str, attributes: str, parent: int) -> int:
@@ -128,38 +143,34 @@ class Page:
         role = bool(marks) and any(ROLE.search(x) for x in marks) and tag not in ("html", "body", *MAIN)
         main = self.main[parent] or tag in MAIN or body
         out = self.out[parent] or hidden or role or tag in DROPPED or tag == "header" and not main
-        self.paths.append(f"{self.paths[parent]}/{name}")
+        self.key.append(token(self.key[parent], name))
+        self.depth.append(self.depth[parent] + 1)
         self.parent.append(parent)
         self.out.append(out)
         self.main.append(main)
-        return len(self.paths) - 1
+        return len(self.key) - 1
 
-    def tokens(self) -> Iterator[tuple[int, str, int]]:
-        """(token, path, characters kept below it) for each element and text block in page order."""
-        chars = [0] * len(self.paths)
+    def tokens(self) -> Iterator[tuple[int, int, bool, int]]:
+        """(token, depth, in a main element, characters kept below it) for each element in page order, then
+        for each text block, with a depth of -1."""
+        chars = [0] * len(self.key)
         for e, text in self.blocks:
             if not self.out[e]:
                 chars[e] += len(text)
         for e in range(len(chars) - 1, 0, -1):
             chars[self.parent[e]] += chars[e]
-        for e, path in enumerate(self.paths):
-            yield token(path), path, chars[e]
+        yield from zip(self.key, self.depth, self.main, chars, strict=True)
         for e, text in self.blocks:
-            yield token(self.paths[e], text), "", 0
+            yield token(self.key[e], "\n" + text), -1, False, 0
 
-    def text(self, slot: str, boilerplate: frozenset[int]) -> str:
+    def text(self, slot: int | None, boilerplate: frozenset[int]) -> str:
         """Kept blocks of the main slot; of the page's own main elements, or else all of it, without one."""
-        inside = [False] * len(self.paths)
-        for e in range(1, len(self.paths)):
-            inside[e] = inside[self.parent[e]] or bool(slot) and self.paths[e] == slot
+        inside = [False] * len(self.key)
+        for e in range(1, len(self.key)):
+            inside[e] = inside[self.parent[e]] or self.key[e] == slot
         if not any(inside):
-            inside = self.main if any(self.main) else [True] * len(self.paths)
-        return "\n".join(text for e, text in self.blocks if inside[e] and not self.out[e] and (self.main[e] or token(self.paths[e], text) not in boilerplate))
-
-
-def token(path: str, text: str | None = None) -> int:
-    raw = path if text is None else f"{path}\n{text}"
-    return xxhash.xxh64_intdigest(raw.encode("utf-8", "replace")) - (1 << 63)
+            inside = self.main if any(self.main) else [True] * len(self.key)
+        return "\n".join(text for e, text in self.blocks if inside[e] and not self.out[e] and (self.main[e] or token(self.key[e], "\n" + text) not in boilerplate))
 
 
 def host(url: Column) -> Column:
@@ -182,7 +193,7 @@ def _pages(df: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, slot (path of the main slot, or empty), boilerplate (tokens of template text).
+    """host, slot (token of the main slot, or null), boilerplate (tokens of template text).
 
     Vectors of occurrences are sums of hashes of (page, count), so no page's tokens and no
     host's pages are brought together; the tokens of one class are, which are no more
@@ -195,33 +206,32 @@ def templates(pages: DataFrame) -> DataFrame:
                 rows = []
                 for h, p, source in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     seen: dict[int, list] = {}
-                    for t, path, chars in Page(source).tokens():
+                    for t, depth, main, chars in Page(source).tokens():
                         if (x := seen.get(t)) is None:
-                            seen[t] = [h, p, t, path, 1, chars]
+                            seen[t] = [h, p, t, depth, main, 1, chars]
                         else:
-                            x[4] += 1
-                            x[5] += chars
+                            x[5] += 1
+                            x[6] += chars
                     rows += seen.values()
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["host", "page", "token", "path", "n", "chars"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], names=["host", "page", "token", "depth", "main", "n", "chars"])
 
-    counted = pages.select("host", "page", "html").mapInArrow(count, "host long, page long, token long, path string, n long, chars long")
+    counted = pages.select("host", "page", "html").mapInArrow(count, "host long, page long, token long, depth int, main boolean, n long, chars long")
     vectors = counted.groupBy("host", "token").agg(
-        F.min("path").alias("path"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count("*").alias("pages"), F.sum("chars").alias("chars")
+        F.max("depth").alias("depth"), F.max("main").alias("main"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count("*").alias("pages"), F.sum("chars").alias("chars")
     )
     spark = pages.sparkSession
     vectors = common.written(vectors.where(F.col("pages") >= LEAST_PAGES), f"{common.scratch(spark)}/vectors")
-    root = F.lit(token(""))
+    root = F.lit(ROOT)
     hosts = vectors.where(F.col("token") == root).select("host", F.col("pages").alias("all_pages"), F.col("chars").alias("all_chars"))
     often = vectors.join(hosts, "host").where(F.col("pages") >= LEAST_SHARE * F.col("all_pages"))
-    members = often.select("host", "vector", "token", "path", "chars", "all_chars")
+    members = often.select("host", "vector", "token", "depth", "main", "chars", "all_chars")
     valid = _valid(pages, members)
     kept = members.join(valid, ["host", "vector"], "left_semi")
     # The deepest path with most of the text; article and main elements come before all others.
-    is_main = F.col("path").rlike(r"/(article|main)[^/]*$")
-    depth = F.size(F.split("path", "/"))
-    candidate = F.when((F.col("path") != "") & (F.col("chars") >= MAIN_SHARE * F.col("all_chars")), F.struct(is_main.alias("main"), F.when(is_main, -depth).otherwise(depth).alias("depth"), F.col("path").alias("path")))
-    return kept.groupBy("host").agg(F.coalesce(F.max(candidate)["path"], F.lit("")).alias("slot"), F.collect_list(F.when(F.col("path") == "", F.when(F.col("token") != root, F.col("token")))).alias("boilerplate"))
+    order = F.struct("main", F.when(F.col("main"), -F.col("depth")).otherwise(F.col("depth")).alias("depth"), "token")
+    candidate = F.when((F.col("depth") > 0) & (F.col("chars") >= MAIN_SHARE * F.col("all_chars")), order)
+    return kept.groupBy("host").agg(F.max(candidate)["token"].alias("slot"), F.collect_list(F.when(F.col("depth") < 0, F.col("token"))).alias("boilerplate"))
 
 
 def _valid(pages: DataFrame, members: DataFrame) -> DataFrame:
@@ -236,7 +246,7 @@ def _valid(pages: DataFrame, members: DataFrame) -> DataFrame:
                 for h, source, known in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     of = {x["token"]: x["vector"] for x in known or ()}
                     state: dict[int, xxhash.xxh64] = {}
-                    for t, _, _ in Page(source).tokens():
+                    for t, _, _, _ in Page(source).tokens():
                         if (v := of.pop(t, None)) is not None:  # its first place
                             state.setdefault(v, xxhash.xxh64()).update(t.to_bytes(8, "little", signed=True))
                     rows += [(h, v, s.intdigest() - (1 << 63)) for v, s in state.items()]
@@ -261,6 +271,7 @@ def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     gives an empty result. Inside a block white space is one space; a character reference
     is the character it names.
     """
+    common.bounded_batches(df.sparkSession)
     pages = _pages(df, id_col, url_col, html_col)
     found = common.written(templates(pages), f"{common.scratch(df.sparkSession)}/templates")
     joined = _with_host_rows(pages.select("id", "url", "host", "html"), found, found.select(F.explode_outer("boilerplate")))
@@ -269,7 +280,7 @@ def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch, 2):
-                texts = [Page(s).text(slot or "", frozenset(known or ())) for s, slot, known in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+                texts = [Page(s).text(slot, frozenset(known or ())) for s, slot, known in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
     kind = pages.schema["id"].dataType.simpleString()

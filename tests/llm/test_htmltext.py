@@ -31,7 +31,7 @@ def test_slot_is_deduced_where_no_element_names_the_article(spark):
 
 def test_forms_notices_and_hidden_elements_go():
     p = htmltext.Page('<main><form><p>Name</p></form><p class="cookie-notice">We use cookies</p><div hidden>no</div><aside>side</aside><p>Yes&nbsp;this &#233;</p><table><tr><td>a<td>b</table><section id="comments">c</section></main>')
-    assert p.text("", frozenset()) == "Yes this é\na\nb"
+    assert p.text(None, frozenset()) == "Yes this é\na\nb"
 
 
 def test_empty_table(spark):
@@ -43,3 +43,8 @@ def test_class_out_of_order_is_no_template(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     found = htmltext.templates(htmltext._pages(df, "page_id", "url", "html")).collect()
     assert all(not r.boilerplate for r in found)
+
+
+def test_hostile_pages_take_linear_time():
+    for source in ("<div>" * 40_000, "<a " * 40_000, '<a "' * 40_000, "</p>" * 40_000, "<div>" * 20_000 + "</b></span></p>" * 20_000, "<p>x" * 40_000, "<!--" * 40_000, "&amp" * 40_000):
+        htmltext.Page(source).text(None, frozenset())
