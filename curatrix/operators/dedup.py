@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -10,11 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from ..functions.text import column, compact, content_hash
+from ..functions.text import column, content_hash
 from ..sources.sinks import checkpointed
 
-BANDS = 4
 GRAM = 4
+#: Bits of a fingerprint are cut into six blocks; two that differ in three bits at most agree on three of them.
+BLOCKS, AGREEING = 6, 3
 
 
 def exact_groups(df: DataFrame, key: Column, id_col: str, split: str | None = None) -> DataFrame:
@@ -56,12 +58,12 @@ def simhash(texts: pd.Series) -> pd.Series:
 def banded_pairs(df: DataFrame, id_col: str, print_col: str, distance: int = 3) -> DataFrame:
     """left_id, right_id, bits: rows whose fingerprints differ in up to ``distance`` (0 to 3) bits.
 
-    Distinct fingerprints are compared, each bucket of 16 equal bits by a join on it; rows
+    Distinct fingerprints are compared, each bucket of three equal blocks by a join on it; rows
     of one fingerprint are then listed with their partners of other content. For classes
     of copies use ``near_keep``, which doesn't list pairs.
     """
     if not 0 <= distance <= 3:
-        raise ValueError("four bands find all pairs at 0 to 3 bits")
+        raise ValueError("the blocks find all pairs at 0 to 3 bits")
     links = fingerprint_links(df.select(F.col(print_col).alias("fp")).distinct(), distance)
     left = df.select(F.col(id_col).alias("left_id"), F.col(print_col).alias("a"))
     right = df.select(F.col(id_col).alias("right_id"), F.col(print_col).alias("b"))
@@ -70,15 +72,23 @@ def banded_pairs(df: DataFrame, id_col: str, print_col: str, distance: int = 3)
 
 
 def fingerprint_links(prints: DataFrame, distance: int) -> DataFrame:
-    """a < b, bits: different fingerprints (column fp, distinct) at up to ``distance`` bits."""
-    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(65535)).alias("value")) for i in range(BANDS)])
-    keyed = prints.select("fp", F.explode(bands).alias("x")).select("fp", "x.band", "x.value")
+    """a < b, bits: different fingerprints (column fp, distinct) at up to ``distance`` bits.
+
+    Each is keyed by all choices of three blocks (32 bits or so), so that unrelated ones
+    rarely meet however many there are.
+    """
+    edges = [round(i * 64 / BLOCKS) for i in range(BLOCKS + 1)]
+    masks = [sum(1 << b for k in chosen for b in range(edges[k], edges[k + 1])) for chosen in combinations(range(BLOCKS), AGREEING)]
+    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
+    keys = F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)])
+    keyed = prints.select("fp", F.explode(keys).alias("x")).select("fp", "x.c", "x.k")
     l, r = keyed.withColumnRenamed("fp", "a"), keyed.withColumnRenamed("fp", "b")
-    pairs = l.join(r, ["band", "value"]).where("a < b")
-    bits = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    first = F.coalesce(*[F.when(F.shiftrightunsigned(F.col("a").bitwiseXOR(F.col("b")), 16 * i).bitwiseAND(F.lit(65535)) == 0, F.lit(i)) for i in range(BANDS)])
-    # A pair that agrees in several bands counts in the first only; no distinct is needed.
-    return pairs.where((bits <= distance) & (F.col("band") == first)).select("a", "b", bits.alias("bits"))
+    pairs = l.join(r, ["c", "k"]).where("a < b")
+    differ = F.col("a").bitwiseXOR(F.col("b"))
+    bits = F.bit_count(differ)
+    first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(m)) == 0, F.lit(i)) for i, m in enumerate(masks)])
+    # A pair that agrees for several choices counts for the first only; no distinct is needed.
+    return pairs.where((bits <= distance) & (F.col("c") == first)).select("a", "b", bits.alias("bits"))
 
 
 def near_keep(df: DataFrame, id_col: str, print_col: str, priority: Column, distance: int = 3) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -56,11 +55,17 @@ def nearest(c: Column | str, p: float) -> Column:
 def half_even(df: DataFrame, c: str, ps: tuple[float, ...]) -> DataFrame:
     """p, value: the value of index round((n - 1) p), halves to even, from counts of equal values.
 
-    A running count over the distinct values stands in for the sorted list.
+    Running counts over ranges of the distinct values stand in for the sorted list; only
+    the ranges' totals are brought together.
     """
+    from ..sources.sinks import checkpointed
+
     sizes = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(F.lit(1)).orderBy(c).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = sizes.withColumn("upto", F.sum("n").over(w))
+    ranged = checkpointed(sizes.repartitionByRange(c).withColumn("part", F.spark_partition_id()))
+    before = F.sum("m").over(Window.partitionBy(F.lit(1)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = ranged.groupBy("part").agg(F.sum("n").alias("m")).select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    w = Window.partitionBy("part").orderBy(c).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = ranged.join(F.broadcast(offsets), "part").withColumn("upto", F.sum("n").over(w) + F.col("before"))
     total = df.agg(F.count(c).alias("total"))
     wanted = total.select("total", F.explode(F.array(*[F.lit(float(p)) for p in ps])).alias("p")).withColumn("at", F.bround((F.col("total") - 1) * F.col("p")))
     met = upto.join(F.broadcast(wanted), (F.col("upto") > F.col("at")) & (F.col("upto") - F.col("n") <= F.col("at")))
@@ -155,12 +160,12 @@ def active_telemetry(df: DataFrame, device: Column, use: str, *peaks: str) -> Da
 
 def steady_latency(df: DataFrame, run: str, order: str, seconds: str, tokens: str) -> DataFrame:
     """Calls, percentiles and tokens a second, over all calls and without each run's first."""
-    nth = F.row_number().over(Window.partitionBy(run).orderBy(order))
-    s = df.withColumn("__nth", nth).withColumn("__steady", F.when(F.col("__nth") > 1, F.col(seconds)))
+    first = df.groupBy(run).agg(F.min(order).alias("__first"))
+    s = df.join(first, run).withColumn("__later", F.col(order) > F.col("__first")).withColumn("__steady", F.when(F.col("__later"), F.col(seconds)))
     return s.groupBy(run).agg(
         F.count("*").alias("calls"),
         F.percentile(seconds, F.lit(0.5)).alias("p50"),
         F.percentile(seconds, F.lit(0.95)).alias("p95"),
         F.avg("__steady").alias("steady_mean"),
-        (F.sum(F.when(F.col("__nth") > 1, F.col(tokens))) / F.sum("__steady")).alias("steady_tokens_per_second"),
+        (F.sum(F.when(F.col("__later"), F.col(tokens))) / F.sum("__steady")).alias("steady_tokens_per_second"),
     )

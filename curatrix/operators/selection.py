@@ -26,7 +26,8 @@ def round_robin(df: DataFrame, strata: list[str], order: Column, tie: str, limit
     """
     nth = F.row_number().over(Window.partitionBy(*strata).orderBy(order, tie))
     out = df.withColumn("nth", nth)
-    return out if limit is None else out.orderBy("nth", *strata).limit(limit)
+    # A row beyond ``limit`` in its stratum can't be taken; saying so lets Spark cut strata before the shuffle.
+    return out if limit is None else out.where(F.col("nth") <= limit).orderBy("nth", *strata).limit(limit)
 
 
 def largest_remainder(df: DataFrame, weight: Column, total: int, name: str) -> DataFrame:
@@ -47,7 +48,7 @@ def proportional_subset(df: DataFrame, group: str, total: int, order: Column, ti
     sizes = df.groupBy(group).agg(F.count("*").alias("n"))
     quotas = largest_remainder(sizes, F.col("n"), total, group).select(group, "quota")
     nth = F.row_number().over(Window.partitionBy(group).orderBy(order, tie))
-    return df.withColumn("nth", nth).join(quotas, group).where("nth <= quota")
+    return df.withColumn("nth", nth).where(F.col("nth") <= total).join(quotas, group).where("nth <= quota")
 
 
 def two_level_subset(df: DataFrame, outer: str, inner: str, total: int, order: Column, tie: str) -> DataFrame:
@@ -62,23 +63,24 @@ def two_level_subset(df: DataFrame, outer: str, inner: str, total: int, order: C
     nth = F.row_number().over(w.orderBy(F.round(F.col("__exact") - F.col("__floor"), 9).desc(), inner))
     quotas = both.withColumn("quota", F.col("__floor") + (nth <= left).cast("long")).select(outer, inner, "quota")
     place = F.row_number().over(Window.partitionBy(outer, inner).orderBy(order, tie))
-    return df.withColumn("nth", place).join(quotas, [outer, inner]).where("nth <= quota")
+    return df.withColumn("nth", place).where(F.col("nth") <= total).join(quotas, [outer, inner]).where("nth <= quota")
 
 
 def split_targets(df: DataFrame, strata: list[str], targets: dict[str, int], split: str, order: Column, tie: str) -> DataFrame:
     """For each split its target of rows, round robin over the strata; what a split lacks is
     filled from the other splits' leftovers in hash order."""
-    ranked = round_robin(df, [split, *strata], order, tie)
-    in_split = F.row_number().over(Window.partitionBy(split).orderBy("nth", *strata))
-    want = F.coalesce(*[F.when(F.col(split) == s, F.lit(n)) for s, n in targets.items()], F.lit(0))
-    placed = ranked.withColumn("place", in_split).withColumn("chosen", F.col("place") <= want)
-    taken = placed.where("chosen").groupBy(split).count().collect()  # a row for each split
-    short = sum(targets.values()) - sum(r["count"] for r in taken if r[split] in targets)
-    chosen = placed.where("chosen").withColumn("backfill", F.lit(False))
+    total, chosen = sum(targets.values()), None
+    for s, n in targets.items():
+        part = round_robin(df.where(F.col(split) == s), strata, order, tie, n)
+        place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("nth", *strata))  # over a split's target of rows
+        part = part.withColumn("place", place)
+        chosen = part if chosen is None else chosen.unionByName(part)
+    chosen = chosen.withColumn("backfill", F.lit(False))
+    short = total - chosen.count()
     if short <= 0:
         return chosen
-    rest = placed.where(~F.col("chosen")).orderBy(order, tie).limit(short).withColumn("backfill", F.lit(True))
-    return chosen.unionByName(rest)
+    rest = df.join(chosen.select(tie), tie, "left_anti").orderBy(order, tie).limit(short)
+    return chosen.unionByName(rest.withColumn("backfill", F.lit(True)), allowMissingColumns=True)
 
 
 def threshold_split(df: DataFrame, fraction: float, *parts: Column | str) -> DataFrame:
@@ -96,9 +98,9 @@ def greedy_group_split(df: DataFrame, group: str, salt: str, ratios: tuple[tuple
     runs of turns, never rows.
     """
     sizes = df.groupBy(group).agg(F.count("*").alias("size"))
-    order = Window.partitionBy("size").orderBy(rank(F.lit(salt), group), group)
-    ranked = sizes.withColumn("nth", F.row_number().over(order))
-    runs = sizes.groupBy("size").agg(F.count("*").alias("many"))
+    ranked = positions(sizes.withColumn("hashed", rank(F.lit(salt), group)), "size", "hashed", group)
+    runs = ranked.groupBy("size").agg(F.count("*").alias("many"), F.min("position").alias("first"))
+    ranked = ranked.join(runs.select("size", "first"), "size").select(group, "size", (F.col("position") - F.col("first") + 1).alias("nth"))
     names, share_ = [n for n, _ in ratios], [r for _, r in ratios]
 
     def walk(batches):
@@ -122,7 +124,7 @@ def greedy_group_split(df: DataFrame, group: str, salt: str, ratios: tuple[tuple
                 part = merged[a : a + 10_000]
                 yield pd.DataFrame({"size": size, "from_nth": [x[0] for x in part], "to_nth": [x[1] for x in part], "split": [x[2] for x in part]})
 
-    spans = runs.coalesce(1).mapInPandas(walk, "size long, from_nth long, to_nth long, split string")
+    spans = runs.select("size", "many").coalesce(1).mapInPandas(walk, "size long, from_nth long, to_nth long, split string")
     placed = ranked.join(spans, "size").where("nth between from_nth and to_nth").select(group, "split")
     return df.join(placed, group)
 
@@ -142,7 +144,7 @@ def capped_selection(df: DataFrame, bucket: str, targets: dict[str, int], margin
     for b in order:
         own = df.where(F.col(bucket) == b).join(used, parent, "left")
         nth = F.row_number().over(Window.partitionBy(parent).orderBy(margin, tie))
-        fit = own.withColumn("__nth", nth).where(F.col("__nth") <= F.lit(cap) - F.coalesce("used", F.lit(0)))
+        fit = own.withColumn("__nth", nth).where((F.col("__nth") <= cap) & (F.col("__nth") <= F.lit(cap) - F.coalesce("used", F.lit(0))))
         taken = fit.orderBy(margin, tie).limit(targets[b]).select(*df.columns)
         if taken.count() < targets[b]:
             raise ValueError(f"bucket {b} has too few rows within the cap")
@@ -173,7 +175,7 @@ def priority_queue(df: DataFrame, reason: Column, quotas: list[tuple[str, int]],
     nth = F.row_number().over(Window.partitionBy("reason").orderBy(order, tie))
     priority = F.coalesce(*[F.when(F.col("reason") == r, F.lit(i)) for i, (r, _) in enumerate(quotas)], F.lit(len(quotas)))
     quota = F.coalesce(*[F.when(F.col("reason") == r, F.lit(n)) for r, n in quotas], F.lit(0))
-    placed = ranked.withColumn("nth", nth).withColumn("priority", priority).withColumn("within", F.col("nth") <= quota)
+    placed = ranked.withColumn("nth", nth).where(F.col("nth") <= total).withColumn("priority", priority).withColumn("within", F.col("nth") <= quota)
     return placed.orderBy(F.col("within").desc(), F.when(F.col("within"), F.col("priority")), order, tie).limit(total)
 
 
@@ -213,21 +215,26 @@ def first_occurrence(df: DataFrame, key: Column | str, order: str) -> DataFrame:
     return joined.withColumn("duplicate_of", F.when(F.col(order) != F.col("__first"), F.col("__first"))).drop("__key", "__first")
 
 
-def shards(df: DataFrame, n: int, *order: str) -> DataFrame:
-    """``shard``: the rows dealt out in turn by their place in the order.
+def positions(df: DataFrame, *order: str) -> DataFrame:
+    """``position``: the row's place (from 0) in an order.
 
     Places come from range partitions and their counts, not from one window over all rows.
     """
-    key = df.columns
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__at"))
     from ..sources.sinks import checkpointed
 
-    ranged = checkpointed(ranged)
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = checkpointed(ranged.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__at")))
     sizes = ranged.groupBy("__part").agg(F.count("*").alias("n"), F.min("__at").alias("__low"))
     before = F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each partition
     offsets = sizes.withColumn("__before", F.coalesce(before, F.lit(0))).select("__part", "__before", "__low")
     placed = ranged.join(F.broadcast(offsets), "__part")
-    return placed.select(*key, F.pmod(F.col("__before") + F.col("__at") - F.col("__low"), F.lit(n)).cast("int").alias("shard"))
+    return placed.select(*[F.col(c) for c in df.columns], (F.col("__before") + F.col("__at") - F.col("__low")).alias("position"))
+
+
+def shards(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """``shard``: the rows dealt out in turn by their place in the order."""
+    placed = positions(df, *order)
+    return placed.withColumn("shard", F.pmod(F.col("position"), F.lit(n)).cast("int")).drop("position")
 
 
 def merged(parts: list[DataFrame], wanted: DataFrame, key: str) -> DataFrame:
@@ -262,8 +269,8 @@ def balanced_preferences(df: DataFrame, level: str, kind: str, limit: int, order
     group = F.when(F.col(level) == "decision", F.concat(F.lit("decision:"), F.col(kind))).otherwise(F.col(level))
     quota = F.coalesce(*[F.when(group == (f"{a}:{b}" if b else a), F.lit(n)) for (a, b), n in want.items()], F.lit(0))
     nth = F.row_number().over(Window.partitionBy(group).orderBy(order, tie))
-    placed = df.withColumn("within", nth <= quota)
-    return placed.orderBy(F.col("within").desc(), order, tie).limit(limit)
+    placed = df.withColumn("nth", nth).where(F.col("nth") <= limit).withColumn("within", F.col("nth") <= quota)
+    return placed.orderBy(F.col("within").desc(), order, tie).limit(limit).drop("nth")
 
 
 def capped_pairs(pairs: DataFrame, left: str, right: str, most: int) -> tuple[DataFrame, bool]:
