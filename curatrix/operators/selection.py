@@ -137,6 +137,8 @@ def capped_selection(df: DataFrame, bucket: str, targets: dict[str, int], margin
     parent's rows are the first of its own that its remaining cap allows. Raises
     ValueError where a target can't be met.
     """
+    from ..sources.sinks import checkpointed
+
     have = {r[bucket]: r["count"] for r in df.groupBy(bucket).count().collect()}  # a row for each bucket
     order = sorted((b for b, n in targets.items() if n), key=lambda b: (have.get(b, 0) / targets[b], b))
     used = df.sparkSession.createDataFrame([], f"`{parent}` {df.schema[parent].dataType.simpleString()}, used long")
@@ -145,7 +147,7 @@ def capped_selection(df: DataFrame, bucket: str, targets: dict[str, int], margin
         own = df.where(F.col(bucket) == b).join(used, parent, "left")
         nth = F.row_number().over(Window.partitionBy(parent).orderBy(margin, tie))
         fit = own.withColumn("__nth", nth).where((F.col("__nth") <= cap) & (F.col("__nth") <= F.lit(cap) - F.coalesce("used", F.lit(0))))
-        taken = fit.orderBy(margin, tie).limit(targets[b]).select(*df.columns)
+        taken = checkpointed(fit.orderBy(margin, tie).limit(targets[b]).select(*df.columns))
         if taken.count() < targets[b]:
             raise ValueError(f"bucket {b} has too few rows within the cap")
         out = taken if out is None else out.unionByName(taken)
