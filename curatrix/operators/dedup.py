@@ -81,7 +81,8 @@ def fingerprint_links(prints: DataFrame, distance: int) -> DataFrame:
     masks = [sum(1 << b for k in chosen for b in range(edges[k], edges[k + 1])) for chosen in combinations(range(BLOCKS), AGREEING)]
     masks = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)])
-    keyed = prints.select("fp", F.explode(keys).alias("x")).select("fp", "x.c", "x.k")
+    # Both sides of the join read the table that is written here; fingerprints are made once.
+    keyed = checkpointed(prints.select("fp")).select("fp", F.explode(keys).alias("x")).select("fp", "x.c", "x.k")
     l, r = keyed.withColumnRenamed("fp", "a"), keyed.withColumnRenamed("fp", "b")
     pairs = l.join(r, ["c", "k"]).where("a < b")
     differ = F.col("a").bitwiseXOR(F.col("b"))
