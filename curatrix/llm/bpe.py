@@ -55,9 +55,9 @@ class Merges:
         self.longest = max(map(len, tokens))
         self.byte_ids = [self.of_bytes[bytes([b])] for b in range(256)]
         self.parts = {c: (a, b, r) for r, (a, b, c) in reversed(list(enumerate(pairs)))}
-        self.head, self.tail = {}, {}
-        for t in range(len(tokens)):
-            self.head[t], self.tail[t] = self._edge(t, 0), self._edge(t, 1)
+        same = {r: r for r in range(len(pairs))} | {NEVER: NEVER}  # one object for each number
+        self.head = [self._edge(t, 0, same) for t in range(len(tokens))]
+        self.tail = [self._edge(t, 1, same) for t in range(len(tokens))]
         self.known: dict[tuple[int, int], bool] = {}
         self.reached = {b: t for b, t in self.of_bytes.items() if t in self.parts and self._whole(t) or len(b) == 1}
 
@@ -77,13 +77,13 @@ class Merges:
             pairs.append((model["vocab"][a], model["vocab"][b], model["vocab"][a + b]))
         return cls(tokens, pairs, special)
 
-    def _edge(self, t: int, side: int) -> list[tuple[int, int]]:
-        """(symbol, rank at which it is merged on) along one side of a token, from its byte up."""
-        up, rank = [(t, NEVER)], NEVER
+    def _edge(self, t: int, side: int, same: dict[int, int]) -> tuple[int, ...]:
+        """Symbol and rank at which it is merged on, in turn, along one side of a token, from its byte up."""
+        up = [NEVER, t]
         while t in self.parts:
             rank, t = self.parts[t][2], self.parts[t][side]
-            up.append((t, rank))
-        return up[::-1]
+            up += (same[rank], t)
+        return tuple(up[::-1])
 
     def _whole(self, t: int) -> bool:
         """Do the merges turn the token's own bytes into it?"""
@@ -98,16 +98,16 @@ class Merges:
         """Do no merges of a rank under ``until`` cross the border of the two tokens?"""
         a, b, i, j, rank = self.tail[left], self.head[right], 0, 0, self.rank
         while True:
-            (x, rx), (y, ry) = a[i], b[j]
-            r = rank.get((x, y), NEVER)
+            rx, ry = a[i + 1], b[j + 1]
+            r = rank.get((a[i], b[j]), NEVER)
             if r < rx and r <= ry and r < until:
                 return False
             if rx <= ry:
                 if rx == NEVER:
                     return True
-                i += 1
+                i += 2
             else:
-                j += 1
+                j += 2
 
     def sufficient_lookahead(self) -> int:
         """A number of bytes after which an earlier token can't change any more.

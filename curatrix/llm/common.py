@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: Python works on slices of an Arrow batch of about this many text bytes, so that
 #: temporary arrays stay small whatever the batch size is.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Most bytes of an Arrow batch between the JVM and Python; rows of long texts make large ones.
 BATCH_BYTES = 8 << 20
 
@@ -59,6 +59,7 @@ def map_texts(
     text: Column,
     fields: str,
     factory: Callable[[], Callable[[pa.Array], list[pa.Array]]],
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """Row-wise operator: ``keep`` columns pass through, ``fields`` (a DDL list) are computed.
 
@@ -73,7 +74,7 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = factory()
         for batch in batches:
-            for part in slices(batch, last):
+            for part in slices(batch, last, slice_bytes):
                 made = work(part.column(last))
                 yield pa.RecordBatch.from_arrays([*part.columns[:last], *made], names=[*names])
 

@@ -21,6 +21,8 @@ from . import common
 
 BLOCK = 192
 RATE = 8000
+#: Bytes whose frames are coded in step: a step costs the same for few frames as for many.
+STEP_BYTES = 2 << 20
 #: A seek point for every so many frames.
 SEEK_EVERY = 64
 #: The format's fixed predictors of order 0 to 4.
@@ -466,7 +468,7 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
     text = common.text_or_empty(df, text_col)
     keep = {id_col: common.column(df, id_col), "n_bytes": F.octet_length(text).cast("long")}
-    return common.map_texts(df, keep, text, "media binary", factory)
+    return common.map_texts(df, keep, text, "media binary", factory, STEP_BYTES)
 
 
 def read_back(df: DataFrame, media_col: str = "media") -> DataFrame:
@@ -490,7 +492,7 @@ def read_back(df: DataFrame, media_col: str = "media") -> DataFrame:
         return work
 
     keep = {c: common.column(df, c) for c in df.columns}
-    return common.map_texts(df, keep, common.column(df, media_col), "pcm binary, block_samples int, block_offsets array<long>, feature string", factory)
+    return common.map_texts(df, keep, common.column(df, media_col), "pcm binary, block_samples int, block_offsets array<long>, feature string", factory, STEP_BYTES)
 
 
 def feature(pcm: bytes) -> str:
