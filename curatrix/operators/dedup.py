@@ -55,22 +55,50 @@ def simhash(texts: pd.Series) -> pd.Series:
     return texts.map(one).astype("Int64")
 
 
-def banded_pairs(df: DataFrame, id_col: str, print_col: str, distance: int = 3) -> DataFrame:
+def banded_pairs(df: DataFrame, id_col: str, print_col: str, distance: int = 3, hash_col: str | None = None) -> DataFrame:
     """left_id, right_id, bits: rows whose fingerprints differ in up to ``distance`` (0 to 3) bits.
 
     Distinct fingerprints are compared, each bucket of three equal blocks by a join on it; rows
-    of one fingerprint are then listed with their partners of other content. For classes
-    of copies use ``near_keep``, which doesn't list pairs.
+    of one fingerprint are then listed with their partners of other fingerprints. With
+    ``hash_col``, the hash of the content, rows of one fingerprint whose contents differ are
+    pairs of 0 bits too. For classes of copies use ``near_links`` or ``near_keep``, which
+    don't list all pairs.
     """
     if not 0 <= distance <= 3:
         raise ValueError("the blocks find all pairs at 0 to 3 bits")
-    links = fingerprint_links(df.select(F.col(print_col).alias("fp")).distinct(), distance)
-    left = df.select(F.col(id_col).alias("left_id"), F.col(print_col).alias("a"))
-    right = df.select(F.col(id_col).alias("right_id"), F.col(print_col).alias("b"))
-    both = left.join(links, "a").join(right, "b")
+    links = fingerprint_links(df.select(F.col(print_col).alias("fp")).where("fp is not null").distinct(), distance)
+    content = F.col(hash_col) if hash_col else F.lit(None)
+    left = df.select(F.col(id_col).alias("left_id"), F.col(print_col).alias("a"), content.alias("left_hash"))
+    right = df.select(F.col(id_col).alias("right_id"), F.col(print_col).alias("b"), content.alias("right_hash"))
+    both = left.join(links, "a").join(right, "b").select("left_id", "right_id", "bits")
+    if hash_col:
+        same = left.join(right, F.col("a") == F.col("b")).where("left_hash < right_hash")
+        both = both.union(same.select("left_id", "right_id", F.lit(0).alias("bits")))
     return both.select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"), "bits")
 
 
+def near_links(df: DataFrame, id_col: str, hash_col: str, print_col: str, distance: int = 3) -> DataFrame:
+    """id, near_id, bits, kind: all near pairs of rows, held by links of representatives.
+
+    The row of the smallest id stands for its content, and that of the smallest id for its
+    fingerprint. ``copy`` leads from a row to the one of its content; ``fingerprint`` from
+    that to the one of its fingerprint, whose content is another (0 bits); ``near`` from one
+    fingerprint's to another's. Two rows of different content are a pair if they lead to one
+    fingerprint or to two that are linked. Ids are unique; rows without a content are in no pair.
+    """
+    if not 0 <= distance <= 3:
+        raise ValueError("the blocks find all pairs at 0 to 3 bits")
+    # Written before the filter, which would make the fingerprints once more.
+    rows = checkpointed(df.select(F.col(id_col).alias("id"), F.col(hash_col).alias("hash"), F.col(print_col).alias("fp"))).where("hash is not null and fp is not null")
+    contents = checkpointed(rows.groupBy("fp", "hash").agg(F.min("id").alias("first")))
+    heads = checkpointed(contents.groupBy("fp").agg(F.min("first").alias("head")))
+    copies = rows.join(contents, ["fp", "hash"]).where("id <> first").select("id", F.col("first").alias("near_id"), F.lit(0).alias("bits"), F.lit("copy").alias("kind"))
+    same = contents.join(heads, "fp").where("first <> head").select(F.col("first").alias("id"), F.col("head").alias("near_id"), F.lit(0).alias("bits"), F.lit("fingerprint").alias("kind"))
+    a, b = heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), heads.select(F.col("fp").alias("b"), F.col("head").alias("y"))
+    near = fingerprint_links(heads.select("fp"), distance).join(a, "a").join(b, "b").select(F.greatest("x", "y").alias("id"), F.least("x", "y").alias("near_id"), "bits", F.lit("near").alias("kind"))
+    return copies.union(same).union(near)
+
+
 def fingerprint_links(prints: DataFrame, distance: int) -> DataFrame:
     """a < b, bits: different fingerprints (column fp, distinct) at up to ``distance`` bits.
 

@@ -306,8 +306,9 @@ def tiered_sequence(spark, sf_dir):
 
 @query()
 def simhash_near_pairs(spark, sf_dir):
-    prints = _documents(spark, sf_dir).select("doc_id", dedup.simhash(text.normalized("text")).alias("fp"))
-    return dedup.fingerprint_links(prints.select("fp").distinct(), 3).select(F.hex("a").alias("a"), F.hex("b").alias("b"), "bits")
+    norm = text.normalized("text")
+    prints = _documents(spark, sf_dir).select("doc_id", text.content_hash(norm).alias("hash"), dedup.simhash(norm).alias("fp"))
+    return dedup.near_links(prints, "doc_id", "hash", "fp").withColumnRenamed("id", "doc_id")
 
 
 @query()

@@ -104,6 +104,33 @@ def test_near_pair_of_one_bit(spark):
     assert [tuple(r) for r in dedup.banded_pairs(df, "id", "fp").collect()] == [(0, 1, 1)]
 
 
+def test_near_links_hold_every_pair_of_different_contents(spark):
+    rows = [(0, "h0", 5), (1, "h1", 5), (2, "h1", 5), (3, "h2", 7), (4, "h3", 7), (5, "h4", 1 << 40), (6, "h5", 5), (7, "h4", 1 << 40), (8, None, None)]
+    df = spark.createDataFrame(rows, "id long, h string, fp long")
+    want = {(i, j, (p ^ q).bit_count()) for i, h, p in rows[:-1] for j, k, q in rows[:-1] if i < j and h != k and (p ^ q).bit_count() <= 3}
+    assert (0, 1, 0) in want and {tuple(r) for r in dedup.banded_pairs(df, "id", "fp", hash_col="h").collect()} == want
+    found = dedup.near_links(df, "id", "h", "fp").collect()
+    lead = {k: {r.id: r.near_id for r in found if r.kind == k} for k in ("copy", "fingerprint")}
+    content = {i: lead["copy"].get(i, i) for i in range(8)}
+    head = {i: lead["fingerprint"].get(c, c) for i, c in content.items()}
+    bits = {(r.near_id, r.id): r.bits for r in found if r.kind == "near"}
+    got = set()
+    for i in range(8):
+        for j in range(i + 1, 8):
+            d = 0 if head[i] == head[j] else bits.get((min(head[i], head[j]), max(head[i], head[j])))
+            if content[i] != content[j] and d is not None:
+                got.add((i, j, d))
+    assert got == want and len(found) == 7
+
+
+def test_near_pairs_query_names_documents_of_one_fingerprint(spark, tmp_path):
+    from curatrix.plans import catalogue
+
+    spark.createDataFrame([(1, "ab cdefgh"), (2, "abc defgh"), (3, "something else"), (4, "AB  cdefgh"), (5, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.near_id, r.bits, r.kind) for r in catalogue.QUERIES["simhash_near_pairs"](spark, str(tmp_path)).collect()}
+    assert got == {(2, 1, 0, "fingerprint"), (4, 1, 0, "copy")}
+
+
 def test_audit_names_leakage(spark):
     schema = "id string, g string, split string, turns array<struct<`from`:string,value:string>>"
     ok = [("human", "where is it"), ("gpt", "on its way")]
