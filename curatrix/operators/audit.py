@@ -71,11 +71,11 @@ def required_metadata(fields: tuple[str, ...], strict: bool = True) -> dict[str,
 
 def audit(df: DataFrame, turns: str, id_col: str, group_col: str, split: str, tools: tuple[str, ...], max_distance: int = 3) -> DataFrame:
     """code, severity, key of everything that speaks against a dataset: rules for rows, repeated
-    ids, groups and contents over splits, near copies over splits, personal data.
+    ids, groups and contents over splits, near copies in and over splits, personal data.
 
     ``turns`` is an array of (from, value). The dataset passes if no row is an error.
     """
-    from .dedup import fingerprint_links, simhash
+    from .dedup import simhash
 
     text = normalized(transcript(turns, "from", "value"))
     rows = df.select(F.col(id_col).alias("id"), F.col(group_col).alias("grp"), F.col(split).alias("split"), F.col(turns).alias("turns"), text.alias("norm"))
@@ -89,11 +89,31 @@ def audit(df: DataFrame, turns: str, id_col: str, group_col: str, split: str, to
     out = out.unionByName(duplicate_keys(rows, F.col("id"), "duplicate_sample_id").select("code", "severity", F.col("key").cast("string").alias("key")))
     out = out.unionByName(group_leakage(rows, F.col("grp"), "split").select(F.lit("group_split_leakage").alias("code"), F.lit("error").alias("severity"), F.col("key").cast("string").alias("key")))
     out = out.unionByName(content_leakage(rows, F.col("hash"), "split").select("code", "severity", "key"))
-    prints = rows.where("norm <> ''").select("split", simhash("norm").alias("fp")).distinct()
-    links = fingerprint_links(prints.select("fp").distinct(), max_distance)
-    across = links.join(prints.select(F.col("fp").alias("a"), F.col("split").alias("sa")), "a").join(prints.select(F.col("fp").alias("b"), F.col("split").alias("sb")), "b").where("sa <> sb")
-    near = across.select(F.lit("near_duplicate_split_leakage").alias("code"), F.lit("error").alias("severity"), F.concat_ws("/", F.hex("a"), F.hex("b")).alias("key")).distinct()
-    return out.unionByName(near)
+    return out.unionByName(near_issues(rows.where("norm <> ''").select("hash", simhash("norm").alias("fp"), "split"), max_distance))
+
+
+def near_issues(rows: DataFrame, max_distance: int) -> DataFrame:
+    """code, severity, key (two fingerprints) of near copies: rows (hash, fp, split) of different
+    content whose fingerprints are one or differ in up to ``max_distance`` bits.
+
+    An error if such rows are in different splits, a warning if they are in one; two
+    fingerprints may have both.
+    """
+    from ..sources.sinks import checkpointed
+    from .dedup import fingerprint_links
+
+    held = rows.groupBy("fp", F.coalesce("split", F.lit("")).alias("split")).agg(F.min("hash").alias("lo"), F.max("hash").alias("hi"))
+    prints = held.groupBy("fp").agg(F.collect_set("split").alias("splits"), F.max(F.col("lo") < F.col("hi")).alias("within"), (F.min("lo") < F.max("hi")).alias("differ"))
+    prints = checkpointed(prints)
+    # Several contents in several splits: two rows differ in both, whichever way they are dealt.
+    one = prints.where("differ").select(F.col("fp").alias("a"), F.col("fp").alias("b"), "within", (F.size("splits") > 1).alias("across"))
+    sides = [prints.select(F.col("fp").alias(x), F.col("splits").alias(f"s{x}")) for x in ("a", "b")]
+    two = fingerprint_links(prints.select("fp"), max_distance).join(sides[0], "a").join(sides[1], "b")
+    two = two.select("a", "b", F.arrays_overlap("sa", "sb").alias("within"), (F.size(F.array_union("sa", "sb")) > 1).alias("across"))
+    kinds = (("across", "near_duplicate_split_leakage", "error"), ("within", "near_duplicate", "warning"))
+    found = F.array_compact(F.array(*[F.when(F.col(x), F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"))) for x, code, severity in kinds]))
+    key = F.concat_ws("/", F.hex("a"), F.hex("b")).alias("key")
+    return one.union(two).select(F.explode(found).alias("x"), key).select("x.code", "x.severity", "key")
 
 
 def same_identities(parts: list[DataFrame], key: str) -> bool:

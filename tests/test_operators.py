@@ -143,6 +143,27 @@ def test_audit_names_leakage(spark):
     assert audit.audit(spark.createDataFrame(clean, schema), "turns", "id", "g", "split", ()).count() == 0
 
 
+def test_audit_names_near_copies_in_and_over_splits(spark):
+    rng = random.Random(4)
+    rows = [(f"h{rng.randrange(30)}", s) for s in rng.choices(("train", "validation", "test", None), k=80)]
+    fp = {f"h{i}": (1 << 20 * (i % 3)) | (i % 5 == 0) << 40 | i // 6 << 50 for i in range(30)}
+    want = set()
+    for h, s in rows:
+        for k, t in rows:
+            if h != k and (fp[h] ^ fp[k]).bit_count() <= 3:
+                key = "/".join(f"{x:X}" for x in sorted((fp[h], fp[k])))
+                want.add(("near_duplicate", "warning", key) if s == t else ("near_duplicate_split_leakage", "error", key))
+    got = audit.near_issues(spark.createDataFrame([(h, fp[h], s) for h, s in rows], "hash string, fp long, split string"), 3).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) and {c for c, _, _ in want} == {"near_duplicate", "near_duplicate_split_leakage"}
+    # Blanks are left out of fingerprints: other contents of one fingerprint, in two splits and in one.
+    schema = "id string, g string, split string, turns array<struct<`from`:string,value:string>>"
+    turns = lambda t: [("human", t), ("gpt", "on its way")]
+    for splits, code in ((("train", "validation"), "near_duplicate_split_leakage"), (("train", "train"), "near_duplicate")):
+        df = spark.createDataFrame([("a", "g1", splits[0], turns("where is it")), ("b", "g2", splits[1], turns("whe reis it"))], schema)
+        issues = audit.audit(df, "turns", "id", "g", "split", ())
+        assert [r.code for r in issues.collect()] == [code] and audit.passes(issues) == (code == "near_duplicate")
+
+
 ORDER = {"order_id": "EC-1", "payment_status": "paid", "fulfillment_status": "delivered", "days_since_delivery": 2, "identity_verified": True, "item_summary": "x"}
 
 
