@@ -36,10 +36,12 @@ ROLE = re.compile(
     r"|related|recommend\w*|newsletter|subscribe|signup|popup|modal|overlay|footer|masthead|site-header|widget|toolbar|pagination|search|login)(?:$|[\s_-])",
     re.I,
 )
-#: Fixed value: HTML's tag syntax. Tags of more than 512 parts or values of more than 4096
-#: characters are text, so that reading takes time in proportion to the page.
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"]{0,4096}\"|'[^']{0,4096}'){0,512}+)>", re.S)
-MARKS = re.compile(r"(?:^|\s)(id|class|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: Fixed value: HTML's tag syntax. A quote permutes the states (outside, in double, in single quotes)
+#: of tags tried from different places, and < outside ends a try; so three overlap at most and reading
+#: takes time in proportion to the page, however long a tag or value is.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+#: Other attributes' quoted values are passed over; what they hold marks nothing.
+MARKS = re.compile(r"(?:^|\s)(id|class|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?|\"[^\"]*+\"|'[^']*+'", re.I)
 
 #: Token of the page itself.
 ROOT = 0
@@ -130,6 +132,8 @@ class Page:
         name, marks, hidden, body = tag, [], False, False
         if attributes:
             for m in MARKS.finditer(attributes):
+                if m.group(1) is None:
+                    continue
                 key, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
                 if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
                     hidden = True

@@ -48,3 +48,19 @@ def test_class_out_of_order_is_no_template(spark):
 def test_hostile_pages_take_linear_time():
     for source in ("<div>" * 40_000, "<a " * 40_000, '<a "' * 40_000, "</p>" * 40_000, "<div>" * 20_000 + "</b></span></p>" * 20_000, "<p>x" * 40_000, "<!--" * 40_000, "&amp" * 40_000):
         htmltext.Page(source).text(None, frozenset())
+
+
+def test_long_tags_are_tags():
+    long_ = "A1 hidden class=ad <b> " * 400_000
+    for quote in "\"'":
+        value = quote + long_ + quote
+        p = htmltext.Page(f'<body><nav><div data-props={value}>menu</div>still menu</nav><main><p>One</p><img src={value}><script data-x={value}>var body;</script><div data-props={value}><p>Two</p></div></main><p>Out</p>')
+        assert p.text(None, frozenset()) == "One\nTwo"
+    many = " ".join(f'a{i}="{i}"' for i in range(50_000))
+    assert htmltext.Page(f"<p {many}>Text</p>").text(None, frozenset()) == "Text"
+
+
+def test_hostile_quotes_take_linear_time():
+    n = 200_000
+    for source in ("<a \"'" * n, '<a b="' + "<a b='" * n, "<a b=\"'\" " * n + '"', "<a " * n + "'", '<div x="' + " id='" * n + '">'):
+        htmltext.Page(source).text(None, frozenset())
