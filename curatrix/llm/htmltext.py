@@ -3,9 +3,11 @@
 A token is an element's path (tags with ids and classes) or a text block at its path.
 Tokens that occur equally often in each page of a host form an equivalence class; it
 is valid if its tokens stand in one order everywhere. Valid classes nest by their
-paths into the host's template. Text of the template is boilerplate unless it stands
-in the main slot, which is the article element or the deepest slot of the template
-that holds most of the host's text.
+paths into the host's template. Text of the template is boilerplate if
+pages of several contents have it and its element's path holds no other text anywhere
+at the host; other text fills a slot, even if copies of a page share it. The main slot is
+the article element or the deepest slot of the template that holds most of the host's
+text.
 """
 
 from __future__ import annotations
@@ -154,18 +156,23 @@ class Page:
         self.main.append(main)
         return len(self.key) - 1
 
-    def tokens(self) -> Iterator[tuple[int, int, bool, int]]:
-        """(token, depth, in a main element, characters kept below it) for each element in page order, then
-        for each text block, with a depth of -1."""
-        chars = [0] * len(self.key)
+    def content(self) -> int:
+        """Hash of the blocks that aren't dropped."""
+        return token(ROOT, "\n".join(text for e, text in self.blocks if not self.out[e]))
+
+    def tokens(self) -> Iterator[tuple[int, int, bool, int, int, int]]:
+        """(token, depth, in a main element, characters kept below it, own text blocks, token of the element it
+        stands in) for each element in page order, then for each text block, with a depth of -1."""
+        chars, own = [0] * len(self.key), [0] * len(self.key)
         for e, text in self.blocks:
+            own[e] += 1
             if not self.out[e]:
                 chars[e] += len(text)
         for e in range(len(chars) - 1, 0, -1):
             chars[self.parent[e]] += chars[e]
-        yield from zip(self.key, self.depth, self.main, chars, strict=True)
+        yield from zip(self.key, self.depth, self.main, chars, own, [ROOT] * len(chars), strict=True)
         for e, text in self.blocks:
-            yield token(self.key[e], "\n" + text), -1, False, 0
+            yield token(self.key[e], "\n" + text), -1, False, 0, 1, self.key[e]
 
     def text(self, slot: int | None, boilerplate: frozenset[int]) -> str:
         """Kept blocks of the main slot; of the page's own main elements, or else all of it, without one."""
@@ -210,32 +217,41 @@ def templates(pages: DataFrame) -> DataFrame:
                 rows = []
                 for h, p, source in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     seen: dict[int, list] = {}
-                    for t, depth, main, chars in Page(source).tokens():
+                    read = Page(source)
+                    content = read.content()
+                    for t, depth, main, chars, own, element in read.tokens():
                         if (x := seen.get(t)) is None:
-                            seen[t] = [h, p, t, depth, main, 1, chars]
+                            seen[t] = [h, p, t, depth, main, 1, chars, own, element, content]
                         else:
                             x[5] += 1
                             x[6] += chars
+                            x[7] += own
                     rows += seen.values()
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], names=["host", "page", "token", "depth", "main", "n", "chars"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), *[pa.int64()] * 5), strict=True)], names=["host", "page", "token", "depth", "main", "n", "chars", "own", "element", "content"])
 
-    counted = pages.select("host", "page", "html").mapInArrow(count, "host long, page long, token long, depth int, main boolean, n long, chars long")
+    counted = pages.select("host", "page", "html").mapInArrow(count, "host long, page long, token long, depth int, main boolean, n long, chars long, own long, element long, content long")
     vectors = counted.groupBy("host", "token").agg(
-        F.max("depth").alias("depth"), F.max("main").alias("main"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count("*").alias("pages"), F.sum("chars").alias("chars")
-    )
+        F.max("depth").alias("depth"), F.max("main").alias("main"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count("*").alias("pages"), F.sum("chars").alias("chars"),
+        F.sum("own").alias("own"), F.max("element").alias("element"), (F.min("content") < F.max("content")).alias("differ"),
+    )
     spark = pages.sparkSession
     vectors = common.written(vectors.where(F.col("pages") >= LEAST_PAGES), f"{common.scratch(spark)}/vectors")
     root = F.lit(ROOT)
     hosts = vectors.where(F.col("token") == root).select("host", F.col("pages").alias("all_pages"), F.col("chars").alias("all_chars"))
     often = vectors.join(hosts, "host").where(F.col("pages") >= LEAST_SHARE * F.col("all_pages"))
-    members = often.select("host", "vector", "token", "depth", "main", "chars", "all_chars")
+    members = often.select("host", "vector", "token", "depth", "main", "chars", "all_chars", "own", "element", "differ")
     valid = _valid(pages, members)
     kept = members.join(valid, ["host", "vector"], "left_semi")
+    # Text of several contents' pages, in elements that hold no other.
+    shared = kept.where((F.col("depth") < 0) & F.col("differ")).groupBy("host", "element").agg(F.sum("own").alias("shared"))
+    constant = vectors.where("depth >= 0").select("host", F.col("token").alias("element"), F.col("own").alias("blocks")).join(shared, ["host", "element"]).where("shared = blocks")
+    kept = kept.join(constant.select("host", "element", F.lit(True).alias("constant")), ["host", "element"], "left")
+    text = F.when((F.col("depth") < 0) & F.col("differ") & F.col("constant"), F.col("token"))
     # The deepest path with most of the text; article and main elements come before all others.
     order = F.struct("main", F.when(F.col("main"), -F.col("depth")).otherwise(F.col("depth")).alias("depth"), "token")
     candidate = F.when((F.col("depth") > 0) & (F.col("chars") >= MAIN_SHARE * F.col("all_chars")), order)
-    return kept.groupBy("host").agg(F.max(candidate)["token"].alias("slot"), F.collect_list(F.when(F.col("depth") < 0, F.col("token"))).alias("boilerplate"))
+    return kept.groupBy("host").agg(F.max(candidate)["token"].alias("slot"), F.collect_list(text).alias("boilerplate"))
 
 
 def _valid(pages: DataFrame, members: DataFrame) -> DataFrame:
@@ -250,7 +266,7 @@ def _valid(pages: DataFrame, members: DataFrame) -> DataFrame:
                 for h, source, known in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     of = {x["token"]: x["vector"] for x in known or ()}
                     state: dict[int, xxhash.xxh64] = {}
-                    for t, _, _, _ in Page(source).tokens():
+                    for t, *_ in Page(source).tokens():
                         if (v := of.pop(t, None)) is not None:  # its first place
                             state.setdefault(v, xxhash.xxh64()).update(t.to_bytes(8, "little", signed=True))
                     rows += [(h, v, s.intdigest() - (1 << 63)) for v, s in state.items()]

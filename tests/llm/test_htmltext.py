@@ -64,3 +64,29 @@ def test_hostile_quotes_take_linear_time():
     n = 200_000
     for source in ("<a \"'" * n, '<a b="' + "<a b='" * n, "<a b=\"'\" " * n + '"', "<a " * n + "'", '<div x="' + " id='" * n + '">'):
         htmltext.Page(source).text(None, frozenset())
+
+
+def story(i, *paragraphs, title="Title", menu=""):
+    body = "".join(f"<p>{p}</p>" for p in paragraphs)
+    return f'<html><body><nav>Home {i}</nav>{menu}<h1>{title}</h1>{body}<ul><li>Point of {title}</li></ul></body></html>'
+
+
+def test_copies_without_an_article_element_keep_their_text(spark):
+    copy = ("First of the story", "Second of the story")
+    rows = [(i, "http://two.example/", story(i, *copy)) for i in range(2)]  # all of a host's pages are copies
+    rows += [(10 + i, "http://half.example/", story(i, *copy)) for i in range(5)]  # half of them
+    rows += [(20 + i, "http://half.example/", story(i, f"Own {i}", f"Other {i}", title=f"T{i}")) for i in range(4)]
+    rows += [(30 + i, "http://shared.example/", story(i, "Shared by two", f"Own {i}", title=f"T{i}")) for i in range(2)]  # a paragraph is
+    rows += [(40 + i, "http://other.example/", story(i, *copy)) for i in range(3)]  # the others are made in another way
+    rows += [(50, "http://other.example/", "<html><body><dl><dt>Else</dl></body></html>")]
+    want = "Title\nFirst of the story\nSecond of the story\nPoint of Title"
+    expected = [(i, want) for i in (0, 1, *range(10, 15), 40, 41, 42)]
+    expected += [(20 + i, f"T{i}\nOwn {i}\nOther {i}\nPoint of T{i}") for i in range(4)] + [(50, "Else")]
+    expected += [(30 + i, f"T{i}\nShared by two\nOwn {i}\nPoint of T{i}") for i in range(2)]
+    assert texts(spark, rows) == sorted(expected)
+
+
+def test_template_text_beside_the_story_goes(spark):
+    menu = '<div id="top">Same banner line</div><ol><li>Start</li><li>About us</li></ol>'
+    rows = [(i, "http://h.example/", story(i, f"One {i}", f"Two {i}", title=f"T{i}", menu=menu)) for i in range(4)]
+    assert texts(spark, rows) == [(i, f"T{i}\nOne {i}\nTwo {i}\nPoint of T{i}") for i in range(4)]
