@@ -125,8 +125,8 @@ def greedy_group_split(df: DataFrame, group: str, salt: str, ratios: tuple[tuple
                 yield pd.DataFrame({"size": size, "from_nth": [x[0] for x in part], "to_nth": [x[1] for x in part], "split": [x[2] for x in part]})
 
     spans = runs.select("size", "many").coalesce(1).mapInPandas(walk, "size long, from_nth long, to_nth long, split string")
-    placed = ranked.join(spans, "size").where("nth between from_nth and to_nth").select(group, "split")
-    return df.join(placed, group)
+    placed = ranked.join(spans, "size").where("nth between from_nth and to_nth").select(F.col(group).alias("__group"), "split")
+    return df.join(placed, F.col(group).eqNullSafe(F.col("__group"))).drop("__group")
 
 
 def capped_selection(df: DataFrame, bucket: str, targets: dict[str, int], margin: str, parent: str, cap: int, tie: str) -> DataFrame:
@@ -207,14 +207,14 @@ def variants(df: DataFrame, n: int) -> DataFrame:
 
 
 def first_occurrence(df: DataFrame, key: Column | str, order: str) -> DataFrame:
-    """``duplicate_of``: null for the first row of each key, else that row's ``order`` value.
+    """``duplicate_of``: null for the first row of each key, else that row's ``order`` value. Null is a key.
 
     The first of each key comes from a partial aggregation, so a frequent key costs no sort.
     """
     keyed = df.withColumn("__key", column(key))
-    first = keyed.groupBy("__key").agg(F.min(order).alias("__first"))
-    joined = keyed.join(first, "__key")
-    return joined.withColumn("duplicate_of", F.when(F.col(order) != F.col("__first"), F.col("__first"))).drop("__key", "__first")
+    first = keyed.groupBy(F.col("__key").alias("__of")).agg(F.min(order).alias("__first"))
+    joined = keyed.join(first, F.col("__key").eqNullSafe(F.col("__of")))
+    return joined.withColumn("duplicate_of", F.when(F.col(order) != F.col("__first"), F.col("__first"))).drop("__key", "__of", "__first")
 
 
 def positions(df: DataFrame, *order: str) -> DataFrame:

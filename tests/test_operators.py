@@ -143,6 +143,19 @@ def test_audit_names_leakage(spark):
     assert audit.audit(spark.createDataFrame(clean, schema), "turns", "id", "g", "split", ()).count() == 0
 
 
+def test_null_keys_keep_their_rows(spark, tmp_path):
+    from curatrix.plans import catalogue
+
+    spark.createDataFrame([(1, "a"), (2, None), (3, "a"), (4, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(r) for r in catalogue.QUERIES["exact_dedup_keep_first"](spark, str(tmp_path)).select("doc_id", "duplicate_of").collect()}
+    assert got == {(1, None), (2, None), (3, 1), (4, 2)}
+    rows = catalogue.QUERIES["first_match_rejection"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.reason for r in rows} == {1: "incomplete", 2: "accepted", 3: "incomplete", 4: "exact_duplicate"}
+    groups = spark.createDataFrame([(i, "g" if i % 2 else None) for i in range(10)], "id long, g string")
+    split = selection.greedy_group_split(groups, "g", "salt")
+    assert sorted(r.id for r in split.collect()) == list(range(10)) and split.select("g", "split").distinct().count() == 2
+
+
 def test_audit_names_near_copies_in_and_over_splits(spark):
     rng = random.Random(4)
     rows = [(f"h{rng.randrange(30)}", s) for s in rng.choices(("train", "validation", "test", None), k=80)]
