@@ -93,6 +93,9 @@ _SPELLED = dict(zip("zero oh one two three four five six seven eight nine".split
 _WORD = r"(?:" + "|".join(_SPELLED) + r"|double|triple)"
 _SPELLED_RUN = re.compile(rf"(?<![A-Za-z])(?:plus[\s,-]{{1,2}})?(?:{_WORD}|[0-9])(?:[\s,-]{{1,2}}(?:{_WORD}|[0-9]+)(?![A-Za-z0-9])){{6,}}+", re.I)
 _SPELLED_ONE = re.compile(rf"plus|{_WORD}|[0-9]+", re.I)
+#: Runs of digits and words for them of any length; the detectors tell whether one is something.
+_PIECE = rf"(?:{_WORD}|[0-9]++)(?![A-Za-z0-9])"
+_SPELLED_MIXED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[\s,-]{{1,2}}|(?<!\+)\+\s?)?\(?{_PIECE}(?:[\s,()-]{{1,3}}{_PIECE})++", re.I)
 _HAS_SPELLED = [w for w in _SPELLED if len(w) > 2]
 _AT = r"\s*(?:\[\s*(?:at|@)\s*\]|\(\s*(?:at|@)\s*\)|\{\s*(?:at|@)\s*\}|<\s*(?:at|@)\s*>)\s*"
 _DOT = r"(?:\s*(?:\[\s*(?:dot|\.)\s*\]|\(\s*(?:dot|\.)\s*\)|\{\s*(?:dot|\.)\s*\}|<\s*(?:dot|\.)\s*>)\s*|\s+dot\s+)"
@@ -105,6 +108,11 @@ _SIGN = re.compile(rf"(?<![A-Za-z0-9._%+-])({_NAME}(?:(?:{_DOT}|\.){_NAME}){{0,8
 _DOT_AT = re.compile(_DOT, re.I)
 _DOTTED = re.compile(rf"(?<![0-9A-Za-z.])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9A-Za-z])", re.I)
 
+_GROUP = rf"{_PIECE}(?:[\s,-]{{1,2}}{_PIECE}){{0,2}}+"
+_SPELLED_DOTTED = re.compile(rf"(?<![A-Za-z0-9.]){_GROUP}(?:(?:{_DOT}|\.){_GROUP}){{3}}", re.I)
+_SPELLED_DOTTED_ONE = re.compile(rf"dot|\.|{_WORD}|[0-9]+", re.I)
+_ALIKE_LETTERS = {ord(c): a for c, a in _ALIKE.items() if a.isalpha()}
+
 
 class Tape:
     """A text and, for each of its characters, the source range it stands for."""
@@ -143,12 +151,64 @@ def _look_alikes(tape: Tape) -> None:
         if not word.isascii() and ("@" in word or "＠" in word or "﹫" in word) and re.search(r"[A-Za-z.]", word):
             changes += [(m.start() + x.start(), m.start() + x.end(), _ALIKE[x.group()]) for x in _ALIKE_AT.finditer(word) if _ALIKE[x.group()].isalpha()]
     tape.rewrite(sorted(changes))
+    # Letters of what is an address once all letters are ASCII.
+    plain = tape.text.translate(_ALIKE_LETTERS)
+    if plain == tape.text:
+        return
+    changes, done = [], 0
+    for a, b in sorted(m.span() for pattern in _disguised(plain.lower()) for m in pattern.finditer(plain)):
+        if a and plain[a - 1].isalnum():  # the tail of a foreign word
+            continue
+        changes += [(x, x + 1, plain[x]) for x in range(max(a, done), b) if plain[x] != tape.text[x]]
+        done = max(done, b)
+    tape.rewrite(changes)
+
+
+def _disguised(low: str) -> list[re.Pattern]:
+    """Patterns of addresses that a text in lower case may match."""
+    dots = "dot" in low or "[.]" in low or "(.)" in low or "{.}" in low or "<.>" in low
+    patterns = []
+    if re.search(r"[\[({<]\s*(?:at|@)\s*[\])}>]", low):
+        patterns.append(_BRACKETED)
+    if dots and re.search(r"\sat\s", low):
+        patterns.append(_PLAIN)
+    if dots and "@" in low:
+        patterns.append(_SIGN)
+    return patterns
+
+
+def _joined(run: str, one: re.Pattern) -> str:
+    """A run of digits and words for them as digits, signs and dots only."""
+    out, times = [], 1
+    for x in one.finditer(run):
+        word = x.group().lower()
+        if word in ("double", "triple"):
+            times = 2 if word == "double" else 3
+            continue
+        out.append({"plus": "+", "dot": "."}.get(word) or _SPELLED.get(word, word) * times)
+        times = 1
+    return "".join(out)
+
+
+def _spelled_spans(tape: Tape) -> None:
+    """Rewrite the spelled runs that are wholly personal data once they are digits."""
+    for pattern, one in ((_SPELLED_DOTTED, _SPELLED_DOTTED_ONE), (_SPELLED_MIXED, _SPELLED_ONE)):
+        changes = []
+        for m in pattern.finditer(tape.text):
+            run = m.group()
+            if not any(w in run.lower() for w in _SPELLED):
+                continue
+            new = ("+" if run[0] == "+" else "") + _joined(run, one)
+            if any(a == 0 and b == len(new) for a, _, b in find(new)):
+                changes.append((m.start(), m.end(), new))
+        tape.rewrite(changes)
 
 
 def _spelled_digits(tape: Tape) -> None:
     low = tape.text.lower()
     if not any(w in low for w in _HAS_SPELLED):
         return
+    _spelled_spans(tape)
     changes = []
     for m in _SPELLED_RUN.finditer(tape.text):
         times = 1
@@ -174,14 +234,7 @@ def _signs_in_words(tape: Tape) -> None:
         for m in _DOTTED.finditer(tape.text):
             changes += [(m.start() + x.start(), m.start() + x.end(), ".") for x in _DOT_AT.finditer(m.group())]
         tape.rewrite(changes)
-    patterns = []
-    if re.search(r"[\[({<]\s*(?:at|@)\s*[\])}>]", low):
-        patterns.append(_BRACKETED)
-    if dots and re.search(r"\sat\s", low):
-        patterns.append(_PLAIN)
-    if dots and "@" in low:
-        patterns.append(_SIGN)
-    for pattern in patterns:
+    for pattern in _disguised(low):
         changes = []
         for m in pattern.finditer(tape.text):
             changes.append((m.start(2), m.end(2), "@"))

@@ -60,3 +60,30 @@ def test_rows_and_masking(spark, awkward, empty):
     got = {r.doc_id: (r.text, r.n_chars) for r in pii.mask(df).collect()}
     assert got == {1: ("to <EMAIL> or <IP>", 18), 2: (None, None), None: ("none", 4)}
     assert pii.mask(df).schema.simpleString() == df.schema.simpleString()
+
+
+@pytest.mark.parametrize(
+    ("before", "part", "after", "kind"),
+    [
+        ("mail ", "j\u043ehn [at] ex\u0430mple [dot] com", " now", "email"),
+        ("write ", "j\u043ehn \u0430t example d\u043et com", " ok", "email"),
+        ("ip ", "one nine two dot one six eight dot zero dot one", " end", "ip"),
+        ("ip ", "192 dot one six eight [dot] zero dot one", ".", "ip"),
+        ("ring ", "plus one five five five 123 4567", " now", "phone"),
+        ("ring ", "+1 (five double five) 123-4567", " now", "phone"),
+    ],
+)
+def test_combined_disguises(before, part, after, kind):
+    text = before + part + after
+    assert [(pii.KINDS[k], text[a:b]) for a, k, b in pii.find_all(text)[1]] == [(kind, part)]
+    assert pii.masked(text) == f"{before}<{kind.upper()}>{after}"
+
+
+@pytest.mark.parametrize("text", ["one dot two dot three", "plus one two three 45", "nine nine nine dot one dot one dot one", "\u0434\u043e\u043c\u0430 at home"])
+def test_short_runs_that_are_nothing_stay(text):
+    assert pii.find_all(text)[1] == [] and pii.masked(text) == text
+
+
+def test_long_spelled_runs_take_linear_time():
+    for t in ("one " * 80_000, "one dot " * 40_000, "one 1" * 60_000, "plus " * 60_000 + "one", "one" + "1" * 300_000, "+" * 300_000 + "one", "\u043e [at] " * 40_000):
+        pii.find_all(t)
