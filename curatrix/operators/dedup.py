@@ -52,7 +52,8 @@ def simhash(texts: pd.Series) -> pd.Series:
         value = int(np.packbits(counts * 2 >= len(raw), bitorder="little").view("<u8")[0])
         return value - (1 << 64) if value >> 63 else value
 
-    return texts.map(one).astype("Int64")
+    # A series of integers and nulls would pass through doubles, which lose the low bits.
+    return pd.Series([one(t) for t in texts], dtype="Int64")
 
 
 def banded_pairs(df: DataFrame, id_col: str, print_col: str, distance: int = 3, hash_col: str | None = None) -> DataFrame:

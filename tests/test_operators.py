@@ -99,6 +99,13 @@ def test_simhash_and_greedy_near_dedup(spark):
     assert {(r.left_id, r.right_id) for r in dedup.banded_pairs(df, "id", "fp").collect()} == pairs
 
 
+def test_null_beside_texts_leaves_their_fingerprints(spark):
+    texts = ["some words to hash", None, "other words"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").coalesce(1)
+    got = {r.id: r.fp for r in df.select("id", dedup.simhash("t").alias("fp")).collect()}
+    assert got[1] is None and all(got[i] % (1 << 64) == simhash_brute(texts[i]) for i in (0, 2))
+
+
 def test_near_pair_of_one_bit(spark):
     df = spark.createDataFrame([(0, 0), (1, 1)], "id long, fp long")
     assert [tuple(r) for r in dedup.banded_pairs(df, "id", "fp").collect()] == [(0, 1, 1)]
