@@ -1,10 +1,12 @@
 """Byte-pair vocabularies: a streaming encoder, a decoder and a token counter.
 
 The encoder is a transducer over bytes. After each byte it knows the last token
-that the merge list gives to what was read of a pre-token; a token is emitted as
-soon as every way to go on agrees on it. It relies on the fact that a sequence of
-tokens is the result of the merges exactly if each two neighbours are what the
-merges give for their joined bytes, so one table look-up decides an extension.
+that the merge list gives to what was read of a pre-token: an automaton over the
+vocabulary names the tokens that end there, and one look-up of a pair decides which
+of them it is, as a sequence of tokens is the result of the merges exactly if each two
+neighbours are what the merges give for their joined bytes. The merge list's sufficient
+lookahead is worked out once; a token that ends that many bytes before what was
+read is stable and emitted, so what is held doesn't grow with the pre-token.
 
 The counter runs the merges themselves with a heap and a linked list.
 """
@@ -45,7 +47,10 @@ def _byte_names() -> dict[str, int]:
 
 
 class Merges:
-    """A merge list: ranks of pairs, bytes of tokens, special tokens."""
+    """A merge list: ranks of pairs, bytes of tokens, special tokens.
+
+    A pair must come after the pairs that make its two sides, as in every trained list.
+    """
 
     def __init__(self, tokens: list[bytes], pairs: list[tuple[int, int, int]], special: dict[str, int]):
         self.tokens, self.special = tokens, special
@@ -55,16 +60,23 @@ class Merges:
         self.longest = max(map(len, tokens))
         self.byte_ids = [self.of_bytes[bytes([b])] for b in range(256)]
         self.parts = {c: (a, b, r) for r, (a, b, c) in reversed(list(enumerate(pairs)))}
+        if any(self.parts[x][2] > r for r, (a, b, _) in enumerate(pairs) for x in (a, b) if x in self.parts):
+            raise ValueError("a pair comes before a pair that makes one of its sides")
         same = {r: r for r in range(len(pairs))} | {NEVER: NEVER}  # one object for each number
         self.head = [self._edge(t, 0, same) for t in range(len(tokens))]
         self.tail = [self._edge(t, 1, same) for t in range(len(tokens))]
-        self.known: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}
         self.reached = {b: t for b, t in self.of_bytes.items() if t in self.parts and self._whole(t) or len(b) == 1}
+        self.lookahead = self.sufficient_lookahead(pairs)
 
     @classmethod
     def load(cls, path: str) -> Merges:
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        with open(path, "rb") as f:
+            return cls.parsed(f.read())
+
+    @classmethod
+    def parsed(cls, source: bytes) -> Merges:
+        spec = json.loads(source)
         names, model = _byte_names(), spec["model"]
         special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         tokens = [b""] * (1 + max([*model["vocab"].values(), *special.values()]))
@@ -109,14 +121,54 @@ class Merges:
             else:
                 j += 2
 
-    def sufficient_lookahead(self) -> int:
-        """A number of bytes after which an earlier token can't change any more.
+    def sufficient_lookahead(self, pairs: list[tuple[int, int, int]]) -> int:
+        """How many bytes before the end of what was read the bytes to come can change a token at most.
 
-        Each merge that the bytes to come can undo has a higher rank than the one
-        that undoes it, and reaches at most one token further back: the bound is
-        the number of merges times the longest token. Streams settle far earlier.
+        Merges happen in the order of the list. Bytes to come first matter where a merge (u, v)
+        crosses the end of what was read: u lies before it. From then on the results with
+        and without them differ from the start of u on, and a later merge carries the difference
+        over its own u if its v stands there, which then begins with the bytes of the u before. So
+        the bound is the largest sum of |u| over chains of ever later merges of this kind; it
+        is found in one pass over the list.
         """
-        return max(1, len(self.merged)) * self.longest
+        furthest: dict[bytes, int] = {}
+        for a, b, _ in pairs:
+            u, v = self.tokens[a], self.tokens[b]
+            reach = len(u) + max((furthest.get(v[:k], 0) for k in range(1, len(v) + 1)), default=0)
+            furthest[u] = max(furthest.get(u, 0), reach)
+        return max(furthest.values(), default=0)
+
+    def automaton(self) -> tuple[dict[int, int], list[int], list[int], list[int], list[int]]:
+        """Suffix automaton of the tokens that merges make: steps by (state, byte), the state to fall
+        back to, the longest token that ends in a state; by token, the longest shorter one that it ends
+        with, and its length."""
+        step, fail, ends, depth = {}, [0], [-1], [0]
+        for raw, t in self.reached.items():
+            node = 0
+            for b in raw:
+                to = step.get(node << 8 | b)
+                if to is None:
+                    to = step[node << 8 | b] = len(fail)
+                    fail.append(0)
+                    ends.append(-1)
+                    depth.append(depth[node] + 1)
+                node = to
+            ends[node] = t
+        shorter, size = [-1] * len(self.tokens), [len(b) for b in self.tokens]
+        # Shallow states first: what a state falls back to is shallower and done.
+        for key in sorted(step, key=lambda k: depth[step[k]]):
+            node, b, to = key >> 8, key & 255, step[key]
+            if node:
+                back = fail[node]
+                while back and back << 8 | b not in step:
+                    back = fail[back]
+                fail[to] = step.get(back << 8 | b, 0)
+            below = ends[fail[to]]
+            if ends[to] < 0:
+                ends[to] = below
+            else:
+                shorter[ends[to]] = below
+        return step, fail, ends, shorter, size
 
 
 def pack(ids: list[int]) -> bytes:
@@ -126,69 +178,74 @@ def pack(ids: list[int]) -> bytes:
 class Transducer:
     """Bytes of one pre-token in, tokens out once they are stable.
 
-    It keeps the state after each of the last ``longest`` bytes and the links that
-    lead back from them to their common past; what lies before that is emitted.
+    It keeps the last token after each byte since the last emitted one. Of the tokens that
+    lead to the newest byte those that end the lookahead or more before it are emitted,
+    so twice the lookahead and a token are held at most.
     """
 
     def __init__(self, merges: Merges):
-        self.m = merges
+        self.m, self.parts = merges, merges.automaton()
+        self.ahead = max(merges.lookahead, merges.longest)
         self.held = 0  # most states kept so far
         self.reset()
 
     def reset(self) -> None:
-        self.tail = b""  # bytes since the last stable border
-        self.last = [-1]  # last token after each of them; -1: a stable border
-        self.before = -1  # the token before that border
+        self.last = [-1]  # the token before the last emitted border (-1: none), then the last token after each byte
+        self.node = 0
 
     def feed(self, data: bytes) -> Iterator[int]:
-        m, longest = self.m, self.m.longest
-        for k in range(0, len(data), longest):
-            self.tail += data[k : k + longest]
-            self._advance()
+        for k in range(0, len(data), self.ahead):
+            self._advance(data[k : k + self.ahead])
             self.held = max(self.held, len(self.last))
-            if len(self.last) > longest:  # else the first state is still one to go back to
+            if len(self.last) > self.ahead + 1:
                 yield from self._stable()
-            if len(m.known) > 2_000_000:
-                m.known.clear()
-
-    def _advance(self) -> None:
-        """The last token after each new byte: the one suffix that fits the token before it."""
-        tail, last, reached, known, fits, longest = self.tail, self.last, self.m.reached, self.m.known, self.m.fits, self.m.longest
-        for end in range(len(last), len(tail) + 1):
-            for start in range(end - longest if end > longest else 0, end):
-                piece = tail[start:end]
-                if piece in reached:
-                    t = reached[piece]
-                    left = last[start] if start else self.before
+            if len(self.m.known) > 2_000_000:
+                self.m.known.clear()
+
+    def _advance(self, data: bytes) -> None:
+        """The last token after each new byte: the one that ends there and fits the token before it."""
+        step, fail, ends, shorter, size = self.parts
+        last, node, known, fits = self.last, self.node, self.m.known, self.m.fits
+        end = len(last)
+        for b in data:
+            to = step.get(node << 8 | b)
+            while to is None:
+                node = fail[node]
+                to = step.get(node << 8 | b)
+            node = to
+            t = ends[node]
+            while True:
+                start = end - size[t]
+                if start >= 0:  # else it would reach over the border
+                    left = last[start]
                     if left < 0:
                         break
-                    pair = left, t
+                    pair = left << 32 | t
                     ok = known.get(pair)
                     if ok is None:
                         ok = known[pair] = fits(left, t)
                     if ok:
                         break
+                t = shorter[t]
             last.append(t)
+            end += 1
+        self.node = node
 
     def _stable(self) -> Iterator[int]:
-        """Emit what all states of the last ``longest`` bytes have in common."""
-        last, n = self.last, len(self.last) - 1
-        live = set(range(max(0, n - self.m.longest + 1), n + 1))
-        while len(live) > 1:
-            top = max(live)
-            live.discard(top)
-            live.add(top - len(self.m.tokens[last[top]]))
-        border = live.pop()
-        if border:
-            yield from self._path(border)
-            self.before = last[border]
-            self.tail, self.last = self.tail[border:], [-1, *last[border + 1 :]]
+        """Emit the tokens that end the lookahead or more before the newest byte."""
+        last, size, at = self.last, self.parts[4], len(self.last) - 1
+        border = at - self.ahead
+        while at > border:
+            at -= size[last[at]]
+        if at > 0:
+            yield from self._path(at)
+            self.last = last[at:]  # its first is the token before the border
 
     def _path(self, end: int) -> list[int]:
-        out = []
+        out, last, size = [], self.last, self.parts[4]
         while end:
-            out.append(self.last[end])
-            end -= len(self.m.tokens[out[-1]])
+            out.append(last[end])
+            end -= size[out[-1]]
         return out[::-1]
 
     def finish(self) -> list[int]:
@@ -421,12 +478,4 @@ def _source(path: str) -> bytes:
 
 
 def _received(path: str, shared) -> Merges:
-    def make():
-        import tempfile
-
-        with tempfile.NamedTemporaryFile(suffix=".json") as f:
-            f.write(shared.value)
-            f.flush()
-            return Merges.load(f.name)
-
-    return _worker(path, "merges", make)
+    return _worker(path, "merges", lambda: Merges.parsed(shared.value))

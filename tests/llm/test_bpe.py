@@ -38,12 +38,67 @@ def test_encoder_counter_and_decoder_agree_with_the_library(merges, library):
 
 
 def test_transducer_emits_early_and_keeps_little(merges, library):
-    for unit in ("a", "xyzzy", "the", "é"):
+    rng = random.Random(1)
+    tokens = [b.decode() for b in merges.of_bytes if b.isascii() and b.isalpha()]
+    hostile = ["".join(rng.choice(tokens)[::-1] for _ in range(8000)), "".join(rng.choice("aeiounst") for _ in range(30_000))]
+    for word in [u * 9000 for u in ("a", "xyzzy", "the", "é", "aA", "lolol")] + hostile:
         t = bpe.Transducer(merges)
-        raw = (unit * 3000).encode()
-        early = list(t.feed(raw))
-        assert len(early) > 100 and t.held <= 4 * merges.longest < merges.sufficient_lookahead()
-        assert early + t.finish() == library.encode(unit * 3000, add_special_tokens=False).ids
+        early, want = list(t.feed(word.encode())), library.encode(word, add_special_tokens=False).ids
+        assert early + t.finish() == want
+        assert len(early) > 0.9 * len(want) and t.held <= 2 * t.ahead + merges.longest + 1 < 1000
+
+
+def made_list(rng, n):
+    """A merge list over three bytes, every pair after those that make its sides."""
+    tokens, pairs = [bytes([b]) for b in range(256)], []
+    while len(pairs) < n:
+        known = [i for i, t in enumerate(tokens) if set(t) <= set(b"abc") and len(t) < 7]
+        a, b = rng.choice(known), rng.choice(known)
+        if tokens[a] + tokens[b] not in tokens:
+            tokens.append(tokens[a] + tokens[b])
+            pairs.append((a, b, len(tokens) - 1))
+    return tokens, pairs
+
+
+def merged(text, pairs):
+    """The merges one after the other, each from the left."""
+    out = list(text)
+    for a, b, c in pairs:
+        i = 0
+        while i < len(out) - 1:
+            if out[i : i + 2] == [a, b]:
+                out[i : i + 2] = [c]
+            i += 1
+    return out
+
+
+def test_lookahead_is_sufficient_for_any_list():
+    rng, changed = random.Random(8), 0
+    for _ in range(60):
+        tokens, pairs = made_list(rng, rng.randint(1, 25))
+        m = bpe.Merges(tokens, pairs, {})
+        for _ in range(30):
+            text = bytes(rng.choice(b"abc") for _ in range(60))
+            whole = merged(text, pairs)
+            t = bpe.Transducer(m)
+            assert [*t.feed(text), *t.finish()] == whole
+            ends, at = set(), 0
+            for x in whole:
+                ends.add(at := at + len(tokens[x]))
+            for cut in range(1, 60):
+                at = 0
+                for x in merged(text[:cut], pairs):
+                    at += len(tokens[x])
+                    if at not in ends:
+                        changed += 1
+                        assert cut - at < m.lookahead
+    assert changed > 1000
+
+
+def test_pairs_out_of_order_are_refused():
+    tokens = [bytes([b]) for b in range(256)] + [b"ab", b"abc"]
+    with pytest.raises(ValueError):
+        bpe.Merges(tokens, [(256, 99, 257), (97, 98, 256)], {})
 
 
 def test_decoder_holds_back_open_characters_and_replaces_broken_ones(merges):
