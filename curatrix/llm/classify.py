@@ -2,7 +2,8 @@
 
 Both look words up by hash: 2 ** HASH_BITS buckets, of which those that occur in at
 least MIN_DOCS training texts have a row of parameters; all others share a row of
-zeros, so an unknown word says nothing.
+zeros. The network looks up the first bytes of a word in the same way, so a word that
+wasn't met speaks through its stem; to the machine it says nothing.
 """
 
 from __future__ import annotations
@@ -16,18 +17,23 @@ from . import common
 
 HASH_BITS = 20
 MIN_DOCS = 3
-#: Most labelled rows that a model is fitted on; those of the smallest hashed ids.
-SAMPLE_ROWS = 6000
+#: Most labelled rows that a model is fitted on, those of the smallest hashed ids, and most bytes of their texts.
+SAMPLE_ROWS, SAMPLE_BYTES = 6000, 64 << 20
+#: Bytes of a word that make its stem.
+STEM = 5
 
 
-def sample(df: DataFrame, labels: DataFrame, label_col: str, usable: Column, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> pa.Table:
+def sample(
+    df: DataFrame, labels: DataFrame, label_col: str, usable: Column, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES
+) -> pa.Table:
     """Columns text, label of at most ``rows`` labelled rows for which ``usable`` holds.
 
     ``usable`` is a condition on the column ``id`` (the key). Null keys or labels and
     labels other than 0 and 1 are left out; of several labels of one key the largest
     counts. The rows are those of the smallest hashes of their keys, whatever the
-    partitioning. The bound makes it safe to send the keys to all executors and the
-    texts to the driver.
+    partitioning; of these a text that would take the sum over ``size`` bytes is left out,
+    and those after it may still fit. The bounds make it safe to send the keys to all
+    executors and the texts to the driver.
     """
     key, label = common.column(labels, id_col), common.column(labels, label_col)
     chosen = (
@@ -41,7 +47,16 @@ def sample(df: DataFrame, labels: DataFrame, label_col: str, usable: Column, id_
     texts = df.select(common.column(df, id_col).alias("id"), common.text_or_empty(df, text_col).alias("text"))
     joined = texts.join(F.broadcast(chosen), "id")  # at most ``rows`` keys
     once = joined.groupBy("id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
-    return once.orderBy(F.xxhash64("id"), "id").select("text", "label").toArrow()
+    held = common.written(once.select(F.xxhash64("id").alias("rank"), "id", "text", "label"), f"{common.scratch(df.sparkSession)}/sample")
+    sizes = held.select("rank", "id", F.octet_length("text").alias("n")).orderBy("rank", "id").toArrow()  # ``rows`` at most
+    fit, used = [], 0
+    for n in sizes.column("n").to_pylist():
+        fit.append(used + n <= size)
+        used += n * fit[-1]
+    if not all(fit):
+        keys = df.sparkSession.createDataFrame(sizes.filter(pa.array(fit)).select(["id"]))
+        held = held.join(F.broadcast(keys), "id", "left_semi")
+    return held.orderBy("rank", "id").select("text", "label").toArrow()
 
 
 class Words:
@@ -56,31 +71,38 @@ class Words:
         self.n = np.diff(self.first)
         self.texts = len(self.n)
 
+    def stems(self) -> np.ndarray:
+        """Buckets of the words' first STEM bytes."""
+        hashes = common.word_hashes(common.LOWER[self.raw], self.starts, np.minimum(self.ends, self.starts + STEM))
+        return (hashes >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+
 
 class Corpus:
-    """The buckets of all words of many texts, and their structure, made slice by slice."""
+    """The buckets of all words of many texts, their stems' or their structure, made slice by slice."""
 
-    def __init__(self, texts: pa.Array, with_structure: bool = False):
+    def __init__(self, texts: pa.Array, with_structure: bool = False, with_stems: bool = False):
         batch = pa.RecordBatch.from_arrays([texts], names=["t"])
-        bucket, n, stats = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros((0, len(STATISTICS)))]
+        bucket, stem, n, stats = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros((0, len(STATISTICS)))]
         for part in common.slices(batch, 0):
             words = Words(part.column(0))
             bucket.append(words.bucket.astype(np.int32))
             n.append(words.n)
             if with_structure:
                 stats.append(structure(words))
-        self.bucket, self.n, self.stats = np.concatenate(bucket), np.concatenate(n), np.concatenate(stats)
+            if with_stems:
+                stem.append(words.stems().astype(np.int32))
+        self.bucket, self.stem, self.n, self.stats = np.concatenate(bucket), np.concatenate(stem), np.concatenate(n), np.concatenate(stats)
         self.first = np.concatenate([[0], np.cumsum(self.n)])
         self.texts = len(self.n)
 
 
-def frequent(words: Corpus) -> np.ndarray:
+def frequent(words: Corpus, bucket: np.ndarray) -> np.ndarray:
     """Row of each bucket: 1, 2, ... for buckets met in MIN_DOCS texts, 0 for all others."""
     met, step = np.zeros(1 << HASH_BITS, np.int64), 256
     for a in range(0, words.texts, step):
         b = min(words.texts, a + step)
         doc = np.repeat(np.arange(b - a), words.n[a:b])
-        pairs = np.unique(doc << HASH_BITS | words.bucket[words.first[a] : words.first[b]])
+        pairs = np.unique(doc << HASH_BITS | bucket[words.first[a] : words.first[b]])
         met += np.bincount(pairs & ((1 << HASH_BITS) - 1), minlength=1 << HASH_BITS)
     rows = np.zeros(1 << HASH_BITS, np.int32)
     some = np.flatnonzero(met >= MIN_DOCS)
@@ -175,7 +197,7 @@ class FactorisationMachine:
         self = cls()
         words = Corpus(texts, with_structure=True)
         stats = words.stats
-        self.rows = frequent(words)
+        self.rows = frequent(words, words.bucket)
         self.vocabulary = int(self.rows.max()) + 1
         self.edges = np.quantile(stats, np.linspace(0, 1, cls.BINS + 1)[1:-1], axis=0).T if len(stats) else np.zeros((len(STATISTICS), cls.BINS - 1))
         size = self.vocabulary + len(STATISTICS) * cls.BINS
@@ -250,36 +272,38 @@ def _language_table() -> np.ndarray:
 class ConvolutionalClassifier:
     """Hashed embeddings, filters over 1, 2 and 3 words, maximum over the text, one output.
 
-    The output is shifted by a threshold for the guessed language of the text, so that
-    0.5 separates the classes in each of them. A network that is trained has its filters
-    applied to the embeddings once; scoring adds looked-up rows.
+    A word's embedding is the sum of its own and its stem's. All parameters start at random
+    and are trained; in training a part of the words is known by their stems only, as new
+    words are later. The output is shifted by a threshold for the guessed language of the
+    text, so that 0.5 separates the classes in each of them. A network that is trained has
+    its filters applied to the embeddings once; scoring adds looked-up rows.
     """
 
-    WIDTHS, FILTERS, DIMS, EPOCHS, BATCH, PAD = (1, 2, 3), 8, 8, 6, 32, 2
+    WIDTHS, FILTERS, DIMS, EPOCHS, BATCH, PAD = (1, 2, 3), 12, 12, 8, 16, 2
+    UNNAMED = 0.5  # share of words that are known by their stems only, in training
     CALIBRATION = 0.2  # last share of the sample, not trained on
     LEAST = 40  # texts of a language that get a threshold of their own
 
     @classmethod
-    def fit(cls, texts: pa.Array, label: np.ndarray) -> ConvolutionalClassifier:
+    def fit(cls, texts: pa.Array, label: np.ndarray, epochs: int | None = None) -> ConvolutionalClassifier:
         self = cls()
-        words = Corpus(texts)
+        words = Corpus(texts, with_stems=True)
         rng = np.random.Generator(np.random.PCG64(9))
-        self.rows = frequent(words)
+        self.rows, self.stems = frequent(words, words.bucket), frequent(words, words.stem)
         self.languages = _language_table()
-        size = int(self.rows.max()) + 1
+        named = int(self.rows.max()) + 1
+        self.stems[self.stems > 0] += named - 1
         held = int(len(label) * cls.CALIBRATION)
         train = np.arange(len(label) - held)
-        self.e = rng.normal(0, 0.05, (size, cls.DIMS))
-        self.e[:, 0] = self._evidence(words, label, train, size)
+        self.e = rng.normal(0, 0.1, (max(named, int(self.stems.max()) + 1), cls.DIMS))
         self.e[0] = 0
-        self.f = [rng.normal(0, 0.3, (w, cls.DIMS, cls.FILTERS)) for w in cls.WIDTHS]
-        for f in self.f:
-            f[0, 0] = np.linspace(0.5, 1.5, cls.FILTERS)
+        self.f = [rng.normal(0, np.sqrt(2 / (w * cls.DIMS)), (w, cls.DIMS, cls.FILTERS)) for w in cls.WIDTHS]
         self.b = [np.zeros(cls.FILTERS) for _ in cls.WIDTHS]
-        self.o, self.c = rng.normal(0.2, 0.1, len(cls.WIDTHS) * cls.FILTERS), np.zeros(1)
+        n = len(cls.WIDTHS) * cls.FILTERS
+        self.o, self.c = rng.normal(0, np.sqrt(1 / n), n), np.zeros(1)
         self.shift = np.zeros(len(LANGUAGE_WORDS) + 1)
         if len(label):
-            self._train(words, label, train, rng)
+            self._train(words, label, train, rng, cls.EPOCHS if epochs is None else epochs)
         self._settle()
         if held:
             rest = pa.RecordBatch.from_arrays([texts.slice(len(train))], names=["t"])
@@ -288,59 +312,49 @@ class ConvolutionalClassifier:
             self._calibrate(z, language, label[len(train) :])
         return self
 
-    def _evidence(self, words: Corpus, label: np.ndarray, train: np.ndarray, size: int) -> np.ndarray:
-        """Start of the first dimension: the log odds of a word's texts, shrunk to 0."""
-        one, zero, step = np.zeros(size), np.zeros(size), 256
-        for a in range(0, len(train), step):
-            b = min(len(train), a + step)
-            doc = np.repeat(np.arange(a, b), words.n[a:b])
-            pair = np.unique(doc * size + self.rows[words.bucket[words.first[a] : words.first[b]]])
-            y = label[pair // size] == 1
-            one += np.bincount(pair[y] % size, minlength=size)
-            zero += np.bincount(pair[~y] % size, minlength=size)
-        n1, n0 = max(1, int((label[train] == 1).sum())), max(1, int((label[train] == 0).sum()))
-        p = n1 / (n1 + n0)
-        strength = 4.0
-        odds = np.log((one + strength * p) / n1) - np.log((zero + strength * (1 - p)) / n0)
-        return odds / 2
-
-    def _train(self, words: Corpus, label: np.ndarray, train: np.ndarray, rng) -> None:
-        row, opt = self.rows[words.bucket], Adagrad(0.05)
-        self.c[0] = np.log((label[train].sum() + 1) / ((label[train] == 0).sum() + 1)) - 1
-        first, n_filters = words.first, self.FILTERS
-        for _ in range(self.EPOCHS):
+    def _train(self, words: Corpus, label: np.ndarray, train: np.ndarray, rng, epochs: int) -> None:
+        row, stem = self.rows[words.bucket], self.stems[words.stem]
+        dense, sparse = Adagrad(0.05), Adagrad(0.1)
+        self.c[0] = np.log((label[train].sum() + 1) / ((label[train] == 0).sum() + 1))
+        n_filters = self.FILTERS
+        for _ in range(epochs):
             order = rng.permutation(train)
             for k in range(0, len(order), self.BATCH):
                 docs = order[k : k + self.BATCH]
-                index, start, n = _padded(row, first, docs, self.PAD)
+                place, source, start, n, size = _placed(words.first, docs, self.PAD)
+                index = np.zeros((2, size), np.int64)
+                index[0, place] = np.where(rng.random(len(source)) < self.UNNAMED, 0, row[source])
+                index[1, place] = stem[source]
+                emb, m = self.e[index[0]] + self.e[index[1]], size - self.PAD
                 hidden, picks = [], []
-                emb = self.e[index]
                 for f, b, w in zip(self.f, self.b, self.WIDTHS, strict=True):
-                    conv = sum(emb[j : len(index) - self.PAD + j] @ f[j] for j in range(w)) + b
-                    best = np.stack([start[i] + conv[start[i] : start[i] + max(1, m)].argmax(0) for i, m in enumerate(n)])
+                    conv = sum(emb[j : m + j] @ f[j] for j in range(w)) + b
+                    best = np.stack([start[i] + conv[start[i] : start[i] + max(1, x)].argmax(0) for i, x in enumerate(n)])
                     picks.append(best)
                     hidden.append(np.take_along_axis(conv, best, 0))
                 h = np.concatenate(hidden, 1)
                 act = np.maximum(h, 0)
                 error = (sigmoid(act @ self.o + self.c[0]) - label[docs]) / len(docs)
                 go, gh = act.T @ error, (error[:, None] * self.o) * (h > 0)
+                met, pull = [], []
                 for i, (f, b, w) in enumerate(zip(self.f, self.b, self.WIDTHS, strict=True)):
                     g, best = gh[:, i * n_filters : (i + 1) * n_filters], picks[i]
                     gf = np.zeros_like(f)
                     for j in range(w):
-                        at = index[best + j]  # word under each filter's winning place
-                        gf[j] = np.einsum("bfd,bf->df", self.e[at], g)
+                        at = best + j  # word under each filter's winning place
+                        gf[j] = np.einsum("bfd,bf->df", emb[at], g)
                         ge = (g[:, :, None] * f[j].T[None]).reshape(-1, self.DIMS)
-                        flat = at.reshape(-1)
-                        used, inverse = np.unique(flat, return_inverse=True)
-                        total = np.zeros((len(used), self.DIMS))
-                        np.add.at(total, inverse, ge)
-                        known = used > 0
-                        opt.step("e", self.e, total[known], used[known])
-                    opt.step(f"f{i}", f, gf + 1e-5 * f)
-                    opt.step(f"b{i}", b, g.sum(0))
-                opt.step("o", self.o, go + 1e-5 * self.o)
-                opt.step("c", self.c, np.array([error.sum()]))
+                        met += [index[0, at].ravel(), index[1, at].ravel()]
+                        pull += [ge, ge]
+                    dense.step(f"f{i}", f, gf + 1e-5 * f)
+                    dense.step(f"b{i}", b, g.sum(0))
+                used, inverse = np.unique(np.concatenate(met), return_inverse=True)
+                total = np.zeros((len(used), self.DIMS))
+                np.add.at(total, inverse, np.concatenate(pull))
+                known = used > 0
+                sparse.step("e", self.e, total[known], used[known])
+                dense.step("o", self.o, go + 1e-5 * self.o)
+                dense.step("c", self.c, np.array([error.sum()]))
 
     def _settle(self) -> None:
         """Apply the filters to every embedding: a row of sums for each width and place."""
@@ -351,13 +365,16 @@ class ConvolutionalClassifier:
         docs = np.arange(words.texts)
         if not len(docs):
             return np.zeros(0), np.zeros(0, np.int64)
-        index, start, n = _padded(self.rows[words.bucket], words.first, docs, self.PAD)
-        m, at, pooled = len(index) - self.PAD, 0, []
+        place, source, start, n, size = _placed(words.first, docs, self.PAD)
+        index = np.zeros((2, size), np.int64)
+        index[0, place], index[1, place] = self.rows[words.bucket][source], self.stems[words.stems()][source]
+        m, at, pooled = size - self.PAD, 0, []
         for b, w in zip(self.b, self.WIDTHS, strict=True):
-            conv = self.table[index[:m], at : at + self.FILTERS]
-            for j in range(1, w):
-                conv = conv + self.table[index[j : m + j], at + j * self.FILTERS : at + (j + 1) * self.FILTERS]
-            at += w * self.FILTERS
+            conv = np.zeros((m, self.FILTERS), np.float32)
+            for j in range(w):
+                for row in index[:, j : m + j]:
+                    conv += self.table[row, at : at + self.FILTERS]
+                at += self.FILTERS
             # A window that begins in a text sees its words and padding, none of the next text.
             ends = start + np.maximum(n, 1)
             bound = np.column_stack([start, ends]).ravel()
@@ -382,16 +399,15 @@ class ConvolutionalClassifier:
         return sigmoid(z - self.shift[language])
 
 
-def _padded(row: np.ndarray, first: np.ndarray, docs: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of the texts' words with ``pad`` zeros after (and one at least in) each."""
+def _placed(first: np.ndarray, docs: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Where the texts' words go if ``pad`` empty places (and one at least in each) follow a text, which
+    words they are, where the texts start, their words, and the places of all (``pad`` more at the end)."""
     n = first[docs + 1] - first[docs]
     size = np.maximum(n, 1) + pad
     start = np.cumsum(size) - size
-    index = np.zeros(int(size.sum()) + pad, np.int64)
     total = int(n.sum())
     within = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-    index[np.repeat(start, n) + within] = row[np.repeat(first[docs], n) + within]
-    return index, start, n
+    return np.repeat(start, n) + within, np.repeat(first[docs], n) + within, start, n, int(size.sum()) + pad
 
 
 def _threshold(z: np.ndarray, y: np.ndarray) -> float:

@@ -24,6 +24,42 @@ def test_held_out_accuracy(spark, kind, column, n, out):
     assert ((0 <= s) & (s <= 1)).all()
 
 
+def area(score, y):
+    """Share of pairs of a toxic and a clean text in which the toxic one scores higher."""
+    rank = np.empty(len(y))
+    rank[np.argsort(score, kind="stable")] = np.arange(1, len(y) + 1)
+    return (rank[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (len(y) - y.sum()))
+
+
+def test_training_beats_random_filters_and_counted_words(spark):
+    used, held = split(spark, "toxic", 5, 0)
+    texts, label = pa.array([r.text for r in used]), np.array([r.toxic for r in used])
+    after, y = pa.array([r.text for r in held]), np.array([r.toxic for r in held])
+    trained = classify.ConvolutionalClassifier.fit(texts, label)
+    random_ = classify.ConvolutionalClassifier.fit(texts, label, epochs=0)
+    # The table: a text scores as its word of the largest log odds, cut where the F measure is best.
+    words = classify.Corpus(texts)
+    rows = classify.frequent(words, words.bucket)
+    doc = np.repeat(np.arange(words.texts), words.n)
+    met = np.unique(doc * (rows.max() + 1) + rows[words.bucket])
+    one, all_ = (np.bincount(met[k] % (rows.max() + 1), minlength=rows.max() + 1) for k in (label[met // (rows.max() + 1)] == 1, slice(None)))
+    odds = np.log((one + 0.5) / label.sum()) - np.log((all_ - one + 3.5) / (1 - label).sum())
+    odds[0] = 0
+
+    def table(t):
+        w = classify.Words(t)
+        best = np.zeros(w.texts)
+        np.maximum.at(best, np.repeat(np.arange(w.texts), w.n), odds[rows[w.bucket]])
+        return best
+
+    by_table, cut = table(after), classify._threshold(table(texts), label)
+    right = lambda s: float((s == (y == 1)).mean())
+    scores = {"trained": trained.score(after), "random": random_.score(after)}
+    assert right(scores["trained"] >= 0.5) > max(right(scores["random"] >= 0.5), right(by_table >= cut))
+    assert area(scores["trained"], y) > max(area(scores["random"], y), area(by_table, y)) + 0.01
+    assert (trained.shift != trained.shift[0]).any()  # languages have thresholds of their own
+
+
 def test_machine_uses_the_sum_of_squares_identity():
     rng = np.random.Generator(np.random.PCG64(0))
     texts = pa.array([" ".join(rng.choice(list("abcdefgh"), 12)) for _ in range(60)])
@@ -45,6 +81,17 @@ def test_scores_do_not_depend_on_the_batch():
         assert np.allclose(together, [m.score(pa.array([t]))[0] for t in texts])
 
 
+def test_sample_is_bounded_in_rows_and_bytes(spark):
+    docs = spark.createDataFrame([(i, "x" * (10 if i % 3 else 5000)) for i in range(90)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    whole = classify.sample(docs, labels, "quality", F.lit(True))
+    assert whole.num_rows == 90
+    assert classify.sample(docs, labels, "quality", F.lit(True), rows=40).equals(whole.slice(0, 40).combine_chunks())
+    few = classify.sample(docs, labels, "quality", F.lit(True), size=12_000)
+    lengths = [len(t) for t in few.column("text").to_pylist()]
+    assert few.num_rows == 62 and sum(lengths) <= 12_000 and lengths.count(5000) == 2
+
+
 def test_rows(spark, awkward, empty):
     labels = spark.createDataFrame([(1, 1), (3, 0), (8, 0), (None, 1), (9, None), (1, 0), (77, 1)], "doc_id long, quality int")
     model = classify.fit_quality(awkward, labels, F.lit(True))
