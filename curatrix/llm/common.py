@@ -36,6 +36,14 @@ def column(df: DataFrame, name: str) -> Column:
     return df["`" + name.replace("`", "``") + "`"]
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that no column of ``df`` has, in whatever case."""
+    taken, made = {c.lower() for c in df.columns}, f"__{name}"
+    while made.lower() in taken:
+        made += "_"
+    return made
+
+
 def text_or_empty(df: DataFrame, name: str) -> Column:
     return F.coalesce(column(df, name).cast("string"), F.lit(""))
 
@@ -164,9 +172,12 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; set for this session only where it is unset."""
+    """A new folder under spark.checkpoint.dir. Where that is unset, a local session gets a temporary
+    folder for it; on a cluster, where executors share no local folder, it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         root = tempfile.mkdtemp(prefix="curatrix-")

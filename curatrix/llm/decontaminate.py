@@ -273,9 +273,11 @@ def clean(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str
     """
     digest = F.md5(common.column(df, text_col).cast("string"))
     id_ = common.column(df, id_col)
+    a, b = common.unused(df, "id"), common.unused(df, "digest")
     found = contaminated(df.select(F.struct(id_.alias("id"), digest.alias("digest")).alias("row"), common.column(df, text_col).alias("text")), items, id_col="row", text_col="text", **options)
-    keys = judged(found).where("contaminated").select(F.col("row.id").alias("__id"), F.col("row.digest").alias("__digest")).distinct()
+    keys = judged(found).where("contaminated").select(F.col("row.id").alias(a), F.col("row.digest").alias(b)).distinct()
     keys = common.written(keys, f"{common.scratch(df.sparkSession)}/contaminated")
-    if keys.count() <= BROADCAST_ROWS:
+    size = keys.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.concat_ws(" ", F.col(a).cast("string"), b))).alias("bytes")).first()
+    if size.n <= BROADCAST_ROWS and (size.bytes or 0) <= BROADCAST_BYTES:
         keys = F.broadcast(keys)
-    return df.join(keys, id_.eqNullSafe(F.col("__id")) & (digest == F.col("__digest")), "left_anti")
+    return df.join(keys, id_.eqNullSafe(F.col(a)) & (digest == F.col(b)), "left_anti")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
 from functools import partial
 from itertools import combinations
 
@@ -16,30 +18,48 @@ BITS = 64
 #: Buckets of up to so many fingerprints are compared pair by pair; larger ones through
 #: their common neighbours, which finds the same links.
 PAIRWISE = 64
-#: Ids of documents to drop are broadcast up to so many; else joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: Ids of documents to drop are broadcast up to so many, and so many bytes; else joined by shuffle.
+BROADCAST_IDS, BROADCAST_BYTES = 1_000_000, 32 << 20
+#: Words and hashes of a text are made for about so many bytes at a time.
+PIECE_BYTES = 1 << 18
 
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _OFFSETS = (np.arange(8, dtype=np.int64) * 256)[None, :]
 _BIT = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
 
 
+def _words(text: bytes) -> Iterator[list[bytes]]:
+    """Words of a text, piece by piece; a piece ends between two words."""
+    at, n = 0, len(text)
+    while at < n:
+        gap = _SPACE.search(text, at + PIECE_BYTES)
+        end = gap.start() if gap else n
+        yield text[at:end].lower().split()
+        at = end
+
+
 def fingerprint(text: bytes, shingle: int) -> int:
     """Bits that more than half of the shingle hashes have; 0 without words."""
     import xxhash
 
-    words = text.lower().split()
-    if not words:
-        return 0
     hashed = partial(xxhash.xxh64_intdigest, seed=42)
-    n = len(words) - shingle + 1
-    if n <= 1:
-        hashes = np.array([hashed(b" ".join(words))], "<u8")
-    else:
-        hashes = np.fromiter(map(hashed, map(b" ".join, zip(*[words[i:] for i in range(shingle)]))), "<u8", n)
-    index = hashes.view(np.uint8).reshape(-1, 8) + _OFFSETS
-    counts = np.bincount(index.ravel(), minlength=2048).reshape(8, 256) @ _BIT
-    bits = (counts * 2 > len(hashes)).reshape(-1)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+    counts, n, rest = np.zeros(BITS, np.int64), 0, []
+    for words in _words(text):
+        words = rest + words
+        k = len(words) - shingle + 1
+        if k > 0:
+            counts += _bit_counts(map(hashed, map(b" ".join, zip(*[words[i:] for i in range(shingle)]))), k)
+            n += k
+        rest = words[max(0, k) :]
+    if not n and rest:
+        counts, n = _bit_counts([hashed(b" ".join(rest))], 1), 1
+    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0]) if n else 0
+
+
+def _bit_counts(hashes: Iterable[int], n: int) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    index = np.fromiter(hashes, "<u8", n).view(np.uint8).reshape(-1, 8) + _OFFSETS
+    return (np.bincount(index.ravel(), minlength=2048).reshape(8, 256) @ _BIT).reshape(-1)
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -81,10 +101,10 @@ def links(prints: DataFrame, distance: int = 2, spare: int = 3) -> DataFrame:
     """Links between different fingerprints at ``distance`` or fewer bits: columns a, b (long).
 
     ``prints`` has one column ``fp`` of distinct longs. Every pair at that distance is
-    linked directly, or, in a bucket of more than PAIRWISE fingerprints, through
-    fingerprints that are all at that distance from each other; so components are
-    exact. Work in a bucket grows in proportion to its size. Buckets are keyed by three
-    of five blocks (38 bits or more), so unrelated fingerprints rarely meet.
+    linked directly, or, in a bucket of more than PAIRWISE fingerprints, through one
+    that is at that distance from both; so components are exact. Work in a bucket grows
+    in proportion to its size. Buckets are keyed by three of five blocks (38 bits or
+    more), so unrelated fingerprints rarely meet. Distance 0 gives no links.
     """
     if not 0 <= distance <= 2:
         raise ValueError("links within 0, 1 or 2 bits are supported")
@@ -121,12 +141,12 @@ def links(prints: DataFrame, distance: int = 2, spare: int = 3) -> DataFrame:
         .groupBy("c", "ball")
         .agg(F.collect_list("fp").alias("v"))  # at most one for each free bit, and itself
         .where(F.size("v") > 1)
-        .select(F.explode("v").alias("b"), F.array_min("v").alias("a"))
-        .where("a <> b")
-        .select("a", "b")
     )
-    # Two in one ball may be two bits apart.
-    return few.union(balls if distance == 2 else balls.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance))
+    # All in a ball are within one bit of its centre and within two of each other.
+    if distance < 2:
+        balls = balls.where(F.array_contains("v", F.col("ball")) if distance else F.lit(False))
+    hub = F.array_min("v") if distance == 2 else F.col("ball")
+    return few.union(balls.select(F.explode("v").alias("b"), hub.alias("a")).where("a <> b").select("a", "b"))
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
@@ -160,14 +180,17 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     without an id have no place in the order: all of them stay.
     """
     id_ = common.column(df, id_col)
+    key, nth_col = common.unused(df, "id"), common.unused(df, "nth")
     groups = near_groups(df.where(id_.isNotNull()), id_col, text_col, shingle, distance)
     own = common.column(groups, id_col)
-    named = groups.groupBy(own.alias("__id")).agg(F.count_if(own == F.col("component_id")).alias("n"))
+    named = groups.groupBy(own.alias(key)).agg(F.count_if(own == F.col("component_id")).alias("n"))
     named = common.written(named.where("n <> 1"), f"{common.scratch(df.sparkSession)}/named")
-    dropped = named.where("n = 0").select("__id")
+    dropped = named.where("n = 0").select(key)
+    size = dropped.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.col(key).cast("string"))).alias("bytes")).first()
     # Texts move only if the list of what goes is long.
-    kept = df.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped, id_ == F.col("__id"), "left_anti")
+    kept = df.join(F.broadcast(dropped) if size.n <= BROADCAST_IDS and (size.bytes or 0) <= BROADCAST_BYTES else dropped, id_ == F.col(key), "left_anti")
     if not named.where("n > 1").isEmpty():
         order = Window.partitionBy(common.column(kept, id_col)).orderBy(F.xxhash64(*[common.column(kept, c) for c in kept.columns]))
-        kept = kept.withColumn("__nth", F.when(common.column(kept, id_col).isNull(), 1).otherwise(F.row_number().over(order))).where("__nth = 1").drop("__nth")
+        nth = F.when(common.column(kept, id_col).isNull(), 1).otherwise(F.row_number().over(order))
+        kept = kept.withColumn(nth_col, nth).where(F.col(nth_col) == 1).drop(nth_col)
     return kept

@@ -1,6 +1,9 @@
 import random
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from curatrix.llm import decontaminate
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -69,3 +72,13 @@ def test_empty_tables_and_cleaning(spark, awkward, empty):
     kept = decontaminate.clean(awkward, items)
     assert kept.columns == awkward.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 2, 3, 4, 7, 8, 9, 10]
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_cleaning_keeps_columns_of_any_name(spark, awkward, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", most)
+    items = spark.createDataFrame([(1, "plain words stand here and here")], "item_id long, text string")
+    named = awkward.select("doc_id", "text", *[F.lit(i).alias(c) for i, c in enumerate(("__id", "__Digest", "row", "digest", "doc", "p"))])
+    kept = decontaminate.clean(named, items)
+    assert kept.columns == named.columns
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 2, 3, 4, 7, 8, 9, 10]

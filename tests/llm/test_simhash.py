@@ -1,7 +1,9 @@
 import random
 import re
 
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from curatrix.llm import graph, simhash
 
@@ -15,7 +17,7 @@ def brute_print(text, k=3):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def brute_components(prints):
+def brute_components(prints, distance=2):
     ids = [i for i, _ in prints]
     root = list(range(len(ids)))
 
@@ -26,7 +28,7 @@ def brute_components(prints):
 
     for a in range(len(ids)):
         for b in range(a):
-            if (prints[a][1] ^ prints[b][1]).bit_count() <= 2:
+            if (prints[a][1] ^ prints[b][1]).bit_count() <= distance:
                 root[find(a)] = find(b)
     out = {}
     for i in range(len(ids)):
@@ -42,7 +44,17 @@ def test_rows_against_brute_force(awkward, empty):
     assert got == want and simhash.near_groups(empty).count() == 0
 
 
-def test_links_with_crowded_buckets(spark):
+def test_long_texts_are_read_in_pieces(monkeypatch):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["Word", "b", "É", " ", "\n", "\t  "]) for _ in range(n)) for n in (0, 1, 2, 3, 5, 40, 900)]
+    for size in (1, 2, 7, 50, 1 << 18):
+        monkeypatch.setattr(simhash, "PIECE_BYTES", size)
+        for k in (1, 3, 5):
+            assert [simhash.fingerprint(t.encode(), k) for t in texts] == [brute_print(t, k) for t in texts]
+
+
+@pytest.mark.parametrize("distance", [0, 1, 2])
+def test_links_with_crowded_buckets(spark, distance):
     rng = random.Random(3)
     base, prints = rng.getrandbits(64), set()
     for _ in range(400):  # many in one bucket: bits of two blocks only
@@ -53,9 +65,9 @@ def test_links_with_crowded_buckets(spark):
     prints |= {rng.getrandbits(64) for _ in range(50)} | {0, (1 << 64) - 1, 1 << 63}
     rows = [(p - (1 << 64) if p >> 63 else p,) for p in prints]
     df = spark.createDataFrame(rows, "fp long")
-    parts = {r.node: r.root for r in graph.components(simhash.links(df)).collect()}
+    parts = {r.node: r.root for r in graph.components(simhash.links(df, distance)).collect()}
     nodes = [(x, x % (1 << 64)) for (x,) in rows]
-    want = brute_components(nodes)
+    want = brute_components(nodes, distance)
     for (x, _), c in zip(nodes, want, strict=True):
         assert parts.get(x, x) == c
 
@@ -72,3 +84,13 @@ def test_one_of_each_group_stays(awkward):
     assert kept.columns == awkward.columns
     ids = sorted(r.doc_id or 0 for r in kept.collect())
     assert ids == [0, 0, 1, 2, 7, 8, 10]  # 9 is within two bits of 8; rows without an id stay
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_columns_of_any_name_stay(awkward, monkeypatch, most):
+    monkeypatch.setattr(simhash, "BROADCAST_IDS", most)
+    named = awkward.select("doc_id", "text", *[F.lit(i).alias(c) for i, c in enumerate(("__id", "__NTH", "__fp", "fingerprint", "component_id", "n", "root"))])
+    kept = simhash.keep_one(named)
+    assert kept.columns == named.columns
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 2, 7, 8, 10]
+    assert {tuple(r)[2:] for r in kept.collect()} == {(0, 1, 2, 3, 4, 5, 6)}
