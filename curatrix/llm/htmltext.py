@@ -5,9 +5,14 @@ Tokens that occur equally often in each page of a host form an equivalence class
 is valid if its tokens stand in one order everywhere. Valid classes nest by their
 paths into the host's template. Text of the template is boilerplate if
 pages of several contents have it and its element's path holds no other text anywhere
-at the host; other text fills a slot, even if copies of a page share it. The main slot is
-the article element or the deepest slot of the template that holds most of the host's
-text.
+at the host; other text fills a slot, even if copies of a page share it.
+
+The slots of the template are its elements that stand once in each page and group
+others. Those with more than half of the host's text, whatever it is, nest in each other;
+the innermost holds the article, and the main slot is it or the outermost article or main
+element around it. A slot with a name of its own inside the main one that isn't one of these,
+stands behind the better part of the article and has less than a third of its text is
+another record (readers' comments, an author's box) and goes, whatever it is called.
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 RAW = frozenset("script style textarea title noscript template iframe object svg math select button canvas audio video".split())
 DROPPED = frozenset("head nav footer aside form menu dialog fieldset".split())
 MAIN = frozenset(("article", "main"))
+GROUPS = frozenset("article body center div dl main ol section table tbody td tr ul".split())
 CLOSED_BY = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol dl table article section div body main".split())
 NOT_IN_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -64,7 +70,7 @@ class Page:
     """Elements (token of the path, depth, parent, dropped, main) and text blocks of one page, in page order."""
 
     def __init__(self, source: str):
-        self.key, self.depth, self.parent, self.out, self.main = [ROOT], [0], [-1], [False], [False]
+        self.key, self.depth, self.parent, self.out, self.main, self.group = [ROOT], [0], [-1], [False], [False], [0]
         self.blocks: list[tuple[int, str]] = []  # element, text
         self._read(source)
 
@@ -154,34 +160,44 @@ class Page:
         self.parent.append(parent)
         self.out.append(out)
         self.main.append(main)
+        self.group.append((tag in GROUPS) + (tag in GROUPS and name != tag))
         return len(self.key) - 1
 
     def content(self) -> int:
         """Hash of the blocks that aren't dropped."""
         return token(ROOT, "\n".join(text for e, text in self.blocks if not self.out[e]))
 
-    def tokens(self) -> Iterator[tuple[int, int, bool, int, int, int]]:
-        """(token, depth, in a main element, characters kept below it, own text blocks, token of the element it
-        stands in) for each element in page order, then for each text block, with a depth of -1."""
-        chars, own = [0] * len(self.key), [0] * len(self.key)
+    def tokens(self) -> Iterator[tuple[int, int, bool, int, int, int, int, int]]:
+        """(token, depth, in a main element, characters below it, characters before it, own text blocks, token of
+        the element it stands in, 1 if it groups others and 2 if it also has a name) for each element in page
+        order, then for each text block, with a depth of -1."""
+        chars, before, own = [0] * len(self.key), [0] * len(self.key), [0] * len(self.key)
+        last = at = 0
         for e, text in self.blocks:
+            for x in range(last + 1, e + 1):  # opened since the block before
+                before[x] = at
+            last = max(last, e)
             own[e] += 1
-            if not self.out[e]:
-                chars[e] += len(text)
+            chars[e] += len(text)
+            at += len(text)
+        before[last + 1 :] = [at] * (len(before) - last - 1)
         for e in range(len(chars) - 1, 0, -1):
             chars[self.parent[e]] += chars[e]
-        yield from zip(self.key, self.depth, self.main, chars, own, [ROOT] * len(chars), strict=True)
+        within = [ROOT, *(self.key[p] for p in self.parent[1:])]
+        yield from zip(self.key, self.depth, self.main, chars, before, own, within, self.group, strict=True)
         for e, text in self.blocks:
-            yield token(self.key[e], "\n" + text), -1, False, 0, 1, self.key[e]
+            yield token(self.key[e], "\n" + text), -1, self.main[e], 0, 0, 1, self.key[e], 0
 
-    def text(self, slot: int | None, boilerplate: frozenset[int]) -> str:
-        """Kept blocks of the main slot; of the page's own main elements, or else all of it, without one."""
-        inside = [False] * len(self.key)
+    def text(self, slot: int | None, boilerplate: frozenset[int], others: frozenset[int] = frozenset()) -> str:
+        """Kept blocks of the main slot but for ``others`` in it; of the page's own main elements, or else all of it,
+        without one."""
+        inside, gone = [False] * len(self.key), self.out[:]
         for e in range(1, len(self.key)):
             inside[e] = inside[self.parent[e]] or self.key[e] == slot
+            gone[e] = gone[e] or gone[self.parent[e]] or self.key[e] in others
         if not any(inside):
             inside = self.main if any(self.main) else [True] * len(self.key)
-        return "\n".join(text for e, text in self.blocks if inside[e] and not self.out[e] and (self.main[e] or token(self.key[e], "\n" + text) not in boilerplate))
+        return "\n".join(text for e, text in self.blocks if inside[e] and not gone[e] and token(self.key[e], "\n" + text) not in boilerplate)
 
 
 def host(url: Column) -> Column:
@@ -191,8 +207,9 @@ def host(url: Column) -> Column:
 
 #: A class must be met in so many pages, and in this share of its host's pages, to be template.
 LEAST_PAGES, LEAST_SHARE = 2, 0.5
-#: Share of a host's kept text that the main slot holds.
-MAIN_SHARE = 0.7
+#: Share of a host's text that the main slot holds more than, share of the main slot's text that another record
+#: in it holds less than, and share that stands before such a record.
+MAIN_SHARE, OTHER_SHARE, BEFORE_SHARE = 0.5, 1 / 3, 0.5
 #: Templates are broadcast up to so many tokens; else joined to the pages by host.
 BROADCAST_TOKENS = 200_000
 
@@ -203,12 +220,18 @@ def _pages(df: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame
     return df.select(common.column(df, id_col).alias("id"), url.alias("url"), source.alias("html"), F.xxhash64(host(url)).alias("host"), F.xxhash64(common.column(df, id_col), source).alias("page"))
 
 
+_TOKENS = "host long, page long, token long, depth int, main boolean, n long, chars long, before long, own long, element long, group int, content long"
+_TOKEN_NAMES = [x.split()[0] for x in _TOKENS.split(", ")]
+_TOKEN_TYPES = [{"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[x.split()[1]] for x in _TOKENS.split(", ")]
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """host, slot (token of the main slot, or null), boilerplate (tokens of template text).
+    """host, slot (token of the main slot, or null), boilerplate (tokens of template text), others (tokens of
+    other records in the main slot).
 
     Vectors of occurrences are sums of hashes of (page, count), so no page's tokens and no
-    host's pages are brought together; the tokens of one class are, which are no more
-    than one page has.
+    host's pages are brought together, and a page that is there twice counts twice in all
+    of its tokens; the tokens of one class are, which are no more than one page has.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,39 +242,51 @@ def templates(pages: DataFrame) -> DataFrame:
                     seen: dict[int, list] = {}
                     read = Page(source)
                     content = read.content()
-                    for t, depth, main, chars, own, element in read.tokens():
+                    for t, depth, main, chars, before, own, element, group in read.tokens():
                         if (x := seen.get(t)) is None:
-                            seen[t] = [h, p, t, depth, main, 1, chars, own, element, content]
+                            seen[t] = [h, p, t, depth, main, 1, chars, before, own, element, group, content]
                         else:
                             x[5] += 1
                             x[6] += chars
-                            x[7] += own
+                            x[8] += own
                     rows += seen.values()
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), *[pa.int64()] * 5), strict=True)], names=["host", "page", "token", "depth", "main", "n", "chars", "own", "element", "content"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), _TOKEN_TYPES, strict=True)], names=_TOKEN_NAMES)
 
-    counted = pages.select("host", "page", "html").mapInArrow(count, "host long, page long, token long, depth int, main boolean, n long, chars long, own long, element long, content long")
+    counted = pages.select("host", "page", "html").mapInArrow(count, _TOKENS)
+    sign = F.xxhash64("page", "n")  # its halves are summed apart, so that no sum overflows
     vectors = counted.groupBy("host", "token").agg(
-        F.max("depth").alias("depth"), F.max("main").alias("main"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count("*").alias("pages"), F.sum("chars").alias("chars"),
-        F.sum("own").alias("own"), F.max("element").alias("element"), (F.min("content") < F.max("content")).alias("differ"),
-    )
+        F.max("depth").alias("depth"), F.max("main").alias("main"), F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.sum("before").alias("before"),
+        F.sum(sign.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"), F.sum(F.shiftrightunsigned(sign, 32)).alias("high"), F.max("n").alias("most"),
+        F.sum("own").alias("own"), F.max("element").alias("element"), F.max("group").alias("group"), (F.min("content") < F.max("content")).alias("differ"),
+        F.bit_count(F.bit_or(F.expr("shiftleft(1L, cast(pmod(content, 64) as int))"))).alias("contents"),
+    ).withColumn("vector", F.xxhash64("low", "high")).drop("low", "high")
     spark = pages.sparkSession
     vectors = common.written(vectors.where(F.col("pages") >= LEAST_PAGES), f"{common.scratch(spark)}/vectors")
     root = F.lit(ROOT)
     hosts = vectors.where(F.col("token") == root).select("host", F.col("pages").alias("all_pages"), F.col("chars").alias("all_chars"))
     often = vectors.join(hosts, "host").where(F.col("pages") >= LEAST_SHARE * F.col("all_pages"))
-    members = often.select("host", "vector", "token", "depth", "main", "chars", "all_chars", "own", "element", "differ")
+    members = often.drop("pages", "all_pages")
     valid = _valid(pages, members)
     kept = members.join(valid, ["host", "vector"], "left_semi")
     # Text of several contents' pages, in elements that hold no other.
     shared = kept.where((F.col("depth") < 0) & F.col("differ")).groupBy("host", "element").agg(F.sum("own").alias("shared"))
     constant = vectors.where("depth >= 0").select("host", F.col("token").alias("element"), F.col("own").alias("blocks")).join(shared, ["host", "element"]).where("shared = blocks")
     kept = kept.join(constant.select("host", "element", F.lit(True).alias("constant")), ["host", "element"], "left")
-    text = F.when((F.col("depth") < 0) & F.col("differ") & F.col("constant"), F.col("token"))
-    # The deepest path with most of the text; article and main elements come before all others.
-    order = F.struct("main", F.when(F.col("main"), -F.col("depth")).otherwise(F.col("depth")).alias("depth"), "token")
-    candidate = F.when((F.col("depth") > 0) & (F.col("chars") >= MAIN_SHARE * F.col("all_chars")), order)
-    return kept.groupBy("host").agg(F.max(candidate)["token"].alias("slot"), F.collect_list(text).alias("boilerplate"))
+    # Near copies share a title: in an article, text is the template's if three contents have it, as far as six bits tell.
+    text = F.when((F.col("depth") < 0) & F.col("differ") & F.col("constant") & (~F.col("main") | (F.col("contents") >= 3)), F.col("token"))
+    # Slots with most of the text nest in each other; of these, the innermost or the outermost main one.
+    slot = (F.col("group") > 0) & (F.col("most") == 1)
+    wide = slot & (F.col("chars") > MAIN_SHARE * F.col("all_chars"))
+    order = F.struct("main", F.when(F.col("main"), -F.col("depth")).otherwise(F.col("depth")).alias("rank"), "token", "depth", "chars", "before")
+    found = kept.groupBy("host").agg(F.max(F.when(wide, order)).alias("s"), F.collect_list(text).alias("boilerplate"))
+    # Named slots directly within one of the nest, at or below the main one.
+    inner = kept.where(slot & ~wide & (F.col("group") == 2)).select("host", F.col("token").alias("other"), "element", F.col("chars").alias("c"), F.col("before").alias("b"), "differ")
+    nest = kept.where(wide).select("host", F.col("token").alias("element"), F.col("depth").alias("d"))
+    behind = (F.col("b") - F.col("s.before") >= BEFORE_SHARE * (F.col("s.chars") - F.col("c"))) & (F.col("c") < OTHER_SHARE * F.col("s.chars"))
+    others = inner.where("differ").join(nest, ["host", "element"]).join(found.select("host", "s"), "host").where((F.col("d") >= F.col("s.depth")) & behind)
+    others = others.groupBy("host").agg(F.collect_list("other").alias("others"))
+    return found.join(others, "host", "left").select("host", F.col("s.token").alias("slot"), "boilerplate", F.coalesce("others", F.array().cast("array<bigint>")).alias("others"))
 
 
 def _valid(pages: DataFrame, members: DataFrame) -> DataFrame:
@@ -295,12 +330,12 @@ def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     pages = _pages(df, id_col, url_col, html_col)
     found = common.written(templates(pages), f"{common.scratch(df.sparkSession)}/templates")
     joined = _with_host_rows(pages.select("id", "url", "host", "html"), found, found.select(F.explode_outer("boilerplate")))
-    keep = joined.select("id", "url", "html", "slot", "boilerplate")
+    keep = joined.select("id", "url", "html", "slot", "boilerplate", "others")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch, 2):
-                texts = [Page(s).text(slot, frozenset(known or ())) for s, slot, known in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+                texts = [Page(s).text(slot, frozenset(known or ()), frozenset(more or ())) for s, slot, known, more in zip(*(part.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
     kind = pages.schema["id"].dataType.simpleString()

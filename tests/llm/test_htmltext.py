@@ -1,3 +1,7 @@
+import random
+
+import pytest
+
 from curatrix.llm import htmltext
 
 
@@ -90,3 +94,53 @@ def test_template_text_beside_the_story_goes(spark):
     menu = '<div id="top">Same banner line</div><ol><li>Start</li><li>About us</li></ol>'
     rows = [(i, "http://h.example/", story(i, f"One {i}", f"Two {i}", title=f"T{i}", menu=menu)) for i in range(4)]
     assert texts(spark, rows) == [(i, f"T{i}\nOne {i}\nTwo {i}\nPoint of T{i}") for i in range(4)]
+
+
+WORDS = [f"w{i}" for i in range(200)]
+
+
+def said(rng, n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+def site(rng, layout, n):
+    """Pages of one made site and the text each should give."""
+    out = []
+    for _ in range(n):
+        title, paragraphs = said(rng, 5), [said(rng, rng.randint(15, 50)) for _ in range(rng.randint(3, 6))]
+        views = [(said(rng, 2), said(rng, rng.randint(3, 8))) for _ in range(rng.randint(1, 2))]
+        body = "".join(f"<p>{x}</p>" for x in paragraphs)
+        kommentare = "".join(f"<p>{a}: {b}</p>" for a, b in views)
+        entries = "".join(f'<div class="entry"><b>{a}</b><p>{b}</p><span>Antworten</span></div>' for a, b in views)
+        bar = f'<div class="leiste"><a href="/">Start</a> <a href="/x">{said(rng, 3)}</a></div><div id="datum">{said(rng, 2)}</div>'
+        page, truth = {
+            "article, comments of another name": (f"{bar}<article><h1>{title}</h1>{body}<div class='kommentare'>{kommentare}</div></article>", [title, *paragraphs]),
+            "comments as records": (f"{bar}<article><h1>{title}</h1><div class='text'>{body}</div><section id='reader-views'><h3>Meinungen</h3>{entries}</section></article>", [title, *paragraphs]),
+            "no article element": (f"{bar}<div id='haupt'><h2>{title}</h2>{body}<div id='meinungen'>{entries}</div></div><div id='fuss'>Impressum {said(rng, 4)}</div>", [title, *paragraphs]),
+            "tables as columns": (f"<table><tr><td class='links'>{bar}</td><td class='mitte'><h2>{title}</h2>{body}</td><td class='rechts'>{said(rng, 6)}</td></tr></table>", [title, *paragraphs]),
+            "constant labels": (f"<main><h1>{title}</h1><div class='zeile'>Jetzt lesen</div>{body}</main>", [title, *paragraphs]),
+        }[layout]
+        out.append((f"<html><body>{page}</body></html>", "\n".join(truth)))
+    return out
+
+
+LAYOUTS = ("article, comments of another name", "comments as records", "no article element", "tables as columns", "constant labels")
+
+
+@pytest.mark.parametrize("repeats", [1, 2, 3])
+def test_made_sites_against_what_they_were_made_of(spark, repeats):
+    rng, rows, want = random.Random(5), [], []
+    for k, layout in enumerate(LAYOUTS):
+        for i, (html, truth) in enumerate(site(rng, layout, 8)):
+            rows += [(100 * k + i, f"http://site{k}.example/", html)] * repeats
+            want += [(100 * k + i, truth)] * repeats
+    got = texts(spark, rows)
+    assert got == sorted(want)
+    # Without the template none of these sites is read right.
+    bare = {i: htmltext.Page(h).text(None, frozenset()) for i, _, h in rows}
+    assert all(bare[100 * k + i] != dict(want)[100 * k + i] for k in range(len(LAYOUTS)) for i in range(8))
+
+
+def test_near_copies_keep_their_title(spark):
+    rows = [(i, "http://two.example/", f"<article><h1>One title</h1><p>The same opening</p><p>Own end {i}</p></article>") for i in range(2)]
+    assert texts(spark, rows) == [(i, f"One title\nThe same opening\nOwn end {i}") for i in range(2)]
