@@ -6,7 +6,8 @@ every document and no naming table has to be shared. Which pairs are joined depe
 on the two names alone; so equal word sequences get equal symbols but for a bounded
 border. A window is anchored at the symbol of least name in its interior. Anchors and
 the words around them that every such window has are named and brought together; only
-windows at anchors that several documents share are compared themselves.
+windows at anchors that several documents share are compared themselves, by their hash
+and their anchor's name.
 """
 
 from __future__ import annotations
@@ -28,6 +29,12 @@ CAPS = (2, 4, 4)
 BORDER = sum(2 * (c - 1) for c in CAPS)
 #: Text bytes of a bucket of documents; the names and windows of as many texts share one.
 BUCKET_BYTES = 4 << 20
+#: Buckets of names for each bucket of documents: small enough that tasks which get several by chance stay even.
+SPREAD = 4
+#: Names of anchors that a task holds before what it knows of them is combined and sent.
+HELD_NAMES = 1 << 20
+#: Most buckets of documents whose windows of one name meet at once; more meet in several steps.
+FAN = 1024
 
 _U = np.uint64
 _BASE = _U(0x5851F42D4C957F2D)
@@ -144,31 +151,43 @@ def _xxhash64(x: np.ndarray) -> np.ndarray:
     return (h ^ (h >> _U(32))).view(np.int64)
 
 
-def _by_bucket(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Row numbers of each bucket, in their order."""
-    order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in np.flatnonzero(np.diff(edges)):
-        yield int(b), order[edges[b] : edges[b + 1]]
+def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Row numbers of each bucket that has any, in their order."""
+    if len(bucket):
+        order = np.argsort(bucket, kind="stable")
+        sorted_ = bucket[order]
+        edges = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
+        for b, rows in zip(sorted_[edges].tolist(), np.split(order, edges[1:]), strict=True):
+            yield b, rows
 
 
-def _packed(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=names)
+def _packed(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-#: Packed lists: documents, how many values each has, and the values.
-_LISTS = "b int, docs binary, counts binary, values binary"
-_RUNS = "b int, docs binary, counts binary, names binary, sizes binary, hashes binary"
+#: Packed lists: kind, bucket, documents, how many values each has, and the values. Lists of kind ASKED go to
+#: the buckets of their names and wait for others; those of kind TOLD go to the buckets of their documents.
+ASKED, TOLD = 0, 1
+_LISTS = "kind int, b int, docs binary, counts binary, values binary"
+_LIST_SCHEMA = pa.schema([("kind", pa.int32()), ("b", pa.int32()), *[(c, pa.binary()) for c in ("docs", "counts", "values")]])
+#: The same for windows: the bucket they come from, and runs of windows with one document and anchor.
+_RUNS = "kind int, b int, origin int, docs binary, names binary, sizes binary, hashes binary"
+_RUN_SCHEMA = pa.schema([("kind", pa.int32()), ("b", pa.int32()), ("origin", pa.int32()), *[(c, pa.binary()) for c in ("docs", "names", "sizes", "hashes")]])
 
 
-def _lists(doc: np.ndarray, value: np.ndarray, bucket: np.ndarray, buckets: int) -> pa.RecordBatch:
+def _lists(doc: np.ndarray, value: np.ndarray, bucket: np.ndarray, kind: int = TOLD) -> pa.RecordBatch:
     """Rows of _LISTS for values sorted by document."""
     rows = []
-    for b, r in _by_bucket(bucket, buckets):
+    for b, r in _by_bucket(bucket):
         d, n = _counted(doc[r])
-        rows.append((b, d.tobytes(), n.tobytes(), value[r].tobytes()))
-    return _packed(rows, ["b", "docs", "counts", "values"])
+        rows.append((kind, b, d.tobytes(), n.tobytes(), value[r].tobytes()))
+    return _packed(rows, _LIST_SCHEMA)
+
+
+def _home(doc: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each document."""
+    return _xxhash64(doc) % buckets
 
 
 def _counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,13 +211,40 @@ def _with_id(part: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
 
 
 def _anchors(buckets: int, window: int):
+    """Anchors of the documents. Those that several documents of one task have are TOLD to these; the first
+    and the last document of a name ask for all, so a frequent name costs a task two entries."""
+
+    def combined(doc: np.ndarray, name: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((doc, name))
+        doc, name = doc[order], name[order]
+        head = np.append(True, name[1:] != name[:-1])
+        last = np.append(head[1:], True)
+        group = np.cumsum(head) - 1
+        shared = (doc[head] < doc[last])[group]
+        asks = head | last & shared
+        for rows, kind in ((asks, ASKED), (shared, TOLD)):
+            rows = np.flatnonzero(rows)
+            rows = rows[np.argsort(doc[rows], kind="stable")]
+            bucket = (name[rows] % _U(SPREAD * buckets)).astype(np.int64) if kind == ASKED else _home(doc[rows], buckets)
+            yield _lists(doc[rows], name[rows], bucket, kind)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, names, held = [], [], 0
         for batch in batches:
             for part in common.slices(batch, 1):
                 texts, ids = _with_id(part)
                 w = Windows(Words(texts), window)
-                turn = np.append(True, (w.anchor[1:] != w.anchor[:-1]) | (w.doc[1:] != w.doc[:-1])) if len(w.at) else np.zeros(0, bool)
-                yield _lists(ids[w.doc[turn]], w.anchor[turn], (w.anchor[turn] % _U(buckets)).astype(np.int64), buckets)
+                if not len(w.at):
+                    continue
+                turn = np.append(True, (w.anchor[1:] != w.anchor[:-1]) | (w.doc[1:] != w.doc[:-1]))
+                docs.append(ids[w.doc[turn]])
+                names.append(w.anchor[turn])
+                held += len(names[-1])
+                if held >= HELD_NAMES:
+                    yield from combined(np.concatenate(docs), np.concatenate(names))
+                    docs, names, held = [], [], 0
+        if held:
+            yield from combined(np.concatenate(docs), np.concatenate(names))
 
     return run
 
@@ -206,7 +252,9 @@ def _anchors(buckets: int, window: int):
 def _shared(buckets: int):
     """Names that documents of different ids have, back to buckets of documents."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        if key[0].as_py() == TOLD:
+            return table
         doc, name = _unlisted(table)
         order = np.lexsort((doc, name))
         doc, name = doc[order], name[order]
@@ -217,7 +265,7 @@ def _shared(buckets: int):
         doc, name = doc[many], name[many]
         order = np.argsort(doc, kind="stable")
         doc, name = doc[order], name[order]
-        return pa.Table.from_batches([_lists(doc, name, _xxhash64(doc).astype(np.int64) % buckets, buckets)])
+        return pa.Table.from_batches([_lists(doc, name, _home(doc, buckets))])
 
     return run
 
@@ -241,54 +289,57 @@ class _Lookup:
         return self.keys[at] == key
 
 
+def _settled(doc: np.ndarray, name: np.ndarray, hashed: np.ndarray, buckets: int, origin: int, last: bool = False) -> pa.RecordBatch:
+    """Rows of _RUNS. Of the documents with one window the least asks on (unless this is the last step), the
+    others are TOLD that it goes."""
+    order = np.lexsort((doc, name, hashed))
+    doc, name, hashed = doc[order], name[order], hashed[order]
+    new = np.append(True, (hashed[1:] != hashed[:-1]) | (name[1:] != name[:-1])) if len(doc) else np.zeros(0, bool)
+    gone = doc > doc[new][np.cumsum(new) - 1]
+    rows = []
+    for kind, some in ((TOLD, gone),) if last else ((ASKED, new), (TOLD, gone)):
+        some = np.flatnonzero(some)
+        some = some[np.lexsort((hashed[some], name[some], doc[some]))]
+        d, n, h = doc[some], name[some], hashed[some]
+        if kind == TOLD:  # one entry for each document and window
+            once = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])) if len(d) else np.zeros(0, bool)
+            d, n, h = d[once], n[once] * _U(0), h[once]
+        for b, r in _by_bucket((n % _U(SPREAD * buckets)).astype(np.int64) if kind == ASKED else _home(d, buckets)):
+            at = np.flatnonzero(np.append(True, (d[r][1:] != d[r][:-1]) | (n[r][1:] != n[r][:-1])))
+            sizes = np.diff(np.append(at, len(r))).astype(np.int32)
+            rows.append((kind, b, origin, d[r][at].tobytes(), n[r][at].tobytes() if kind == ASKED else b"", sizes.tobytes(), h[r].tobytes()))
+    return _packed(rows, _RUN_SCHEMA)
+
+
 def _candidates(buckets: int, window: int):
     """Windows at shared anchors, to the buckets of their anchors' names."""
 
-    def run(texts: pa.Table, shared: pa.Table) -> pa.Table:
-        names = ["b", "docs", "counts", "names", "sizes", "hashes"]
-        if not shared.num_rows:
-            return pa.Table.from_batches([_packed([], names)])
-        known, out = _Lookup(*_unlisted(shared)), []
-        for part in _parts(texts.select(["id", "text"])):
+    def run(key: tuple, texts: pa.Table, shared: pa.Table) -> pa.Table:
+        found = []
+        known = _Lookup(*_unlisted(shared)) if shared.num_rows else None
+        for part in _parts(texts.select(["id", "text"])) if known else ():
             some, ids = _with_id(part)
             w = Windows(Words(some), window)
             rows = np.flatnonzero(known.has(ids[w.doc], w.anchor))
-            if not len(rows):
-                continue
-            doc, name, hashed = ids[w.doc[rows]], w.anchor[rows], w.hashes(rows)
-            run_at = np.flatnonzero(np.append(True, (name[1:] != name[:-1]) | (w.doc[rows][1:] != w.doc[rows][:-1])))
-            size = np.diff(np.append(run_at, len(rows))).astype(np.int32)
-            rdoc, rname = doc[run_at], name[run_at]
-            packed = []
-            for b, r in _by_bucket((rname % _U(buckets)).astype(np.int64), buckets):
-                d, n = _counted(rdoc[r])
-                inside = np.arange(int(size[r].sum())) - np.repeat(np.cumsum(size[r]) - size[r], size[r]) + np.repeat(run_at[r], size[r])
-                packed.append((b, d.tobytes(), n.tobytes(), rname[r].tobytes(), size[r].tobytes(), hashed[inside].tobytes()))
-            out.append(_packed(packed, names))
-        return pa.Table.from_batches(out or [_packed([], names)])
+            if len(rows):
+                found.append((ids[w.doc[rows]], w.anchor[rows], w.hashes(rows)))
+        if not found:
+            return pa.Table.from_batches([], _RUN_SCHEMA)
+        return pa.Table.from_batches([_settled(*[np.concatenate(c) for c in zip(*found, strict=True)], buckets, key[0].as_py())])
 
     return run
 
 
-def _repeated(buckets: int):
-    """Windows that a smaller id has too, back to buckets of documents."""
+def _met(buckets: int, last: bool):
+    """One step of meeting: windows of one name from some of the buckets, at last from all."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        if key[0].as_py() == TOLD:
+            return table
         get = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
         size = get("sizes", np.int32)
-        doc = np.repeat(np.repeat(get("docs", np.int64), get("counts", np.int32)), size)
-        name, hashed = np.repeat(get("names", _U), size), get("hashes", _U)
-        order = np.lexsort((doc, name, hashed))
-        doc, name, hashed = doc[order], name[order], hashed[order]
-        new = np.append(True, (hashed[1:] != hashed[:-1]) | (name[1:] != name[:-1])) if len(doc) else np.zeros(0, bool)
-        least = doc[new][np.cumsum(new) - 1]
-        gone = doc > least
-        doc, hashed = doc[gone], hashed[gone]
-        order = np.lexsort((hashed, doc))
-        doc, hashed = doc[order], hashed[order]
-        once = np.append(True, (hashed[1:] != hashed[:-1]) | (doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, bool)
-        doc, hashed = doc[once], hashed[once]
-        return pa.Table.from_batches([_lists(doc, hashed, _xxhash64(doc) % buckets, buckets)])
+        doc, name = np.repeat(get("docs", np.int64), size), np.repeat(get("names", _U), size)
+        return pa.Table.from_batches([_settled(doc, name, get("hashes", _U), buckets, key[2].as_py(), last)])
 
     return run
 
@@ -297,7 +348,8 @@ def _kept(window: int, schema: pa.Schema):
     """Texts without the words of removed windows."""
 
     def run(texts: pa.Table, removed: pa.Table) -> pa.Table:
-        known, out = _Lookup(*_unlisted(removed)), []
+        get = lambda c, kind: np.frombuffer(b"".join(removed.column(c).to_pylist()), kind)
+        known, out = _Lookup(np.repeat(get("docs", np.int64), get("sizes", np.int32)), get("hashes", _U)), []
         for part in _parts(texts.select(["id", "text"])):
             w = Words(part.column(1))
             n = len(w.hash)
@@ -347,8 +399,10 @@ def without_repeats(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     window stay. Extra columns are left aside; an empty table gives an empty result.
 
     Documents meet only in buckets whose number follows the size of the input, as packed
-    lists of names; a name counts once for a document, so copies and frequent passages
-    spread over the buckets of their many names.
+    lists of names. What one task or bucket knows already is combined before it is sent:
+    a name costs a task two entries and a window a bucket of documents one, however many
+    documents have it; windows from more than FAN buckets meet in steps. Rows of one id
+    share a bucket, so ids should not repeat without bound.
     """
     if window <= 2 * BORDER + 2 * max(CAPS):
         raise ValueError(f"a window has more than {2 * BORDER + 2 * max(CAPS)} words")
@@ -358,10 +412,16 @@ def without_repeats(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(common.shuffle_partitions(df.sparkSession), -(-size // BUCKET_BYTES))
     anchors = docs.mapInArrow(_anchors(buckets, window), _LISTS)
-    shared = anchors.groupBy("b").applyInArrow(_shared(buckets), _LISTS)
+    shared = anchors.groupBy("kind", "b").applyInArrow(_shared(buckets), _LISTS)
     placed = docs.withColumn("b", F.pmod(F.xxhash64(F.coalesce("id", F.xxhash64("text"))), F.lit(buckets)).cast("int"))
-    candidates = placed.groupBy("b").cogroup(shared.groupBy("b")).applyInArrow(_candidates(buckets, window), _RUNS)
-    removed = candidates.groupBy("b").applyInArrow(_repeated(buckets), _LISTS)
+    windows = placed.groupBy("b").cogroup(shared.groupBy("b")).applyInArrow(_candidates(buckets, window), _RUNS)
+    salts = buckets
+    while salts > 1:
+        # What was told before passes by its own bucket; ``origin`` is the part of the buckets that has met.
+        salts = -(-salts // FAN)
+        windows = windows.withColumn("origin", F.when(F.col("kind") == ASKED, F.pmod("origin", F.lit(salts))).otherwise(0))
+        windows = windows.groupBy("kind", "b", "origin").applyInArrow(_met(buckets, salts == 1), _RUNS)
+    removed = windows.where(F.col("kind") == TOLD)
     span = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
     schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("removed", span), ("kept", pa.string())])
     out = placed.groupBy("b").cogroup(removed.groupBy("b")).applyInArrow(_kept(window, schema), "id long, n_words long, n_removed long, removed array<struct<`from`:int,`to`:int>>, kept string")

@@ -49,6 +49,27 @@ def test_shared_passages(spark, alphabet):
     check(spark, rows)
 
 
+@pytest.mark.parametrize(("fan", "held"), [(2, 40), (3, 1 << 20)])
+def test_windows_that_meet_in_steps(spark, monkeypatch, fan, held):
+    monkeypatch.setattr(substrings, "FAN", fan)
+    monkeypatch.setattr(substrings, "HELD_NAMES", held)
+    rng = random.Random(fan)
+    hot = [f"h{rng.randrange(40)}" for _ in range(90)]  # in most documents, whole or in part
+    rows = []
+    for i in range(60):
+        a, b = rng.randint(0, 20), rng.randint(60, 90)
+        rows.append((rng.randrange(10**9), " ".join([f"x{i}"] * rng.randint(0, 3) + hot[a:b] + [f"y{i}"] * rng.randint(0, 60))))
+    check(spark, rows)
+
+
+def test_names_of_many_buckets_are_dealt_in_the_time_of_what_there_is():
+    import numpy as np
+
+    bucket = np.array([10**9, 5, 10**9, 0, 5])
+    assert [(b, r.tolist()) for b, r in substrings._by_bucket(bucket)] == [(0, [3]), (5, [1, 4]), (10**9, [0, 2])]
+    assert list(substrings._by_bucket(bucket[:0])) == []
+
+
 def test_awkward_rows(spark, empty):
     check(spark, [*AWKWARD, (0, AWKWARD[9][1]), (None, AWKWARD[9][1])])
     assert substrings.without_repeats(empty).count() == 0
