@@ -149,6 +149,33 @@ def masked_labels(sources: Column | str, targets: Column | str, limit: int, igno
     return F.aggregate(pairs, empty, fold)
 
 
+def trained_turns(sources: Column | str, targets: Column | str, limit: int, end: int, ignore: int = -100, on_sources: bool = False) -> Column:
+    """(input_ids, labels) of turn pairs of token ids, each pair closed by an end token.
+
+    A pair's source and target may take the shares of ``limit`` that they have of the pair, the
+    target one less for the end token; an end token that opens a source or closes a target goes. The first
+    pair that doesn't fit ends the dialogue. Sources are masked unless ``on_sources``; a pair without
+    tokens is left out.
+    """
+    pairs = F.filter(F.arrays_zip(column(sources).alias("s"), column(targets).alias("t")), lambda p: F.size(p["s"]) + F.size(p["t"]) > 0)
+    none = F.array().cast("array<int>")
+    start = F.struct(none.alias("input_ids"), none.alias("labels"), F.lit(False).alias("full"))
+
+    def fold(done: Column, p: Column) -> Column:
+        n, m = F.size(p["s"]), F.size(p["t"])
+        share = lambda x: F.floor(F.lit(limit) * (x / (n + m))).cast("int")
+        s, t = F.slice(p["s"], 1, F.least(n, share(n))), F.slice(p["t"], 1, F.greatest(F.least(m, share(m) - 1), F.lit(0)))
+        s = F.when(F.get(s, F.lit(0)) == end, F.slice(s, 2, F.size(s))).otherwise(s)
+        t = F.when(F.get(t, F.size(t) - 1) == end, F.slice(t, 1, F.size(t) - 1)).otherwise(t)
+        full = done["full"] | (F.size(done["input_ids"]) + F.size(s) + F.size(t) + 1 > limit)
+        close = F.array(F.lit(end))
+        said = s if on_sources else F.array_repeat(F.lit(ignore), F.size(s))
+        more = F.struct(F.concat(done["input_ids"], s, t, close).alias("input_ids"), F.concat(done["labels"], said, t, close).alias("labels"), F.lit(False).alias("full"))
+        return F.when(full, F.struct(done["input_ids"].alias("input_ids"), done["labels"].alias("labels"), F.lit(True).alias("full"))).otherwise(more)
+
+    return F.aggregate(pairs, start, fold, lambda done: F.struct(done["input_ids"].alias("input_ids"), done["labels"].alias("labels")))
+
+
 def learnable(labels: Column | str, ignore: int = -100) -> Column:
     """Is any label not masked?"""
     return F.exists(column(labels), lambda x: x != ignore)

@@ -69,27 +69,86 @@ def required_metadata(fields: tuple[str, ...], strict: bool = True) -> dict[str,
     return {f"missing_metadata_{f}": ("error" if strict else "warning", F.coalesce(F.col(f).cast("string"), F.lit("")) == "") for f in fields}
 
 
-def audit(df: DataFrame, turns: str, id_col: str, group_col: str, split: str, tools: tuple[str, ...], max_distance: int = 3) -> DataFrame:
-    """code, severity, key of everything that speaks against a dataset: rules for rows, repeated
-    ids, groups and contents over splits, near copies in and over splits, personal data.
-
-    ``turns`` is an array of (from, value). The dataset passes if no row is an error.
+#: What a code means to people who read a report.
+SAID = {
+    "empty_dataset": "the dataset has no rows",
+    "empty_conversation": "a conversation has no turns",
+    "invalid_role": "a turn's role isn't a known one",
+    "empty_value": "a turn says nothing",
+    "invalid_tool_call": "a call isn't a JSON object with a name",
+    "unknown_tool": "a call names a tool that isn't offered",
+    "unpaired_tool_turn": "calls and observations differ in number",
+    "missing_final_answer": "the last turn isn't an answer",
+    "unknown_split": "the split is none of train, validation and test",
+    "empty_text": "there is no text",
+    "pii_detected": "the text holds personal data",
+    "missing_metadata": "required metadata are missing",
+    "duplicate_sample_id": "an id is used more than once",
+    "group_split_leakage": "a group has rows in several splits",
+    "content_split_leakage": "a content is in several splits",
+    "exact_duplicate": "a content occurs more than once",
+    "near_duplicate_split_leakage": "near copies are in different splits",
+    "near_duplicate": "near copies are in one split",
+}
+
+
+def audit(
+    df: DataFrame, turns: str, id_col: str, group_col: str, split: str, tools: tuple[str, ...], max_distance: int = 3, required: tuple[str, ...] = (), strict: bool = True, most_pairs: int | None = None
+) -> DataFrame:
+    """code, severity, key, message of everything that speaks against a dataset: no rows at all, rules for rows,
+    metadata that are ``required`` (an error if ``strict``, else a warning), repeated ids, groups and contents over
+    splits, near copies in and over splits, personal data.
+
+    ``turns`` is an array of (from, value). The dataset passes if no row is an error. With ``most_pairs``
+    only so many pairs of near copies are named, errors first, and ``near_duplicates_truncated`` (a
+    warning) says so.
     """
     from .dedup import simhash
 
     text = normalized(transcript(turns, "from", "value"))
-    rows = df.select(F.col(id_col).alias("id"), F.col(group_col).alias("grp"), F.col(split).alias("split"), F.col(turns).alias("turns"), text.alias("norm"))
+    lacking = F.array_compact(F.array(*[F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) == "", F.lit(c)) for c in required])) if required else F.array().cast("array<string>")
+    rows = df.select(F.col(id_col).alias("id"), F.col(group_col).alias("grp"), F.col(split).alias("split"), F.col(turns).alias("turns"), text.alias("norm"), lacking.alias("lacking"))
     rows = rows.withColumn("hash", content_hash("norm"))
     rules = dialogue_rules("turns", tools) | {
         "unknown_split": ("error", ~F.coalesce("split", F.lit("")).isin("train", "validation", "test")),
         "empty_text": ("error", F.coalesce("norm", F.lit("")) == ""),
         "pii_detected": ("error", F.size(personal.types("norm")) > 0),
+        "missing_metadata": ("error" if strict else "warning", F.size("lacking") > 0),
     }
     out = issues(rows, ["id"], rules).select("code", "severity", F.col("id").cast("string").alias("key"))
     out = out.unionByName(duplicate_keys(rows, F.col("id"), "duplicate_sample_id").select("code", "severity", F.col("key").cast("string").alias("key")))
     out = out.unionByName(group_leakage(rows, F.col("grp"), "split").select(F.lit("group_split_leakage").alias("code"), F.lit("error").alias("severity"), F.col("key").cast("string").alias("key")))
     out = out.unionByName(content_leakage(rows, F.col("hash"), "split").select("code", "severity", "key"))
-    return out.unionByName(near_issues(rows.where("norm <> ''").select("hash", simhash("norm").alias("fp"), "split"), max_distance))
+    empty = df.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("empty_dataset").alias("code"), F.lit("error").alias("severity"), F.lit("").alias("key"))
+    near = near_issues(rows.where("norm <> ''").select("hash", simhash("norm").alias("fp"), "split"), max_distance)
+    if most_pairs is not None:
+        some = near.orderBy(F.col("severity"), "key", "code").limit(most_pairs + 1)
+        more = some.agg(F.count("*").alias("n")).where(F.col("n") > most_pairs).select(F.lit("near_duplicates_truncated").alias("code"), F.lit("warning").alias("severity"), F.lit("").alias("key"))
+        near = some.orderBy(F.col("severity"), "key", "code").limit(most_pairs).unionByName(more)
+    said = F.element_at(F.create_map(*[F.lit(x) for kv in SAID.items() for x in kv]), F.col("code"))
+    return out.unionByName(empty).unionByName(near).withColumn("message", F.coalesce(said, F.col("code")))
+
+
+def report(df: DataFrame, issues_: DataFrame, split: str, text: Column, source: str | None = None, scenario: str | None = None) -> DataFrame:
+    """One row: row_count, passed, content_set_sha256, maps of counts by split, source, scenario, code and severity, and
+    the lengths' least, median, 95th percentile and largest."""
+    from ..sources.sinks import content_set_hash
+
+    def counted(t: DataFrame, key: Column, name: str) -> DataFrame:
+        per = t.groupBy(F.coalesce(key.cast("string"), F.lit("unknown")).alias("k")).agg(F.count("*").alias("n"))
+        return per.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias(name))  # an entry for each value
+
+    size = F.char_length(text).alias("n_chars")
+    lengths = df.select(size).agg(
+        F.count("*").alias("row_count"), F.min("n_chars").alias("least_chars"), F.percentile("n_chars", F.lit(0.5)).alias("median_chars"), F.percentile("n_chars", F.lit(0.95)).alias("p95_chars"), F.max("n_chars").alias("most_chars")
+    )
+    out = lengths.crossJoin(counted(df, F.col(split), "split_counts"))  # tables of one row each
+    out = out.crossJoin(content_set_hash(df, content_hash(normalized(text))).select("content_set_sha256"))
+    for c, name in ((source, "source_counts"), (scenario, "scenario_counts")):
+        if c:
+            out = out.crossJoin(counted(df, F.col(c), name))
+    out = out.crossJoin(counted(issues_, F.col("code"), "issue_counts")).crossJoin(counted(issues_, F.col("severity"), "severity_counts"))
+    return out.withColumn("passed", ~F.map_contains_key("severity_counts", F.lit("error")))
 
 
 def near_issues(rows: DataFrame, max_distance: int) -> DataFrame:

@@ -17,6 +17,9 @@ from ..sources.sinks import checkpointed
 GRAM = 4
 #: Bits of a fingerprint are cut into six blocks; two that differ in three bits at most agree on three of them.
 BLOCKS, AGREEING = 6, 3
+#: Buckets of up to so many fingerprints are compared pair by pair where only classes are asked for; larger ones through
+#: the fingerprints one and two bits away from theirs, whose number doesn't depend on the bucket's.
+PAIRWISE = 500
 
 
 def exact_groups(df: DataFrame, key: Column, id_col: str, split: str | None = None) -> DataFrame:
@@ -100,18 +103,30 @@ def near_links(df: DataFrame, id_col: str, hash_col: str, print_col: str, distan
     return copies.union(same).union(near)
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _masks() -> list[int]:
+    edges = [round(i * 64 / BLOCKS) for i in range(BLOCKS + 1)]
+    return [_signed(sum(1 << b for k in chosen for b in range(edges[k], edges[k + 1]))) for chosen in combinations(range(BLOCKS), AGREEING)]
+
+
+def _keyed(prints: DataFrame, masks: list[int]) -> DataFrame:
+    """fp, c, k: each fingerprint at its bits of each choice of blocks."""
+    keys = F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)])
+    return prints.select("fp", F.explode(keys).alias("x")).select("fp", "x.c", "x.k")
+
+
 def fingerprint_links(prints: DataFrame, distance: int) -> DataFrame:
     """a < b, bits: different fingerprints (column fp, distinct) at up to ``distance`` bits.
 
     Each is keyed by all choices of three blocks (32 bits or so), so that unrelated ones
     rarely meet however many there are.
     """
-    edges = [round(i * 64 / BLOCKS) for i in range(BLOCKS + 1)]
-    masks = [sum(1 << b for k in chosen for b in range(edges[k], edges[k + 1])) for chosen in combinations(range(BLOCKS), AGREEING)]
-    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)])
+    masks = _masks()
     # Both sides of the join read the table that is written here; fingerprints are made once.
-    keyed = checkpointed(prints.select("fp")).select("fp", F.explode(keys).alias("x")).select("fp", "x.c", "x.k")
+    keyed = _keyed(checkpointed(prints.select("fp")), masks)
     l, r = keyed.withColumnRenamed("fp", "a"), keyed.withColumnRenamed("fp", "b")
     pairs = l.join(r, ["c", "k"]).where("a < b")
     differ = F.col("a").bitwiseXOR(F.col("b"))
@@ -121,6 +136,90 @@ def fingerprint_links(prints: DataFrame, distance: int) -> DataFrame:
     return pairs.where((bits <= distance) & (F.col("c") == first)).select("a", "b", bits.alias("bits"))
 
 
+def spanning_links(prints: DataFrame, distance: int = 3) -> DataFrame:
+    """a, b: links between fingerprints (column fp, distinct) at up to ``distance`` bits (0 to 3) whose classes are those
+    of all such links.
+
+    A bucket of up to PAIRWISE is compared pair by pair. In a larger one each fingerprint
+    names what is one bit away from it, and two bits for distance 3; two that are within
+    the distance name one in common, and those that name the same are linked through one of
+    them. So work grows in proportion to the fingerprints, however close they lie.
+    """
+    if not 0 <= distance <= 3:
+        raise ValueError("the blocks find all pairs at 0 to 3 bits")
+    masks = _masks()
+    keyed = _keyed(checkpointed(prints.select("fp")), masks)
+    sizes = keyed.groupBy("c", "k").agg(F.count("*").alias("n")).where("n > 1")
+    met = checkpointed(keyed.join(sizes, ["c", "k"]))
+    few = met.where(F.col("n") <= PAIRWISE)
+    l, r = few.select("c", "k", F.col("fp").alias("a")), few.select("c", "k", F.col("fp").alias("b"))
+    pairs = l.join(r, ["c", "k"]).where("a < b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance).select("a", "b").distinct()
+    many = met.where(F.col("n") > PAIRWISE).select("fp", "c")
+    flips = []
+    for c, m in enumerate(masks):
+        free = [1 << b for b in range(64) if not m >> b & 1]
+        flips += [(c, 0, 0)] + [(c, 1, _signed(x)) for x in free if distance] + [(c, 2, _signed(x | y)) for x, y in combinations(free, 2) if distance == 3]
+    offs = prints.sparkSession.createDataFrame(flips, "c int, d int, f long")
+    named = many.join(F.broadcast(offs), "c").select("fp", "c", "d", F.col("fp").bitwiseXOR(F.col("f")).alias("ball"))  # 10,600 rows at most
+    # Nearest first: what is one bit off the middle is two bits at most from its like, and three from what is two bits off.
+    hubs = named.groupBy("c", "ball").agg(F.min(F.struct("d", "fp")).alias("hub"), F.count("*").alias("n")).where(F.col("n") > 1).select("c", "ball", "hub")
+    hubs = hubs.where(F.col("hub.d") <= (1 if distance > 1 else 0))
+    balls = named.join(hubs, ["c", "ball"]).where(F.col("d") + F.col("hub.d") <= distance).select(F.col("fp").alias("a"), F.col("hub.fp").alias("b")).where("a <> b").distinct()
+    return pairs.union(balls)
+
+
+def near_classes(df: DataFrame, id_col: str, hash_col: str, print_col: str, distance: int = 3) -> DataFrame:
+    """id, class_id, n_copies, n_same: the class of each row under links at up to ``distance`` bits.
+
+    ``class_id`` is the smallest id that links lead to, the row's own included; ``n_copies``
+    how many other rows have its content, ``n_same`` how many other contents its fingerprint. A row without
+    a content or a fingerprint is alone in its class and has null counts. One row for each row;
+    nothing grows with the square of a class.
+    """
+    rows = checkpointed(df.select(F.col(id_col).alias("id"), F.col(hash_col).alias("hash"), F.col(print_col).alias("fp")))
+    told = rows.where("hash is not null and fp is not null")
+    contents = checkpointed(told.groupBy("fp", "hash").agg(F.min("id").alias("first"), F.count("*").alias("rows")))
+    heads = checkpointed(contents.groupBy("fp").agg(F.min("first").alias("head"), F.count("*").alias("contents")))
+    parts = components(spanning_links(heads.select("fp"), distance))
+    held = heads.join(parts, heads.fp == parts.node, "left").withColumn("root", F.coalesce("root", "fp"))
+    least = held.groupBy("root").agg(F.min("head").alias("class_id"))
+    classes = held.join(least, "root").select(F.col("fp").alias("f"), "class_id", "contents")
+    counts = contents.select(F.col("fp").alias("g"), F.col("hash").alias("h"), "rows")
+    out = rows.join(counts, (F.col("fp") == F.col("g")) & (F.col("hash") == F.col("h")), "left").join(classes, F.col("g") == F.col("f"), "left")
+    return out.select("id", F.coalesce("class_id", "id").alias("class_id"), (F.col("rows") - 1).alias("n_copies"), (F.col("contents") - 1).alias("n_same"))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """node, root for every node of a table of links a, b (long, not null); root is the least node it is linked to.
+
+    Rounds of large and small stars: each node points its larger neighbours, then its smaller
+    ones, at the least it sees. Each round is written, so a lost executor costs one round;
+    their number grows with the logarithm of the longest chain. Repeated links and links from
+    a node to itself are allowed; without links the result is empty.
+    """
+
+    def proper(t: DataFrame) -> DataFrame:
+        return t.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+    def mark(t: DataFrame) -> tuple:
+        return tuple(t.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+
+    now = checkpointed(proper(links))
+    seen = mark(now)
+    while True:
+        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least"))
+        large = proper(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")))
+        least = large.groupBy("a").agg(F.min("b").alias("least"))
+        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))).alias("x"))
+        now = checkpointed(proper(small.select("x.a", "x.b")))
+        last, seen = seen, mark(now)
+        if seen == last:
+            break
+    leaves = now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
+    return leaves.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
 def near_keep(df: DataFrame, id_col: str, print_col: str, priority: Column, distance: int = 3) -> DataFrame:
     """``accepted``: the greedy choice in the order (priority, id) that takes a row unless it is
     within ``distance`` bits of one taken before; not components: a row near to a rejected

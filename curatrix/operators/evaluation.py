@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import actions
@@ -64,13 +64,15 @@ def evaluate(cases: DataFrame, traces: DataFrame) -> DataFrame:
     term_groups (array of arrays), assertions (array of path, equals as JSON), inputs (JSON).
     traces: case_id, calls, codes, answer, parse_errors, evidence (JSON), state_after
     (JSON), termination_reason. A case without a trace fails with missing_trace and null
-    checks. Repeated or unknown case ids in traces raise ValueError.
+    checks. Repeated or unknown case ids in traces raise an error when the result is read.
     """
-    bad = traces.groupBy("case_id").agg(F.count("*").alias("n")).join(cases.select("case_id", F.lit(1).alias("known")), "case_id", "left").where("n > 1 or known is null")
-    if not bad.isEmpty():
-        raise ValueError("traces have repeated or unknown cases")
     t = traces.select("case_id", *[F.col(c).alias(f"t_{c}") for c in traces.columns if c != "case_id"], F.lit(True).alias("traced"))
-    j = cases.join(t, "case_id", "left")
+    # One join tells cases without a trace and traces without a case; the guard costs no pass of its own.
+    nth = F.row_number().over(Window.partitionBy("case_id").orderBy("t_calls"))
+    own = cases.withColumn("__case", F.lit(True))
+    j = own.join(t.withColumn("__nth", nth), "case_id", "full_outer")
+    bad = F.col("__case").isNull() | (F.coalesce("__nth", F.lit(1)) > 1)
+    j = j.withColumn("case_id", F.when(bad, F.raise_error(F.lit("traces have repeated or unknown cases")).cast(cases.schema["case_id"].dataType)).otherwise(F.col("case_id")))
     actual, wanted = canonical_calls(F.col("t_calls")), F.transform("acceptable", canonical_calls)
     wanted = F.when(F.size(wanted) > 0, wanted).otherwise(F.array(F.array().cast(CALLS)))
     names = lambda calls: F.transform(calls, lambda c: c["name"])
@@ -142,8 +144,6 @@ def first_divergence(turns: DataFrame, expected: DataFrame) -> DataFrame:
     case_id, calls, answer. ``reason`` is selected, or why there is no pair. The calls
     before a turn are counted by a window over the case; a case's turns are few.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy("case_id").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
     n = F.when(F.col("kind") == "tool_calls", F.greatest(F.size("calls"), F.lit(0))).otherwise(0)
     e = expected.select("case_id", canonical_calls(F.col("calls")).alias("wanted"), "answer")
@@ -194,23 +194,5 @@ def margin(chosen_sum: Column, chosen_n: Column, rejected_sum: Column, rejected_
     return F.try_divide(chosen_sum, chosen_n) - F.try_divide(rejected_sum, rejected_n)
 
 
-def counterfactuals(rows: DataFrame, calls: str, answer: str, id_col: str) -> DataFrame:
-    """Pairs from good trajectories: one for the answer, one for the first decision, one premature stop for
-    each later call, and one with a wrong argument for each call."""
-    n = F.size(calls)
-    text = lambda c: actions.formatted(c["name"], c["arguments"])
-    stop = F.lit("")
-    pair = lambda level, i, good, wrong, error: F.struct(F.lit(level).alias("level"), i.cast("int").alias("target"), good.alias("chosen"), wrong.alias("rejected"), F.lit(error).alias("primary_error"))
-    wrong = lambda c: F.struct(c["name"].alias("name"), F.regexp_replace(c["arguments"], r'("order_id"\s*:\s*")[^"]*"', r'$1EC-0000"').alias("arguments"))
-    c = F.col(calls)
-    made = F.concat(
-        F.array(pair("response", n, F.col(answer), stop, "incomplete_resolution")),
-        F.when(n > 0, F.array(pair("decision", F.lit(0), text(F.get(c, F.lit(0))), F.col(answer), "premature_stop"))).otherwise(F.array()),
-        F.transform(F.slice(c, 2, F.greatest(n - 1, F.lit(0))), lambda x, i: pair("decision", i + 1, text(x), F.col(answer), "premature_stop")),
-        F.transform(c, lambda x, i: pair("parameter", i, text(x), text(wrong(x)), "invalid_argument")),
-    )
-    return rows.select(id_col, F.explode(made).alias("p")).select(id_col, "p.*")
-
-
 def state_at(document: Column | str, path: str) -> Column:
     return dotted(column(document), path)

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import rank
+
 
 def rate(flag: Column) -> Column:
     """Share of true; absent counts as false."""
@@ -110,14 +112,16 @@ def same_cases(runs: DataFrame, run: str, case: str) -> None:
         raise ValueError("runs differ in their cases")
 
 
-def bootstrap_exact(df: DataFrame, group: str, value: str, resamples: int, seed: int, confidence: float = 0.95) -> DataFrame:
+def bootstrap_exact(df: DataFrame, group: str, value: str, order: str, resamples: int, seed: int, confidence: float = 0.95) -> DataFrame:
     """Mean and percentile interval by resampling with the standard library's generator.
 
-    A group's values are one task's: for the sizes at which this is run, a few thousand.
+    The values are taken in ``order``, ties by value, so partitions don't matter. A group's
+    values are one task's: for the sizes at which this is run, a few thousand; tables of any
+    size go through ``bootstrap_hashed``.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.sort_values(["__order"])["v"].tolist()
+        v = pdf.sort_values(["__order", "v"])["v"].tolist()
         rng, n = random.Random(seed), len(v)
         means = sorted(sum(v[rng.randrange(n)] for _ in range(n)) / n for _ in range(resamples))
         at = lambda p: _between(means, p)
@@ -125,7 +129,7 @@ def bootstrap_exact(df: DataFrame, group: str, value: str, resamples: int, seed:
         return pd.DataFrame({group: [pdf[group].iloc[0]], "mean": [sum(v) / n], "low": [at(tail)], "high": [at(1 - tail)]})
 
     kind = df.schema[group].dataType.simpleString()
-    src = df.select(group, F.col(value).cast("double").alias("v"), F.monotonically_increasing_id().alias("__order"))
+    src = df.select(group, F.col(value).cast("double").alias("v"), F.col(order).alias("__order"))
     return src.groupBy(group).applyInPandas(one, f"`{group}` {kind}, mean double, low double, high double")
 
 
@@ -139,15 +143,20 @@ def _between(ordered: list[float], p: float) -> float:
 def bootstrap_hashed(df: DataFrame, key: str, value: str, resamples: int, seed: str, confidence: float = 0.95) -> DataFrame:
     """Poisson bootstrap for tables of any size: each row counts 0, 1, 2, ... times in a resample.
 
-    The count is drawn from a hash of (seed, resample, key); sums of all resamples are made
-    in one pass with a partial aggregation, so nothing but ``resamples`` rows is shuffled.
+    A row's number comes from a hash of (seed, key), once; the resample's line over it modulo
+    a prime, whose slope and offset are hashed too, is the draw. Sums of all resamples are
+    made in one pass with a partial aggregation, so nothing but ``resamples`` rows is shuffled.
     """
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col("b"), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    prime = F.lit((1 << 31) - 1).cast("bigint")
+    number = lambda *parts: F.conv(F.substring(rank(F.lit(seed), *parts), 1, 8), 16, 10).cast("bigint")
+    lines = df.sparkSession.range(resamples).select(F.col("id").alias("b"), (number(F.lit("a"), "id") % (prime - 1) + 1).alias("a"), (number(F.lit("c"), "id") % prime).alias("c"))
+    u = ((F.col("x.a") * F.col("r") + F.col("x.c")) % prime) / prime.cast("double")
     #: Cumulative Poisson probabilities of mean 1.
     steps = (0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518, 0.99991675885, 0.99998975081)
     times = sum(((u >= s).cast("int") for s in steps), F.lit(0))
-    rows = df.select(key, F.col(value).cast("double").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
-    means = rows.withColumn("t", times).groupBy("b").agg((F.sum(F.col("t") * F.col("v")) / F.sum("t")).alias("m"))
+    drawn = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("bac", r, strict=True)]) for r in lines.orderBy("b").collect()])  # a line for each resample
+    rows = df.select(F.col(value).cast("double").alias("v"), (number(key) % prime).alias("r")).select("v", "r", F.explode(drawn).alias("x"))
+    means = rows.withColumn("t", times).groupBy(F.col("x.b").alias("b")).agg((F.sum(F.col("t") * F.col("v")) / F.sum("t")).alias("m"))
     tail = (1 - confidence) / 2
     return means.agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"), F.count("*").alias("resamples"))
 

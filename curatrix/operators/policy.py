@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import copy
+import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,27 +29,88 @@ TOOLS = {
     "check_return_policy": (("order_id", None), ("issue_type", tuple(RULES))),
     "create_after_sales_request": (("order_id", None), ("request_type", REQUEST_TYPES), ("reason", tuple(RULES))),
 }
+# What an answer says beside its code.
+MESSAGES = {
+    "UNKNOWN_TOOL": "未定义工具：{0}",
+    "not_object": "arguments 必须是 JSON object。",
+    "missing": "缺少必填参数：{0}。",
+    "unexpected": "包含未定义参数：{0}。",
+    "type": "参数 {0} 必须是字符串。",
+    "blank": "参数 {0} 不能为空。",
+    "enum": "参数 {0} 不在允许值中：{1!r}。",
+    "pattern": "参数 {0} 格式不合法：{1!r}。",
+    "ORDER_NOT_FOUND": "未找到该订单。",
+    "IDENTITY_NOT_VERIFIED": "用户身份尚未核验，不能创建售后申请。",
+    "DUPLICATE_REQUEST": "该订单已有售后申请，不能重复创建。",
+    "REQUEST_TYPE_NOT_ALLOWED": "当前问题不支持所选售后类型。",
+    "UNSUPPORTED_ISSUE_TYPE": "未配置该问题类型的售后政策。",
+    "ORDER_NOT_PAID": "订单尚未支付，不能申请售后。",
+    "ORDER_NOT_DELIVERED": "订单尚未签收。",
+    "RETURN_WINDOW_EXPIRED": "已超过 {0} 天无理由退货时效。",
+    "ELIGIBLE": "符合当前售后政策。",
+}
 
 
-def rules(spark: SparkSession) -> DataFrame:
-    """The rules as a table of five rows."""
-    rows = [(k, list(a), d, w, e) for k, (a, d, w, e) in RULES.items()]
+@dataclass(frozen=True)
+class Policy:
+    """Rules and tool schemas that decisions and simulators follow; the defaults are the versioned ones above."""
+
+    version: str = POLICY_VERSION
+    window: int = RETURN_WINDOW_DAYS
+    payment_statuses: tuple[str, ...] = PAYMENT_STATUSES
+    rules: dict[str, tuple] = field(default_factory=lambda: dict(RULES))
+    #: tool: argument: the keys of its JSON schema that are checked (type, enum, pattern)
+    tools: dict[str, dict[str, dict]] = field(default_factory=lambda: {t: {a: {"type": "string", "enum": e} if e else {"type": "string", "pattern": ORDER_PATTERN} for a, e in f} for t, f in TOOLS.items()})
+    optional: frozenset[tuple[str, str]] = frozenset()
+    #: tools that also take arguments without a schema
+    free: frozenset[str] = frozenset()
+
+    @classmethod
+    def from_config(cls, tools: dict, policies: dict) -> Policy:
+        """From the JSON objects of a tool list and of a policy; raises ValueError unless the tools are the known ones."""
+        listed = tools.get("tools") if isinstance(tools, dict) else None
+        schemas = {t.get("name"): t.get("parameters", {}) for t in listed or () if isinstance(t, dict)}
+        if set(schemas) != set(TOOLS):
+            raise ValueError(f"the tools must be {', '.join(sorted(TOOLS))}")
+        if not isinstance(policies.get("rules"), dict) or not policies["rules"]:
+            raise ValueError("a policy needs rules")
+        known = {t: x.get("properties", {}) for t, x in schemas.items()}
+        return cls(
+            policies["policy_version"],
+            policies["return_window_days"],
+            tuple(policies["eligible_payment_statuses"]),
+            {k: (tuple(r["allowed_request_types"]), bool(r.get("requires_delivery")), bool(r.get("enforce_return_window")), bool(r.get("evidence_required"))) for k, r in policies["rules"].items()},
+            known,
+            frozenset((t, a) for t, x in schemas.items() for a in known[t] if a not in x.get("required", [])),
+            frozenset(t for t, x in schemas.items() if x.get("additionalProperties") is not False),
+        )
+
+
+DEFAULT = Policy()
+
+
+def rules(spark: SparkSession, policy: Policy = DEFAULT) -> DataFrame:
+    """The rules as a table of a row each."""
+    rows = [(k, list(a), d, w, e) for k, (a, d, w, e) in policy.rules.items()]
     return spark.createDataFrame(rows, "issue_type string, allowed_request_types array<string>, requires_delivery boolean, enforce_return_window boolean, evidence_required boolean")
 
 
-def decision(orders: DataFrame, issue: str = "issue_type") -> DataFrame:
-    """``orders`` with eligible, reason_code, allowed_request_types and evidence_required.
+DECISIONS = ("UNSUPPORTED_ISSUE_TYPE", "ORDER_NOT_PAID", "ORDER_NOT_DELIVERED", "RETURN_WINDOW_EXPIRED", "ELIGIBLE")
+
+
+def decision(orders: DataFrame, issue: str = "issue_type", policy: Policy = DEFAULT) -> DataFrame:
+    """``orders`` with eligible, reason_code, allowed_request_types, evidence_required and message.
 
     orders: payment_status, fulfillment_status, days_since_delivery, and the issue's type.
     The first reason that applies counts: unsupported issue, not paid, not delivered,
     window over (an unknown number of days too).
     """
-    r = rules(orders.sparkSession).withColumnRenamed("issue_type", "__issue").withColumn("__known", F.lit(True))
-    joined = orders.join(F.broadcast(r), F.col(issue) == F.col("__issue"), "left")  # five rows
-    late = F.col("enforce_return_window") & (F.col("days_since_delivery").isNull() | (F.col("days_since_delivery") > RETURN_WINDOW_DAYS))
+    r = rules(orders.sparkSession, policy).withColumnRenamed("issue_type", "__issue").withColumn("__known", F.lit(True))
+    joined = orders.join(F.broadcast(r), F.col(issue) == F.col("__issue"), "left")  # a row for each rule
+    late = F.col("enforce_return_window") & (F.col("days_since_delivery").isNull() | (F.col("days_since_delivery") > policy.window))
     code = (
         F.when(F.col("__known").isNull(), "UNSUPPORTED_ISSUE_TYPE")
-        .when(~F.coalesce(F.col("payment_status").isin(*PAYMENT_STATUSES), F.lit(False)), "ORDER_NOT_PAID")
+        .when(~F.coalesce(F.col("payment_status").isin(*policy.payment_statuses), F.lit(False)), "ORDER_NOT_PAID")
         .when(F.col("requires_delivery") & ~F.col("fulfillment_status").eqNullSafe(F.lit("delivered")), "ORDER_NOT_DELIVERED")
         .when(late, "RETURN_WINDOW_EXPIRED")
         .otherwise("ELIGIBLE")
@@ -58,6 +122,7 @@ def decision(orders: DataFrame, issue: str = "issue_type") -> DataFrame:
         ok.alias("eligible"),
         F.when(ok, F.col("allowed_request_types")).otherwise(F.array().cast("array<string>")).alias("allowed_request_types"),
         (ok & F.coalesce("evidence_required", F.lit(False))).alias("evidence_required"),
+        F.coalesce(*[F.when(code == c, F.lit(MESSAGES[c].format(policy.window))) for c in DECISIONS]).alias("message"),
     )
 
 
@@ -87,36 +152,67 @@ def argument_error(tool: Column, arguments: Column) -> Column:
 class Simulator:
     """Orders of one case; calls are answered and may add a request to an order."""
 
-    def __init__(self, orders: dict[str, dict]):
-        self.orders = {k: dict(v) for k, v in orders.items()}
+    def __init__(self, orders: dict[str, dict], policy: Policy = DEFAULT):
+        self.orders, self.policy = copy.deepcopy(orders), policy
+
+    @classmethod
+    def of_scenarios(cls, scenarios: dict, policy: Policy = DEFAULT) -> Simulator:
+        """From a JSON object with a list of orders; raises ValueError for an order without an id or with another's."""
+        listed = scenarios.get("orders")
+        ids = [o.get("order_id") if isinstance(o, dict) else None for o in listed] if isinstance(listed, list) else [None]
+        if not all(isinstance(i, str) for i in ids) or len(set(ids)) < len(ids):
+            raise ValueError("each order needs an order_id of its own")
+        return cls(dict(zip(ids, listed, strict=True)), policy)
+
+    def snapshot(self) -> dict[str, dict]:
+        """The state as it is now; later calls don't change it."""
+        return copy.deepcopy(self.orders)
 
     def call(self, tool: str, args) -> dict:
+        if tool not in self.policy.tools:
+            return self._no(tool, "UNKNOWN_TOOL", MESSAGES["UNKNOWN_TOOL"].format(tool))
         fault = self._fault(tool, args)
         if fault:
-            return self._no(tool, fault)
+            return self._no(tool, "INVALID_ARGUMENTS", fault)
         order = self.orders.get(args["order_id"])
-        failure = ((order or {}).get("tool_failures") or {}).get(tool)
-        if failure:
-            return self._no(tool, failure["code"], bool(failure.get("retryable")))
         if order is None:
-            return self._no(tool, "ORDER_NOT_FOUND")
-        return {"ok": True, "tool": tool, "data": data} if isinstance(data := getattr(self, f"_{tool}")(order, args), dict) else self._no(tool, data)
+            return self._no(tool, "ORDER_NOT_FOUND", MESSAGES["ORDER_NOT_FOUND"])
+        failure = (order.get("tool_failures") or {}).get(tool)
+        if isinstance(failure, dict):
+            return self._no(tool, failure["code"], failure.get("message", ""), bool(failure.get("retryable")))
+        made = getattr(self, f"_{tool}")(order, args)
+        return {"ok": True, "tool": tool, "data": copy.deepcopy(made)} if isinstance(made, dict) else self._no(tool, made, MESSAGES[made].format(self.policy.window))
 
     @staticmethod
-    def _no(tool: str, code: str, retryable: bool = False) -> dict:
-        return {"ok": False, "tool": tool, "error": {"code": code, "retryable": retryable}}
+    def _no(tool: str, code: str, message: str, retryable: bool = False) -> dict:
+        return {"ok": False, "tool": tool, "error": {"code": code, "message": message, "retryable": retryable}}
+
+    def _fault(self, tool: str, args) -> str | None:
+        """What is wrong with a call's arguments: absent ones, then unknown ones, then their values in turn."""
+        if not isinstance(args, dict):
+            return MESSAGES["not_object"]
+        known = self.policy.tools[tool]
+        absent = sorted(a for a in known if a not in args and (tool, a) not in self.policy.optional)
+        strange = sorted(set(args) - set(known)) if tool not in self.policy.free else []
+        for kind, names in (("missing", absent), ("unexpected", strange)):
+            if names:
+                return MESSAGES[kind].format(", ".join(names))
+        for a, value in args.items():
+            kind = self._bad_value(known.get(a, {}), value)
+            if kind:
+                return MESSAGES[kind].format(a, value)
+        return None
 
     @staticmethod
-    def _fault(tool: str, args) -> str | None:
-        import re
-
-        if tool not in TOOLS:
-            return "UNKNOWN_TOOL"
-        fields = dict(TOOLS[tool])
-        if not isinstance(args, dict) or set(args) != set(fields):
-            return "INVALID_ARGUMENTS"
-        good = all(isinstance(v, str) and (v in fields[a] if fields[a] else bool(re.fullmatch(ORDER_PATTERN, v))) for a, v in args.items())
-        return None if good else "INVALID_ARGUMENTS"
+    def _bad_value(schema: dict, value) -> str | None:
+        is_text = isinstance(value, str)
+        bad = {
+            "type": schema.get("type") == "string" and not is_text,
+            "blank": is_text and not value.strip(),
+            "enum": schema.get("enum") is not None and value not in schema["enum"],
+            "pattern": is_text and "pattern" in schema and not re.fullmatch(schema["pattern"], value),
+        }
+        return next((kind for kind, holds in bad.items() if holds), None)
 
     def _query_order_status(self, order: dict, args: dict) -> dict:
         shown = ("order_id", "payment_status", "fulfillment_status", "days_since_delivery", "item_summary", "after_sales_request")
@@ -126,18 +222,20 @@ class Simulator:
         return self._decided(order, args["issue_type"])
 
     def _decided(self, order: dict, issue: str) -> dict:
-        allowed, delivery, window, evidence = RULES[issue]
+        p = self.policy
+        allowed, delivery, window, evidence = p.rules.get(issue, ((), False, False, False))
         days = order.get("days_since_delivery")
-        if order.get("payment_status") not in PAYMENT_STATUSES:
-            code = "ORDER_NOT_PAID"
-        elif delivery and order.get("fulfillment_status") != "delivered":
-            code = "ORDER_NOT_DELIVERED"
-        elif window and (not isinstance(days, int) or days > RETURN_WINDOW_DAYS):
-            code = "RETURN_WINDOW_EXPIRED"
-        else:
-            code = "ELIGIBLE"
+        holds = (
+            issue not in p.rules,
+            order.get("payment_status") not in p.payment_statuses,
+            delivery and order.get("fulfillment_status") != "delivered",
+            window and (not isinstance(days, int) or days > p.window),
+            True,
+        )
+        code = DECISIONS[holds.index(True)]
         ok = code == "ELIGIBLE"
-        return {"order_id": order["order_id"], "issue_type": issue, "policy_version": POLICY_VERSION, "eligible": ok, "reason_code": code, "allowed_request_types": list(allowed) if ok else [], "evidence_required": ok and evidence}
+        base = {"order_id": order["order_id"], "issue_type": issue, "policy_version": p.version, "eligible": ok, "reason_code": code}
+        return base | {"allowed_request_types": list(allowed) if ok else [], "evidence_required": ok and evidence, "message": MESSAGES[code].format(p.window)}
 
     def _create_after_sales_request(self, order: dict, args: dict) -> dict | str:
         if not order.get("identity_verified"):
@@ -150,7 +248,7 @@ class Simulator:
         if args["request_type"] not in d["allowed_request_types"]:
             return "REQUEST_TYPE_NOT_ALLOWED"
         made = {"request_id": f"ASR-{order['order_id']}-001", "order_id": order["order_id"], "request_type": args["request_type"], "reason": args["reason"], "status": "submitted", "evidence_required": d["evidence_required"]}
-        order["after_sales_request"] = made
+        order["after_sales_request"] = copy.deepcopy(made)
         return made
 
 
@@ -160,15 +258,16 @@ def code_of(observation: dict) -> str:
     return (observation.get("data") or {}).get("reason_code", "OK")
 
 
-TRACE = "case_id string, codes array<string>, final_answer string, termination_reason string, parse_error string, calls string, observations string, state_after string"
+TRACE = "case_id string, codes array<string>, final_answer string, termination_reason string, parse_error string, calls string, observations string, state_before string, state_after string"
 
 
-def rollouts(cases: DataFrame, generate: Callable[[dict, list[dict]], str], max_steps: int = 6) -> DataFrame:
+def rollouts(cases: DataFrame, generate: Callable[[dict, list[dict]], str], max_steps: int = 6, policy: Policy = DEFAULT) -> DataFrame:
     """One trace for each case: case_id, orders (JSON: id to order), and whatever ``generate`` needs.
 
     ``generate(case, messages)`` gives the next output; calls are executed in the case's
     own simulator until a final answer, an output that can't be parsed, or ``max_steps``.
-    Cases are independent, so they are spread as the input is.
+    Cases are independent, so they are spread as the input is. The state is kept as it is
+    before the first and after the last call.
     """
     import json
 
@@ -177,10 +276,12 @@ def rollouts(cases: DataFrame, generate: Callable[[dict, list[dict]], str], max_
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from ..functions.actions import parse
 
+        dump = lambda x: json.dumps(x, ensure_ascii=False, sort_keys=True)
         for pdf in batches:
             out = []
             for case in pdf.to_dict("records"):
-                sim, messages, codes, calls, seen = Simulator(json.loads(case["orders"] or "{}")), [], [], [], []
+                sim, messages, codes, calls, seen = Simulator(json.loads(case["orders"] or "{}"), policy), [], [], [], []
+                before = dump(sim.orders)
                 final, reason, error = None, "max_steps", None
                 for _ in range(max_steps):
                     text = generate(case, messages)
@@ -197,8 +298,8 @@ def rollouts(cases: DataFrame, generate: Callable[[dict, list[dict]], str], max_
                         calls.append({"name": name, "arguments": args})
                         seen.append(got)
                         codes.append(code_of(got))
-                        messages.append({"role": "observation", "content": json.dumps(got, ensure_ascii=False, sort_keys=True)})
-                out.append((case["case_id"], codes, final, reason, error, json.dumps(calls, ensure_ascii=False, sort_keys=True), json.dumps(seen, ensure_ascii=False, sort_keys=True), json.dumps(sim.orders, ensure_ascii=False, sort_keys=True)))
+                        messages.append({"role": "observation", "content": dump(got)})
+                out.append((case["case_id"], codes, final, reason, error, dump(calls), dump(seen), before, dump(sim.orders)))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in TRACE.split(", ")])
 
     return cases.select(*names).mapInPandas(run, TRACE)

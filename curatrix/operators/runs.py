@@ -121,3 +121,51 @@ def token_audit(df: DataFrame, limits: tuple[int, ...], implausible: int, *lengt
     long_ = df.select(pairs).select("x.*").where("tokens is not null")
     ps = [metrics.nearest("tokens", p).alias(f"p{round(p * 100)}") for p in (0.5, 0.9, 0.95, 0.99)]
     return long_.groupBy("field").agg(*metrics.summary("tokens", limits), *ps, (F.max("tokens") > implausible).alias("implausible"))
+
+
+def mining_rows(cases: DataFrame, oracles: DataFrame, traces: DataFrame, results: DataFrame, key: str = "case_id") -> DataFrame:
+    """One row for each case with structs oracle, trace and result; a case that one of them lacks, and a repeated key,
+    raise ValueError."""
+    out = unique(cases, key)
+    for name, t in (("oracle", oracles), ("trace", traces), ("result", results)):
+        if not out.join(unique(t, key), key, "left_anti").isEmpty():
+            raise ValueError(f"a case has no {name}")
+        out = out.join(t.select(F.col(key), F.struct(*[c for c in t.columns if c != key]).alias(name)), key)
+    return out
+
+
+def with_trace_evidence(items: DataFrame, traces: dict[str, DataFrame], key: str = "case_id", evidence: tuple[str, ...] = ("observations", "termination_reason", "parse_errors")) -> DataFrame:
+    """Review items whose structs of each run's name also hold what that run observed; an item without a trace, and a
+    repeated trace, raise ValueError."""
+    out = items
+    for name, t in traces.items():
+        if not out.join(unique(t, key), key, "left_anti").isEmpty():
+            raise ValueError(f"an item has no trace of {name}")
+        seen = t.select(F.col(key), F.struct(*evidence).alias("__seen"))
+        kept = [f.name for f in items.schema[name].dataType.fields if f.name not in evidence]
+        both = F.struct(*[F.col(f"{name}.{c}").alias(c) for c in kept], *[F.col(f"__seen.{c}").alias(c) for c in evidence])
+        out = out.join(seen, key).withColumn(name, both).drop("__seen")
+    return out
+
+
+def stratum(task: Column | str, source: Column | str, scenario: Column | str, split: Column | str, level: Column | str, error: Column | str) -> Column:
+    """Source, scenario and split of a row as one key; of a preference pair (task dpo) its level and error too."""
+    c, missing = column, F.lit("unknown")
+    pair = F.when(c(task) == "dpo", F.concat(F.lit("|"), F.coalesce(c(level), missing), F.lit("|"), F.coalesce(c(error), missing))).otherwise("")
+    return F.concat(F.concat_ws("|", c(source), c(scenario), c(split)), pair)
+
+
+def level_of(*candidates: Column | str, allowed: tuple[str, ...] = ("response", "decision", "parameter")) -> Column:
+    """The first level that is there and not empty; one that isn't allowed, and none, raise an error when it is read."""
+    found = F.coalesce(*[F.when(column(c) != "", column(c)) for c in candidates], F.lit(""))
+    return F.when(found.isin(*allowed), found).otherwise(F.raise_error(F.concat(F.lit("unsupported preference level: "), found)).cast("string"))
+
+
+def review_id(place: Column | str) -> Column:
+    """R and the place (from 1) in three digits or more."""
+    text = column(place).cast("string")
+    return F.concat(F.lit("R"), F.lpad(text, F.greatest(F.length(text), F.lit(3)), F.lit("0")))
+
+
+def pair_id(version: str, case: Column | str, step: Column | str) -> Column:
+    return F.concat(F.lit(f"dpo-v{version}-rollout-"), column(case), F.lit("-step"), column(step).cast("string"))

@@ -44,26 +44,29 @@ def largest_remainder(df: DataFrame, weight: Column, total: int, name: str) -> D
 
 
 def proportional_subset(df: DataFrame, group: str, total: int, order: Column, tie: str) -> DataFrame:
-    """``total`` rows with each group's share of the table, by ``order`` within groups."""
+    """``total`` rows with each group's share of the table, by ``order`` within groups. Null is a group."""
     sizes = df.groupBy(group).agg(F.count("*").alias("n"))
     quotas = largest_remainder(sizes, F.col("n"), total, group).select(group, "quota")
     nth = F.row_number().over(Window.partitionBy(group).orderBy(order, tie))
-    return df.withColumn("nth", nth).where(F.col("nth") <= total).join(quotas, group).where("nth <= quota")
+    placed = df.withColumn("nth", nth).where(F.col("nth") <= total)
+    return placed.join(quotas.withColumnRenamed(group, "__group"), F.col(group).eqNullSafe(F.col("__group"))).where("nth <= quota").drop("__group")
 
 
 def two_level_subset(df: DataFrame, outer: str, inner: str, total: int, order: Column, tie: str) -> DataFrame:
-    """Proportional quotas for ``outer`` groups, then within each for its ``inner`` groups."""
+    """Proportional quotas for ``outer`` groups, then within each for its ``inner`` groups. Null is a group."""
     sizes = df.groupBy(outer, inner).agg(F.count("*").alias("n"))
     by_outer = sizes.groupBy(outer).agg(F.sum("n").alias("n_outer"))
     top = largest_remainder(by_outer, F.col("n_outer"), total, outer).withColumnRenamed("quota", "outer_quota")
     w = Window.partitionBy(outer)
-    both = sizes.join(top, outer).withColumn("__exact", F.col("n") * F.col("outer_quota") / F.col("n_outer"))
+    both = sizes.join(top.withColumnRenamed(outer, "__outer"), F.col(outer).eqNullSafe(F.col("__outer"))).drop("__outer").withColumn("__exact", F.col("n") * F.col("outer_quota") / F.col("n_outer"))
     both = both.withColumn("__floor", F.floor("__exact").cast("long"))
     left = F.col("outer_quota") - F.sum("__floor").over(w)
     nth = F.row_number().over(w.orderBy(F.round(F.col("__exact") - F.col("__floor"), 9).desc(), inner))
     quotas = both.withColumn("quota", F.col("__floor") + (nth <= left).cast("long")).select(outer, inner, "quota")
     place = F.row_number().over(Window.partitionBy(outer, inner).orderBy(order, tie))
-    return df.withColumn("nth", place).where(F.col("nth") <= total).join(quotas, [outer, inner]).where("nth <= quota")
+    named = quotas.withColumnsRenamed({outer: "__outer", inner: "__inner"})
+    same = F.col(outer).eqNullSafe(F.col("__outer")) & F.col(inner).eqNullSafe(F.col("__inner"))
+    return df.withColumn("nth", place).where(F.col("nth") <= total).join(named, same).where("nth <= quota").drop("__outer", "__inner")
 
 
 def split_targets(df: DataFrame, strata: list[str], targets: dict[str, int], split: str, order: Column, tie: str) -> DataFrame:
@@ -97,7 +100,7 @@ def greedy_group_split(df: DataFrame, group: str, salt: str, ratios: tuple[tuple
     walk is sequential by definition; it holds a row for each distinct size and gives out
     runs of turns, never rows.
     """
-    sizes = df.groupBy(group).agg(F.count("*").alias("size"))
+    sizes = df.groupBy(group).agg(F.count("*").alias("size"))  # null is a group
     ranked = positions(sizes.withColumn("hashed", rank(F.lit(salt), group)), "size", "hashed", group)
     runs = ranked.groupBy("size").agg(F.count("*").alias("many"), F.min("position").alias("first"))
     ranked = ranked.join(runs.select("size", "first"), "size").select(group, "size", (F.col("position") - F.col("first") + 1).alias("nth"))
@@ -195,8 +198,12 @@ def occurrence(df: DataFrame, key: str, order: str, offset: int = 0) -> DataFram
     return df.withColumn("occurrence", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1 + offset)
 
 
-def numbered_slice(df: DataFrame, key: str, order: list, offset: int, limit: int) -> DataFrame:
-    """Rows ``offset`` to ``offset + limit`` of each key."""
+def numbered_slice(df: DataFrame, key: str, order: list, offset: int, limit: int, whole: bool = False) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` of each key; with ``whole`` a key that has fewer raises ValueError."""
+    if whole:
+        few = df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") < offset + limit)
+        if not few.isEmpty():
+            raise ValueError(f"a {key} has fewer than {offset + limit} rows")
     nth = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     return df.withColumn("nth", nth).where(F.col("nth").between(offset + 1, offset + limit))
 
@@ -239,8 +246,9 @@ def shards(df: DataFrame, n: int, *order: str) -> DataFrame:
     return placed.withColumn("shard", F.pmod(F.col("position"), F.lit(n)).cast("int")).drop("position")
 
 
-def merged(parts: list[DataFrame], wanted: DataFrame, key: str) -> DataFrame:
-    """The union of shards; raises ValueError unless its keys are unique and exactly the wanted ones."""
+def merged(parts: list[DataFrame], wanted: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """The union of shards; raises ValueError unless its keys are unique and exactly the wanted ones. With ``order``, a
+    column of ``wanted``, the rows come sorted by it."""
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
@@ -248,7 +256,22 @@ def merged(parts: list[DataFrame], wanted: DataFrame, key: str) -> DataFrame:
     bad = counts.join(wanted.select(key).distinct().withColumn("__wanted", F.lit(1)), key, "full_outer").where("n is null or n > 1 or __wanted is null")
     if not bad.isEmpty():
         raise ValueError("shards don't cover the wanted keys exactly once")
-    return out
+    if order is None:
+        return out
+    placed = wanted.select(F.col(key).alias("__key"), F.col(order).alias("__order"))
+    return out.join(placed, F.col(key) == F.col("__key")).orderBy("__order", key).drop("__key", "__order")
+
+
+def shuffled(df: DataFrame, seed: str, key: str, limit: int | None = None) -> DataFrame:
+    """The rows in an order that a seed and a key give, or the first ``limit`` of it; the same for any partitioning."""
+    ordered = df.withColumn("__rank", rank(F.lit(seed), key)).orderBy("__rank", key)
+    return (ordered if limit is None else ordered.limit(limit)).drop("__rank")
+
+
+def seeded_split(df: DataFrame, fraction: float, seed: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """(validation, train) by a hash of a seed and a key: about ``fraction`` of the rows, the same for any partitioning."""
+    named = threshold_split(df, fraction, F.lit(seed), key)
+    return tuple(named.where(F.col("split") == s).select(*df.columns) for s in ("validation", "train"))
 
 
 def head_split(df: DataFrame, percent: float, *order: str) -> tuple[DataFrame, DataFrame]:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import actions, dialogue, personal, templates, text, toolformats
-from ..operators import audit, dedup, evaluation, metrics, policy, selection, synthesis
+from ..operators import audit, casesets, dedup, evaluation, metrics, policy, selection, synthesis
 from ..sources import scans, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,8 +62,10 @@ def exact_dedup_keep_first(spark, sf_dir):
 
 
 @query(
-    "WITH h AS (SELECT sha256(text) AS h FROM documents), p AS (SELECT left(h, 2) AS p, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS n FROM h GROUP BY 1) "
-    "SELECT sha256(string_agg(p || d, '' ORDER BY p)) AS content_set_sha256, sum(n)::BIGINT AS n_rows FROM p"
+    "WITH h AS (SELECT sha256(text) AS h FROM documents), six AS (SELECT left(h, 6) AS p, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS n FROM h GROUP BY 1), "
+    "four AS (SELECT left(p, 4) AS q, sha256(string_agg(p || d, '' ORDER BY p)) AS d, sum(n) AS n FROM six GROUP BY 1), "
+    "two AS (SELECT left(q, 2) AS r, sha256(string_agg(q || d, '' ORDER BY q)) AS d, sum(n) AS n FROM four GROUP BY 1) "
+    "SELECT sha256(string_agg(r || d, '' ORDER BY r)) AS content_set_sha256, sum(n)::BIGINT AS n_rows FROM two"
 )
 def content_set_hash(spark, sf_dir):
     return sinks.content_set_hash(_documents(spark, sf_dir), text.content_hash("text"))
@@ -123,13 +125,10 @@ def pii_in_turns(spark, sf_dir):
     f"FROM (SELECT doc_id, text, {_MASKED}, min(doc_id) OVER (PARTITION BY sha256(text)) AS f FROM documents)"
 )
 def first_match_rejection(spark, sf_dir):
-    docs = selection.first_occurrence(_documents(spark, sf_dir), text.content_hash("text"), "doc_id")
-    reason = (
-        F.when(F.char_length(F.trim("text")) < 50, "incomplete")
-        .when(F.size(personal.types("text")) > 0, "pii_detected")
-        .when(F.col("duplicate_of").isNotNull(), "exact_duplicate")
-        .otherwise("accepted")
-    )
+    # What is told from the text alone is told before the join, which then moves hashes and flags only.
+    flagged = _documents(spark, sf_dir).select("doc_id", text.content_hash("text").alias("hash"), (F.char_length(F.trim("text")) < 50).alias("short"), (F.size(personal.types("text")) > 0).alias("personal"))
+    docs = selection.first_occurrence(flagged, "hash", "doc_id")
+    reason = F.when(F.col("short"), "incomplete").when(F.col("personal"), "pii_detected").when(F.col("duplicate_of").isNotNull(), "exact_duplicate").otherwise("accepted")
     return docs.select("doc_id", reason.alias("reason"))
 
 
@@ -208,7 +207,15 @@ def proportional_two_level_split(spark, sf_dir):
     return out.select("o_orderkey", F.col("nth").cast("long").alias("nth"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE z AS (SELECT o_custkey AS k, count(*) AS size FROM orders GROUP BY 1), g AS (SELECT k, size::DOUBLE AS size, row_number() OVER (ORDER BY size DESC, sha256('orders:' || k), k) AS pos FROM z), "
+    "t AS (SELECT sum(size) * 0.8::DOUBLE AS ta, sum(size) * 0.1::DOUBLE AS tb FROM g), "
+    "w AS (SELECT 0::BIGINT AS pos, 0::DOUBLE AS a, 0::DOUBLE AS b, 0::DOUBLE AS c, NULL::BIGINT AS k, '' AS split UNION ALL "
+    "SELECT pos, a + CASE split WHEN 'train' THEN size ELSE 0 END, b + CASE split WHEN 'validation' THEN size ELSE 0 END, c + CASE split WHEN 'test' THEN size ELSE 0 END, k, split FROM ("
+    "SELECT pos, a, b, c, k, size, CASE WHEN da <= db AND da <= dc THEN 'train' WHEN db <= dc THEN 'validation' ELSE 'test' END AS split FROM ("
+    "SELECT g.pos, g.k, size, a, b, c, abs(a + size - ta) - abs(a - ta) AS da, abs(b + size - tb) - abs(b - tb) AS db, abs(c + size - tb) - abs(c - tb) AS dc FROM w JOIN g ON g.pos = w.pos + 1, t))) "
+    "SELECT o_orderkey, o_custkey, split FROM orders JOIN w ON o_custkey = k"
+)
 def group_greedy_split(spark, sf_dir):
     return selection.greedy_group_split(_table(spark, sf_dir, "orders"), "o_custkey", "orders").select("o_orderkey", "o_custkey", "split")
 
@@ -306,9 +313,10 @@ def tiered_sequence(spark, sf_dir):
 
 @query()
 def simhash_near_pairs(spark, sf_dir):
+    """Each document's class of near copies; pairs grow with the square of a class and are left to ``dedup.near_links``."""
     norm = text.normalized("text")
     prints = _documents(spark, sf_dir).select("doc_id", text.content_hash(norm).alias("hash"), dedup.simhash(norm).alias("fp"))
-    return dedup.near_links(prints, "doc_id", "hash", "fp").withColumnRenamed("id", "doc_id")
+    return dedup.near_classes(prints, "doc_id", "hash", "fp").withColumnRenamed("id", "doc_id")
 
 
 @query()
@@ -368,7 +376,7 @@ def _conversations(spark, sf_dir):
 def dataset_audit(spark, sf_dir):
     turns = F.transform("turns", lambda t: F.struct(F.when(t["role"] == "user", "human").when(t["role"] == "assistant", "gpt").otherwise(t["role"]).alias("from"), t["text"].alias("value")))
     convs = selection.threshold_split(_conversations(spark, sf_dir).withColumn("turns", turns), 0.1, "conv_id")
-    return audit.audit(convs.withColumn("grp", text.pick(50, F.lit("g"), "conv_id")), "turns", "conv_id", "grp", "split", tuple(policy.TOOLS))
+    return audit.audit(convs.withColumn("grp", text.pick(50, F.lit("g"), "conv_id")), "turns", "conv_id", "grp", "split", tuple(policy.TOOLS)).drop("message")
 
 
 # --- Dialogues -----------------------------------------------------------------------
@@ -531,7 +539,11 @@ def _scripted(case: dict, messages: list) -> str:
     return case["script"][done] if done < len(case["script"]) else "done"
 
 
-@query()
+@query(
+    "WITH s AS (SELECT 'EC-' || o_orderkey AS case_id, o_orderkey % 7 = 0 AS unpaid, o_orderstatus = 'F' AS delivered, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey % 15 END AS days, o_orderkey % 6 AS i FROM orders), "
+    "c AS (SELECT case_id, CASE WHEN unpaid THEN 'ORDER_NOT_PAID' WHEN NOT delivered THEN 'ORDER_NOT_DELIVERED' WHEN i = 0 AND (days IS NULL OR days > 7) THEN 'RETURN_WINDOW_EXPIRED' WHEN i = 3 THEN 'REQUEST_TYPE_NOT_ALLOWED' ELSE 'OK' END AS made FROM s) "
+    "SELECT case_id, 'OK,' || made || ',' || CASE made WHEN 'OK' THEN 'DUPLICATE_REQUEST' ELSE made END AS codes, 'All done.' AS final_answer, 'final_answer' AS termination_reason FROM c"
+)
 def rollout_scripted(spark, sf_dir):
     k = F.concat(F.lit("EC-"), F.col("o_orderkey"))
     order = F.struct(k.alias("order_id"), "payment_status", "fulfillment_status", "days_since_delivery", F.lit(True).alias("identity_verified"), F.lit("item").alias("item_summary"))
@@ -569,7 +581,10 @@ def first_divergence(spark, sf_dir):
     return evaluation.first_divergence(turns, expected).select("case_id", "step", "reason", "primary_error")
 
 
-@query()
+@query(
+    "SELECT o_orderkey AS case_id, o_orderpriority AS category, ok AS passed, ok AS auto_resolved, CASE WHEN o_orderkey % 10 = 0 THEN 'missing_trace' WHEN ok THEN '' ELSE 'goal_state_not_reached,incomplete_resolution' END AS errors "
+    "FROM (SELECT *, o_orderkey % 10 <> 0 AND o_orderstatus = 'F' AS ok FROM orders)"
+)
 def evaluate_traces(spark, sf_dir):
     """Every order a case: its status is to be told, and told by some."""
     k = F.concat(F.lit("EC-"), F.col("o_orderkey"))
@@ -685,9 +700,17 @@ def latency_steady_state(spark, sf_dir):
     return out.select("event_type", "calls", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), F.round("steady_mean", 6).alias("steady_mean"), F.round("steady_tokens_per_second", 4).alias("steady_tokens_per_second"))
 
 
-@query()
+@query(
+    "WITH p AS (SELECT 2147483647::BIGINT AS p), r AS (SELECT quality::DOUBLE AS v, ('0x' || left(sha256('20260809:' || doc_id), 8))::BIGINT % p AS r FROM labels, p), "
+    "b AS (SELECT b, 1 + ('0x' || left(sha256('20260809:a:' || b), 8))::BIGINT % (p - 1) AS a, ('0x' || left(sha256('20260809:c:' || b), 8))::BIGINT % p AS c FROM range(500) t(b), p), "
+    "u AS (SELECT b, v, ((a * r + c) % p) / p::DOUBLE AS u FROM r, b, p), "
+    "m AS (SELECT b, sum(t * v) / sum(t) AS m FROM (SELECT b, v, (u >= 0.36787944117)::INT + (u >= 0.73575888234)::INT + (u >= 0.91969860293)::INT + (u >= 0.98101184312)::INT + (u >= 0.99634015317)::INT + (u >= 0.99940581518)::INT "
+    "+ (u >= 0.99991675885)::INT + (u >= 0.99998975081)::INT AS t FROM u) GROUP BY b) "
+    "SELECT round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high, count(*) AS resamples FROM m"
+)
 def bootstrap_ci(spark, sf_dir):
-    return metrics.bootstrap_hashed(_table(spark, sf_dir, "labels"), "doc_id", "quality", 500, "20260809")
+    out = metrics.bootstrap_hashed(_table(spark, sf_dir, "labels"), "doc_id", "quality", 500, "20260809")
+    return out.select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"), "resamples")
 
 
 # --- Sets and unions -------------------------------------------------------------------
@@ -760,21 +783,151 @@ def scenario_classifier(spark, sf_dir):
     return _table(spark, sf_dir, "orders").select("o_orderkey", synthesis.scenario_of(intent, F.lit("single_call"), k, F.lit(1)).alias("scenario"), synthesis.order_id(k).alias("order_id"))
 
 
-@query()
+@query("SELECT unnest(['status', 'policy', 'create', 'missing_order', 'duplicate', 'identity', 'not_delivered', 'timeout', 'expired', 'anti_hallucination']) AS case_id, true AS passed, '' AS errors")
 def oracle_replay(spark, sf_dir):
     return synthesis.replayed(spark).select("case_id", "passed", F.array_join("errors", ",").alias("errors"))
 
 
-@query()
+# SQL for made conversations: a table of the cases' turns, and stable picks from the same phrases.
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _list(values) -> str:
+    return "[" + ", ".join(map(_text, values)) + "]"
+
+
+def _picked(choices, salt: str, key: str) -> str:
+    return f"({_list(choices)})[('0x' || left(sha256({_text(salt + ':')} || {key}), 8))::BIGINT % {len(choices)} + 1]"
+
+
+def _by_case(table: dict, column: str, made: Callable[[str], str]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN {_text(k)} THEN {made(k)}" for k in table) + " END"
+
+
+def _replies(table: dict, salt: str, plain: tuple = ()) -> str:
+    said = lambda k: f"replace({_picked(table[k], f'reply:{k}{salt}', 'parent_id')}, '{{0}}', 'ASR-' || ord || '-001')"
+    return _by_case(table, "scenario", lambda k: said(k) if k in plain else f"{_picked(synthesis.REPLY_PREFIXES, f'prefix:{k}{salt}', 'parent_id')} || {said(k)}")
+
+
+def _trajectory_sql(evidence: str) -> str:
+    """Common table expressions up to ``made``: record, parent_id, scenario, turns (strings of kind:value), answer, rejected."""
+    spec = synthesis.CASE_SPECS
+    turns = ", ".join(f"({_text(c)}, {_list([f'{k}:{v}' for k, v in t]) if t else '[]::VARCHAR[]'}, {_text(spec[c][1])}, {_text(spec[c][2]) if spec[c][2] else 'NULL'}, {_text(spec[c][4])})" for c, t in synthesis.case_turns().items())
+    lost = " || ".join(_picked(t, f"missing-order:{n}", "parent_id") for n, t in (("opener", synthesis.MISSING_ORDER_OPENERS), ("request", synthesis.MISSING_ORDER_REQUESTS), ("next", synthesis.MISSING_ORDER_NEXT_STEPS)))
+    kinds = " ".join(f"WHEN contains(lower(intent), {_text(part)}) THEN {_text(case)}" for part, case in synthesis.BY_INTENT)
+    paths = " ".join(f"WHEN trajectory = {_text(k)} THEN {_picked(v, 'scenario', 'parent_id')}" for k, v in synthesis.BY_TRAJECTORY.items())
+    opener = _by_case(synthesis.OPENERS, "split", lambda k: _picked(synthesis.OPENERS[k], "opener", "parent_id"))
+    issue = _by_case(synthesis.ISSUES, "issue", lambda k: _picked(synthesis.ISSUES[k], "issue", "parent_id"))
+    wish = _by_case(synthesis.REQUESTS, "request", lambda k: _picked(synthesis.REQUESTS[k], "request", "parent_id"))
+    asks = f"scenario NOT IN ({', '.join(map(_text, synthesis.NO_FOLLOW_UP))}) AND ('0x' || left(sha256('follow-up:' || parent_id), 8))::BIGINT % 3 = 0"
+    follow = _picked(synthesis.FOLLOW_UPS, "follow-up-text", "parent_id")
+    return (
+        f"WITH e AS ({evidence}), c(scenario, seen, issue, request, error) AS (VALUES {turns}), "
+        "k AS (SELECT record, record || ':variant-' || variant AS parent_id, split, intent, trajectory FROM e), "
+        f"s AS (SELECT record, parent_id, split, CASE {kinds} {paths} ELSE {_picked(synthesis.CASES, 'scenario', 'parent_id')} END AS scenario, 'EC-GEN-' || upper(left(sha256(parent_id), 10)) AS ord FROM k), "
+        f"r AS (SELECT record, parent_id, split, scenario, ord, seen, issue, request, error, coalesce({_replies(synthesis.REPLIES, '')}, {lost}) AS answer, {_replies(synthesis.REJECTED, ':rejected', ('missing_order_id',))} AS rejected FROM s JOIN c USING (scenario)), "
+        f"made AS (SELECT *, ['human:' || array_to_string(list_filter([{opener}, CASE WHEN scenario = 'missing_order_id' THEN '商品编号 SKU-' || upper(left(sha256(parent_id), 8)) ELSE '订单号是 ' || ord END, {issue}, {wish}], lambda x: x IS NOT NULL), '，') || '。'] "
+        f"|| list_transform(seen, lambda t: replace(t, '{synthesis.PLACE}', ord)) || CASE WHEN {asks} THEN ['human:' || {follow}] ELSE []::VARCHAR[] END || ['gpt:' || answer] AS turns FROM r) "
+    )
+
+
+def _conversation(c: str):
+    return F.array_join(F.transform(c, lambda t: F.concat(t["from"], F.lit(":"), t["value"])), "\n")
+
+
+@query(
+    _trajectory_sql("SELECT o_orderkey::VARCHAR AS record, 0 AS variant, CASE WHEN o_orderkey % 10 = 0 THEN 'validation' ELSE 'train' END AS split, '' AS intent, 'other' AS trajectory FROM orders")
+    + "SELECT 'sft-v1-' || left(sha256(parent_id), 16) AS sample_id, parent_id, split, scenario, len(turns)::INTEGER AS n_turns, sha256(array_to_string(turns, chr(10))) AS conversation_sha256, sha256(rejected) AS rejected_sha256 FROM made"
+)
 def synthesised_trajectories(spark, sf_dir):
     split = F.when(F.col("o_orderkey") % 10 == 0, "validation").otherwise("train")
     evidence = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("record"), F.lit(0).alias("variant"), split.alias("split"), F.lit("").alias("intent"), F.lit("other").alias("trajectory"))
     made = synthesis.trajectories(evidence)
-    return made.select("parent_id", "split", "scenario", F.size("conversations").alias("n_turns"), F.sha2(F.to_json("conversations"), 256).alias("conversation_sha256"))
+    return made.select("sample_id", "parent_id", "split", "scenario", F.size("conversations").alias("n_turns"), F.sha2(_conversation("conversations"), 256).alias("conversation_sha256"), F.sha2("rejected", 256).alias("rejected_sha256"))
+
+
+_EVIDENCE = "SELECT c_custkey::VARCHAR AS record, (c_custkey % 2)::INTEGER AS variant, 'train' AS split, (['damage', 'wrong item', '', 'return'])[c_custkey % 4 + 1] AS intent, (['multi_call', 'multi_turn_call', 'single_call', 'no_call', 'x'])[c_custkey % 5 + 1] AS trajectory FROM customer"
+_SPACED = "'{' || array_to_string(list_transform(list_sort(json_keys(args)), lambda k: '\"' || k || '\": ' || json_extract(args, '$.' || k)::VARCHAR), ', ') || '}'"
+
+
+def _pairs_sql() -> str:
+    wanted = _by_case(synthesis.REQUEST_OF, "issue", lambda k: _text(synthesis.REQUEST_OF[k]))
+    terminal = ", ".join(map(_text, synthesis.TERMINAL))
+    action = lambda name, *args: f"'Action: {name}' || chr(10) || 'Action Input: {{' || " + " || ', ' || ".join(f"'\"{k}\": \"' || {v} || '\"'" for k, v in args) + " || '}'"
+    create = action("create_after_sales_request", ("order_id", "own"), ("reason", "issue"), ("request_type", wanted))
+    return (
+        _trajectory_sql(_EVIDENCE)
+        + ", t AS (SELECT 'dpo-v1-' || left(sha256(parent_id), 16) AS base, record, scenario, issue, error, answer, rejected, turns, 'EC-GEN-' || upper(left(sha256(record), 10)) AS own, "
+        "list_filter(range(len(turns)), lambda i: starts_with(turns[i + 1], 'function_call:')) AS calls FROM made), "
+        "x AS (SELECT *, unnest(calls) AS i FROM t), "
+        "y AS (SELECT *, substr(turns[i + 1], 15)::JSON AS j FROM x), "
+        "z AS (SELECT *, j->>'$.name' AS name, j->'$.arguments' AS args FROM y), "
+        f"w AS (SELECT *, 'Action: ' || name || chr(10) || 'Action Input: ' || {_SPACED} AS right_, "
+        "'Action: ' || name || chr(10) || 'Action Input: ' || CASE name WHEN 'create_after_sales_request' THEN '{\"order_id\": \"' || (args->>'$.order_id') || '\", \"reason\": \"商品描述不是原因代码\", \"request_type\": \"' || (args->>'$.request_type') || '\"}' "
+        "WHEN 'check_return_policy' THEN '{\"issue_type\": \"RETURN_WINDOW_EXPIRED\", \"order_id\": \"' || (args->>'$.order_id') || '\"}' ELSE '{}' END AS wrong_ FROM z), "
+        "p AS (SELECT base || '-response' AS sample_id, record, 'response' AS level, len(turns) - 1 AS target, answer AS chosen, rejected, error AS primary_error FROM t "
+        f"UNION ALL SELECT base || '-decision', record, 'decision', len(turns) - 1, answer, {create}, 'unnecessary_tool' FROM t WHERE scenario IN ({terminal}) AND len(calls) > 0 "
+        f"UNION ALL SELECT base || '-decision', record, 'decision', len(turns) - 1, answer, {action('query_order_status', ('order_id', 'own'))}, 'missing_argument' FROM t WHERE len(calls) = 0 "
+        f"UNION ALL SELECT base || '-decision', record, 'decision', i, right_, {action('check_return_policy', ('issue_type', 'issue'), ('order_id', 'own'))}, 'unnecessary_tool' FROM w WHERE scenario NOT IN ({terminal}) AND i = calls[-1] "
+        "UNION ALL SELECT base || '-decision-step-' || i, record, 'decision', i, right_, answer, 'premature_stop' FROM w WHERE i < calls[-1] "
+        "UNION ALL SELECT base || '-parameter-step-' || i, record, 'parameter', i, right_, wrong_, 'invalid_argument' FROM w) "
+        "SELECT sample_id, record, level, target::INTEGER AS target, primary_error, sha256(chosen || '|' || rejected) AS pair_sha256 FROM p"
+    )
 
 
-@query()
+@query(_pairs_sql())
 def counterfactual_pairs(spark, sf_dir):
-    evidence = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("record"), F.lit(0).alias("variant"), F.lit("train").alias("split"), F.lit("damage").alias("intent"), F.lit("multi_call").alias("trajectory"))
-    made = synthesis.trajectories(evidence)
-    return evaluation.counterfactuals(made, "calls", "answer", "parent_id").select("parent_id", "level", "target", "primary_error", F.sha2(F.concat_ws("|", "chosen", "rejected"), 256).alias("pair_sha256"))
+    k = F.col("c_custkey")
+    turn = lambda n, *values: F.element_at(F.array(*map(F.lit, values)), (k % n + 1).cast("int"))
+    evidence = _table(spark, sf_dir, "customer").select(
+        k.cast("string").alias("record"), (k % 2).cast("int").alias("variant"), F.lit("train").alias("split"),
+        turn(4, "damage", "wrong item", "", "return").alias("intent"), turn(5, "multi_call", "multi_turn_call", "single_call", "no_call", "x").alias("trajectory"),
+    )
+    pairs = synthesis.preferences(synthesis.trajectories(evidence))
+    return pairs.select("sample_id", "record", "level", "target", "primary_error", F.sha2(F.concat_ws("|", "chosen", "rejected"), 256).alias("pair_sha256"))
+
+
+def _candidates_sql(limit: int) -> str:
+    a, b = limit // 2, limit // 2 + limit // 4
+    names = {t: _list(own) for t, own in synthesis.TIERS.items()}
+    word = lambda table, size: f"({_list(table)})[(nth // {size}) % {len(table)} + 1]"
+    prompt = _by_case(synthesis.PROMPTS, "category", lambda k: f"{word(synthesis.TONES, 4)} || {word(synthesis.PROMPTS[k], 1)} || {word(synthesis.CLOSERS, 32)} || {word(synthesis.CONSTRAINTS, 256)}")
+    lead = _by_case(synthesis.LEADS, "category", lambda k: _text(synthesis.LEADS[k]))
+    fifth = ", ".join(map(_text, synthesis.FIFTH))
+    return (
+        "WITH c AS (SELECT c_custkey::VARCHAR AS record, CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END AS users FROM customer), "
+        f"o AS (SELECT *, row_number() OVER (ORDER BY sha256('prefreeze-v1:made:' || record || ':g' || record), record) - 1 AS idx FROM c QUALIFY idx < {limit}), "
+        f"t AS (SELECT *, CASE WHEN idx < {a} THEN 'iid' WHEN idx < {b} THEN 'compositional' ELSE 'challenge' END AS tier, "
+        f"CASE WHEN idx < {a} THEN ({names['iid']})[idx % 4 + 1] WHEN idx < {b} THEN ({names['compositional']})[(idx - {a}) % 4 + 1] ELSE ({names['challenge']})[(idx - {b}) % 4 + 1] END AS category FROM o), "
+        "n AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY idx) - 1 AS nth FROM t), "
+        f"p AS (SELECT *, {prompt} AS prompt, {lead} AS lead FROM n) "
+        "SELECT idx::INTEGER AS idx, 'PF1-' || upper(tier) || '-' || left(sha256('1.0.0:' || tier || ':' || category || ':made:' || record), 16) AS case_id, category, record, "
+        f"sha256(CASE WHEN users > 1 AND lead IS NOT NULL THEN lead || chr(10) || {_text(synthesis.LEAD_REPLY)} || chr(10) "
+        f"WHEN category IN ({fifth}) AND ('0x' || left(sha256(record), 8))::BIGINT % 5 = 4 THEN {_text(synthesis.FIFTH_LEAD)} || chr(10) || {_text(synthesis.FIFTH_REPLY)} || chr(10) ELSE '' END || prompt) AS messages_sha256 FROM p"
+    )
+
+
+@query(_candidates_sql(80))
+def case_candidates(spark, sf_dir):
+    k, said = F.col("c_custkey").cast("string"), F.struct(F.lit("user").alias("role"), F.col("c_name").alias("text"))
+    turns = F.when(F.col("c_custkey") % 3 == 0, F.array(said, said)).otherwise(F.array(said))
+    evidence = _table(spark, sf_dir, "customer").select(F.lit("made").alias("source_id"), k.alias("record"), F.concat(F.lit("g"), k).alias("parent_id"), F.lit("test").alias("split"), turns.alias("turns"))
+    made = synthesis.candidates(evidence, 80)
+    return made.select("idx", "case_id", "category", "record", F.sha2(F.array_join(F.transform("messages", lambda m: m["content"]), "\n"), 256).alias("messages_sha256"))
+
+
+def _frozen_sql() -> str:
+    parts = []
+    for name, category, many, forms in casesets.FROZEN:
+        texts, ends = _list(f[0] for f in forms), _list(f[4] for f in forms)
+        pick_ = f"[i % {len(forms)} + 1]"
+        parts.append(f"SELECT 'FZ1-{name}-' || lpad(i::VARCHAR, 3, '0') AS case_id, '{category}' AS category, sha256(replace(({texts}){pick_}, '{{0}}', i::VARCHAR)) AS prompt_sha256, ({ends}){pick_} AS terminal_status FROM range({many}) t(i)")
+    return " UNION ALL ".join(parts)
+
+
+@query(_frozen_sql())
+def frozen_cases(spark, sf_dir):
+    return casesets.frozen_cases(spark).select("case_id", "category", F.sha2("prompt", 256).alias("prompt_sha256"), "terminal_status")

@@ -3,31 +3,88 @@
 from __future__ import annotations
 
 import json
+import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 
-def strict_json_lines(spark: SparkSession, path: str, schema: StructType | str, required: tuple[str, ...] = ()) -> DataFrame:
-    """Fails on a line that isn't an object of the schema, and on missing required fields; blank lines are skipped."""
-    df = spark.read.schema(schema).option("mode", "FAILFAST").option("recursiveFileLookup", "true").json(path)
+def numbered_lines(spark: SparkSession, path: str, missing_ok: bool = False) -> DataFrame:
+    """file, row_index, value: the physical lines of the text files below a path, numbered from 1 in each file.
+
+    Files are split as usual, so their size doesn't matter: a line's number is its place in its
+    block and the lines of the file's blocks before it, which a second pass over the lines
+    counts. ``missing_ok``: a path that isn't there has no lines.
+    """
+    try:
+        read = spark.read.option("recursiveFileLookup", "true").text(path)
+    except AnalysisException as e:
+        if not missing_ok or e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "file string, row_index bigint, value string")
+    lines = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("low"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))  # a row for each block
+    blocks = blocks.select("file", "block", "low", F.coalesce(before, F.lit(0)).alias("before"))
+    return lines.join(blocks, ["file", "block"]).select("file", (F.col("at") - F.col("low") + F.col("before") + 1).alias("row_index"), "value")
+
+
+def strict_json_lines(spark: SparkSession, path: str, schema: StructType | str, required: tuple[str, ...] = (), missing_ok: bool = False) -> DataFrame:
+    """Rows of a schema; blank lines are skipped. A line that isn't a JSON object of the schema, or lacks a required
+    field, raises an error that names it as path:line."""
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    lines = numbered_lines(spark, path, missing_ok).where(F.trim("value") != "")
+    whole = StructType([*schema.fields, StructField("__bad", StringType())])
+    parsed = lines.withColumn("row", F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}))
+    place = F.concat(F.col("file"), F.lit(":"), F.col("row_index").cast("string"))
+    fault = F.when(~F.startswith(F.ltrim("value"), F.lit("{")) | F.col("row").isNull() | F.col("row.__bad").isNotNull(), F.concat(place, F.lit(" must be a JSON object of the schema")))
     for c in required:
-        df = df.withColumn(c, F.when(F.col(c).isNotNull(), F.col(c)).otherwise(F.raise_error(F.lit(f"missing field: {c}")).cast(df.schema[c].dataType)))
-    return df
+        fault = F.coalesce(fault, F.when(F.col(f"row.`{c}`").isNull(), F.concat(place, F.lit(f" has no {c}"))))
+    checked = parsed.withColumn("row", F.when(fault.isNull(), F.col("row")).otherwise(F.raise_error(fault).cast(whole)))
+    return checked.select(*[F.col("row")[f.name].alias(f.name) for f in schema.fields])
 
 
 def lenient_json_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, row_index, value, issue: physical lines from 1, blank ones left out.
 
     issue: invalid_json for a line that can't be parsed, invalid_schema for one that
-    isn't an object, else null. A file is one row while its lines are numbered.
+    isn't an object, else null.
     """
-    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = files.select("file", F.posexplode(F.split("value", "\n")).alias("at", "value")).select("file", (F.col("at") + 1).alias("row_index"), "value")
     parsed = F.try_parse_json("value")
     issue = F.when(parsed.isNull(), "invalid_json").when(~F.schema_of_variant(parsed).startswith("OBJECT"), "invalid_schema")
-    return lines.where(F.trim("value") != "").withColumn("issue", issue)
+    return numbered_lines(spark, path).where(F.trim("value") != "").withColumn("issue", issue)
+
+
+def split_files(spark: SparkSession, root: str, split: str, schema: StructType | str) -> DataFrame:
+    """Rows of the JSON lines in ``root/split/**`` and ``root/split*.jsonl``, each file once."""
+    here = rf"/{re.escape(split)}(/.*|[^/]*)\.jsonl$"
+    base = root.rstrip("/").rsplit("/", 1)[-1]
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").json(root)
+    return rows.where(F.col("_metadata.file_path").rlike(rf"/{re.escape(base)}{here}"))
+
+
+def checked_split(df: DataFrame, own: str, file=None) -> DataFrame:
+    """``df`` itself; a row whose own split isn't the one its file's path names raises an error when it is read."""
+    path = F.col("file") if file is None else file
+    bad = ~F.col(own).eqNullSafe(split_from_path(path))
+    said = F.concat(path, F.lit(" holds a row of split "), F.coalesce(F.col(own), F.lit("null")))
+    return df.withColumn(own, F.when(bad, F.raise_error(said).cast("string")).otherwise(F.col(own)))
+
+
+def smoke_rows(spark: SparkSession, path: str, schema: StructType | str, turns: str, tools: tuple[str, ...]) -> DataFrame:
+    """The rows of a smoke set; raises ValueError if there is none or one breaks the lax rules for dialogues."""
+    from ..operators.audit import issues, smoke_rules
+
+    rows = strict_json_lines(spark, path, schema)
+    found = issues(rows, [], smoke_rules(turns, tools)).select("code").distinct()
+    if rows.isEmpty():
+        raise ValueError(f"{path} has no rows")
+    codes = sorted(r.code for r in found.collect())  # as many as rules
+    if codes:
+        raise ValueError(f"{path}: {', '.join(codes)}")
+    return rows
 
 
 def split_from_path(file=None):

@@ -11,10 +11,16 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Written to the folder of spark.checkpoint.dir and read again, which cuts the lineage."""
+    """Written to the folder of spark.checkpoint.dir and read again, which cuts the lineage.
+
+    Where that is unset, a local session gets a temporary folder for it; on a cluster, where
+    executors share no local folder, it is an error.
+    """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         root = tempfile.mkdtemp(prefix="curatrix-")
@@ -43,19 +49,28 @@ def write_splits(df: DataFrame, path: str, split: str, splits: tuple[str, ...],
 
 
 def content_set_hash(df: DataFrame, hash_col: Column) -> DataFrame:
-    """sha256 of all row hashes in sorted order, joined.
+    """sha256 of all row hashes, folded over a tree of their prefixes.
 
-    The sorted hashes of each two-digit prefix are hashed apart from each other and the 256
-    results joined, so no task or row holds the hashes of the whole table. Note that the
-    value differs from a single pass over all hashes; see ``content_set_hash_plain``.
+    The sorted hashes of each six-digit prefix are hashed, then the sorted (prefix, digest) of
+    each four-digit one, each two-digit one and all; so a row holds a 16-millionth of the
+    table's hashes, or 256 digests. Note that the value differs from a single pass over all
+    hashes; see ``content_set_hash_plain``.
     """
+    joined = lambda c: F.sha2(F.array_join(c, ""), 256).alias("d")
     hashed = df.select(hash_col.alias("h"))
-    parts = hashed.groupBy(F.substring("h", 1, 2).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"), F.count("*").alias("n"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: F.concat(x["p"], x["d"])), ""), 256).alias("content_set_sha256"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"))
+    parts = hashed.groupBy(F.substring("h", 1, 6).alias("p")).agg(joined(F.array_sort(F.collect_list("h"))), F.count("*").alias("n"))
+    digests = F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: F.concat(x["p"], x["d"]))
+    for size in (4, 2):
+        parts = parts.groupBy(F.substring("p", 1, size).alias("q")).agg(joined(digests), F.sum("n").alias("n")).select(F.col("q").alias("p"), "d", "n")
+    return parts.agg(joined(digests).alias("content_set_sha256"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"))
 
 
 def content_set_hash_plain(df: DataFrame, hash_col: Column) -> dict:
-    """{count, sha256} of all row hashes in sorted order, streamed over sorted partitions to the driver."""
+    """{count, sha256} of all row hashes in sorted order, streamed over sorted partitions to the driver.
+
+    One digest over all rows in order can't be made in parts: a driver that reads 64 bytes a row is
+    the price of that value. ``content_set_hash`` is the form for large tables.
+    """
     digest, n = hashlib.sha256(), 0
     for row in df.select(hash_col.alias("h")).orderBy("h").toLocalIterator():
         digest.update(row.h.encode())
@@ -105,14 +120,35 @@ def open_sealed(spark: SparkSession, manifest: str, expected_sha256: str, marker
     return spark.read.text(manifest, wholetext=True)
 
 
-def run_manifest(spark: SparkSession, inputs: dict[str, str], parameters: dict) -> dict:
-    """What a run was made from: versions, session settings, and a fingerprint of each input folder."""
+def run_manifest(spark: SparkSession, inputs: dict[str, str], parameters: dict, repository: str | None = None, run_id: str = "", command: str = "") -> dict:
+    """What a run was made from: versions, packages, session settings, a fingerprint of each input folder, and the
+    commit and state of a git repository if one is named and can be read."""
+    import importlib.metadata
     import platform
 
     settings = {r.key: r.value for r in spark.sql("SET").collect() if r.key.startswith("spark.sql.")}
     return {
+        "run_id": run_id,
+        "command": command,
         "versions": {"python": platform.python_version(), "spark": spark.version},
+        "runtime": {"hostname": platform.node(), "platform": platform.platform()},
+        "packages": sorted(f"{d.metadata['Name']}=={d.version}" for d in importlib.metadata.distributions()),
+        "git": git_state(repository) if repository else None,
         "settings": settings,
         "parameters": parameters,
         "inputs": {name: directory_fingerprint(spark, path) for name, path in inputs.items()},
     }
+
+
+def git_state(repository: str) -> dict | None:
+    """commit, dirty and status of a repository; null where git can't tell."""
+    import subprocess
+
+    said = []
+    for command in (("rev-parse", "HEAD"), ("status", "--short")):
+        try:
+            done = subprocess.run(["git", "-c", f"safe.directory={repository}", "-C", repository, *command], capture_output=True, text=True, timeout=60, check=True)
+        except (OSError, subprocess.SubprocessError):
+            return None
+        said.append(done.stdout.strip())
+    return {"commit": said[0], "dirty": bool(said[1]), "status": said[1]}

@@ -20,21 +20,30 @@ def windowed_counts(stream: DataFrame, at: str, width: str, *keys: str, slide: s
     return stream.withWatermark(at, delay).groupBy(w.alias("window"), *keys).agg(F.count("*").alias("n"))
 
 
-def outcomes(stream: DataFrame, key: str, at: str, eligible: str) -> DataFrame:
-    """key, at, outcome of each request in order of arrival: OK once, then DUPLICATE_REQUEST.
-
-    One flag for each key is the state, held by Spark and written with each micro-batch.
+def outcomes(stream: DataFrame, key: str, at: str, eligible: str, keep: str | None = None) -> DataFrame:
+    """key, at, outcome of each request: OK once, then DUPLICATE_REQUEST; NOT_ELIGIBLE for others.
+
+    Requests of one micro-batch are taken in the order of ``at`` within each Arrow batch, micro-batches in
+    that of their arrival. One flag for each key is the state, held by Spark and written with each micro-batch.
+    With ``keep`` (an interval such as "30 days") a key is forgotten once the watermark, that far behind the
+    newest request, has passed its last request by as much; later rows than the watermark are dropped. Without
+    it state is kept for ever, and grows with the number of keys.
     """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     kind = stream.schema[key].dataType.simpleString()
     out = f"`{key}` {kind}, `{at}` timestamp, outcome string"
+    wait = int(pd.Timedelta(keep).total_seconds() * 1000) if keep else 0
 
     def step(name, batches, state):
-        done = state.exists and state.get[0]
+        if state.hasTimedOut:
+            state.remove()
+            return
+        done, newest = state.exists and state.get[0], 0
         for pdf in batches:
             pdf = pdf.sort_values(at)
+            newest = max(newest, int(pdf[at].max().timestamp() * 1000))
             told = []
             for ok in pdf[eligible].tolist():
                 if not ok:
@@ -46,5 +55,9 @@ def outcomes(stream: DataFrame, key: str, at: str, eligible: str) -> DataFrame:
                     done = True
             yield pd.DataFrame({key: pdf[key], at: pdf[at], "outcome": told})
         state.update((bool(done),))
+        if keep:
+            state.setTimeoutTimestamp(max(newest + wait, state.getCurrentWatermarkMs() + 1))
 
-    return stream.groupBy(key).applyInPandasWithState(step, out, "done boolean", "append", GroupStateTimeout.NoTimeout)
+    source = stream.withWatermark(at, keep) if keep else stream
+    timeout = GroupStateTimeout.EventTimeTimeout if keep else GroupStateTimeout.NoTimeout
+    return source.groupBy(key).applyInPandasWithState(step, out, "done boolean", "append", timeout)

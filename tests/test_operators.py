@@ -134,8 +134,36 @@ def test_near_pairs_query_names_documents_of_one_fingerprint(spark, tmp_path):
     from curatrix.plans import catalogue
 
     spark.createDataFrame([(1, "ab cdefgh"), (2, "abc defgh"), (3, "something else"), (4, "AB  cdefgh"), (5, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {(r.doc_id, r.near_id, r.bits, r.kind) for r in catalogue.QUERIES["simhash_near_pairs"](spark, str(tmp_path)).collect()}
-    assert got == {(2, 1, 0, "fingerprint"), (4, 1, 0, "copy")}
+    got = {tuple(r) for r in catalogue.QUERIES["simhash_near_pairs"](spark, str(tmp_path)).select("doc_id", "class_id", "n_copies", "n_same").collect()}
+    assert got == {(1, 1, 1, 1), (2, 1, 0, 1), (3, 3, 0, 0), (4, 1, 1, 1), (5, 5, None, None)}
+
+
+@pytest.mark.parametrize("distance", [0, 1, 2, 3])
+@pytest.mark.parametrize("pairwise", [1000, 3])
+def test_classes_of_near_fingerprints(spark, monkeypatch, distance, pairwise):
+    monkeypatch.setattr(dedup, "PAIRWISE", pairwise)
+    rng, prints = random.Random(distance), set()
+    for base in (rng.getrandbits(64), rng.getrandbits(64)):
+        for _ in range(60):
+            p = base
+            for _ in range(rng.randint(0, 5)):
+                p ^= 1 << rng.randrange(0, 64, 3)
+            prints.add(p)
+    prints = sorted(prints) + [0, 1, (1 << 64) - 1]
+    root = list(range(len(prints)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(prints)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= distance:
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    df = spark.createDataFrame([(i, f"h{i}", dedup._signed(p)) for i, p in enumerate(prints)], "id long, h string, fp long")
+    got = {r.id: r.class_id for r in dedup.near_classes(df, "id", "h", "fp", distance).collect()}
+    assert got == {i: find(i) for i in range(len(prints))}
 
 
 def test_audit_names_leakage(spark):
@@ -239,6 +267,41 @@ def test_evaluation(spark):
     assert case(spark, "shipped 尚未显示已退款", call)[1].passed and case(spark, "shipped 运输中", call)[1].passed
 
 
+def test_traces_must_be_of_known_cases_once(spark):
+    c = spark.createDataFrame([(1, "refund", [], [], [], [], [], "[]")], "case_id long, category string, acceptable array<array<struct<name:string,arguments:string>>>, must_not_call array<string>, codes array<string>, term_groups array<array<string>>, assertions array<struct<path:string,equals:string>>, inputs string")
+    kind = "case_id long, calls array<struct<name:string,arguments:string>>, codes array<string>, answer string, parse_errors array<string>, evidence string, state_after string, termination_reason string"
+    for ids in ([1, 1], [1, 2]):
+        t = spark.createDataFrame([(i, [], [], "a", [], "[]", "{}", "final_answer") for i in ids], kind)
+        with pytest.raises(Exception, match="repeated or unknown cases"):
+            evaluation.evaluate(c, t).collect()
+
+
+def test_simulator_says_why(spark):
+    sim = policy.Simulator({"EC-1": ORDER | {"payment_status": "unpaid"}})
+    before, message = sim.snapshot(), lambda *c: sim.call(*c)["error"]["message"]
+    args = {"order_id": "EC-1", "request_type": "exchange", "reason": "damaged"}
+    assert "delete" in message("delete", {}) and "JSON object" in message("query_order_status", [])
+    assert "缺少必填参数：order_id" in message("query_order_status", {}) and "未定义参数：x" in message("query_order_status", {"order_id": "EC-1", "x": 1})
+    assert "必须是字符串" in message("query_order_status", {"order_id": 1}) and "不能为空" in message("query_order_status", {"order_id": " "})
+    assert "不在允许值中：'lost'" in message("check_return_policy", {"order_id": "EC-1", "issue_type": "lost"}) and "格式不合法：'x'" in message("query_order_status", {"order_id": "x"})
+    assert "未找到" in message("query_order_status", {"order_id": "EC-2"}) and "尚未支付" in message("create_after_sales_request", args)
+    assert sim.snapshot() == before and sim.call("check_return_policy", {"order_id": "EC-1", "issue_type": "damaged"})["data"]["message"] == "订单尚未支付，不能申请售后。"
+    own = policy.Policy.from_config(
+        {"tools": [{"name": t, "parameters": {"properties": {a: {"type": "string"} for a, _ in f}, "required": [a for a, _ in f], "additionalProperties": False}} for t, f in policy.TOOLS.items()]},
+        {"policy_version": "x", "return_window_days": 30, "eligible_payment_statuses": ["unpaid"], "rules": {"lost": {"allowed_request_types": ["exchange"]}}},
+    )
+    made = policy.Simulator({"EC-1": ORDER | {"payment_status": "unpaid"}}, own).call("create_after_sales_request", args | {"reason": "lost"})
+    assert made["ok"] and made["data"]["reason"] == "lost"
+    df = spark.createDataFrame([("unpaid", "shipped", None, "lost"), ("paid", "delivered", 1, "damaged")], "payment_status string, fulfillment_status string, days_since_delivery int, issue_type string")
+    assert [r.reason_code for r in policy.decision(df, policy=own).collect()] == ["ELIGIBLE", "UNSUPPORTED_ISSUE_TYPE"]
+    for bad in ({"tools": []}, {}):
+        with pytest.raises(ValueError):
+            policy.Policy.from_config(bad, {"rules": {"a": {}}})
+    for orders in ([{}], [{"order_id": "a"}, {"order_id": "a"}], None):
+        with pytest.raises(ValueError):
+            policy.Simulator.of_scenarios({"orders": orders})
+
+
 def test_buckets_and_margin(spark):
     df = spark.createDataFrame([("decision", "action", "response"), ("decision", "response", "action"), ("parameter", "action", "action"), ("response", "response", "response"), ("decision", "action", "action")], "l string, c string, r string")
     b = evaluation.bucket(F.col("l"), F.col("c"), F.col("r"))
@@ -259,8 +322,9 @@ def test_percentiles(spark):
 
 def test_bootstrap(spark):
     values = [float(i % 2) for i in range(50)]
-    df = spark.createDataFrame([("r", v) for v in values], "run string, v double").coalesce(1)
-    got = metrics.bootstrap_exact(df, "run", "v", 200, 7).first()
+    df = spark.createDataFrame([("r", i, v) for i, v in enumerate(values)], "run string, i int, v double")
+    got = metrics.bootstrap_exact(df.repartition(5), "run", "v", "i", 200, 7).first()
+    assert got == metrics.bootstrap_exact(df.coalesce(1), "run", "v", "i", 200, 7).first()
     rng = random.Random(7)
     means = sorted(sum(values[rng.randrange(50)] for _ in range(50)) / 50 for _ in range(200))
     assert got.mean == 0.5 and got.low == pytest.approx(metrics._between(means, 0.025)) and got.high == pytest.approx(metrics._between(means, 0.975))
