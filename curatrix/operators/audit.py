@@ -93,7 +93,7 @@ SAID = {
 
 
 def audit(
-    df: DataFrame, turns: str, id_col: str, group_col: str, split: str, tools: tuple[str, ...], max_distance: int = 3, required: tuple[str, ...] = (), strict: bool = True, most_pairs: int | None = None
+    df: DataFrame, turns: str, id_col: str, group_col: str, split: str, tools: tuple[str, ...], max_distance: int = 3, required: tuple[str, ...] = (), strict: bool = True, most_pairs: int | None = None, near: bool = True
 ) -> DataFrame:
     """code, severity, key, message of everything that speaks against a dataset: no rows at all, rules for rows,
     metadata that are ``required`` (an error if ``strict``, else a warning), repeated ids, groups and contents over
@@ -101,7 +101,7 @@ def audit(
 
     ``turns`` is an array of (from, value). The dataset passes if no row is an error. With ``most_pairs``
     only so many pairs of near copies are named, errors first, and ``near_duplicates_truncated`` (a
-    warning) says so.
+    warning) says so; without ``near`` near copies aren't looked for.
     """
     from .dedup import simhash
 
@@ -120,13 +120,20 @@ def audit(
     out = out.unionByName(group_leakage(rows, F.col("grp"), "split").select(F.lit("group_split_leakage").alias("code"), F.lit("error").alias("severity"), F.col("key").cast("string").alias("key")))
     out = out.unionByName(content_leakage(rows, F.col("hash"), "split").select("code", "severity", "key"))
     empty = df.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("empty_dataset").alias("code"), F.lit("error").alias("severity"), F.lit("").alias("key"))
-    near = near_issues(rows.where("norm <> ''").select("hash", simhash("norm").alias("fp"), "split"), max_distance)
+    out = out.unionByName(empty)
+    if near:
+        out = out.unionByName(_named(near_issues(rows.where("norm <> ''").select("hash", simhash("norm").alias("fp"), "split"), max_distance), most_pairs))
+    said = F.element_at(F.create_map(*[F.lit(x) for kv in SAID.items() for x in kv]), F.col("code"))
+    return out.withColumn("message", F.coalesce(said, F.col("code")))
+
+
+def _named(near: DataFrame, most_pairs: int | None) -> DataFrame:
+    """The first ``most_pairs`` issues, and one more that says if there are others."""
     if most_pairs is not None:
         some = near.orderBy(F.col("severity"), "key", "code").limit(most_pairs + 1)
         more = some.agg(F.count("*").alias("n")).where(F.col("n") > most_pairs).select(F.lit("near_duplicates_truncated").alias("code"), F.lit("warning").alias("severity"), F.lit("").alias("key"))
         near = some.orderBy(F.col("severity"), "key", "code").limit(most_pairs).unionByName(more)
-    said = F.element_at(F.create_map(*[F.lit(x) for kv in SAID.items() for x in kv]), F.col("code"))
-    return out.unionByName(empty).unionByName(near).withColumn("message", F.coalesce(said, F.col("code")))
+    return near
 
 
 def report(df: DataFrame, issues_: DataFrame, split: str, text: Column, source: str | None = None, scenario: str | None = None) -> DataFrame:

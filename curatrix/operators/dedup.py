@@ -34,7 +34,15 @@ def simhash(texts: pd.Series) -> pd.Series:
 
     The whole text is the gram if it is that short; an empty text has 0; null stays null.
     """
-    seen: dict[str, bytes] = {}
+    known: dict[int, int] = {}  # key of a gram: its hash
+
+    def hashed(gram: str) -> int:
+        return int.from_bytes(hashlib.blake2b(gram.encode("utf-8"), digest_size=8).digest(), "big")
+
+    def of_key(key: int) -> int:
+        if key not in known:
+            known[key] = hashed("".join(chr(key >> 16 * i & 0xFFFF) for i in range(GRAM)))
+        return known[key]
 
     def one(t):
         if t is None:
@@ -42,17 +50,22 @@ def simhash(texts: pd.Series) -> pd.Series:
         t = "".join(t.split())
         if not t:
             return 0
-        grams = [t] if len(t) <= GRAM else [t[i : i + GRAM] for i in range(len(t) - GRAM + 1)]
-        if len(seen) > 500_000:
-            seen.clear()
-        for g in grams:
-            if g not in seen:
-                seen[g] = hashlib.blake2b(g.encode("utf-8"), digest_size=8).digest()[::-1]
-        raw = np.frombuffer(b"".join(map(seen.__getitem__, grams)), np.uint8).reshape(-1, 8)
+        if len(known) > 500_000:
+            known.clear()
+        code = np.frombuffer(t.encode("utf-32-le"), "<u4")
+        if len(t) > GRAM and code.max() < 1 << 16:
+            # Four characters make a key; each different gram is looked up once for a text.
+            wide = code.astype(np.uint64)
+            keys, times = np.unique(sum(wide[i : len(wide) - GRAM + 1 + i] << np.uint64(16 * i) for i in range(GRAM)), return_counts=True)
+            hashes = list(map(of_key, keys.tolist()))
+        else:
+            grams = [t] if len(t) <= GRAM else [t[i : i + GRAM] for i in range(len(t) - GRAM + 1)]
+            hashes, times = list(map(hashed, grams)), np.ones(len(grams), np.int64)
+        raw = np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8)
         counts = np.zeros(64, np.int64)
         for at in range(0, len(raw), 65536):
-            counts += np.unpackbits(raw[at : at + 65536], axis=1, bitorder="little").sum(0, dtype=np.int64)
-        value = int(np.packbits(counts * 2 >= len(raw), bitorder="little").view("<u8")[0])
+            counts += times[at : at + 65536] @ np.unpackbits(raw[at : at + 65536], axis=1, bitorder="little").astype(np.int64)
+        value = int(np.packbits(counts * 2 >= times.sum(), bitorder="little").view("<u8")[0])
         return value - (1 << 64) if value >> 63 else value
 
     # A series of integers and nulls would pass through doubles, which lose the low bits.

@@ -372,11 +372,37 @@ def _conversations(spark, sf_dir):
     return dialogue.gathered(_table(spark, sf_dir, "conversations"))
 
 
-@query()
-def dataset_audit(spark, sf_dir):
+def _audited(spark, sf_dir, **options):
     turns = F.transform("turns", lambda t: F.struct(F.when(t["role"] == "user", "human").when(t["role"] == "assistant", "gpt").otherwise(t["role"]).alias("from"), t["text"].alias("value")))
     convs = selection.threshold_split(_conversations(spark, sf_dir).withColumn("turns", turns), 0.1, "conv_id")
-    return audit.audit(convs.withColumn("grp", text.pick(50, F.lit("g"), "conv_id")), "turns", "conv_id", "grp", "split", tuple(policy.TOOLS)).drop("message")
+    return audit.audit(convs.withColumn("grp", text.pick(50, F.lit("g"), "conv_id")), "turns", "conv_id", "grp", "split", tuple(policy.TOOLS), **options).drop("message")
+
+
+@query()
+def dataset_audit(spark, sf_dir):
+    return _audited(spark, sf_dir)
+
+
+_AUDITED = (
+    "WITH c AS (SELECT conv_id, list({'f': CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE role END, 'v': text} ORDER BY turn, role, text) AS turns FROM conversations GROUP BY 1), "
+    "n AS (SELECT conv_id, turns, trim(regexp_replace(lower(array_to_string(list_transform(turns, lambda t: t.f || ':' || t.v), chr(10))), '\\s+', ' ', 'g')) AS norm, "
+    "CASE WHEN ('0x' || left(sha256(conv_id::VARCHAR), 15))::BIGINT < (0.1 * 1152921504606846976)::BIGINT THEN 'validation' ELSE 'train' END AS split, "
+    "('0x' || left(sha256('g:' || conv_id), 8))::BIGINT % 50 AS grp FROM c), "
+    "m AS (SELECT *, replace(norm, 'xxx@yyy.com', '') AS t FROM n) "
+)
+
+
+@query(
+    _AUDITED + "SELECT unnest(list_filter(["
+    "CASE WHEN len(list_filter(turns, lambda x: x.f NOT IN ('human', 'gpt', 'function_call', 'observation', 'system'))) > 0 THEN 'invalid_role' END, "
+    "CASE WHEN len(list_filter(turns, lambda x: trim(coalesce(x.v, '')) = '')) > 0 THEN 'empty_value' END, CASE WHEN turns[-1].f <> 'gpt' THEN 'missing_final_answer' END, "
+    f"CASE WHEN norm = '' THEN 'empty_text' END, CASE WHEN len({_PII}) > 0 THEN 'pii_detected' END], lambda x: x IS NOT NULL)) AS code, 'error' AS severity, conv_id::VARCHAR AS key FROM m "
+    "UNION ALL SELECT 'group_split_leakage', 'error', grp::VARCHAR FROM m GROUP BY grp HAVING count(DISTINCT split) > 1 "
+    "UNION ALL SELECT CASE WHEN count(DISTINCT split) > 1 THEN 'content_split_leakage' ELSE 'exact_duplicate' END, CASE WHEN count(DISTINCT split) > 1 THEN 'error' ELSE 'warning' END, sha256(norm) FROM m GROUP BY norm HAVING count(*) > 1"
+)
+def dataset_rules(spark, sf_dir):
+    """The audit without its search for near copies."""
+    return _audited(spark, sf_dir, near=False)
 
 
 # --- Dialogues -----------------------------------------------------------------------

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from curatrix.functions import personal, toolformats
-from curatrix.operators import audit, casesets, evaluation, policy, runs, selection, synthesis
+from curatrix.operators import audit, casesets, evaluation, guards, policy, runs, selection, synthesis
 
 
 def test_rows_that_pairs_are_mined_from(spark):
@@ -191,3 +191,21 @@ def test_fixed_case_sets(spark):
     assert rows["FZ1-TOOL-000"].allowed_claims["after_sales_status"] == '"submitted"' and rows["FZ1-MISSING-000"].calls == []
     said = frozen.select("case_id", "calls", "codes", "terminal_status", F.col("allowed_claims").alias("claimed_facts"))
     assert evaluation.exact_checks(frozen, said).where("not passed").count() == 0
+
+
+def test_guards():
+    assert (guards.positive("n", 3), guards.fraction("p", 0.5), guards.one_of("k", "a", "ab"), guards.fraction("p", 1, open_high=False)) == (3, 0.5, "a", 1)
+    assert guards.shares("s", {"a": 0.1, "b": 0.2, "c": 0.7}) and guards.consistent("m", {"a": 1}, {"a": 1}) is None
+    for call in (
+        lambda: guards.positive("n", 0),
+        lambda: guards.positive("n", True),
+        lambda: guards.positive("n", 1.0),
+        lambda: guards.fraction("p", 0),
+        lambda: guards.fraction("p", 1.5, open_high=False),
+        lambda: guards.shares("s", {"a": 0.5}),
+        lambda: guards.shares("s", {}),
+        lambda: guards.one_of("k", "c", "ab"),
+        lambda: guards.consistent("m", {"a": 1, "b": None}, {"a": 1}),
+    ):
+        with pytest.raises(ValueError):
+            call()
