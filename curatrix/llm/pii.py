@@ -97,14 +97,15 @@ _SPELLED_ONE = re.compile(rf"plus|{_WORD}|[0-9]+", re.I)
 _PIECE = rf"(?:{_WORD}|[0-9]++)(?![A-Za-z0-9])"
 _SPELLED_MIXED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[\s,-]{{1,2}}|(?<!\+)\+\s?)?\(?{_PIECE}(?:[\s,()-]{{1,3}}{_PIECE})++", re.I)
 _HAS_SPELLED = [w for w in _SPELLED if len(w) > 2]
-_AT = r"\s*(?:\[\s*(?:at|@)\s*\]|\(\s*(?:at|@)\s*\)|\{\s*(?:at|@)\s*\}|<\s*(?:at|@)\s*>)\s*"
 _DOT = r"(?:\s*(?:\[\s*(?:dot|\.)\s*\]|\(\s*(?:dot|\.)\s*\)|\{\s*(?:dot|\.)\s*\}|<\s*(?:dot|\.)\s*>)\s*|\s+dot\s+)"
-_NAME = r"[A-Za-z0-9_%+-]{1,64}"
-_LABEL = r"[A-Za-z0-9-]{1,63}"
-#: A bracketed sign needs no more than a domain; plain words need a "dot" too.
-_BRACKETED = re.compile(rf"(?<![A-Za-z0-9._%+-])({_NAME}(?:(?:{_DOT}|\.){_NAME}){{0,8}}?)({_AT})({_LABEL}(?:(?:{_DOT}|\.){_LABEL}){{1,8}})", re.I)
-_PLAIN = re.compile(rf"(?<![A-Za-z0-9._%+-])({_NAME}(?:\.{_NAME}){{0,8}}?)(\s+at\s+)({_LABEL}(?:{_DOT}{_LABEL}){{1,8}})", re.I)
-_SIGN = re.compile(rf"(?<![A-Za-z0-9._%+-])({_NAME}(?:(?:{_DOT}|\.){_NAME}){{0,8}}?)(\s?@\s?)({_LABEL}(?:{_DOT}{_LABEL}){{1,8}})", re.I)
+#: Signs between a name and a domain: in brackets, as a word, or bare with a blank at its sides at most.
+_SIGNS_AT = (re.compile(r"[\[({<]\s*+(?:at|@)\s*+[\])}>]", re.I), re.compile(r"(?<=\s)at(?=\s)", re.I), re.compile("@"))
+_BRACKETS, _WORD_AT, _BARE = range(3)
+#: What may stand to the right of a sign, and to its left read backwards. A word for the sign joins names by plain dots only.
+_RIGHT = re.compile(rf"[A-Za-z0-9-]++(?:(?:{_DOT}|\.)[A-Za-z0-9-]++)+", re.I)
+_TOD = r"(?:\s*(?:\]\s*(?:tod|\.)\s*\[|\)\s*(?:tod|\.)\s*\(|\}\s*(?:tod|\.)\s*\{|>\s*(?:tod|\.)\s*<)\s*|\s+tod\s+)"
+_LEFT = re.compile(rf"[A-Za-z0-9_%+-]++(?:(?:{_TOD}|\.)[A-Za-z0-9_%+-]++)*", re.I)
+_LEFT_PLAIN = re.compile(r"[A-Za-z0-9_%+-]++(?:\.[A-Za-z0-9_%+-]++)*")
 _DOT_AT = re.compile(_DOT, re.I)
 _DOTTED = re.compile(rf"(?<![0-9A-Za-z.])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9A-Za-z])", re.I)
 
@@ -156,7 +157,7 @@ def _look_alikes(tape: Tape) -> None:
     if plain == tape.text:
         return
     changes, done = [], 0
-    for a, b in sorted(m.span() for pattern in _disguised(plain.lower()) for m in pattern.finditer(plain)):
+    for a, _, _, b in _addresses(plain):
         if a and plain[a - 1].isalnum():  # the tail of a foreign word
             continue
         changes += [(x, x + 1, plain[x]) for x in range(max(a, done), b) if plain[x] != tape.text[x]]
@@ -164,17 +165,34 @@ def _look_alikes(tape: Tape) -> None:
     tape.rewrite(changes)
 
 
-def _disguised(low: str) -> list[re.Pattern]:
-    """Patterns of addresses that a text in lower case may match."""
+def _addresses(text: str) -> list[tuple[int, int, int, int]]:
+    """Disguised addresses: where each begins, where its sign (with blanks) begins and ends, where it ends.
+
+    They are found from their signs. What is read for one lies between the sign before it and
+    the one after it, so the time is in proportion to the text, however long names are.
+    """
+    low = text.lower()
     dots = "dot" in low or "[.]" in low or "(.)" in low or "{.}" in low or "<.>" in low
-    patterns = []
-    if re.search(r"[\[({<]\s*(?:at|@)\s*[\])}>]", low):
-        patterns.append(_BRACKETED)
-    if dots and re.search(r"\sat\s", low):
-        patterns.append(_PLAIN)
-    if dots and "@" in low:
-        patterns.append(_SIGN)
-    return patterns
+    kinds = [_BRACKETS] if any(x in low for x in "[({<") else []
+    kinds += [k for k, part in ((_WORD_AT, "at"), (_BARE, "@")) if dots and part in low]
+    marks = sorted((m.start(), m.end(), k) for k in kinds for m in _SIGNS_AT[k].finditer(text))
+    out, floor = [], 0
+    for a, b, kind in marks:
+        if a < floor:  # the bare sign in brackets, or one in what was taken
+            continue
+        left, right, most = a, b, 1 if kind == _BARE else len(text)
+        while left > floor and a - left < most and text[left - 1].isspace():
+            left -= 1
+        while right < len(text) and right - b < most and text[right].isspace():
+            right += 1
+        before = (_LEFT_PLAIN if kind == _WORD_AT else _LEFT).match(text[floor:left][::-1])
+        after = _RIGHT.match(text, right) if before else None
+        floor = b
+        # A bracketed sign needs no more than a domain; the others need a "dot" too.
+        if after and (kind == _BRACKETS or _DOT_AT.search(after.group())):
+            out.append((left - before.end(), left, right, after.end()))
+            floor = after.end()
+    return out
 
 
 def _joined(run: str, one: re.Pattern) -> str:
@@ -234,13 +252,12 @@ def _signs_in_words(tape: Tape) -> None:
         for m in _DOTTED.finditer(tape.text):
             changes += [(m.start() + x.start(), m.start() + x.end(), ".") for x in _DOT_AT.finditer(m.group())]
         tape.rewrite(changes)
-    for pattern in _disguised(low):
-        changes = []
-        for m in pattern.finditer(tape.text):
-            changes.append((m.start(2), m.end(2), "@"))
-            for k in (1, 3):
-                changes += [(m.start(k) + x.start(), m.start(k) + x.end(), ".") for x in _DOT_AT.finditer(m.group(k))]
-        tape.rewrite(sorted(changes))
+    changes = []
+    for a, left, right, b in _addresses(tape.text):
+        for x, y in ((a, left), (right, b)):
+            changes += [(x + m.start(), x + m.end(), ".") for m in _DOT_AT.finditer(tape.text[x:y])]
+        changes.append((left, right, "@"))
+    tape.rewrite(sorted(changes))
 
 
 def find_all(text: str) -> tuple[list[Span], list[Span]]:
