@@ -189,7 +189,9 @@ def contaminated(
     candidates, whose words are compared.
     """
     spark = df.sparkSession
-    prints = common.written(_item_prints(items, window, item_col, item_text_col), f"{common.scratch(spark)}/prints")
+    # Items that share a gram with the words around it are one row, however many they are.
+    alike = _item_prints(items, window, item_col, item_text_col).groupBy("m", "fp", "i_left", "i_gram", "i_right").agg(F.collect_set("item").alias("names"))
+    prints = common.written(alike, f"{common.scratch(spark)}/prints")
     size = prints.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.concat_ws(" ", "i_left", "i_gram", "i_right"))).alias("bytes")).first()
     short = sorted(-r.m for r in prints.where("m < 0").select("m").distinct().collect())  # fewer than ``window`` numbers
     docs = _documents(df, window, short, id_col, text_col)
@@ -201,8 +203,8 @@ def contaminated(
     else:
         # Texts stay where they are until hits are known; then hits go to their document.
         lean = docs.select("doc", "digest", F.inline_outer("picks")).where("p >= 0").join(prints, "fp")
-        hits = lean.groupBy("doc", "digest").agg(F.collect_list(F.struct("p", "item", "i_left", "i_gram", "i_right")).alias("hits"))
-        mark = F.array(F.struct(F.lit(-1).alias("p"), *[F.lit(None).cast(t).alias(c) for c, t in (("item", "string"), ("i_left", "array<string>"), ("i_gram", "array<string>"), ("i_right", "array<string>"))]))
+        hits = lean.groupBy("doc", "digest").agg(F.collect_list(F.struct("p", "names", "i_left", "i_gram", "i_right")).alias("hits"))
+        mark = F.array(F.struct(F.lit(-1).alias("p"), *[F.lit(None).cast(t).alias(c) for c, t in (("names", "array<string>"), ("i_left", "array<string>"), ("i_gram", "array<string>"), ("i_right", "array<string>"))]))
         one = docs.groupBy("doc", "digest").agg(F.first("w").alias("w"), F.first("n").alias("n"), F.count("*").alias("copies"))
         held = one.alias("d").join(hits.alias("h"), F.col("d.doc").eqNullSafe(F.col("h.doc")) & F.col("d.digest").eqNullSafe(F.col("h.digest")), "left")
         held = held.select("d.doc", "d.digest", "w", "n", "copies", F.coalesce("hits", F.array().cast(hits.schema["hits"].dataType)).alias("hits"))
@@ -214,7 +216,7 @@ def contaminated(
         "digest",
         "n",
         "p",
-        "item",
+        "names",
         "i_gram",
         F.size("i_gram").alias("m"),
         "i_left",
@@ -227,10 +229,10 @@ def contaminated(
     # A short item is its own window; else left + gram + right must reach a window's length.
     whole = (F.col("d_gram") == F.col("i_gram")) & ((F.col("left") + F.col("m") + F.col("right") >= window) | (F.col("m") != k) | (F.size("i_left") + F.size("i_right") == 0))
     hit = F.when((p >= 0) & whole, F.struct((p - F.col("left")).alias("a"), (p + F.col("m") + F.col("right") - 1).alias("b")))
-    marked = runs.select("doc", "digest", "n", (p < 0).cast("int").alias("row"), hit.alias("hit"), "item")
+    marked = runs.select("doc", "digest", "n", (p < 0).cast("int").alias("row"), hit.alias("hit"), "names")
     # No filter on ``hit``: pushed below, it would make every kept gram carry its text along.
     told = marked.groupBy("doc", "digest", "n").agg(
-        F.sum("row").alias("copies"), F.array_sort(F.collect_set("hit")).alias("hits"), F.array_sort(F.collect_set(F.when(F.col("hit").isNotNull(), F.col("item")))).alias("items")
+        F.sum("row").alias("copies"), F.array_sort(F.collect_set("hit")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("hit").isNotNull(), F.col("names")))))).alias("items")
     )
     merged = told.withColumn("spans", _merged("hits"))
     length = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + (x["b"] - x["a"] + 1))
