@@ -51,7 +51,7 @@ def tables(spark, tmp_path_factory):
     save = lambda rows, ddl, name: spark.createDataFrame(rows, ddl).repartition(3).write.parquet(f"{root}/{name}.parquet")
     save([(i, t, "en", "s", None if t is None else len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long", "documents")
     save(items, "item_id long, text string", "benchmark")
-    save([(i, len(text(t)) % 2, int(i % 7 == 0)) for i, t in docs if i is not None], "doc_id long, quality int, toxic int", "labels")
+    save([(i, int(300 <= i < 310) or len(text(t)) % 2, int(i % 7 == 0)) for i, t in docs if i is not None], "doc_id long, quality int, toxic int", "labels")
     pages = [(100 * k + i, f"http://site{k}.example/{i}", h, t) for k, layout in enumerate(LAYOUTS) for i, (h, t) in enumerate(site(rng, layout, 6))]
     pages += [(901, None, None, ""), (902, "http://x.example/", "", ""), (None, "http://y.example/", "<p>&Eacute;t&eacute; \U0001f600\n<p>two", "Été \U0001f600\ntwo")]
     save([p[:3] for p in pages], "page_id long, url string, html string", "pages")
