@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from ..functions.text import column, content_hash
-from ..sources.sinks import checkpointed
+from ..sources.sinks import checkpointed, forgotten
 
 GRAM = 4
 #: Bits of a fingerprint are cut into six blocks; two that differ in three bits at most agree on three of them.
@@ -225,7 +225,8 @@ def components(links: DataFrame) -> DataFrame:
         large = proper(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")))
         least = large.groupBy("a").agg(F.min("b").alias("least"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))).alias("x"))
-        now = checkpointed(proper(small.select("x.a", "x.b")))
+        before, now = now, checkpointed(proper(small.select("x.a", "x.b")))
+        forgotten(before)
         last, seen = seen, mark(now)
         if seen == last:
             break

@@ -30,6 +30,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forgotten(df: DataFrame) -> None:
+    """Delete a checkpointed table that nothing reads any more."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def json_line(df: DataFrame) -> Column:
     """A row as JSON with sorted keys, at all levels, and no blanks; nulls are left out."""
     return F.to_json(F.parse_json(F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]))))
