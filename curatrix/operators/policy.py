@@ -261,13 +261,14 @@ def code_of(observation: dict) -> str:
 TRACE = "case_id string, codes array<string>, final_answer string, termination_reason string, parse_error string, calls string, observations string, state_before string, state_after string"
 
 
-def rollouts(cases: DataFrame, generate: Callable[[dict, list[dict]], str], max_steps: int = 6, policy: Policy = DEFAULT) -> DataFrame:
+def rollouts(cases: DataFrame, generate: Callable[[dict, list[dict]], str], max_steps: int = 6, policy: Policy = DEFAULT, spread: bool = True) -> DataFrame:
     """One trace for each case: case_id, orders (JSON: id to order), and whatever ``generate`` needs.
 
     ``generate(case, messages)`` gives the next output; calls are executed in the case's
     own simulator until a final answer, an output that can't be parsed, or ``max_steps``.
-    Cases are independent, so they are spread as the input is. The state is kept as it is
-    before the first and after the last call.
+    Cases are independent. They are dealt out anew, as a case costs far more than its move and a
+    small table may come in one partition; without ``spread`` they stay as the input is. The state
+    is kept as it is before the first and after the last call.
     """
     import json
 
@@ -302,6 +303,8 @@ def rollouts(cases: DataFrame, generate: Callable[[dict, list[dict]], str], max_
                 out.append((case["case_id"], codes, final, reason, error, dump(calls), dump(seen), before, dump(sim.orders)))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in TRACE.split(", ")])
 
+    if spread:
+        cases = cases.repartition(int(cases.sparkSession.conf.get("spark.sql.shuffle.partitions")), "case_id")
     return cases.select(*names).mapInPandas(run, TRACE)
 
 
