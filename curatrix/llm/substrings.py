@@ -5,9 +5,12 @@ symbols whose names are hashes of what they stand for, so a name means the same
 every document and no naming table has to be shared. Which pairs are joined depends
 on the two names alone; so equal word sequences get equal symbols but for a bounded
 border. A window is anchored at the symbol of least name in its interior. Anchors and
-the words around them that every such window has are named and brought together; only
-windows at anchors that several documents share are compared themselves, by their hash
-and their anchor's name.
+the words around them that every such window has are named and brought together.
+
+Further rounds let symbols grow to hundreds of words. One of a window's length or more
+that a smaller id has too, told by the hash of all of its words, reveals a long repeat,
+and settles all windows within it at once. What is left, windows at anchors that several
+documents share, is compared window by window, by hash and anchor's name.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from . import common
 WINDOW = 50
 #: Most words of a symbol after each round.
 CAPS = (2, 4, 4)
+#: The same of the rounds after these, in which symbols grow by a half each on average.
+GROWN = (6, 9, 14, 21, 32, 48, 72, 108, 162, 256)
 #: Words at either end of a window whose symbols may depend on what lies outside: a run
 #: and a pair may reach over the border in each round.
 BORDER = sum(2 * (c - 1) for c in CAPS)
@@ -68,54 +73,83 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _cache[0], _cache[1]
 
 
-def recompressed(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Names of the symbols after all rounds, and the first word of each (and the end)."""
+def _round(name: np.ndarray, start: np.ndarray, border: np.ndarray, k: int, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names and first words of the symbols after a round of runs and of pairs."""
+    # Runs: maximal blocks of one name, if not too long; a longer one stays as it is.
+    n = len(name)
+    head = np.ones(n, bool)
+    head[1:] = (name[1:] != name[:-1]) | border[start[1:n]]
+    at = np.flatnonzero(head)
+    ends = np.append(at[1:], n)
+    short = (start[ends] - start[at]) <= cap
+    keep = head | ~np.repeat(short, ends - at)
+    length = np.repeat(ends - at, ends - at)[keep]
+    block = np.repeat(short & (ends - at > 1), ends - at)[keep]
+    name, start = name[keep], np.append(start[:-1][keep], start[-1])
+    name[block] = common.mix64(name[block] * _U(3) + length[block].astype(_U) * common._MUL + _U(2 * k + 1))
+    # Pairs: a left symbol and a right one, if not too long together. Which are left ones the names tell: half of them, or,
+    # for more pairs at the cost of a look to the left, those of a value below both neighbours'.
+    n = len(name)
+    value = common.mix64(name + _U((k + 1) * int(common._MUL) & (1 << 64) - 1))
+    join = np.zeros(n, bool)
+    if k < len(CAPS):
+        left = (value & _U(1)).astype(bool)
+        join[:-1] = left[:-1] & ~left[1:]
+    else:
+        join[:-1] = value[:-1] < value[1:]
+        join[1:] &= (value[1:] < value[:-1]) | border[start[1:n]]
+    join[:-1] &= ~border[start[1:n]] & (start[2:] - start[:-2] <= cap)
+    at = np.flatnonzero(join)
+    name[at] = common.mix64(name[at] + common.mix64(name[at + 1] ^ _U(k + 17)) * _U(5))
+    keep = np.ones(n, bool)
+    keep[at + 1] = False
+    return name[keep], np.append(start[:-1][keep], start[-1])
+
+
+def recompressed(words: Words, caps: tuple[int, ...] = CAPS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Names of the symbols after each round, and the first word of each (and the end)."""
     name, start = words.hash.copy(), np.arange(len(words.hash) + 1)
     border = np.zeros(len(words.hash) + 1, bool)
     border[words.first] = True  # no symbol reaches over two texts
-    for k, cap in enumerate(CAPS):
-        # Runs: maximal blocks of one name, if not too long; a longer one stays as it is.
-        n = len(name)
-        if not n:
-            break
-        head = np.ones(n, bool)
-        head[1:] = (name[1:] != name[:-1]) | border[start[1:n]]
-        at = np.flatnonzero(head)
-        ends = np.append(at[1:], n)
-        short = (start[ends] - start[at]) <= cap
-        keep = head | ~np.repeat(short, ends - at)
-        length = np.repeat(ends - at, ends - at)[keep]
-        block = np.repeat(short & (ends - at > 1), ends - at)[keep]
-        name, start = name[keep], np.append(start[:-1][keep], start[-1])
-        name[block] = common.mix64(name[block] * _U(3) + length[block].astype(_U) * common._MUL + _U(2 * k + 1))
-        # Pairs: a left symbol and a right one, if not too long together.
-        n = len(name)
-        left = (common.mix64(name + _U((k + 1) * int(common._MUL) & (1 << 64) - 1)) & _U(1)).astype(bool)
-        join = np.zeros(n, bool)
-        join[:-1] = left[:-1] & ~left[1:] & ~border[start[1:n]] & (start[2:] - start[:-2] <= cap)
-        at = np.flatnonzero(join)
-        name[at] = common.mix64(name[at] + common.mix64(name[at + 1] ^ _U(k + 17)) * _U(5))
-        keep = np.ones(n, bool)
-        keep[at + 1] = False
-        name, start = name[keep], np.append(start[:-1][keep], start[-1])
-    return name, start
+    for k, cap in enumerate(caps):
+        if len(name):
+            name, start = _round(name, start, border, k, cap)
+        yield name, start
+
+
+#: Names of long symbols have this bit, those of anchors don't.
+LONG = _U(1 << 63)
 
 
 class Windows:
-    """All windows of the texts: first word, hash, and the name of the anchor with its surroundings."""
+    """All windows of the texts: first word, hash, and the name of the anchor with its surroundings; and the long symbols:
+    document, words and name."""
 
     def __init__(self, words: Words, window: int):
         count = np.maximum(words.n - window + 1, 0)
         self.doc = np.repeat(np.arange(len(count)), count)
         self.at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(words.first[:-1], count)
         self.count = count
-        name, start = recompressed(words)
+        rounds = list(recompressed(words, CAPS + GROWN))
+        name, start = rounds[len(CAPS) - 1]
         # Symbols that lie in the interior: start >= at + BORDER, end <= at + window - BORDER.
         low = np.searchsorted(start[:-1], self.at + BORDER)
         high = np.searchsorted(start[1:], self.at + (window - BORDER), "right")
         best = _least(name, low, high)
-        self.anchor = common.mix64(words.ranges(start[best] - BORDER, start[best + 1] + BORDER) ^ name[best])
+        self.anchor = common.mix64(words.ranges(start[best] - BORDER, start[best + 1] + BORDER) ^ name[best]) & ~LONG
         self.words, self.window = words, window
+        start = rounds[-1][1]
+        long_ = np.flatnonzero(np.diff(start) >= window)
+        self.long_from, self.long_to = start[long_], start[long_ + 1]
+        self.long_doc = np.searchsorted(words.first, self.long_from, "right") - 1
+        self.long_name = words.ranges(self.long_from, self.long_to) | LONG
+
+    def within(self, chosen: np.ndarray) -> np.ndarray:
+        """Is each window within one of the chosen long symbols?"""
+        step = np.zeros(len(self.words.hash) + 1, np.int64)
+        np.add.at(step, self.long_from[chosen], 1)
+        np.add.at(step, self.long_to[chosen] - self.window + 1, -1)
+        return (np.cumsum(step) > 0)[self.at]
 
     def hashes(self, rows: np.ndarray) -> np.ndarray:
         return self.words.ranges(self.at[rows], self.at[rows] + self.window)
@@ -211,8 +245,9 @@ def _with_id(part: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
 
 
 def _anchors(buckets: int, window: int):
-    """Anchors of the documents. Those that several documents of one task have are TOLD to these; the first
-    and the last document of a name ask for all, so a frequent name costs a task two entries."""
+    """Anchors and long symbols of the documents. An anchor that several documents of one task have is TOLD to these; the
+    first and the last of them ask for all, so a frequent name costs a task two entries. A long symbol is TOLD to
+    all but the first, which asks."""
 
     def combined(doc: np.ndarray, name: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((doc, name))
@@ -220,8 +255,9 @@ def _anchors(buckets: int, window: int):
         head = np.append(True, name[1:] != name[:-1])
         last = np.append(head[1:], True)
         group = np.cumsum(head) - 1
-        shared = (doc[head] < doc[last])[group]
-        asks = head | last & shared
+        long_ = name >= LONG
+        shared = np.where(long_, doc[head][group] < doc, (doc[head] < doc[last])[group])
+        asks = head | last & shared & ~long_
         for rows, kind in ((asks, ASKED), (shared, TOLD)):
             rows = np.flatnonzero(rows)
             rows = rows[np.argsort(doc[rows], kind="stable")]
@@ -237,9 +273,9 @@ def _anchors(buckets: int, window: int):
                 if not len(w.at):
                     continue
                 turn = np.append(True, (w.anchor[1:] != w.anchor[:-1]) | (w.doc[1:] != w.doc[:-1]))
-                docs.append(ids[w.doc[turn]])
-                names.append(w.anchor[turn])
-                held += len(names[-1])
+                docs += [ids[w.doc[turn]], ids[w.long_doc]]
+                names += [w.anchor[turn], w.long_name]
+                held += int(turn.sum()) + len(w.long_name)
                 if held >= HELD_NAMES:
                     yield from combined(np.concatenate(docs), np.concatenate(names))
                     docs, names, held = [], [], 0
@@ -250,7 +286,7 @@ def _anchors(buckets: int, window: int):
 
 
 def _shared(buckets: int):
-    """Names that documents of different ids have, back to buckets of documents."""
+    """Anchors that documents of different ids have, back to buckets of documents; long symbols to all but the least."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         if key[0].as_py() == TOLD:
@@ -261,7 +297,7 @@ def _shared(buckets: int):
         once = np.append(True, (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, bool)
         doc, name = doc[once], name[once]
         same = name[1:] == name[:-1]
-        many = np.append(False, same) | np.append(same, False) if len(doc) else np.zeros(0, bool)
+        many = np.append(False, same) | np.append(same, False) & (name < LONG) if len(doc) else np.zeros(0, bool)
         doc, name = doc[many], name[many]
         order = np.argsort(doc, kind="stable")
         doc, name = doc[order], name[order]
@@ -289,21 +325,25 @@ class _Lookup:
         return self.keys[at] == key
 
 
-def _settled(doc: np.ndarray, name: np.ndarray, hashed: np.ndarray, buckets: int, origin: int, last: bool = False) -> pa.RecordBatch:
+def _settled(doc: np.ndarray, name: np.ndarray, hashed: np.ndarray, buckets: int, origin: int, last: bool = False, told: tuple = ()) -> pa.RecordBatch:
     """Rows of _RUNS. Of the documents with one window the least asks on (unless this is the last step), the
-    others are TOLD that it goes."""
+    others are TOLD that it goes, and so are those of ``told`` (documents, hashes)."""
     order = np.lexsort((doc, name, hashed))
     doc, name, hashed = doc[order], name[order], hashed[order]
     new = np.append(True, (hashed[1:] != hashed[:-1]) | (name[1:] != name[:-1])) if len(doc) else np.zeros(0, bool)
     gone = doc > doc[new][np.cumsum(new) - 1]
     rows = []
     for kind, some in ((TOLD, gone),) if last else ((ASKED, new), (TOLD, gone)):
-        some = np.flatnonzero(some)
-        some = some[np.lexsort((hashed[some], name[some], doc[some]))]
         d, n, h = doc[some], name[some], hashed[some]
         if kind == TOLD:  # one entry for each document and window
+            if told:
+                d, h = np.concatenate([d, told[0]]), np.concatenate([h, told[1]])
+            n = np.zeros(len(d), _U)
+        row = np.lexsort((h, n, d))
+        d, n, h = d[row], n[row], h[row]
+        if kind == TOLD:
             once = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])) if len(d) else np.zeros(0, bool)
-            d, n, h = d[once], n[once] * _U(0), h[once]
+            d, n, h = d[once], n[once], h[once]
         for b, r in _by_bucket((n % _U(SPREAD * buckets)).astype(np.int64) if kind == ASKED else _home(d, buckets)):
             at = np.flatnonzero(np.append(True, (d[r][1:] != d[r][:-1]) | (n[r][1:] != n[r][:-1])))
             sizes = np.diff(np.append(at, len(r))).astype(np.int32)
@@ -312,20 +352,26 @@ def _settled(doc: np.ndarray, name: np.ndarray, hashed: np.ndarray, buckets: int
 
 
 def _candidates(buckets: int, window: int):
-    """Windows at shared anchors, to the buckets of their anchors' names."""
+    """Windows within long symbols that a smaller id has are TOLD to go; others at shared anchors go to the buckets of
+    their anchors' names."""
 
     def run(key: tuple, texts: pa.Table, shared: pa.Table) -> pa.Table:
-        found = []
+        found, told = [], []
         known = _Lookup(*_unlisted(shared)) if shared.num_rows else None
         for part in _parts(texts.select(["id", "text"])) if known else ():
             some, ids = _with_id(part)
             w = Windows(Words(some), window)
-            rows = np.flatnonzero(known.has(ids[w.doc], w.anchor))
-            if len(rows):
-                found.append((ids[w.doc[rows]], w.anchor[rows], w.hashes(rows)))
+            if not len(w.at):
+                continue
+            inside = w.within(known.has(ids[w.long_doc], w.long_name))
+            rows = np.flatnonzero(inside)
+            told.append((ids[w.doc[rows]], w.hashes(rows)))
+            rows = np.flatnonzero(known.has(ids[w.doc], w.anchor) & ~inside)
+            found.append((ids[w.doc[rows]], w.anchor[rows], w.hashes(rows)))
         if not found:
             return pa.Table.from_batches([], _RUN_SCHEMA)
-        return pa.Table.from_batches([_settled(*[np.concatenate(c) for c in zip(*found, strict=True)], buckets, key[0].as_py())])
+        doc, name, hashed = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.Table.from_batches([_settled(doc, name, hashed, buckets, key[0].as_py(), told=tuple(np.concatenate(c) for c in zip(*told, strict=True)))])
 
     return run
 

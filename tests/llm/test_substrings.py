@@ -62,6 +62,26 @@ def test_windows_that_meet_in_steps(spark, monkeypatch, fan, held):
     check(spark, rows)
 
 
+def test_long_symbols_are_the_same_in_long_repeats(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(5000)}"
+    core = [word() for _ in range(3000)]
+    texts = [" ".join([word() for _ in range(rng.randint(0, 90))] + core + [word() for _ in range(rng.randint(0, 90))]) for _ in range(4)] + [" ".join(core)]
+    w = substrings.Windows(substrings.Words(pa.array(texts)), 50)
+    by_doc = [set(w.long_name[w.long_doc == i].tolist()) for i in range(5)]
+    shared = set.intersection(*by_doc)
+    assert len(shared) >= 10 and int((w.long_to - w.long_from).max()) > 150
+    assert min(w.long_name) >= substrings.LONG > max(w.anchor)
+    chosen = np.isin(w.long_name, list(shared))
+    settled = w.within(chosen)
+    assert all(any(a <= at and at + 50 <= b for a, b in zip(w.long_from[chosen], w.long_to[chosen], strict=True)) == s for at, s in list(zip(w.at.tolist(), settled.tolist(), strict=True))[::97])
+    assert settled.mean() > 0.4
+    check(spark, [(7 - i, t) for i, t in enumerate(texts)] + [(9, " ".join(core[100:2500])), (1, " ".join(core[1500:]))])
+
+
 def test_names_of_many_buckets_are_dealt_in_the_time_of_what_there_is():
     import numpy as np
 
