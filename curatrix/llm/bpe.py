@@ -35,6 +35,8 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 CACHED_CHARS, CACHED_WORDS = 64, 250_000
 #: Longer texts are cut into pre-tokens lazily, so that memory doesn't grow with the text.
 LAZY_CHARS, LAZY_TOKENS = 1 << 20, 1 << 16
+#: Pairs of tokens whose fit is remembered, at most.
+KNOWN_PAIRS = 500_000
 NEVER = 1 << 30
 
 
@@ -199,7 +201,7 @@ class Transducer:
             self.held = max(self.held, len(self.last))
             if len(self.last) > self.ahead + 1:
                 yield from self._stable()
-            if len(self.m.known) > 2_000_000:
+            if len(self.m.known) > KNOWN_PAIRS:
                 self.m.known.clear()
 
     def _advance(self, data: bytes) -> None:

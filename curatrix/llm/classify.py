@@ -24,9 +24,17 @@ STEM = 5
 
 
 def sample(
-    df: DataFrame, labels: DataFrame, label_col: str, usable: Column, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES
+    df: DataFrame,
+    labels: DataFrame,
+    label_col: str,
+    usable: Column,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    rows: int = SAMPLE_ROWS,
+    size: int = SAMPLE_BYTES,
+    metadata: tuple[str, ...] = (),
 ) -> pa.Table:
-    """Columns text, label of at most ``rows`` labelled rows for which ``usable`` holds.
+    """Columns text, label, and a double for each of ``metadata``, of at most ``rows`` labelled rows for which ``usable`` holds.
 
     ``usable`` is a condition on the column ``id`` (the key). Null keys or labels and
     labels other than 0 and 1 are left out; of several labels of one key the largest
@@ -44,10 +52,11 @@ def sample(
         .orderBy(F.xxhash64("id"), "id")
         .limit(rows)
     )
-    texts = df.select(common.column(df, id_col).alias("id"), common.text_or_empty(df, text_col).alias("text"))
+    more = [f"m{i}" for i in range(len(metadata))]
+    texts = df.select(common.column(df, id_col).alias("id"), F.struct(common.text_or_empty(df, text_col).alias("text"), *[_number(df, c).alias(m) for c, m in zip(metadata, more, strict=True)]).alias("row"))
     joined = texts.join(F.broadcast(chosen), "id")  # at most ``rows`` keys
-    once = joined.groupBy("id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
-    held = common.written(once.select(F.xxhash64("id").alias("rank"), "id", "text", "label"), f"{common.scratch(df.sparkSession)}/sample")
+    once = joined.groupBy("id").agg(F.min("row").alias("row"), F.min("label").alias("label"))
+    held = common.written(once.select(F.xxhash64("id").alias("rank"), "id", "row.*", "label"), f"{common.scratch(df.sparkSession)}/sample")
     sizes = held.select("rank", "id", F.octet_length("text").alias("n")).orderBy("rank", "id").toArrow()  # ``rows`` at most
     fit, used = [], 0
     for n in sizes.column("n").to_pylist():
@@ -56,7 +65,12 @@ def sample(
     if not all(fit):
         keys = df.sparkSession.createDataFrame(sizes.filter(pa.array(fit)).select(["id"]))
         held = held.join(F.broadcast(keys), "id", "left_semi")
-    return held.orderBy("rank", "id").select("text", "label").toArrow()
+    return held.orderBy("rank", "id").select("text", "label", *more).toArrow()
+
+
+def _number(df: DataFrame, name: str) -> Column:
+    """A column as a number; null where it isn't one, and where there is no such column."""
+    return F.lit(None).cast("double") if name not in df.columns else common.column(df, name).try_cast("double")
 
 
 class Words:
@@ -184,23 +198,26 @@ def structure(words: Words) -> np.ndarray:
 
 
 class FactorisationMachine:
-    """Weights and low-rank interactions of hashed words and of binned statistics.
+    """Weights and low-rank interactions of hashed words, of binned statistics and of binned metadata.
 
     score = sigmoid(bias + sum w x + (|sum v x|^2 - sum |v|^2 x^2) / 2): linear in the
-    number of features. A word's x is 1 / sqrt(words); a statistic's bin has x = 1.
+    number of features. A word's x is 1 / sqrt(words); a bin has x = 1. A missing value of
+    the metadata has a bin of its own; a bin that no text of the sample has says nothing.
     """
 
     RANK, BINS, EPOCHS, BATCH = 8, 16, 12, 128
 
     @classmethod
-    def fit(cls, texts: pa.Array, label: np.ndarray) -> FactorisationMachine:
+    def fit(cls, texts: pa.Array, label: np.ndarray, metadata: np.ndarray | None = None) -> FactorisationMachine:
         self = cls()
         words = Corpus(texts, with_structure=True)
-        stats = words.stats
+        stats = words.stats if metadata is None else np.column_stack([words.stats, metadata])
+        self.fields = stats.shape[1]
         self.rows = frequent(words, words.bucket)
         self.vocabulary = int(self.rows.max()) + 1
-        self.edges = np.quantile(stats, np.linspace(0, 1, cls.BINS + 1)[1:-1], axis=0).T if len(stats) else np.zeros((len(STATISTICS), cls.BINS - 1))
-        size = self.vocabulary + len(STATISTICS) * cls.BINS
+        cuts = np.linspace(0, 1, cls.BINS)[1:-1]  # the last bin is for what is missing
+        self.edges = [np.quantile(c, cuts) if len(c := stats[~np.isnan(stats[:, i]), i]) else np.zeros(len(cuts)) for i in range(self.fields)]
+        size = self.vocabulary + self.fields * cls.BINS
         rng = np.random.Generator(np.random.PCG64(10))
         self.bias = np.zeros(1)
         self.w, self.v = np.zeros(size), rng.normal(0, 0.05, (size, cls.RANK))
@@ -232,16 +249,23 @@ class FactorisationMachine:
                 opt.step("w", self.w, gw[known], used[known])
                 opt.step("v", self.v, gv[known], used[known])
                 opt.step("bias", self.bias, np.array([error.sum()]))
+        never = np.ones(size, bool)
+        never[word], never[bins.ravel()] = False, False
+        self.v[never] = 0
         self.w, self.v = self.w.astype(np.float32), self.v.astype(np.float32)
         return self
 
     def _bins(self, stats: np.ndarray) -> np.ndarray:
-        at = [self.vocabulary + i * self.BINS + np.searchsorted(e, stats[:, i], "right") for i, e in enumerate(self.edges)]
-        return np.column_stack(at) if len(stats) else np.zeros((0, len(STATISTICS)), np.int64)
+        at = [np.where(np.isnan(stats[:, i]), self.BINS - 1, np.searchsorted(e, stats[:, i], "right")) + self.vocabulary + i * self.BINS for i, e in enumerate(self.edges)]
+        return np.column_stack(at) if len(stats) else np.zeros((0, self.fields), np.int64)
 
-    def score(self, texts: pa.Array) -> np.ndarray:
+    def score(self, texts: pa.Array, metadata: np.ndarray | None = None) -> np.ndarray:
         words = Words(texts)
-        bins = self._bins(structure(words))
+        stats = structure(words)
+        if self.fields > len(STATISTICS):
+            missing = np.full((words.texts, self.fields - len(STATISTICS)), np.nan)
+            stats = np.column_stack([stats, missing if metadata is None else metadata])
+        bins = self._bins(stats)
         row = self.rows[words.bucket]
         x = 1 / np.sqrt(np.maximum(words.n, 1))
         total = sums(self.v[row], words.first) * x[:, None] + self.v[bins].sum(1)
@@ -425,27 +449,34 @@ def _threshold(z: np.ndarray, y: np.ndarray) -> float:
 # --- On DataFrames -----------------------------------------------------------------
 
 
-def scored(df: DataFrame, model, keep: dict[str, Column], text_col: str = "text") -> DataFrame:
-    """The ``keep`` columns and ``score`` of each row; a null text is scored as empty.
+def scored(df: DataFrame, model, keep: dict[str, Column], text_col: str = "text", metadata: tuple[str, ...] = ()) -> DataFrame:
+    """The ``keep`` columns and ``score`` of each row; a null text is scored as empty, a null of the metadata as missing.
 
-    The model's size is bounded by its buckets and by the rows it was fitted on.
+    ``metadata`` are those that the model was fitted with, if any. The model's size is bounded by its
+    buckets and by the rows it was fitted on.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def factory():
-        def work(texts: pa.Array) -> list[pa.Array]:
-            return [pa.array(shared.value.score(texts).astype(np.float64))]
+        def work(texts: pa.Array, *more: pa.Array) -> list[pa.Array]:
+            beside = (_matrix(more),) if more else ()
+            return [pa.array(shared.value.score(texts, *beside).astype(np.float64))]
 
         return work
 
-    return common.map_texts(df, keep, common.text_or_empty(df, text_col), "score double", factory)
+    return common.map_texts(df, keep, common.text_or_empty(df, text_col), "score double", factory, beside=tuple(_number(df, c) for c in metadata))
+
+
+def _matrix(columns: list[pa.Array]) -> np.ndarray:
+    return np.column_stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in columns])
 
 
-def _fitted(kind, df: DataFrame, labels: DataFrame, label_col: str, usable: Column, **names):
-    rows = sample(df, labels, label_col, usable, **names)
+def _fitted(kind, df: DataFrame, labels: DataFrame, label_col: str, usable: Column, metadata: tuple[str, ...] = (), **names):
+    rows = sample(df, labels, label_col, usable, metadata=metadata, **names)
     texts = rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string())
     texts = texts if isinstance(texts, pa.Array) else pa.concat_arrays(texts.chunks)
-    return kind.fit(texts, rows.column("label").to_numpy().astype(np.int64))
+    beside = (np.column_stack([rows.column(f"m{i}").to_numpy() for i in range(len(metadata))]),) if metadata else ()
+    return kind.fit(texts, rows.column("label").to_numpy().astype(np.int64), *beside)
 
 
 def fit_quality(df: DataFrame, labels: DataFrame, usable: Column, label_col: str = "quality", **names) -> FactorisationMachine:

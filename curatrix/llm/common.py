@@ -66,16 +66,17 @@ def map_texts(
     keep: dict[str, Column],
     text: Column,
     fields: str,
-    factory: Callable[[], Callable[[pa.Array], list[pa.Array]]],
+    factory: Callable[[], Callable[..., list[pa.Array]]],
     slice_bytes: int = SLICE_BYTES,
+    beside: tuple[Column, ...] = (),
 ) -> DataFrame:
     """Row-wise operator: ``keep`` columns pass through, ``fields`` (a DDL list) are computed.
 
     ``factory()`` runs once for a task and returns a function from the (never null)
-    texts of a slice to one Arrow array for each field.
+    texts of a slice, and its values of the columns ``beside`` them, to one Arrow array for each field.
     """
     bounded_batches(df.sparkSession)
-    source = df.select(*[c.alias(f"k{i}") for i, c in enumerate(keep.values())], text.alias("t"))
+    source = df.select(*[c.alias(f"k{i}") for i, c in enumerate(keep.values())], text.alias("t"), *[c.alias(f"x{i}") for i, c in enumerate(beside)])
     kept = ", ".join(f"`{n.replace('`', '``')}` {source.schema[i].dataType.simpleString()}" for i, n in enumerate(keep))
     last = len(keep)
 
@@ -83,7 +84,7 @@ def map_texts(
         work = factory()
         for batch in batches:
             for part in slices(batch, last, slice_bytes):
-                made = work(part.column(last))
+                made = work(*part.columns[last:])
                 yield pa.RecordBatch.from_arrays([*part.columns[:last], *made], names=[*names])
 
     schema = f"{kept}, {fields}" if keep else fields
@@ -191,13 +192,5 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def removed(spark: SparkSession, *paths: str) -> None:
-    """Delete written tables that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    for path in paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -12,6 +12,8 @@ from .common import table
 
 #: Token limit of the count query.
 TOKEN_LIMIT = 512
+#: What the quality classifier may know of a document beside its text.
+METADATA = ("n_chars",)
 
 
 def vocabulary() -> str:
@@ -129,9 +131,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = classify.fit_quality(docs, labels, classify.fold(F.col("id"), 3) != 1)
+    model = classify.fit_quality(docs, labels, classify.fold(F.col("id"), 3) != 1, metadata=METADATA)
     held = classify.fold(F.col("doc_id"), 3) == 1
-    out = classify.scored(docs, model, {"doc_id": F.col("doc_id"), "held_out": F.coalesce(held, F.lit(False))})
+    out = classify.scored(docs, model, {"doc_id": F.col("doc_id"), "held_out": F.coalesce(held, F.lit(False))}, metadata=METADATA)
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

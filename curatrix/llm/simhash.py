@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common, graph
+from ..operators.dedup import components
+from . import common
 
 BITS = 64
 #: Buckets of up to so many fingerprints are compared pair by pair; larger ones through
@@ -161,7 +162,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     root = common.scratch(spark)
     prints = common.written(fingerprints(df, id_col, text_col, shingle), f"{root}/prints")
     nodes = common.written(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(common.column(prints, id_col)).alias("least")), f"{root}/nodes")
-    parts = graph.components(links(nodes.select("fp"), distance))
+    parts = components(links(nodes.select("fp"), distance))
     held = nodes.join(parts, nodes.fp == parts.node)
     least = held.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = held.join(least, "root").select(F.col("fp").alias("__fp"), "component_id")

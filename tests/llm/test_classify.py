@@ -72,6 +72,24 @@ def test_machine_uses_the_sum_of_squares_identity():
     assert abs(m.score(texts.slice(0, 1))[0] - want) < 1e-5
 
 
+def test_metadata_are_fields_of_their_own(spark):
+    rng = np.random.Generator(np.random.PCG64(1))
+    texts = pa.array([" ".join(rng.choice(list("abcdefgh"), 12)) for _ in range(400)])
+    value = rng.normal(size=(400, 1))
+    value[::10] = np.nan
+    label = (np.nan_to_num(value[:, 0], nan=1.0) > 0).astype(int)
+    m = classify.FactorisationMachine.fit(texts, label, value)
+    assert ((m.score(texts, value) >= 0.5) == label).mean() > 0.9
+    assert np.allclose(m.score(texts), m.score(texts, np.full((400, 1), np.nan)))  # absent is missing
+    none = classify.FactorisationMachine.fit(texts, label, np.zeros((400, 1)))
+    assert np.allclose(none.score(texts, np.full((400, 1), np.nan)) - none.score(texts, np.zeros((400, 1))), 0, atol=0.2)
+    docs = spark.createDataFrame([(i, t.as_py(), None if np.isnan(v) else float(v), str(v)) for i, (t, v) in enumerate(zip(texts, value[:, 0], strict=True))], "doc_id long, text string, `a.b` double, s string")
+    labels = spark.createDataFrame([(i, int(y)) for i, y in enumerate(label)], "doc_id long, quality int")
+    by_table = classify.fit_quality(docs, labels, F.lit(True), metadata=("a.b", "s", "not there"))
+    got = classify.scored(docs, by_table, {"doc_id": F.col("doc_id")}, metadata=("a.b", "s", "not there")).orderBy("doc_id").collect()
+    assert ((np.array([r.score for r in got]) >= 0.5) == label).mean() > 0.9
+
+
 def test_scores_do_not_depend_on_the_batch():
     texts = ["", "you idiot", "a fine day", "x " * 3000, "é"]
     label = np.array([0, 1, 0, 0, 0] * 30)

@@ -1,6 +1,7 @@
 import hashlib
 import struct
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -38,10 +39,10 @@ def near(rows):
 def test_run_against_a_plain_version(spark, tables):  # noqa: F811
     root, rows, items, _ = tables
     docs, labels = (common.table(spark, root, t) for t in ("documents", "labels"))
-    model = classify.fit_quality(docs, labels, classify.fold(F.col("id"), 3) != 1)
+    model = classify.fit_quality(docs, labels, classify.fold(F.col("id"), 3) != 1, metadata=("n_chars",))
     sizes = [len(rows)]
     steps = (
-        lambda rows: [r for r, s in zip(rows, model.score(pa.array([text(t) for _, t in rows])), strict=True) if s >= 0.5],
+        lambda rows: [r for r, s in zip(rows, model.score(pa.array([text(t) for _, t in rows]), np.array([[np.nan if t is None else len(t)] for _, t in rows], float)), strict=True) if s >= 0.5],
         near,
         lambda rows: [r for r in rows if not (lambda n, hit: hit and 20 * hit >= n)(*contaminated([r], items)[0][1:3])],
         lambda rows: [(i, None if t is None else pii.masked(t)) for i, t in rows],

@@ -177,17 +177,19 @@ def test_op9_and_op10(spark, tables, name, n, out, fit, label):
     found = got.collect()
     assert sorted(r.doc_id or 0 for r in found) == sorted(i or 0 for i, _ in docs)
     d, l = (common.table(spark, root, t) for t in ("documents", "labels"))
-    model = fit(d, l, classify.fold(F.col("id"), n) != out)
+    more = {"metadata": queries.METADATA} if name.startswith("op10") else {}
+    beside = lambda some: (np.array([[np.nan if t is None else float(len(t))] for t in some]),) if more else ()
+    model = fit(d, l, classify.fold(F.col("id"), n) != out, **more)
     scores = {}
     for r in found:
         assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
         assert r.held_out == (r.doc_id is not None and binascii.crc32(str(r.doc_id).encode()) % n == out)
         scores.setdefault(r.doc_id, []).append(r.score)
     for i, t in docs:
-        want = by_hand(model, text(t)) if name == "op9_toxicity" else model.score(pa.array([text(t)]))[0]
+        want = by_hand(model, text(t)) if name == "op9_toxicity" else model.score(pa.array([text(t)]), *beside([t]))[0]
         assert min(abs(want - s) for s in scores[i]) < 1e-5
     # Labels of held-out rows teach nothing.
     flipped = l.withColumn(label, F.when(classify.fold(F.col("doc_id"), n) == out, 1 - F.col(label)).otherwise(F.col(label)))
-    again = fit(d, flipped, classify.fold(F.col("id"), n) != out)
-    some = pa.array([text(t) for _, t in docs])
-    assert np.array_equal(model.score(some), again.score(some))
+    again = fit(d, flipped, classify.fold(F.col("id"), n) != out, **more)
+    some = [t for _, t in docs]
+    assert np.array_equal(*[m.score(pa.array([text(t) for t in some]), *beside(some)) for m in (model, again)])

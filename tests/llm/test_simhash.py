@@ -5,7 +5,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from curatrix.llm import graph, simhash
+from curatrix.llm import simhash
+from curatrix.operators.dedup import components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -65,7 +66,7 @@ def test_links_with_crowded_buckets(spark, distance):
     prints |= {rng.getrandbits(64) for _ in range(50)} | {0, (1 << 64) - 1, 1 << 63}
     rows = [(p - (1 << 64) if p >> 63 else p,) for p in prints]
     df = spark.createDataFrame(rows, "fp long")
-    parts = {r.node: r.root for r in graph.components(simhash.links(df, distance)).collect()}
+    parts = {r.node: r.root for r in components(simhash.links(df, distance)).collect()}
     nodes = [(x, x % (1 << 64)) for (x,) in rows]
     want = brute_components(nodes, distance)
     for (x, _), c in zip(nodes, want, strict=True):
@@ -74,9 +75,9 @@ def test_links_with_crowded_buckets(spark, distance):
 
 def test_chain_component(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long")
-    got = {r.node: r.root for r in graph.components(links).collect()}
+    got = {r.node: r.root for r in components(links).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
-    assert graph.components(links.limit(0)).count() == 0
+    assert components(links.limit(0)).count() == 0
 
 
 def test_one_of_each_group_stays(awkward):
