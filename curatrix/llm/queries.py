@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classify, decontaminate, flac, htmltext, pii, simhash, substrings
+from . import bpe, classify, codes, common, decontaminate, flac, htmltext, language, periodic, pii, simhash, substrings
 from .common import table
 
 #: Token limit of the count query.
@@ -137,7 +138,89 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs, classify.fold(F.col("id"), 4) != 2)
+    held = classify.fold(F.col("doc_id"), 4) == 2
+    return language.predicted(docs, model, {"doc_id": F.col("doc_id"), "held_out": F.coalesce(held, F.lit(False))})
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = codes.compressed(table(spark, sf_dir, "embeddings"), beside=("label",))
+    found = common.written(found, f"{common.scratch(spark)}/codes")
+    out = codes.label_sums(found, "label", "error", "label_error")
+    return out.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
+def _op12_sql() -> str:
+    """Every round written out: distances of all parts to all entries, then means of equal names."""
+    steps = []
+    for r in range(codes.ROUNDS + 1):
+        steps.append(
+            f"""near{r} AS MATERIALIZED (
+  SELECT vec_id, p, min(struct_pack(d := list_inner_product(x, x) - 2 * list_inner_product(x, z) + list_inner_product(z, z), e := e)) AS best
+  FROM point JOIN book{r} USING (p) GROUP BY vec_id, p
+)"""
+        )
+        if r < codes.ROUNDS:
+            steps.append(
+                f"""mean{r} AS (
+  SELECT p, e, list(floor(s / c) ORDER BY i) AS z FROM (
+    SELECT p, best.e AS e, i, sum(x[i]) AS s, count(*) AS c FROM near{r} JOIN point USING (vec_id, p), (SELECT unnest(range(1, (SELECT max(len(x)) FROM point) + 1)) AS i) GROUP BY 1, 2, 3
+  ) GROUP BY p, e
+), book{r + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(mean{r}.z, book{r}.z) AS z FROM book{r} LEFT JOIN mean{r} USING (p, e)
+)"""
+            )
+    last = codes.ROUNDS
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), point AS MATERIALIZED (
+  SELECT vec_id, p, v[p * (len(v) // 4) + 1 : (p + 1) * (len(v) // 4)] AS x FROM kept, (SELECT unnest(range(4)) AS p)
+), book0 AS MATERIALIZED (
+  SELECT p, dense_rank() OVER (ORDER BY vec_id) - 1 AS e, x AS z FROM point WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 256)
+), {", ".join(steps)}, coded AS (
+  SELECT vec_id, string_agg(lower(printf('%02x', best.e)), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM near{last} GROUP BY vec_id
+), books AS (
+  SELECT sha256(string_agg(z[i]::BIGINT::VARCHAR, ',' ORDER BY p, e, i)) AS codebooks_sha256
+  FROM book{last}, (SELECT unnest(range(1, (SELECT max(len(x)) FROM point) + 1)) AS i)
+), by_label AS (
+  SELECT label, sum(error)::BIGINT AS label_error FROM coded JOIN kept USING (vec_id) GROUP BY label
+)
+SELECT vec_id, code, error, label_error, codebooks_sha256
+FROM coded JOIN kept USING (vec_id) JOIN by_label ON kept.label IS NOT DISTINCT FROM by_label.label, books
+"""
+
+
+def repeated_order(h: int, n: int) -> np.ndarray | None:
+    """For a tenth of the documents: word i from word a on is word a + (i - a) % p."""
+    g, rest = divmod(h, 10)
+    if rest:
+        return None
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    i = np.arange(n)
+    return np.where(i < a, i, a + (i - a) % p)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = periodic.collapsed(docs, order=repeated_order, beside=F.crc32(F.col("doc_id").cast("string").cast("binary")))
+    best = periodic.strongest(F.col("runs"))
+    line = F.transform("runs", lambda x: F.concat(x["start"].cast("string"), F.lit(","), x["length"].cast("string"), F.lit(","), x["period"].cast("string"), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_benchmark_decontamination, op2_bpe_encoding, op3_substring_dedup, op4_token_counts, op5_html_extraction, op6_simhash_near_dedup, op7_pii, op8_media_columns, op9_toxicity, op10_quality_classifier)
+    f.__name__: f for f in (op1_benchmark_decontamination, op2_bpe_encoding, op3_substring_dedup, op4_token_counts, op5_html_extraction, op6_simhash_near_dedup, op7_pii, op8_media_columns, op9_toxicity, op10_quality_classifier, op11_language_id, op12_vector_codes, op13_periodic_runs)
 }
-ORACLE_SQL: dict[str, str] = {"op1_benchmark_decontamination": OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_benchmark_decontamination": OP1_SQL, "op12_vector_codes": _op12_sql()}
