@@ -98,16 +98,21 @@ def observation(text: Column | str, form: str) -> Column:
     return F.concat(F.lit(before), column(text), F.lit(after))
 
 
-def rendered(pairs: Column | str, system: Column, prompt: str, separator: str, system_form: str = "{system}") -> Column:
-    """A conversation by a template: ``prompt`` holds {query}; ``separator`` precedes later turns."""
+def prompted(pairs: Column | str, system: Column, prompt: str, separator: str, system_form: str = "{system}") -> Column:
+    """(source, target) of each pair by a template: ``prompt`` holds {query}; the first source opens with the system
+    text, each later one with ``separator``."""
     before, after = prompt.split("{query}")
     s_before, s_after = system_form.split("{system}")
     head = F.when(F.coalesce(system, F.lit("")) == "", F.lit("")).otherwise(F.concat(F.lit(s_before), system, F.lit(s_after)))
-    parts = F.transform(
+    return F.transform(
         column(pairs),
-        lambda p, i: F.concat(F.when(i == 0, head).otherwise(F.lit(separator)), F.lit(before), p["user"], F.lit(after), p["assistant"]),
+        lambda p, i: F.struct(F.concat(F.when(i == 0, head).otherwise(F.lit(separator)), F.lit(before), p["user"], F.lit(after)).alias("source"), p["assistant"].alias("target")),
     )
-    return F.array_join(parts, "")
+
+
+def rendered(pairs: Column | str, system: Column, prompt: str, separator: str, system_form: str = "{system}") -> Column:
+    """A conversation by a template, as one text; see ``prompted``."""
+    return F.array_join(F.transform(prompted(pairs, system, prompt, separator, system_form), lambda p: F.concat(p["source"], p["target"])), "")
 
 
 def parsed_chat(chat: Column | str) -> Column:

@@ -99,16 +99,20 @@ def audit(
     metadata that are ``required`` (an error if ``strict``, else a warning), repeated ids, groups and contents over
     splits, near copies in and over splits, personal data.
 
-    ``turns`` is an array of (from, value). The dataset passes if no row is an error. With ``most_pairs``
-    only so many pairs of near copies are named, errors first, and ``near_duplicates_truncated`` (a
-    warning) says so; without ``near`` near copies aren't looked for.
+    ``turns`` is an array of (from, value). The dataset passes if no row is an error. A near copy is named by the id of its
+    content's first row (key), with the nearest row of another content and a smaller id in the same split or another
+    (other, bits) and the number of contents near to it there (near): issues grow with the rows, not with pairs. With
+    ``most_pairs`` only so many of them are named, errors first, and ``near_duplicates_truncated`` (a
+    warning) says so; without ``near`` near copies aren't looked for, and these three columns aren't there.
     """
+    from ..sources.sinks import checkpointed
     from .dedup import simhash
 
     text = normalized(transcript(turns, "from", "value"))
     lacking = F.array_compact(F.array(*[F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) == "", F.lit(c)) for c in required])) if required else F.array().cast("array<string>")
     rows = df.select(F.col(id_col).alias("id"), F.col(group_col).alias("grp"), F.col(split).alias("split"), F.col(turns).alias("turns"), text.alias("norm"), lacking.alias("lacking"))
-    rows = rows.withColumn("hash", content_hash("norm"))
+    # Every branch below reads this; texts are normalised once.
+    rows = checkpointed(rows.withColumn("hash", content_hash("norm")))
     rules = dialogue_rules("turns", tools) | {
         "unknown_split": ("error", ~F.coalesce("split", F.lit("")).isin("train", "validation", "test")),
         "empty_text": ("error", F.coalesce("norm", F.lit("")) == ""),
@@ -122,7 +126,8 @@ def audit(
     empty = df.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("empty_dataset").alias("code"), F.lit("error").alias("severity"), F.lit("").alias("key"))
     out = out.unionByName(empty)
     if near:
-        out = out.unionByName(_named(near_issues(rows.where("norm <> ''").select("hash", simhash("norm").alias("fp"), "split"), max_distance), most_pairs))
+        prints = rows.where("norm <> ''").select("id", "hash", simhash("norm").alias("fp"), "split")
+        out = out.unionByName(_named(near_findings(prints, max_distance), most_pairs), allowMissingColumns=True)
     said = F.element_at(F.create_map(*[F.lit(x) for kv in SAID.items() for x in kv]), F.col("code"))
     return out.withColumn("message", F.coalesce(said, F.col("code")))
 
@@ -132,7 +137,7 @@ def _named(near: DataFrame, most_pairs: int | None) -> DataFrame:
     if most_pairs is not None:
         some = near.orderBy(F.col("severity"), "key", "code").limit(most_pairs + 1)
         more = some.agg(F.count("*").alias("n")).where(F.col("n") > most_pairs).select(F.lit("near_duplicates_truncated").alias("code"), F.lit("warning").alias("severity"), F.lit("").alias("key"))
-        near = some.orderBy(F.col("severity"), "key", "code").limit(most_pairs).unionByName(more)
+        near = some.orderBy(F.col("severity"), "key", "code").limit(most_pairs).unionByName(more, allowMissingColumns=True)
     return near
 
 
@@ -140,15 +145,16 @@ def report(df: DataFrame, issues_: DataFrame, split: str, text: Column, source:
     """One row: row_count, passed, content_set_sha256, maps of counts by split, source, scenario, code and severity, and
     the lengths' least, median, 95th percentile and largest."""
     from ..sources.sinks import content_set_hash
+    from .metrics import percentiles
 
     def counted(t: DataFrame, key: Column, name: str) -> DataFrame:
         per = t.groupBy(F.coalesce(key.cast("string"), F.lit("unknown")).alias("k")).agg(F.count("*").alias("n"))
         return per.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias(name))  # an entry for each value
 
-    size = F.char_length(text).alias("n_chars")
-    lengths = df.select(size).agg(
-        F.count("*").alias("row_count"), F.min("n_chars").alias("least_chars"), F.percentile("n_chars", F.lit(0.5)).alias("median_chars"), F.percentile("n_chars", F.lit(0.95)).alias("p95_chars"), F.max("n_chars").alias("most_chars")
-    )
+    sizes = df.select(F.char_length(text).alias("n_chars"))
+    lengths = sizes.agg(F.count("*").alias("row_count"), F.min("n_chars").alias("least_chars"), F.max("n_chars").alias("most_chars"))
+    ranks = percentiles(sizes, [], "n_chars", {"median_chars": ("linear", 0.5), "p95_chars": ("linear", 0.95)})
+    lengths = lengths.crossJoin(ranks).select("row_count", "least_chars", "median_chars", "p95_chars", "most_chars")  # a row each
     out = lengths.crossJoin(counted(df, F.col(split), "split_counts"))  # tables of one row each
     out = out.crossJoin(content_set_hash(df, content_hash(normalized(text))).select("content_set_sha256"))
     for c, name in ((source, "source_counts"), (scenario, "scenario_counts")):
@@ -158,6 +164,23 @@ def report(df: DataFrame, issues_: DataFrame, split: str, text: Column, source:
     return out.withColumn("passed", ~F.map_contains_key("severity_counts", F.lit("error")))
 
 
+def near_findings(rows: DataFrame, max_distance: int) -> DataFrame:
+    """code, severity, key, other, bits, near of rows (id, hash, fp, split) that are near to an earlier one of another content.
+
+    Each content of each split stands under its least id and is named once for its own split (a warning) and once for the
+    nearest of the other splits (an error).
+    """
+    from .near import near_rows
+
+    found = near_rows(rows, "id", "hash", "fp", "split", max_distance)
+    across = F.col("split") != F.col("other_split")
+    # ``near_id`` is null where all of a split's are later, and those name this row.
+    parts = found.groupBy("id", "hash", "split", across.alias("across")).agg(F.sum("near").alias("near"), F.min(F.when(F.col("near_id").isNotNull(), F.struct("bits", "near_id"))).alias("first"))
+    code = F.when(F.col("across"), "near_duplicate_split_leakage").otherwise("near_duplicate").alias("code")
+    severity = F.when(F.col("across"), "error").otherwise("warning").alias("severity")
+    return parts.where("first is not null").select(code, severity, F.col("id").cast("string").alias("key"), F.col("first.near_id").cast("string").alias("other"), F.col("first.bits").alias("bits"), "near")
+
+
 def near_issues(rows: DataFrame, max_distance: int) -> DataFrame:
     """code, severity, key (two fingerprints) of near copies: rows (hash, fp, split) of different
     content whose fingerprints are one or differ in up to ``max_distance`` bits.

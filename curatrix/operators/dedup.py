@@ -13,6 +13,10 @@ from pyspark.sql.types import LongType
 
 from ..functions.text import column, content_hash
 from ..sources.sinks import checkpointed, forgotten
+from .joins import met
+from .near import near_keep
+
+__all__ = ["banded_pairs", "components", "exact_groups", "fingerprint_links", "leakage", "message_fingerprint", "near_classes", "near_keep", "near_links", "simhash", "spanning_links"]
 
 GRAM = 4
 #: Bits of a fingerprint are cut into six blocks; two that differ in three bits at most agree on three of them.
@@ -196,10 +200,13 @@ def near_classes(df: DataFrame, id_col: str, hash_col: str, print_col: str, dist
     parts = components(spanning_links(heads.select("fp"), distance))
     held = heads.join(parts, heads.fp == parts.node, "left").withColumn("root", F.coalesce("root", "fp"))
     least = held.groupBy("root").agg(F.min("head").alias("class_id"))
-    classes = held.join(least, "root").select(F.col("fp").alias("f"), "class_id", "contents")
-    counts = contents.select(F.col("fp").alias("g"), F.col("hash").alias("h"), "rows")
-    out = rows.join(counts, (F.col("fp") == F.col("g")) & (F.col("hash") == F.col("h")), "left").join(classes, F.col("g") == F.col("f"), "left")
-    return out.select("id", F.coalesce("class_id", "id").alias("class_id"), (F.col("rows") - 1).alias("n_copies"), (F.col("contents") - 1).alias("n_same"))
+    large = held.groupBy("root").agg(F.count("*").alias("n"))
+    least_of = checkpointed(met(held.drop("node"), least.join(large, "root"), ["root"], "n").select("fp", "class_id", "contents"))
+    # The rows of a large class stay where they are; so do the contents of a fingerprint that has many.
+    sizes = contents.groupBy("fp").agg(F.count("*").alias("n"))
+    facts = met(contents, least_of.join(sizes, "fp"), ["fp"], "n").select("fp", "hash", "class_id", (F.col("rows") - 1).alias("n_copies"), (F.col("contents") - 1).alias("n_same"), F.col("rows").alias("n"))
+    out = met(rows, checkpointed(facts), ["fp", "hash"], "n", "left")
+    return out.select("id", F.coalesce("class_id", "id").alias("class_id"), "n_copies", "n_same")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -234,34 +241,6 @@ def components(links: DataFrame) -> DataFrame:
     return leaves.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def near_keep(df: DataFrame, id_col: str, print_col: str, priority: Column, distance: int = 3) -> DataFrame:
-    """``accepted``: the greedy choice in the order (priority, id) that takes a row unless it is
-    within ``distance`` bits of one taken before; not components: a row near to a rejected
-    one only is taken.
-
-    Rows of one fingerprint: the first one stands for all, the others are rejected. Among
-    those, rounds settle every row whose earlier neighbours are all settled.
-    """
-    ordered = df.select(F.col(id_col).alias("id"), F.col(print_col).alias("fp"), priority.alias("p"))
-    head = checkpointed(ordered.groupBy("fp").agg(F.min(F.struct("p", "id")).alias("key")))
-    links = fingerprint_links(head.select("fp"), distance)
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    k1, k2 = head.select(F.col("fp").alias("a"), F.col("key").alias("ka")), head.select(F.col("fp").alias("b"), F.col("key").alias("kb"))
-    earlier = checkpointed(both.join(k1, "a").join(k2, "b").where("kb < ka").select("a", "b"))  # b comes before a
-    state = checkpointed(head.select("fp", F.lit(None).cast("boolean").alias("ok")))
-    while True:
-        seen = earlier.join(state.select(F.col("fp").alias("b"), F.col("ok").alias("b_ok")), "b")
-        told = seen.groupBy("a").agg(F.max(F.coalesce("b_ok", F.lit(False))).alias("near"), F.max(F.col("b_ok").isNull()).alias("wait"))
-        after = state.join(told, state.fp == told.a, "left").select(
-            "fp", F.coalesce("ok", F.when(F.coalesce("near", F.lit(False)), F.lit(False)).when(~F.coalesce("wait", F.lit(False)), F.lit(True))).alias("ok")
-        )
-        state = checkpointed(after)
-        if state.where("ok is null").isEmpty():
-            break
-    chosen = state.where("ok").join(head, "fp").select(F.col("key.id").alias("__id"))
-    return df.join(chosen, F.col(id_col) == F.col("__id"), "left").withColumn("accepted", F.col("__id").isNotNull()).drop("__id")
-
-
 def leakage(left: DataFrame, right: DataFrame, keys: dict[str, Column]) -> DataFrame:
     """key_type, value that both tables have, for each kind of key."""
     pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("key_type"), c.cast("string").alias("value")) for n, c in keys.items()])).alias("x")

@@ -119,8 +119,8 @@ def token_audit(df: DataFrame, limits: tuple[int, ...], implausible: int, *lengt
     whether any is longer than is plausible."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("long").alias("tokens")) for c in lengths])).alias("x")
     long_ = df.select(pairs).select("x.*").where("tokens is not null")
-    ps = [metrics.nearest("tokens", p).alias(f"p{round(p * 100)}") for p in (0.5, 0.9, 0.95, 0.99)]
-    return long_.groupBy("field").agg(*metrics.summary("tokens", limits), *ps, (F.max("tokens") > implausible).alias("implausible"))
+    ranks = metrics.percentiles(long_, ["field"], "tokens", {f"p{round(p * 100)}": ("nearest", p) for p in (0.5, 0.9, 0.95, 0.99)})
+    return long_.groupBy("field").agg(*metrics.summary("tokens", limits), (F.max("tokens") > implausible).alias("implausible")).join(ranks, "field")
 
 
 def mining_rows(cases: DataFrame, oracles: DataFrame, traces: DataFrame, results: DataFrame, key: str = "case_id") -> DataFrame:

@@ -91,71 +91,121 @@ def threshold_split(df: DataFrame, fraction: float, *parts: Column | str) -> Dat
     return df.withColumn("split", F.when(share(*parts) < F.lit(int(fraction * (1 << 60))), "validation").otherwise("train"))
 
 
+def dealt(size: int, many: int, lacking: list[int]) -> list[tuple[int, int]]:
+    """(split, how many) in turn: ``many`` groups of one size, each to the split whose deviation it lessens most.
+
+    ``lacking`` is what each split lacks of its target, and is changed. A split that lacks a whole group or more gains by all
+    of it, so the first such split is filled until it lacks less than a group, then the next. Then each one that lacks
+    anything takes one group, the one that lacks most first. All later groups only add to the deviation, wherever
+    they go: the first split has them.
+    """
+    out = []
+
+    def give(i: int, n: int) -> None:
+        lacking[i] -= n * size
+        out.append((i, n))
+
+    for i in range(len(lacking)):
+        n = min(many, max(lacking[i], 0) // size)
+        if n:
+            give(i, n)
+            many -= n
+    for i in sorted((i for i, x in enumerate(lacking) if 0 < x < size), key=lambda i: -lacking[i])[:many]:
+        give(i, 1)
+        many -= 1
+    if many:
+        give(0, many)
+    return out
+
+
 def greedy_group_split(df: DataFrame, group: str, salt: str, ratios: tuple[tuple[str, float], ...] = (("train", 0.8), ("validation", 0.1), ("test", 0.1))) -> DataFrame:
     """``split``: whole groups, largest first (then by hash), each to the split that leaves the
     least total deviation from the targets; ties go to the earlier split.
 
-    Groups of one size that follow each other differ in hash only, so the walk is over
-    runs of equal sizes: (size, how many), and their hash order gives each its turn. The
-    walk is sequential by definition; it holds a row for each distinct size and gives out
-    runs of turns, never rows.
+    Groups of one size that follow each other differ in hash only, so they are dealt out together, in whole numbers and
+    as many steps as there are splits (``dealt``). The walk holds a row for each different size; n rows have
+    no more than about the root of 2 n of them. Ratios are taken as the decimal fractions they are written as.
     """
+    from fractions import Fraction
+    from math import lcm
+
+    from .joins import met
+
     sizes = df.groupBy(group).agg(F.count("*").alias("size"))  # null is a group
     ranked = positions(sizes.withColumn("hashed", rank(F.lit(salt), group)), "size", "hashed", group)
     runs = ranked.groupBy("size").agg(F.count("*").alias("many"), F.min("position").alias("first"))
-    ranked = ranked.join(runs.select("size", "first"), "size").select(group, "size", (F.col("position") - F.col("first") + 1).alias("nth"))
-    names, share_ = [n for n, _ in ratios], [r for _, r in ratios]
+    names, parts = [n for n, _ in ratios], [Fraction(str(r)) for _, r in ratios]
+    unit = lcm(*[p.denominator for p in parts])
 
     def walk(batches):
         import pandas as pd
 
         rows = pd.concat(list(batches)).sort_values("size", ascending=False)
-        total = float((rows["size"] * rows["many"]).sum())
-        target, got = [total * r for r in share_], [0.0] * len(names)
-        for size, many in zip(rows["size"].tolist(), rows["many"].tolist(), strict=True):
-            merged: list[list] = []
-            for nth in range(1, int(many) + 1):
-                # Adding a group changes one term of the total deviation only.
-                change = [abs(g + size - t) - abs(g - t) for g, t in zip(got, target, strict=True)]
-                i = change.index(min(change))
-                got[i] += size
-                if merged and merged[-1][2] == names[i]:
-                    merged[-1][1] = nth
-                else:
-                    merged.append([nth, nth, names[i]])
-            for a in range(0, len(merged), 10_000):
-                part = merged[a : a + 10_000]
-                yield pd.DataFrame({"size": size, "from_nth": [x[0] for x in part], "to_nth": [x[1] for x in part], "split": [x[2] for x in part]})
-
-    spans = runs.select("size", "many").coalesce(1).mapInPandas(walk, "size long, from_nth long, to_nth long, split string")
-    placed = ranked.join(spans, "size").where("nth between from_nth and to_nth").select(F.col(group).alias("__group"), "split")
-    return df.join(placed, F.col(group).eqNullSafe(F.col("__group"))).drop("__group")
+        total = sum(int(s) * int(m) for s, m in zip(rows["size"], rows["many"], strict=True))
+        lacking = [int(p * unit) * total for p in parts]
+        for size, many, first in zip(rows["size"].tolist(), rows["many"].tolist(), rows["first"].tolist(), strict=True):
+            turns, nth = [], 1
+            for i, n in dealt(size * unit, many, lacking):
+                turns.append({"from_nth": nth, "to_nth": nth + n - 1, "split": names[i]})
+                nth += n
+            yield pd.DataFrame({"size": [size], "many": [many], "first": [first], "turns": [turns]})
+
+    spans = runs.coalesce(1).mapInPandas(walk, "size long, many long, first long, turns array<struct<from_nth:long,to_nth:long,split:string>>")
+    # Sizes that most groups have meet their turns by broadcast.
+    placed = met(ranked.select(group, "size", "position"), spans, ["size"], "many")
+    nth = F.col("position") - F.col("first") + 1
+    turn = F.get(F.filter("turns", lambda t: nth.between(t["from_nth"], t["to_nth"])), F.lit(0))
+    facts = placed.select(group, "size", turn["split"].alias("split"))
+    return met(df, facts, [group], "size")
 
 
 def capped_selection(df: DataFrame, bucket: str, targets: dict[str, int], margin: str, parent: str, cap: int, tie: str) -> DataFrame:
     """Lowest margins first to each bucket's target, scarcest bucket first, at most ``cap`` rows of
-    a parent over all buckets.
+    a parent over all buckets. Raises ValueError where a target can't be met.
 
-    Buckets are taken one after the other. Within one, rows are taken in order, so a
-    parent's rows are the first of its own that its remaining cap allows. Raises
-    ValueError where a target can't be met.
+    Within a bucket rows are taken in order (margin, then ``tie``, which is unique), so a parent's rows are the first of its own that
+    its remaining cap allows. All buckets are settled at once: from what each (bucket, parent) is thought to have taken,
+    what is left of the parents' caps in later buckets, and so what each takes, until nothing changes. After each
+    step one more bucket is final at least, mostly all are after two or three. A step reads at most ``cap`` rows of each (bucket, parent),
+    placed once over ranges of (bucket, margin, tie). A null parent has its cap like others.
     """
     from ..sources.sinks import checkpointed
 
-    have = {r[bucket]: r["count"] for r in df.groupBy(bucket).count().collect()}  # a row for each bucket
-    order = sorted((b for b, n in targets.items() if n), key=lambda b: (have.get(b, 0) / targets[b], b))
-    used = df.sparkSession.createDataFrame([], f"`{parent}` {df.schema[parent].dataType.simpleString()}, used long")
-    out = None
-    for b in order:
-        own = df.where(F.col(bucket) == b).join(used, parent, "left")
-        nth = F.row_number().over(Window.partitionBy(parent).orderBy(margin, tie))
-        fit = own.withColumn("__nth", nth).where((F.col("__nth") <= cap) & (F.col("__nth") <= F.lit(cap) - F.coalesce("used", F.lit(0))))
-        taken = checkpointed(fit.orderBy(margin, tie).limit(targets[b]).select(*df.columns))
-        if taken.count() < targets[b]:
+    spark = df.sparkSession
+    wanted = {b: n for b, n in targets.items() if n}
+    if not wanted:
+        return df.limit(0)
+    have = {r[bucket]: r["count"] for r in df.where(F.col(bucket).isin(*wanted)).groupBy(bucket).count().collect()}  # a row for each target
+    order = sorted(wanted, key=lambda b: (have.get(b, 0) / wanted[b], b))
+    named = F.broadcast(spark.createDataFrame([(b, i, wanted[b]) for i, b in enumerate(order)], f"__b `{df.schema[bucket].dataType.simpleString()}`, turn int, target long".replace("`", "")))
+    rows = df.join(named, F.col(bucket) == F.col("__b")).select("turn", "target", F.col(margin).alias("m"), F.col(tie).alias("t"), F.col(parent).alias("p"))
+    nth = F.row_number().over(Window.partitionBy("turn", "p").orderBy("m", "t"))
+    first = rows.withColumn("nth", nth).where(F.col("nth") <= cap)
+    placed = checkpointed(positions(first, "turn", "m", "t", part="part"))
+    cells = checkpointed(placed.select("turn", "p").distinct().withColumn("used", F.lit(0).cast("long")))
+    while True:
+        used = cells.withColumnsRenamed({"turn": "u_turn", "p": "u_p"})
+        allowed = placed.join(used, (F.col("turn") == F.col("u_turn")) & F.col("p").eqNullSafe(F.col("u_p"))).where(F.col("nth") <= F.lit(cap) - F.col("used")).drop("u_turn", "u_p", "used")
+        allowed = checkpointed(allowed)
+        sizes = allowed.groupBy(F.col("turn").alias("s_turn")).agg(F.count("*").alias("n"))  # a row for each bucket
+        earlier = F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("s_turn").rowsBetween(Window.unboundedPreceding, -1))
+        starts = F.broadcast(sizes.select("s_turn", F.coalesce(earlier, F.lit(0)).alias("before")))
+        numbered = carried(allowed, F.lit(1), "sum", "upto", "part", "position").join(starts, F.col("turn") == F.col("s_turn"))
+        taken = numbered.where(F.col("upto") - F.col("before") <= F.col("target")).select("turn", "p", "t")
+        counts = taken.groupBy("turn", "p").agg(F.count("*").alias("n")).withColumnsRenamed({"turn": "c_turn", "p": "c_p"})
+        met_ = cells.join(counts, (F.col("turn") == F.col("c_turn")) & F.col("p").eqNullSafe(F.col("c_p")), "left")
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("p").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each bucket
+        after = checkpointed(met_.select("turn", "p", before.alias("now"), "used", F.coalesce("n", F.lit(0)).alias("n")))
+        if after.where("now <> used").isEmpty():
+            break
+        cells = after.select("turn", "p", F.col("now").alias("used"))
+    got = {r.turn: r.n for r in after.groupBy("turn").agg(F.sum("n").alias("n")).collect()}  # a row for each bucket
+    for i, b in enumerate(order):
+        if got.get(i, 0) < wanted[b]:
             raise ValueError(f"bucket {b} has too few rows within the cap")
-        out = taken if out is None else out.unionByName(taken)
-        used = out.groupBy(parent).agg(F.count("*").alias("used"))
-    return out if out is not None else df.limit(0)
+    keys = checkpointed(taken.select(F.col("t").alias("__t")))
+    few = sum(wanted.values()) <= 1_000_000
+    return df.join(F.broadcast(keys) if few else keys, F.col(tie) == F.col("__t"), "left_semi")
 
 
 def risk_sample(df: DataFrame, score: Column, limit: int, strata: list[str], order: Column, tie: str, least: int = 3, share_of_risk: float = 0.6) -> DataFrame:
@@ -224,8 +274,8 @@ def first_occurrence(df: DataFrame, key: Column | str, order: str) -> DataFrame:
     return joined.withColumn("duplicate_of", F.when(F.col(order) != F.col("__first"), F.col("__first"))).drop("__key", "__of", "__first")
 
 
-def positions(df: DataFrame, *order: str) -> DataFrame:
-    """``position``: the row's place (from 0) in an order.
+def positions(df: DataFrame, *order: str, part: str | None = None) -> DataFrame:
+    """``position``: the row's place (from 0) in an order; ``part``, if named, is the range of the order that it lies in.
 
     Places come from range partitions and their counts, not from one window over all rows.
     """
@@ -237,7 +287,23 @@ def positions(df: DataFrame, *order: str) -> DataFrame:
     before = F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each partition
     offsets = sizes.withColumn("__before", F.coalesce(before, F.lit(0))).select("__part", "__before", "__low")
     placed = ranged.join(F.broadcast(offsets), "__part")
-    return placed.select(*[F.col(c) for c in df.columns], (F.col("__before") + F.col("__at") - F.col("__low")).alias("position"))
+    named = [F.col("__part").alias(part)] if part else []
+    return placed.select(*[F.col(c) for c in df.columns], *named, (F.col("__before") + F.col("__at") - F.col("__low")).alias("position"))
+
+
+def carried(df: DataFrame, value: Column, kind: str, name: str, part: str, position: str) -> DataFrame:
+    """``name``: the ``sum`` or ``max`` of ``value`` over all rows up to this one, in the order of ``position``.
+
+    ``part`` numbers ranges of that order, as ``positions`` names them. What holds before a range comes from one value for
+    each range, so no task has more than a range.
+    """
+    of, both = {"sum": (F.sum, lambda x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0))), "max": (F.max, F.greatest)}[kind]
+    totals = df.groupBy(F.col(part).alias("__of")).agg(of(value).alias("__total"))
+    earlier = Window.partitionBy(F.lit(1)).orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    before = totals.withColumn("__before", of("__total").over(earlier)).select("__of", "__before")
+    here = of(value).over(Window.partitionBy(part).orderBy(position))
+    out = df.withColumn("__here", here).join(F.broadcast(before), F.col(part) == F.col("__of"))
+    return out.withColumn(name, both("__before", "__here")).drop("__here", "__of", "__before")
 
 
 def shards(df: DataFrame, n: int, *order: str) -> DataFrame:

@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import actions, dialogue, personal, templates, text, toolformats
-from ..operators import audit, casesets, dedup, evaluation, metrics, policy, selection, synthesis
+from ..functions import actions, dialogue, personal, templates, text, tokens, toolformats
+from ..operators import audit, casesets, dedup, evaluation, metrics, policy, runs, selection, synthesis, training
 from ..sources import scans, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,7 +62,7 @@ def exact_dedup_keep_first(spark, sf_dir):
 
 
 @query(
-    "WITH h AS (SELECT sha256(text) AS h FROM documents), six AS (SELECT left(h, 6) AS p, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS n FROM h GROUP BY 1), "
+    "WITH h AS (SELECT sha256(text) AS h, count(*) AS m FROM documents GROUP BY 1), six AS (SELECT left(h, 6) AS p, sha256(string_agg(h || ':' || m || ';', '' ORDER BY h)) AS d, sum(m) AS n FROM h GROUP BY 1), "
     "four AS (SELECT left(p, 4) AS q, sha256(string_agg(p || d, '' ORDER BY p)) AS d, sum(n) AS n FROM six GROUP BY 1), "
     "two AS (SELECT left(q, 2) AS r, sha256(string_agg(q || d, '' ORDER BY q)) AS d, sum(n) AS n FROM four GROUP BY 1) "
     "SELECT sha256(string_agg(r || d, '' ORDER BY r)) AS content_set_sha256, sum(n)::BIGINT AS n_rows FROM two"
@@ -677,12 +677,13 @@ def paired_delta(spark, sf_dir):
 
 @query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95 FROM lineitem GROUP BY 1")
 def percentile_linear(spark, sf_dir):
-    return _table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(metrics.linear("l_extendedprice", 0.5), 4).alias("p50"), F.round(metrics.linear("l_extendedprice", 0.95), 4).alias("p95"))
+    out = metrics.percentiles(_table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", {"p50": ("linear", 0.5), "p95": ("linear", 0.95)})
+    return out.select("l_returnflag", F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95"))
 
 
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY 1")
 def percentile_nearest_rank(spark, sf_dir):
-    return _table(spark, sf_dir, "events").groupBy("event_type").agg(metrics.nearest("value", 0.5).alias("p50"), metrics.nearest("value", 0.99).alias("p99"))
+    return metrics.percentiles(_table(spark, sf_dir, "events"), ["event_type"], "value", {"p50": ("nearest", 0.5), "p99": ("nearest", 0.99)})
 
 
 @query(
@@ -727,11 +728,12 @@ def latency_steady_state(spark, sf_dir):
 
 
 @query(
-    "WITH p AS (SELECT 2147483647::BIGINT AS p), r AS (SELECT quality::DOUBLE AS v, ('0x' || left(sha256('20260809:' || doc_id), 8))::BIGINT % p AS r FROM labels, p), "
-    "b AS (SELECT b, 1 + ('0x' || left(sha256('20260809:a:' || b), 8))::BIGINT % (p - 1) AS a, ('0x' || left(sha256('20260809:c:' || b), 8))::BIGINT % p AS c FROM range(500) t(b), p), "
-    "u AS (SELECT b, v, ((a * r + c) % p) / p::DOUBLE AS u FROM r, b, p), "
-    "m AS (SELECT b, sum(t * v) / sum(t) AS m FROM (SELECT b, v, (u >= 0.36787944117)::INT + (u >= 0.73575888234)::INT + (u >= 0.91969860293)::INT + (u >= 0.98101184312)::INT + (u >= 0.99634015317)::INT + (u >= 0.99940581518)::INT "
-    "+ (u >= 0.99991675885)::INT + (u >= 0.99998975081)::INT AS t FROM u) GROUP BY b) "
+    "WITH p AS (SELECT 2305843009213693951::HUGEINT AS p), r AS (SELECT quality::DOUBLE AS v, ('0x' || left(sha256('20260809:' || doc_id), 15))::BIGINT::HUGEINT AS r FROM labels), "
+    "b AS (SELECT b, 1 + ('0x' || left(sha256('20260809:a:' || b), 15))::BIGINT::HUGEINT AS a, ('0x' || left(sha256('20260809:c:' || b), 15))::BIGINT::HUGEINT AS c FROM range(500) t(b)), "
+    "k AS (SELECT k::HUGEINT * p // 100000000000 AS k FROM p, (SELECT unnest([36787944117, 73575888234, 91969860293, 98101184312, 99634015317, 99940581518, 99991675885, 99998975081]) AS k)), "
+    "u AS (SELECT b, v, (a * r + c) % p AS x FROM r, b, p), "
+    "t AS (SELECT b, v, (SELECT count(*) FROM k WHERE k <= x) AS t FROM u), "
+    "m AS (SELECT b, sum(t * v) / sum(t) AS m FROM t GROUP BY b) "
     "SELECT round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high, count(*) AS resamples FROM m"
 )
 def bootstrap_ci(spark, sf_dir):
@@ -739,6 +741,51 @@ def bootstrap_ci(spark, sf_dir):
     return out.select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"), "resamples")
 
 
+# --- Tokens ----------------------------------------------------------------------------
+
+#: Tokens of a training row and of a window, the template, and the token that closes an answer.
+ROW_TOKENS, WINDOW_TOKENS, TEMPLATE, END = 512, 2048, "vicuna", "<|endoftext|>"
+
+
+def _vocabulary(spark) -> str:
+    import public_tokenizers
+
+    return tokens.vocabulary(spark, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def _training_rows(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations")
+    return training.training_rows(turns, _vocabulary(spark), templates.TEMPLATES[TEMPLATE], ROW_TOKENS, END)
+
+
+def _ids_hash(c: str):
+    return F.sha2(F.array_join(c, ","), 256)
+
+
+@query()
+def sft_token_rows(spark, sf_dir):
+    """Token ids and labels of each conversation, and whether any label is learned from."""
+    rows = _training_rows(spark, sf_dir)
+    return rows.select("conv_id", F.size("input_ids").alias("n_tokens"), _ids_hash("input_ids").alias("ids_sha256"), _ids_hash("labels").alias("labels_sha256"), toolformats.learnable("labels").alias("learnable"))
+
+
+@query()
+def packed_token_windows(spark, sf_dir):
+    """All training rows one after the other in hash order, cut into windows."""
+    rows = _training_rows(spark, sf_dir).withColumn("place", text.rank(F.lit("pack"), "conv_id"))
+    windows = training.packed(rows.where(toolformats.learnable("labels")), WINDOW_TOKENS, "place", "conv_id")
+    return windows.select("window", F.size("input_ids").alias("n_tokens"), _ids_hash("input_ids").alias("ids_sha256"), _ids_hash("labels").alias("labels_sha256"))
+
+
+@query()
+def token_length_audit(spark, sf_dir):
+    """Tokens of each conversation's turns by role and together: summary, percentiles, and how many exceed the limits."""
+    turns = training.token_lengths(_table(spark, sf_dir, "conversations"), _vocabulary(spark), turn_tokens="text")
+    of = lambda role: F.sum(F.when(F.col("role") == role, F.col("turn_tokens")))
+    sums = turns.groupBy("conv_id").agg(of("user").alias("user"), of("assistant").alias("assistant"), F.sum("turn_tokens").alias("dialogue"))
+    return runs.token_audit(sums, (512, 1024), 1 << 20, "user", "assistant", "dialogue")
+
+
 # --- Sets and unions -------------------------------------------------------------------
 
 

@@ -57,16 +57,17 @@ def write_splits(df: DataFrame, path: str, split: str, splits: tuple[str, ...],
 
 
 def content_set_hash(df: DataFrame, hash_col: Column) -> DataFrame:
-    """sha256 of all row hashes, folded over a tree of their prefixes.
+    """sha256 of all row hashes with how often each occurs, folded over a tree of their prefixes.
 
-    The sorted hashes of each six-digit prefix are hashed, then the sorted (prefix, digest) of
-    each four-digit one, each two-digit one and all; so a row holds a 16-millionth of the
-    table's hashes, or 256 digests. Note that the value differs from a single pass over all
-    hashes; see ``content_set_hash_plain``.
+    Equal hashes are counted first, so a content that many rows have is one entry. The sorted (hash, count) of each
+    six-digit prefix are hashed, then the sorted (prefix, digest) of each four-digit one, each two-digit one and all; so a
+    row holds a 16-millionth of the table's different hashes, or 256 digests. Note that the value differs from a single pass over all
+    hashes; see ``content_set_hash_plain``. A null hash counts as row, but has no entry.
     """
     joined = lambda c: F.sha2(F.array_join(c, ""), 256).alias("d")
-    hashed = df.select(hash_col.alias("h"))
-    parts = hashed.groupBy(F.substring("h", 1, 6).alias("p")).agg(joined(F.array_sort(F.collect_list("h"))), F.count("*").alias("n"))
+    counted = df.groupBy(hash_col.alias("h")).agg(F.count("*").alias("m"))
+    entry = F.when(F.col("h").isNotNull(), F.concat("h", F.lit(":"), F.col("m").cast("string"), F.lit(";")))
+    parts = counted.groupBy(F.substring("h", 1, 6).alias("p")).agg(joined(F.array_sort(F.collect_list(entry))), F.sum("m").alias("n"))
     digests = F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: F.concat(x["p"], x["d"]))
     for size in (4, 2):
         parts = parts.groupBy(F.substring("p", 1, size).alias("q")).agg(joined(digests), F.sum("n").alias("n")).select(F.col("q").alias("p"), "d", "n")
