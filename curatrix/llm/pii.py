@@ -10,6 +10,7 @@ for, so what is found afterwards maps back to the source.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -229,18 +230,18 @@ def _spelled_digits(tape: Tape) -> None:
     _spelled_spans(tape)
     changes = []
     for m in _SPELLED_RUN.finditer(tape.text):
-        times = 1
+        times, last = 1, None
         for x in _SPELLED_ONE.finditer(m.group()):
-            word = x.group().lower()
+            word, a, b = x.group().lower(), m.start() + x.start(), m.start() + x.end()
+            if last is not None and a > last:
+                changes.append((last, a, ""))  # what stands between two pieces of the run
+            last = b
             if word in ("double", "triple"):
                 times = 2 if word == "double" else 3
-                changes.append((m.start() + x.start(), m.start() + x.end(), ""))
+                changes.append((a, b, ""))
                 continue
-            changes.append((m.start() + x.start(), m.start() + x.end(), "+" if word == "plus" else _SPELLED.get(word, word) * times))
+            changes.append((a, b, "+" if word == "plus" else _SPELLED.get(word, word) * times))
             times = 1
-        gaps = [(a[1], b[0]) for a, b in zip(changes[:-1], changes[1:], strict=True) if a[0] >= m.start() and b[0] > a[1]]
-        changes += [(a, b, "") for a, b in gaps]
-        changes.sort()
     tape.rewrite(changes)
 
 
@@ -273,11 +274,14 @@ def find_all(text: str) -> tuple[list[Span], list[Span]]:
     _signs_in_words(tape)
     if tape.starts is None:
         return base, base
-    taken = {k: [(a, b) for a, r, b in base if r == k] for k in range(len(KINDS))}
+    taken = {k: [(a, b) for a, r, b in base if r == k] for k in range(len(KINDS))}  # in order, without overlap
     more = []
     for a, k, b in find(tape.text):
         s, e = tape.source(a, b)
-        if text[s:e] != tape.text[a:b] and all(e <= x or s >= y for x, y in taken[k]):
+        if text[s:e] == tape.text[a:b]:
+            continue
+        before = bisect_left(taken[k], (e,)) - 1  # the last one that begins before this one ends
+        if before < 0 or taken[k][before][1] <= s:
             more.append((s, k, e))
     return base, sorted([*base, *more]) if more else base
 

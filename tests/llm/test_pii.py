@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -154,3 +155,20 @@ def test_names_of_any_length(part):
 def test_long_runs_of_signs_take_linear_time():
     for t in (" at " * 60_000, "[at]" * 60_000, "a [at] b" * 40_000, "x" * 300_000 + " [at] " + "y" * 300_000, "a @ b [dot] " * 30_000, " " * 300_000 + "[at]" + " " * 300_000 + "dot", "a.b" * 100_000 + " at b dot c", "[" + " " * 300_000 + "at"):
         pii.find_all(t)
+
+
+def test_many_spelled_runs_take_linear_time():
+    took = []
+    for n in (4_000, 16_000):
+        text = "one two three four five six seven x " * n
+        began = time.perf_counter()
+        pii.find_all(text)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 5 and took[1] < 12 * took[0] + 0.1
+
+
+def test_many_base_and_disguised_spans_take_linear_time():
+    text = "a@b.co and c [at] d [dot] org, " * 20_000
+    began = time.perf_counter()
+    base, spans = pii.find_all(text)
+    assert (len(base), len(spans)) == (20_000, 40_000) and time.perf_counter() - began < 10
