@@ -48,8 +48,18 @@ ROLE = re.compile(
 #: of tags tried from different places, and < outside ends a try; so three overlap at most and reading
 #: takes time in proportion to the page, however long a tag or value is.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+#: What counts inside an article: a class whose parts are all such words, or words for a kind of box.
+_ROLE_WORD = (
+    r"(?:ads?|advert\w*?|sponsor\w*?|promos?|promotions?|banner|cookies?|consent|gdpr|notices?|alert|sidebar|menu|nav|navigation|breadcrumbs?|comments?|disqus|replies|respond|share|sharing|social"
+    r"|related|recommend(?:ed|ations?)|newsletter|subscribe|signup|popup|modal|overlay|footer|masthead|widget|toolbar|pagination|search|login)"
+)
+_BOX_WORD = r"(?:bar|box|list|links?|buttons?|icons?|block|section|area|container|wrap|wrapper|panel|form|thread|unit|slot|tools?|posts?|articles?|stories|items?|[0-9]+)"
+ROLE_ALONE = re.compile(rf"(?:{_BOX_WORD}[_-]+)*{_ROLE_WORD}(?:[_-]+(?:{_ROLE_WORD}|{_BOX_WORD}))*", re.I)
+#: Of elements within a line only adverts go by their class.
+ADVERT = re.compile(r"(?:ads?|advert\w*|sponsor\w*|promos?)(?:[_-]+\w+)*", re.I)
+UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 #: Other attributes' quoted values are passed over; what they hold marks nothing.
-MARKS = re.compile(r"(?:^|\s)(id|class|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?|\"[^\"]*+\"|'[^']*+'", re.I)
+MARKS = re.compile(r"(?:^|\s)(id|class|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?|\"[^\"]*+\"|'[^']*+'", re.I)
 
 #: Token of the page itself.
 ROOT = 0
@@ -60,10 +70,57 @@ def token(parent: int, name: str) -> int:
     return xxhash.xxh64_intdigest(name.encode("utf-8", "replace"), seed=parent & ((1 << 64) - 1)) - (1 << 63)
 
 
-def _pop(stack: list[tuple[str, int]], held: dict[str, int]) -> str:
-    tag = stack.pop()[0]
-    held[tag] -= 1
-    return tag
+#: Tags that a later one may close by itself.
+CLOSABLE = frozenset(x for tags in CLOSED_BY.values() for x in tags)
+
+
+class Open:
+    """The open elements, innermost last, and where those stand that end a search or are closed by others."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int]] = [("", 0)]
+        self.held: dict[str, int] = {}
+        self.places: dict[str, list[int]] = {tag: [] for tag in CLOSABLE}
+        self.scopes: list[int] = []
+
+    def push(self, tag: str, element: int) -> None:
+        if tag in CLOSABLE:
+            self.places[tag].append(len(self.stack))
+        elif tag in SCOPE:
+            self.scopes.append(len(self.stack))
+        self.stack.append((tag, element))
+        self.held[tag] = self.held.get(tag, 0) + 1
+
+    def pop(self) -> str:
+        tag = self.stack.pop()[0]
+        self.held[tag] -= 1
+        if tag in CLOSABLE:
+            self.places[tag].pop()
+        elif tag in SCOPE:
+            self.scopes.pop()
+        return tag
+
+    def close(self, tag: str) -> None:
+        """Close the innermost element of a tag and what is open in it; nothing if there is none."""
+        if self.held.get(tag):
+            while self.pop() != tag:
+                pass
+
+    def give_way(self, tags: tuple[str, ...]) -> None:
+        """Close the innermost element of one of the tags, unless an element that ends the search stands within it."""
+        last = max((self.places[t][-1] for t in tags if self.places[t]), default=0)
+        if last > (self.scopes[-1] if self.scopes else 0):
+            while len(self.stack) > last:
+                self.pop()
+
+
+def _unseen(attributes: str) -> bool:
+    """Is an element within a line hidden, or an advert?"""
+    for m in MARKS.finditer(attributes):
+        key, value = (m.group(1) or "").lower(), m.group(2) or m.group(3) or m.group(4) or ""
+        if key == "hidden" or key == "style" and UNSEEN.search(value) or key in ("id", "class") and any(map(ADVERT.fullmatch, value.split())):
+            return True
+    return False
 
 
 class Page:
@@ -75,29 +132,41 @@ class Page:
         self._read(source)
 
     def _read(self, source: str) -> None:
-        stack, buffer, at, held = [("", 0)], [], 0, dict.fromkeys(("",), 1)
+        opened, buffer, at = Open(), [], 0
+        # An unseen element within a line: its tag, how many of that tag are open, and how many elements were when it began.
+        unseen, deep, below = "", 0, 0
 
         def flush() -> None:
             if buffer:
-                text = " ".join(entities.unescape("".join(buffer)).split())
+                text = " ".join("".join(buffer).split())
                 if text:
-                    self.blocks.append((stack[-1][1], text))
+                    self.blocks.append((opened.stack[-1][1], text))
                 buffer.clear()
 
+        def said(text: str) -> None:
+            if not unseen:
+                buffer.append(entities.unescape(text))  # a reference ends where a tag begins
+
         find, end = TOKEN.search, len(source)
         while at < end:
             m = find(source, at)
             if m is None:
-                buffer.append(source[at:])
+                said(source[at:])
                 break
             if m.start() > at:
-                buffer.append(source[at : m.start()])
+                said(source[at : m.start()])
             at = m.end()
             close, tag, attributes = m.group(1), m.group(2), m.group(3)
             if tag is None:
                 continue
             tag = tag.lower()
             if tag in INLINE:
+                if unseen:
+                    if tag == unseen and not attributes.endswith("/"):
+                        deep += -1 if close else 1
+                        unseen = unseen if deep else ""
+                elif attributes and not close and not attributes.endswith("/") and _unseen(attributes):
+                    unseen, deep, below = tag, 1, len(opened.stack)
                 continue
             if tag in VOID:
                 if tag == "br":
@@ -115,36 +184,33 @@ class Page:
                 continue
             flush()
             if close:
-                if held.get(tag):
-                    while _pop(stack, held) != tag:
-                        pass
-                continue
-            closed = CLOSED_BY.get(tag, ())
-            if tag in NOT_IN_P:
-                closed = (*closed, "p")
-            if any(held.get(c) for c in closed):
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in closed:
-                        while len(stack) > k:
-                            _pop(stack, held)
-                        break
-                    if stack[k][0] in SCOPE:
-                        break
-            stack.append((tag, self._element(tag, attributes, stack[-1][1])))
-            held[tag] = held.get(tag, 0) + 1
-            if attributes.endswith("/") and tag not in ("p", "div"):
-                _pop(stack, held)
+                opened.close(tag)
+            else:
+                closed = CLOSED_BY.get(tag, ())
+                if tag in NOT_IN_P:
+                    closed = (*closed, "p")
+                if closed:
+                    opened.give_way(closed)
+                if len(opened.stack) < below:
+                    unseen, below = "", 0
+                opened.push(tag, self._element(tag, attributes, opened.stack[-1][1], bool(unseen)))
+                if attributes.endswith("/") and tag not in ("p", "div"):
+                    opened.pop()
+            if len(opened.stack) < below:  # what held the unseen element is closed
+                unseen, below = "", 0
         flush()
 
-    def _element(self, tag: str, attributes: str, parent: int) -> int:
-        name, marks, hidden, body = tag, [], False, False
+    def _element(self, tag: str, attributes: str, parent: int, hidden: bool = False) -> int:
+        name, marks, body = tag, [], False
         if attributes:
             for m in MARKS.finditer(attributes):
                 if m.group(1) is None:
                     continue
                 key, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
-                if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+                if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and UNSEEN.search(value):
                     hidden = True
+                elif key == "style":
+                    continue
                 elif key == "itemprop" or key == "role":
                     body |= value.lower() in ("articlebody", "main")
                     if key == "role":
@@ -152,7 +218,9 @@ class Page:
                 else:
                     marks.append(value)
                     name += ("#" if key == "id" else ".") + re.sub(r"\d+", "0", ".".join(value.split()))
-        role = bool(marks) and any(ROLE.search(x) for x in marks) and tag not in ("html", "body", *MAIN)
+        # Within an article a word in a name is no proof, a name that says no more is.
+        named = (lambda x: any(map(ROLE_ALONE.fullmatch, x.split()))) if self.main[parent] else ROLE.search
+        role = bool(marks) and any(map(named, marks)) and tag not in ("html", "body", *MAIN)
         main = self.main[parent] or tag in MAIN or body
         out = self.out[parent] or hidden or role or tag in DROPPED or tag == "header" and not main
         self.key.append(token(self.key[parent], name))
@@ -259,8 +327,11 @@ def templates(pages: DataFrame) -> DataFrame:
         F.max("depth").alias("depth"), F.max("main").alias("main"), F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.sum("before").alias("before"),
         F.sum(sign.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"), F.sum(F.shiftrightunsigned(sign, 32)).alias("high"), F.max("n").alias("most"),
         F.sum("own").alias("own"), F.max("element").alias("element"), F.max("group").alias("group"), (F.min("content") < F.max("content")).alias("differ"),
-        F.bit_count(F.bit_or(F.expr("shiftleft(1L, cast(pmod(content, 64) as int))"))).alias("contents"),
+        F.min("content").alias("least"), F.max("content").alias("last"), F.sum(F.col("content").cast("decimal(20,0)")).alias("total"),
     ).withColumn("vector", F.xxhash64("low", "high")).drop("low", "high")
+    # Of two contents alone, the sum exceeds so many times the lesser by a multiple of what they differ in.
+    rest = F.expr("(total - cast(pages as decimal(20,0)) * cast(least as decimal(20,0))) % (cast(last as decimal(20,0)) - cast(least as decimal(20,0)))")
+    vectors = vectors.withColumn("three", F.when(F.col("differ"), rest != 0).otherwise(False)).drop("least", "last", "total")
     spark = pages.sparkSession
     vectors = common.written(vectors.where(F.col("pages") >= LEAST_PAGES), f"{common.scratch(spark)}/vectors")
     root = F.lit(ROOT)
@@ -273,8 +344,8 @@ def templates(pages: DataFrame) -> DataFrame:
     shared = kept.where((F.col("depth") < 0) & F.col("differ")).groupBy("host", "element").agg(F.sum("own").alias("shared"))
     constant = vectors.where("depth >= 0").select("host", F.col("token").alias("element"), F.col("own").alias("blocks")).join(shared, ["host", "element"]).where("shared = blocks")
     kept = kept.join(constant.select("host", "element", F.lit(True).alias("constant")), ["host", "element"], "left")
-    # Near copies share a title: in an article, text is the template's if three contents have it, as far as six bits tell.
-    text = F.when((F.col("depth") < 0) & F.col("differ") & F.col("constant") & (~F.col("main") | (F.col("contents") >= 3)), F.col("token"))
+    # Near copies share a title: in an article, text is the template's if three contents have it.
+    text = F.when((F.col("depth") < 0) & F.col("differ") & F.col("constant") & (~F.col("main") | F.col("three")), F.col("token"))
     # Slots with most of the text nest in each other; of these, the innermost or the outermost main one.
     slot = (F.col("group") > 0) & (F.col("most") == 1)
     wide = slot & (F.col("chars") > MAIN_SHARE * F.col("all_chars"))

@@ -1,4 +1,6 @@
 import random
+import re
+import time
 
 import pytest
 
@@ -144,3 +146,59 @@ def test_made_sites_against_what_they_were_made_of(spark, repeats):
 def test_near_copies_keep_their_title(spark):
     rows = [(i, "http://two.example/", f"<article><h1>One title</h1><p>The same opening</p><p>Own end {i}</p></article>") for i in range(2)]
     assert texts(spark, rows) == [(i, f"One title\nThe same opening\nOwn end {i}") for i in range(2)]
+
+
+def test_open_elements_are_found_without_a_walk():
+    """A paragraph that is open around many blocks, each of which looks for one to close."""
+    took = []
+    for n in (20_000, 80_000):
+        source = "<p><body>" + "<blockquote>" * n
+        began = time.perf_counter()
+        htmltext.Page(source)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 5 and took[1] < 12 * took[0] + 0.1
+
+
+@pytest.mark.parametrize(
+    ("inner", "want"),
+    [
+        ('<p>a <span class="advert" hidden>Buy now</span>b</p>', "a b"),
+        ('<p>a <b class="sponsored-link">Buy</b> c</p>', "a c"),
+        ('<p>a <span hidden>x <span>y</span> z</span>c</p>', "a c"),
+        ('<p>one <span hidden>two<p>three', "one\nthree"),
+        ('<div>one<span style="color:red; display: none"><div>two</div>x</span> more</div>three', "one\nmore\nthree"),
+        ('<div style="display:none">no</div><p style="color:red">yes</p>', "yes"),
+        ('<section class="share-price"><p>The price rose.</p></section>', "The price rose."),
+        ('<p class="search-results-explained">Found.</p><div class="side-effects">Rare.</div>', "Found.\nRare."),
+        ('<div class="share-buttons">x</div><div class="box related-posts">y</div><p>z</p>', "z"),
+        ("<p>&am<b>p;</b> and &amp;</p>", "&amp; and &"),
+    ],
+)
+def test_what_goes_from_an_article_and_what_stays(inner, want):
+    assert htmltext.Page(f"<article>{inner}</article>").text(None, frozenset()) == want
+
+
+def test_text_of_three_contents_is_told_from_that_of_two(spark):
+    """Whatever bits the contents' hashes share: many hosts of pages with two and three contents."""
+    page = lambda own: f"<html><body><article><p class='t'>Shared title</p><div><p>{own}</p></div></article></body></html>"
+    rows = []
+    for host in range(120):
+        contents = [" ".join(f"h{host}c{c}w{j}" for j in range(30)) for c in range(2 + host % 2)]
+        rows += [(len(rows) + i, f"http://h{host}.example/{i}", page(contents[i % len(contents)])) for i in range(6)]
+    for i, t in texts(spark, rows):
+        host = i // 6
+        assert t.startswith("Shared title\n") == (host % 2 == 0), host
+
+
+def test_word_lists_and_templates_each_change_a_result(spark, monkeypatch):
+    """Named boxes by the lists, unnamed ones by the template."""
+    def page(i):
+        return f"<html><body><div class='q1'>Welcome to the site</div><div class='main-col'>{' '.join(f's{i}w{j}' for j in range(40))}<div class='advert'>Buy {i}</div></div><div class='q2'>All rights kept</div></body></html>"
+
+    rows = [(i, f"http://u.example/{i}", page(i)) for i in range(5)]
+    shipped = texts(spark, rows)
+    assert all("Buy" not in t and "Welcome" not in t and "rights" not in t and "w39" in t for _, t in shipped)
+    plain = [htmltext.Page(h).text(None, frozenset()) for _, _, h in rows]
+    assert all("Welcome" in t and "Buy" not in t for t in plain)
+    monkeypatch.setattr(htmltext, "ROLE", re.compile("(?!)"))
+    assert all("Buy" in htmltext.Page(h).text(None, frozenset()) for _, _, h in rows)
