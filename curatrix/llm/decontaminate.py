@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 13
-#: The items' kept grams are broadcast up to so many rows and bytes; else joined by shuffle.
+#: The items' kept grams, and lists of items, are broadcast up to so many rows and bytes; else joined by shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -189,10 +189,15 @@ def contaminated(
     candidates, whose words are compared.
     """
     spark = df.sparkSession
-    # Items that share a gram with the words around it are one row, however many they are.
-    alike = _item_prints(items, window, item_col, item_text_col).groupBy("m", "fp", "i_left", "i_gram", "i_right").agg(F.collect_set("item").alias("names"))
-    prints = common.written(alike, f"{common.scratch(spark)}/prints")
-    size = prints.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.concat_ws(" ", "i_left", "i_gram", "i_right"))).alias("bytes")).first()
+    root = common.scratch(spark)
+    # Items that share a gram with the words around it are one group; who they are is looked up once hits are known.
+    # No word holds a blank or a bar, so the group's name has one reading.
+    parts = [F.col("m").cast("string"), *[F.array_join(c, " ") for c in ("i_left", "i_gram", "i_right")]]
+    named = _item_prints(items, window, item_col, item_text_col).withColumn("group", F.md5(F.concat_ws("|", *parts)))
+    members = common.written(named.where("item is not null").select("group", "item").distinct(), f"{root}/members")
+    prints = common.written(named.drop("item").dropDuplicates(["group"]), f"{root}/prints")
+    sent = F.octet_length(F.concat_ws(" ", "group", "i_left", "i_gram", "i_right")) + 12
+    size = prints.agg(F.count("*").alias("n"), F.sum(sent).alias("bytes")).first()
     short = sorted(-r.m for r in prints.where("m < 0").select("m").distinct().collect())  # fewer than ``window`` numbers
     docs = _documents(df, window, short, id_col, text_col)
     k, _ = _sizes(window)
@@ -201,10 +206,17 @@ def contaminated(
         held = docs.select("doc", "digest", "w", "n", F.inline_outer("picks"))
         met = held.join(F.broadcast(prints), "fp", "left").where(F.col("i_gram").isNotNull() | (F.col("p") < 0))
     else:
-        # Texts stay where they are until hits are known; then hits go to their document.
-        lean = docs.select("doc", "digest", F.inline_outer("picks")).where("p >= 0").join(prints, "fp")
-        hits = lean.groupBy("doc", "digest").agg(F.collect_list(F.struct("p", "names", "i_left", "i_gram", "i_right")).alias("hits"))
-        mark = F.array(F.struct(F.lit(-1).alias("p"), *[F.lit(None).cast(t).alias(c) for c, t in (("names", "array<string>"), ("i_left", "array<string>"), ("i_gram", "array<string>"), ("i_right", "array<string>"))]))
+        # Texts stay where they are until hits are known; then hits go to their document. A hit has the same word next to the
+        # gram on the right or on the left, so a frequent gram is met by its neighbours; short items have none.
+        lean = docs.select("doc", "digest", F.inline_outer(_neighboured("picks", k))).where("p >= 0")
+        grams = prints.withColumn("i_r", F.coalesce(F.get("i_right", F.lit(0)), F.lit(""))).withColumn("i_l", F.coalesce(F.get("i_left", F.lit(0)), F.lit("")))
+        long_, alone = grams.where("m > 0"), grams.where("m < 0 or size(i_left) + size(i_right) = 0")
+        columns = ["doc", "digest", "p", "group", "i_left", "i_gram", "i_right"]
+        by_right = lean.where("r <> ''").join(long_.where("i_r <> ''").withColumnRenamed("i_r", "r"), ["fp", "r"]).select(*columns)
+        by_left = lean.where("l <> ''").join(long_.where("i_l <> ''").withColumnRenamed("i_l", "l"), ["fp", "l"]).where("r = '' or i_r <> r").select(*columns)
+        met = by_right.unionByName(by_left).unionByName(lean.join(alone, "fp").select(*columns))
+        hits = met.groupBy("doc", "digest").agg(F.collect_list(F.struct("p", "group", "i_left", "i_gram", "i_right")).alias("hits"))
+        mark = F.array(F.struct(F.lit(-1).alias("p"), *[F.lit(None).cast(t).alias(c) for c, t in (("group", "string"), ("i_left", "array<string>"), ("i_gram", "array<string>"), ("i_right", "array<string>"))]))
         one = docs.groupBy("doc", "digest").agg(F.first("w").alias("w"), F.first("n").alias("n"), F.count("*").alias("copies"))
         held = one.alias("d").join(hits.alias("h"), F.col("d.doc").eqNullSafe(F.col("h.doc")) & F.col("d.digest").eqNullSafe(F.col("h.digest")), "left")
         held = held.select("d.doc", "d.digest", "w", "n", "copies", F.coalesce("hits", F.array().cast(hits.schema["hits"].dataType)).alias("hits"))
@@ -216,7 +228,7 @@ def contaminated(
         "digest",
         "n",
         "p",
-        "names",
+        "group",
         "i_gram",
         F.size("i_gram").alias("m"),
         "i_left",
@@ -229,17 +241,38 @@ def contaminated(
     # A short item is its own window; else left + gram + right must reach a window's length.
     whole = (F.col("d_gram") == F.col("i_gram")) & ((F.col("left") + F.col("m") + F.col("right") >= window) | (F.col("m") != k) | (F.size("i_left") + F.size("i_right") == 0))
     hit = F.when((p >= 0) & whole, F.struct((p - F.col("left")).alias("a"), (p + F.col("m") + F.col("right") - 1).alias("b")))
-    marked = runs.select("doc", "digest", "n", (p < 0).cast("int").alias("row"), hit.alias("hit"), "names")
+    marked = runs.select("doc", "digest", "n", (p < 0).cast("int").alias("row"), hit.alias("hit"), "group")
     # No filter on ``hit``: pushed below, it would make every kept gram carry its text along.
     told = marked.groupBy("doc", "digest", "n").agg(
-        F.sum("row").alias("copies"), F.array_sort(F.collect_set("hit")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("hit").isNotNull(), F.col("names")))))).alias("items")
+        F.sum("row").alias("copies"), F.array_sort(F.collect_set("hit")).alias("hits"), F.array_sort(F.collect_set(F.when(F.col("hit").isNotNull(), F.col("group")))).alias("groups")
     )
-    merged = told.withColumn("spans", _merged("hits"))
+    told = told.withColumn("set", F.when(F.size("groups") > 0, F.md5(F.array_join("groups", ""))))
+    told = common.written(told.select("doc", "n", "copies", "set", "groups", _merged("hits").alias("spans")), f"{root}/told")
     length = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + (x["b"] - x["a"] + 1))
-    out = merged.select(F.col("doc").alias(id_col), F.col("n").cast("long").alias("n_words"), length.alias("n_hit"), "spans", "items", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("__copy"))
+    out = _with_items(told, members, root).select(F.col("doc").alias(id_col), F.col("n").cast("long").alias("n_words"), length.alias("n_hit"), "spans", "items", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("__copy"))
     return out.drop("__copy")
 
 
+def _neighboured(picks: str, k: int) -> Column:
+    """The picks with the words right and left of their gram of ``k`` words; '' where the text ends."""
+    word = lambda at: F.coalesce(F.get("w", at), F.lit(""))
+    return F.transform(picks, lambda x: F.struct(x["p"].alias("p"), x["fp"].alias("fp"), word(x["p"] + k).alias("r"), F.when(x["p"] > 0, word(F.greatest(x["p"] - 1, F.lit(0)))).otherwise(F.lit("")).alias("l")))
+
+
+def _with_items(told: DataFrame, members: DataFrame, root: str) -> DataFrame:
+    """``told`` with ``items``: the sorted ids of all items of a document's groups.
+
+    Documents with the same groups, as copies have, share one list: it is made once for each different set of groups.
+    """
+    sets = told.where("set is not null").select("set", "groups").dropDuplicates(["set"])
+    lists = sets.select("set", F.explode("groups").alias("group")).join(members, "group").groupBy("set").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    lists = common.written(lists, f"{root}/lists")
+    size = lists.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.array_join("items", " ")) + 48).alias("bytes")).first()
+    if size.n <= BROADCAST_ROWS and (size.bytes or 0) <= BROADCAST_BYTES:
+        lists = F.broadcast(lists)
+    return told.join(lists, "set", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+
+
 def _agree(a: str, b: str) -> Column:
     """How many words at the start of both arrays are the same."""
     same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))

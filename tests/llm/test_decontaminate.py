@@ -82,3 +82,29 @@ def test_cleaning_keeps_columns_of_any_name(spark, awkward, monkeypatch, most):
     kept = decontaminate.clean(named, items)
     assert kept.columns == named.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 2, 3, 4, 7, 8, 9, 10]
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_items_of_one_line_are_one_group(spark, monkeypatch, most):
+    """What is broadcast doesn't grow with the items that share a line."""
+    sent = []
+    send = F.broadcast
+    monkeypatch.setattr(decontaminate.F, "broadcast", lambda df: sent.append((df.columns, df.count())) or send(df))
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", most)
+    line = " ".join(f"word{i}" for i in range(20))
+    items = spark.range(20_000).select(F.col("id").alias("item_id"), F.lit(line).alias("text"))
+    docs = spark.createDataFrame([(i, f"before {line} after {i}" if i % 2 else "clean words") for i in range(6)], "doc_id long, text string")
+    want = sorted(map(str, range(20_000)))
+    for r in decontaminate.contaminated(docs, items).collect():
+        assert (r.n_hit, r["items"]) == ((20, want) if r.doc_id % 2 else (0, []))
+    assert all("item" not in columns and n < 20 for columns, n in sent) and bool(sent) == bool(most)
+
+
+def test_frequent_gram_with_many_surroundings_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    rng = random.Random(6)
+    gram = "a b c d e f"
+    around = lambda n: " ".join(rng.choice(["g", "h", "i"]) for _ in range(n))
+    items = [(k, f"{around(rng.randint(0, 9))} {gram} {around(rng.randint(0, 9))}".strip()) for k in range(40)]
+    docs = [(i, f"{around(rng.randint(0, 12))} {gram} {around(rng.randint(0, 12))}") for i in range(40)]
+    check(spark, docs, items)
