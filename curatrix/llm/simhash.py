@@ -19,6 +19,13 @@ BITS = 64
 #: Buckets of up to so many fingerprints are compared pair by pair; larger ones through
 #: their common neighbours, which finds the same links.
 PAIRWISE = 64
+#: Minima of a text's shingle hashes, and how many of them a block is made of: two texts that share 0.8 of their shingles
+#: agree in one of the 16 blocks at least with probability 0.998.
+MINIMA, PER_BLOCK = 80, 5
+#: Pairs whose share of equal minima is this far below the similarity aren't compared (five standard deviations).
+MARGIN = 0.22
+#: Texts of a block that are compared pair by pair; those of a larger one with the first and some others.
+BLOCK_PAIRS = 32
 #: Ids of documents to drop are broadcast up to so many, and so many bytes; else joined by shuffle.
 BROADCAST_IDS, BROADCAST_BYTES = 1_000_000, 32 << 20
 #: Words and hashes of a text are made for about so many bytes at a time.
@@ -170,19 +177,171 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     return prints.join(linked.union(alone), F.col("fingerprint") == F.col("__fp")).drop("__fp")
 
 
+def _shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """Sorted different hashes of a text's shingles, which are as those of ``fingerprint``."""
+    made, rest = [np.zeros(0, np.uint64)], []
+    for words in _words(text):
+        joined = b" ".join(words)
+        hashed = common.word_hashes(*_spans(joined))
+        rest = np.concatenate([rest, hashed]) if len(rest) else hashed
+        k = len(rest) - shingle + 1
+        if k > 0:
+            made.append(_runs(rest, shingle, k))
+            rest = rest[k:]
+    if len(made) == 1 and len(rest):
+        made.append(_runs(rest, len(rest), 1))
+    return np.unique(np.concatenate(made))
+
+
+def _sequence(text: bytes) -> bytes:
+    """128 bits of a text's words in their order."""
+    import xxhash
+
+    whole, first = xxhash.xxh3_128(), True
+    for words in _words(text):
+        if words:
+            whole.update((b"" if first else b" ") + b" ".join(words))
+            first = False
+    return whole.digest()
+
+
+def _spans(joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = np.frombuffer(joined, np.uint8)
+    starts, ends, _ = common.word_spans(raw, np.array([0, len(raw)]), common.SPACE)
+    return raw, starts, ends
+
+
+def _runs(words: np.ndarray, size: int, n: int) -> np.ndarray:
+    out = np.zeros(n, np.uint64)
+    for i in range(size):
+        out = common.mix64(out * np.uint64(0x9E3779B97F4A7C15) + words[i : i + n] + np.uint64(1))
+    return out
+
+
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """MINIMA numbers, of which two sets share about as many as of their union they have in common.
+
+    Hashes are dealt into MINIMA bins, whose least ones count; an empty bin takes that of the next one that isn't, marked by how
+    far that is.
+    """
+    out = np.full(MINIMA, np.iinfo(np.uint64).max, np.uint64)
+    if not len(hashes):
+        return out.view(np.int64)
+    bins = (hashes % np.uint64(MINIMA)).astype(np.int64)
+    np.minimum.at(out, bins, hashes)
+    have = np.flatnonzero(np.bincount(bins, minlength=MINIMA))
+    at = np.arange(MINIMA)
+    following = have[np.searchsorted(have, at) % len(have)]
+    return common.mix64(out[following] + ((following - at) % MINIMA).astype(np.uint64)).view(np.int64)
+
+
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row for each row: ``id_col``, ``fingerprint`` and ``component_id``, groups being what links between texts lead to
+    that have ``similarity`` of their different shingles (of their union) in common.
+
+    Texts of the same words, in whatever case and with whatever white space, are one node. Pairs that may be similar come from
+    fingerprints within two bits (``links``), and from blocks of minima. All are compared by their whole sets of shingle
+    hashes. In a block of more than BLOCK_PAIRS texts each is compared with the first one and with those that it meets in two
+    random deals of about BLOCK_PAIRS / 4, so that work grows with the texts; a link that only the others would give may be missed, and so
+    may two in a thousand pairs that no block brings together. A text without words is similar to its like. Null texts are empty; repeated
+    rows, null ids and other columns are as in ``near_groups``.
+    """
+    spark = df.sparkSession
+    root = common.scratch(spark)
+
+    def factory():
+        def work(texts: pa.Array) -> list[pa.Array]:
+            prints, words, least = [], [], []
+            for t in texts.to_pylist():
+                raw = t.encode()
+                prints.append(fingerprint(raw, shingle))
+                words.append(_sequence(raw))
+                least.append(minima(_shingle_hashes(raw, shingle)))
+            flat = pa.array(np.concatenate(least) if least else np.zeros(0, np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(least) + 1) * MINIMA, pa.int32()), flat)
+            return [pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(words, pa.binary()), lists]
+
+        return work
+
+    id_ = common.column(df, id_col)
+    made = common.map_texts(df, {id_col: id_}, common.text_or_empty(df, text_col), "fingerprint long, words binary, least array<long>", factory)
+    prints = common.written(made, f"{root}/prints")
+    own = common.column(prints, id_col)
+    nodes = prints.groupBy("words").agg(F.min(own).alias("first"), F.min("fingerprint").alias("fp"), F.min("least").alias("least"))
+    nodes = common.written(nodes.withColumn("node", F.monotonically_increasing_id()), f"{root}/nodes")
+    pairs = common.written(_candidates(nodes, similarity), f"{root}/pairs")
+    # Sets of what takes part in a pair, from the text of the first row of a node.
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first", "words"), "node")
+    wanted = common.written(wanted, f"{root}/wanted")
+
+    def sets():
+        def work(texts: pa.Array) -> list[pa.Array]:
+            parts = [_shingle_hashes(t.encode(), shingle) for t in texts.to_pylist()]
+            flat = np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)
+            words = pa.array([_sequence(t.encode()) for t in texts.to_pylist()], pa.binary())
+            return [words, pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(flat))]
+
+        return work
+
+    size = wanted.agg(F.count("*").alias("n")).first().n
+    named = wanted.select(F.col("first").alias("__first"), "node", "words")
+    texts = df.select(id_.alias("id"), common.text_or_empty(df, text_col).alias("text")).join(F.broadcast(named) if size <= BROADCAST_IDS else named, F.col("id") == F.col("__first"))
+    held = common.map_texts(texts, {"node": F.col("node"), "words": F.col("words")}, F.col("text"), "own binary, hashes array<long>", sets)
+    held = common.written(held.where("own = words").groupBy("node").agg(F.min("hashes").alias("hashes")), f"{root}/sets")  # rows of one id
+    a, b = held.select(F.col("node").alias("a"), F.col("hashes").alias("x")), held.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    close = pairs.join(a, "a").join(b, "b").withColumn("both", both).where(F.col("both") >= F.lit(similarity) * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
+    parts = components(common.written(close, f"{root}/links"))
+    grouped = nodes.select("words", "node", "first").join(parts.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").withColumn("root", F.coalesce("root", "node"))
+    least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
+    found = common.written(grouped.join(least, "root").select(F.col("words").alias("__words"), "component_id"), f"{root}/groups")
+    return prints.join(found, F.col("words") == F.col("__words")).select(own.alias(id_col), "fingerprint", "component_id")
+
+
+def _candidates(nodes: DataFrame, similarity: float) -> DataFrame:
+    """a < b: nodes that may be similar, by the first node of each fingerprint near another's and by blocks of minima."""
+    of_print = nodes.groupBy("fp").agg(F.min("node").alias("head"))
+    same = nodes.join(of_print, "fp").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    heads = [of_print.select(F.col("fp").alias(x), F.col("head").alias(f"h{x}")) for x in "ab"]
+    near = links(of_print.select("fp"), 2).join(heads[0], "a").join(heads[1], "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"))
+    blocks = [F.struct(F.lit(i).alias("c"), F.xxhash64(F.slice("least", i * PER_BLOCK + 1, PER_BLOCK)).alias("k")) for i in range(MINIMA // PER_BLOCK)]
+    keyed = nodes.select("node", F.explode(F.array(*blocks)).alias("x")).select("node", "x.c", "x.k")
+    sizes = keyed.groupBy("c", "k").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1")
+    met = keyed.join(sizes, ["c", "k"])
+    few = met.where(F.col("n") <= BLOCK_PAIRS).groupBy("c", "k").agg(F.array_sort(F.collect_list("node")).alias("v"))
+    each = F.flatten(F.transform("v", lambda x, i: F.transform(F.slice("v", i + 2, F.size("v")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    listed = few.select(F.explode(each).alias("x")).select("x.a", "x.b")
+    # A crowded block is dealt into parts of about BLOCK_PAIRS / 4 twice, in each block anew; no task holds it.
+    many = met.where(F.col("n") > BLOCK_PAIRS)
+    stars = many.select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    share = F.greatest(F.ceil(F.col("n") / (BLOCK_PAIRS / 4)), F.lit(1))
+    dealt = [many.select("c", "k", F.lit(j).alias("j"), F.pmod(h, share).alias("part"), "node") for j, h in enumerate((F.xxhash64("node", "c"), F.xxhash64("c", "node")))]
+    near_by = dealt[0].unionByName(dealt[1]).groupBy("c", "k", "j", "part").agg(F.array_sort(F.collect_list("node")).alias("v"))
+    steps = F.flatten(F.transform("v", lambda x, i: F.transform(F.slice("v", i + 2, BLOCK_PAIRS // 4), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    all_ = [t.select("a", "b") for t in (same, near, listed, stars, near_by.select(F.explode(steps).alias("x")).select("x.a", "x.b"))]
+    out = all_[0]
+    for t in all_[1:]:
+        out = out.unionByName(t)
+    out = out.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left, right = nodes.select(F.col("node").alias("a"), F.col("least").alias("x")), nodes.select(F.col("node").alias("b"), F.col("least").alias("y"))
+    alike = F.aggregate(F.zip_with("x", "y", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    return out.join(left, "a").join(right, "b").where(alike >= F.lit((similarity - MARGIN) * MINIMA)).select("a", "b")
+
+
 def hex64(column):
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2, similarity: float | None = None) -> DataFrame:
     """The rows of ``df`` that stay if one document of each near group does: the one of the smallest id.
 
-    All columns stay, whatever their names. Of several rows with that id one stays. Rows
+    Groups are those of fingerprints within ``distance`` bits, or with ``similarity`` those of ``similar_groups``. All columns stay, whatever their names. Of several rows with that id one stays. Rows
     without an id have no place in the order: all of them stay.
     """
     id_ = common.column(df, id_col)
     key, nth_col = common.unused(df, "id"), common.unused(df, "nth")
-    groups = near_groups(df.where(id_.isNotNull()), id_col, text_col, shingle, distance)
+    some = df.where(id_.isNotNull())
+    groups = near_groups(some, id_col, text_col, shingle, distance) if similarity is None else similar_groups(some, id_col, text_col, shingle, similarity)
     own = common.column(groups, id_col)
     named = groups.groupBy(own.alias(key)).agg(F.count_if(own == F.col("component_id")).alias("n"))
     named = common.written(named.where("n <> 1"), f"{common.scratch(df.sparkSession)}/named")

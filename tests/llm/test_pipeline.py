@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from curatrix.llm import classify, common, pii
 from test_decontaminate import brute as contaminated
 from test_queries import LIBRARY, sha, tables, text  # noqa: F401  tables is a fixture
-from test_simhash import brute_components, brute_print
+from test_simhash import brute_similar
 
 pipeline = pytest.importorskip("corpus_pipeline")
 SF = "/root/testdata/sf0.001"
@@ -32,7 +32,7 @@ def test_stages_in_order_keep_the_columns(spark):
 def near(rows):
     """One of each group: that of the smallest id; rows without an id stay, one of each id does."""
     named = [r for r in rows if r[0] is not None]
-    least = brute_components([(i, brute_print(t)) for i, t in named])
+    least = brute_similar(named)
     return [r for r in rows if r[0] is None] + list({i: (i, t) for (i, t), c in zip(named, least, strict=True) if c == i}.values())
 
 

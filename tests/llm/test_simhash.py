@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -95,3 +96,72 @@ def test_columns_of_any_name_stay(awkward, monkeypatch, most):
     assert kept.columns == named.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 2, 7, 8, 10]
     assert {tuple(r)[2:] for r in kept.collect()} == {(0, 1, 2, 3, 4, 5, 6)}
+
+
+def shingles(text, size=5):
+    w = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]+", lambda m: m.group().lower(), text or ""))
+    return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
+
+
+def brute_similar(rows, similarity=0.8):
+    """The smallest id of each row's group under links of all pairs."""
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (k, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), k), k)
+    return [least[find(i)] for i in range(len(rows))]
+
+
+def changed(rng, words, n):
+    out = words[:]
+    for at in rng.sample(range(len(out)), n):
+        out[at] = f"other{rng.randrange(10**6)}"
+    return out
+
+
+@pytest.mark.parametrize("crowd", [32, 4])
+def test_groups_of_similar_texts(spark, monkeypatch, crowd):
+    """Copies with some changed words; in crowded blocks, too."""
+    monkeypatch.setattr(simhash, "BLOCK_PAIRS", crowd)
+    rng = random.Random(crowd)
+    rows = []
+    for base in range(6):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([60, 300, 900]))]
+        rows += [(len(rows) + i, " ".join(changed(rng, words, rng.randint(0, len(words) // 60)))) for i in range(12)]
+        rows.append((len(rows), " ".join(changed(rng, words, len(words) // 5))))  # a far one
+    rows += [(len(rows) + i, t) for i, t in enumerate([None, "", " \n", "one two", "ONE  two", "one three", "a b c d e f", "a b c d e"])]
+    rows.append((3, "another text of an id that is there"))
+    got = sorted((r.doc_id, r.component_id) for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    want = sorted((i, c) for (i, _), c in zip(rows, brute_similar(rows), strict=True))
+    assert got == want
+
+
+def test_minima_tell_what_two_sets_share():
+    rng = np.random.default_rng(1)
+    for share in (0.3, 0.8):
+        both = rng.integers(0, 1 << 62, int(2000 * share)).astype(np.uint64)
+        rest = rng.integers(0, 1 << 62, (2, (2000 - len(both)) // 2)).astype(np.uint64)
+        a, b = (simhash.minima(np.unique(np.concatenate([both, r]))) for r in rest)
+        assert abs((a == b).mean() - share) < 0.16
+    assert len(set(simhash.minima(np.array([5], np.uint64)).tolist())) == simhash.MINIMA and (simhash.minima(np.zeros(0, np.uint64)) == -1).all()
+
+
+def test_similar_texts_of_the_given_table_are_found(spark):
+    """Recall over all pairs of sf0.01 that share 0.8 of their five-word shingles."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    least = dict(zip([i for i, _ in rows], brute_similar(rows), strict=True))
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    missed = [i for i in least if got[i] != least[i]]
+    assert len(missed) <= 0.1 * sum(least[i] != i for i in least)
