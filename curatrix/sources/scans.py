@@ -94,20 +94,29 @@ def split_from_path(file=None):
     return F.when(named("train"), "train").when(named("validation"), "validation").when(named("test"), "test").otherwise("unknown")
 
 
-def tables(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+def tables(spark: SparkSession, path: str, schema: StructType | str, large: bool = False) -> DataFrame:
     """CSV (with header), JSON (a list, or an object with ``data``) and JSON lines below a folder, together.
 
-    Columns missing in a file are null. Files of other kinds are left aside.
+    Columns missing in a file are null. Files of other kinds are left aside. A JSON file is one task's, unless they are
+    said to be ``large``: then each is read by many (``jsonarrays``), and must be a list or have ``data`` as its first member.
     """
     schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     read = lambda glob: spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
     text = StructType([f for f in schema.fields if f.dataType.simpleString() == "string"])
     out = read("*.jsonl").schema(schema).json(path)
+    if large:
+        from . import jsonarrays
+
+        return _with_csv(out.unionByName(jsonarrays.rows(spark, path, schema)), read, text, path)
     whole = StructType().add("data", ArrayType(schema))
     listed = read("*.json").schema(schema).option("multiLine", "true").json(path)
     nested = read("*.json").schema(whole).option("multiLine", "true").json(path)
     out = out.unionByName(listed.where(F.coalesce(*[F.col(f.name).cast("string") for f in schema.fields]).isNotNull()))
     out = out.unionByName(nested.select(F.inline("data")))
+    return _with_csv(out, read, text, path)
+
+
+def _with_csv(out: DataFrame, read, text: StructType, path: str) -> DataFrame:
     try:
         named = read("*.csv").option("header", "true").csv(path)
     except Exception as e:
