@@ -741,6 +741,119 @@ def bootstrap_ci(spark, sf_dir):
     return out.select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"), "resamples")
 
 
+# --- Gates and preferences -----------------------------------------------------------
+
+
+@query(
+    "WITH r AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'response' WHEN 'P' THEN 'decision' ELSE 'parameter' END AS level, CASE WHEN o_orderpriority < '3' THEN 'action' ELSE 'response' END AS kind, "
+    "sha256('pref:' || o_orderkey) AS h FROM orders), g AS (SELECT *, CASE WHEN level = 'decision' THEN 'decision:' || kind ELSE level END AS grp FROM r), "
+    "n AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY h, o_orderkey) AS nth FROM g), "
+    "w AS (SELECT *, nth <= CASE grp WHEN 'response' THEN 160 WHEN 'decision:action' THEN 50 WHEN 'decision:response' THEN 50 ELSE 140 END AS within FROM n) "
+    "SELECT o_orderkey, level, kind FROM w ORDER BY within DESC, h, o_orderkey LIMIT 400"
+)
+def balanced_preferences(spark, sf_dir):
+    status = F.col("o_orderstatus")
+    level = F.when(status == "F", "response").when(status == "P", "decision").otherwise("parameter")
+    kind = F.when(F.col("o_orderpriority") < "3", "action").otherwise("response")
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", level.alias("level"), kind.alias("kind"))
+    return selection.balanced_preferences(rows, "level", "kind", 400, text.rank(F.lit("pref"), "o_orderkey"), "o_orderkey").drop("within")
+
+
+@query(
+    "SELECT CASE WHEN l_returnflag = 'A' THEN 'parameter' WHEN l_returnflag = 'N' THEN 'response' WHEN l_linestatus = 'F' AND l_linenumber = 1 THEN 'wrong_action' WHEN l_linestatus = 'F' THEN 'must_continue' ELSE 'must_stop' END AS bucket, "
+    "count(*) AS n FROM lineitem GROUP BY 1"
+)
+def behaviour_buckets(spark, sf_dir):
+    flag, open_, first = F.col("l_returnflag"), F.col("l_linestatus") != "F", F.col("l_linenumber") == 1
+    level = F.when(flag == "A", "parameter").when(flag == "N", "response").otherwise("decision")
+    chosen = F.when(flag == "A", "action").when((flag == "N") | open_, "response").otherwise("action")
+    rejected = F.when(flag == "A", "action").when(flag == "N", "response").when(open_ | first, "action").otherwise("response")
+    return _table(spark, sf_dir, "lineitem").groupBy(evaluation.bucket(level, chosen, rejected).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, floor(100 * ((-l_extendedprice) / l_quantity - (-l_tax) / l_linenumber))::BIGINT AS margin_percent FROM lineitem"
+)
+def hardness_margins(spark, sf_dir):
+    """Margins of mean log probabilities, none of which may be missing."""
+    margin = evaluation.margin(-F.col("l_extendedprice"), F.col("l_quantity"), -F.col("l_tax"), F.col("l_linenumber"))
+    rows = runs.gated_margin(_table(spark, sf_dir, "lineitem").withColumn("margin", margin), "margin")
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.floor(100 * F.col("margin")).alias("margin_percent"))
+
+
+@query(
+    "WITH t AS (SELECT o_orderkey, o_orderstatus, o_orderpriority, o_orderstatus = 'F' AS b, o_totalprice > 200000 AS a FROM orders) "
+    "SELECT o_orderkey AS case_id, CASE WHEN b THEN 'pass_to_fail' ELSE 'fail_to_pass' END AS transition, CASE WHEN b THEN '' ELSE o_orderpriority END AS before_errors, CASE WHEN a THEN '' ELSE 'price' END AS after_errors, "
+    "o_orderstatus <> 'O' AS tool_sequence_changed FROM t WHERE a <> b"
+)
+def failure_transitions(spark, sf_dir):
+    """Cases whose result changed between two runs, with the errors of both."""
+    orders = _table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "case_id")
+    listed = lambda ok, word: F.when(ok, F.array().cast("array<string>")).otherwise(F.array(word))
+    was, is_ = F.col("o_orderstatus") == "F", F.col("o_totalprice") > 200000
+    before = orders.select("case_id", was.alias("passed"), listed(was, F.col("o_orderpriority")).alias("errors"), F.array("o_orderstatus").alias("calls"))
+    after = orders.select("case_id", is_.alias("passed"), listed(is_, F.lit("price")).alias("errors"), F.array(F.lit("O")).alias("calls"))
+    out = runs.failure_details(before, after, "case_id")
+    return out.withColumn("before_errors", F.array_join("before_errors", ",")).withColumn("after_errors", F.array_join("after_errors", ","))
+
+
+@query("SELECT max(abs(l_discount - l_tax)) AS max_difference, max(abs(l_discount - l_tax)) <= 0.2 AS passed FROM lineitem")
+def policy_preflight(spark, sf_dir):
+    return audit.policy_drift(_table(spark, sf_dir, "lineitem"), "l_discount", "l_tax", 0.2)
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN sha256('{\"c_custkey\":' || c_custkey || ',\"c_nationkey\":' || c_nationkey || '}') ELSE c_name END AS identity FROM customer")
+def row_identity(spark, sf_dir):
+    """The first id that is there, else the hash of the row as canonical JSON."""
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")).alias("sample_id"))
+    return rows.select("c_custkey", audit.row_identity(rows, "record_id", "sample_id").alias("identity"))
+
+
+@query(
+    "WITH o AS (SELECT o_custkey, count(*) AS orders FROM orders GROUP BY 1), e AS (SELECT user_id, count(*) AS events FROM events GROUP BY 1) "
+    "SELECT c_custkey AS run, c_mktsegment, orders, events FROM customer LEFT JOIN o ON o_custkey = c_custkey LEFT JOIN e ON user_id = c_custkey"
+)
+def run_rollup(spark, sf_dir):
+    """One row for each run with what three tables say of it."""
+    training_ = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("run"), "c_mktsegment")
+    hardware = _table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("run")).agg(F.count("*").alias("orders"))
+    results = _table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run")).agg(F.count("*").alias("events"))
+    return runs.run_rollup(training_, hardware, results, "run")
+
+
+@query(
+    "WITH p AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) SELECT l_suppkey, l_partkey, (SELECT count(*) > 300 FROM p) AS truncated FROM p ORDER BY l_partkey, l_suppkey LIMIT 300"
+)
+def capped_pairs(spark, sf_dir):
+    """The first pairs of a report, and whether there were more."""
+    pairs, more = selection.capped_pairs(_table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct(), "l_suppkey", "l_partkey", 300)
+    return pairs.select("l_suppkey", "l_partkey", F.lit(more).alias("truncated"))
+
+
+@query(
+    "WITH t AS (SELECT *, o_orderkey % 5 <> 0 AS here, CASE WHEN o_orderkey % 3 = 0 THEN 'P' ELSE o_orderstatus END AS tool, o_orderkey % 4 <> 0 AS args, o_orderkey % 7 <> 0 AS final, o_orderkey % 11 <> 0 AS claim FROM orders), "
+    "f AS (SELECT o_orderkey, here AND tool = o_orderstatus AS tools, here AND tool = o_orderstatus AND args AS arguments, here AND final AS terminal, here AND tool <> 'P' AS forbidden, here AND claim AS claims, here FROM t) "
+    "SELECT o_orderkey AS case_id, tools AND arguments AND terminal AND forbidden AND claims AND here AS passed, array_to_string(list_filter([CASE WHEN NOT arguments THEN 'arguments_exact' END, CASE WHEN NOT claims THEN 'claims_allowed' END, "
+    "CASE WHEN NOT forbidden THEN 'forbidden_tool_absent' END, CASE WHEN NOT here THEN 'observation_codes_exact' END, CASE WHEN NOT here THEN 'prediction_present' END, CASE WHEN NOT terminal THEN 'terminal_status_exact' END, "
+    "CASE WHEN NOT tools THEN 'tool_selection_exact' END], lambda x: x IS NOT NULL), ',') AS errors FROM f"
+)
+def exact_evaluator(spark, sf_dir):
+    """The stricter evaluator: every call, code, state and claim must match."""
+    orders = _table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "case_id")
+    call = lambda name, value: F.array(F.struct(name.alias("name"), F.to_json(F.struct(value.alias("p"))).alias("arguments")))
+    key, status = F.col("case_id"), F.col("o_orderstatus")
+    expected = orders.select(
+        "case_id", call(status, F.col("o_orderpriority")).alias("calls"), F.array(status).alias("codes"), F.col("o_orderpriority").alias("terminal_status"),
+        F.array(F.lit("P")).alias("must_not_call"), F.create_map(F.lit("status"), status).alias("allowed_claims"),
+    )
+    unless = lambda n, good, bad: F.when(key % n != 0, good).otherwise(F.lit(bad))
+    told = orders.where(key % 5 != 0).select(
+        "case_id", call(unless(3, status, "P"), unless(4, F.col("o_orderpriority"), "x")).alias("calls"), F.array(status).alias("codes"), unless(7, F.col("o_orderpriority"), "x").alias("terminal_status"),
+        F.create_map(F.lit("status"), unless(11, status, "x")).alias("claimed_facts"),
+    )
+    return evaluation.exact_checks(expected, told).select("case_id", "passed", F.array_join("errors", ",").alias("errors"))
+
+
 # --- Tokens ----------------------------------------------------------------------------
 
 #: Tokens of a training row and of a window, the template, and the token that closes an answer.
