@@ -220,7 +220,48 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP13_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+             lambda acc, x: CASE WHEN x >= 0 THEN xor(acc, x) WHEN acc & 1 = 1 THEN xor(acc >> 1, 3988292384) ELSE acc >> 1 END), 4294967295) AS h
+  FROM documents
+), a AS (
+  SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS dealt, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a, 3 + (h // 10) % 8 AS parts FROM d
+), word AS MATERIALIZED (
+  SELECT doc_id, n, i, CASE WHEN dealt AND i >= a THEN w[a + (i - a) % (1 + (n - a) // parts) + 1] ELSE w[i + 1] END AS x
+  FROM (SELECT *, unnest(range(n)) AS i FROM a)
+), lag AS (
+  SELECT doc_id, n, unnest(range(1, n // 4 + 1)) AS q FROM a WHERE n >= 6
+), mark AS (
+  SELECT doc_id, n, q, unnest(range(0, n - q, q)) AS i FROM lag
+), same AS (
+  SELECT mark.doc_id, mark.n, q, mark.i // q AS k FROM mark JOIN word u ON u.doc_id = mark.doc_id AND u.i = mark.i JOIN word v ON v.doc_id = mark.doc_id AND v.i = mark.i + q WHERE u.x = v.x
+), maybe AS MATERIALIZED (
+  SELECT DISTINCT doc_id, n, q FROM (SELECT *, lag(k, 2) OVER (PARTITION BY doc_id, q ORDER BY k) AS before FROM same) WHERE before = k - 2
+), hit AS (
+  SELECT m.doc_id, q, u.i, u.i - row_number() OVER (PARTITION BY m.doc_id, q ORDER BY u.i) AS island
+  FROM maybe m JOIN word u ON u.doc_id = m.doc_id JOIN word v ON v.doc_id = m.doc_id AND v.i = u.i + q WHERE u.x = v.x
+), run AS MATERIALIZED (
+  SELECT doc_id, start, length, min(q) AS period FROM (
+    SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM hit GROUP BY doc_id, q, island HAVING count(*) >= greatest(6 - q, 3 * q)
+  ) GROUP BY doc_id, start, length
+), listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs,
+         first(struct_pack(s := start, l := length, p := period) ORDER BY length::DOUBLE / period DESC, start, period) AS best
+  FROM run GROUP BY doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM run
+), kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, best.l::BIGINT AS length, best.p::BIGINT AS period, (1000 * best.l // best.p)::BIGINT AS exponent_milli,
+       sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM d LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_benchmark_decontamination, op2_bpe_encoding, op3_substring_dedup, op4_token_counts, op5_html_extraction, op6_simhash_near_dedup, op7_pii, op8_media_columns, op9_toxicity, op10_quality_classifier, op11_language_id, op12_vector_codes, op13_periodic_runs)
 }
-ORACLE_SQL: dict[str, str] = {"op1_benchmark_decontamination": OP1_SQL, "op12_vector_codes": _op12_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_benchmark_decontamination": OP1_SQL, "op12_vector_codes": _op12_sql(), "op13_periodic_runs": OP13_SQL}

@@ -1,4 +1,4 @@
-"""Every column of the ten queries against a plain version of its contract, over awkward tables."""
+"""Every column of the first ten queries against a plain version of its contract, over awkward tables."""
 
 import binascii
 import hashlib
@@ -169,6 +169,18 @@ def by_hand(model, t):
     return classify.sigmoid(z - model.shift[1 + int(np.argmax(hits)) if max(hits) else 0])
 
 
+def all_pairs(model, t, metadata):
+    """A factorisation machine's score with every pair of features written out."""
+    words = classify.Words(pa.array([t]))
+    weight = 1 / np.sqrt(max(len(words.bucket), 1))
+    features = [(int(model.rows[b]), weight) for b in words.bucket]
+    features += [(int(b), 1.0) for b in model._bins(np.column_stack([classify.structure(words), metadata]))[0]]
+    at, x = np.array([f for f, _ in features]), np.array([v for _, v in features])
+    v = model.v[at].astype(np.float64) * x[:, None]
+    pairs = sum(float(v[i] @ v[i + 1 :].sum(0)) for i in range(len(v)))
+    return 1 / (1 + np.exp(-(float(model.bias[0]) + float(model.w[at].astype(np.float64) @ x) + pairs)))
+
+
 @pytest.mark.parametrize(("name", "n", "out", "fit", "label"), [("op9_toxicity", 5, 0, classify.fit_toxicity, "toxic"), ("op10_quality_classifier", 3, 1, classify.fit_quality, "quality")])
 def test_op9_and_op10(spark, tables, name, n, out, fit, label):
     root, docs, _, _ = tables
@@ -186,10 +198,24 @@ def test_op9_and_op10(spark, tables, name, n, out, fit, label):
         assert r.held_out == (r.doc_id is not None and binascii.crc32(str(r.doc_id).encode()) % n == out)
         scores.setdefault(r.doc_id, []).append(r.score)
     for i, t in docs:
-        want = by_hand(model, text(t)) if name == "op9_toxicity" else model.score(pa.array([text(t)]), *beside([t]))[0]
+        want = by_hand(model, text(t)) if name == "op9_toxicity" else all_pairs(model, text(t), *beside([t]))
         assert min(abs(want - s) for s in scores[i]) < 1e-5
     # Labels of held-out rows teach nothing.
     flipped = l.withColumn(label, F.when(classify.fold(F.col("doc_id"), n) == out, 1 - F.col(label)).otherwise(F.col(label)))
     again = fit(d, flipped, classify.fold(F.col("id"), n) != out, **more)
     some = [t for _, t in docs]
     assert np.array_equal(*[m.score(pa.array([text(t) for t in some]), *beside(some)) for m in (model, again)])
+
+
+@pytest.mark.parametrize("name", ["op12_vector_codes", "op13_periodic_runs"])
+def test_queries_against_their_sql(spark, name):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    out = getattr(queries, name)(spark, sf)
+    rel = con.sql(queries.ORACLE_SQL[name])
+    assert list(rel.columns) == out.columns
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(rel.fetchall(), key=repr)
