@@ -453,7 +453,8 @@ def scored(df: DataFrame, model, keep: dict[str, Column], text_col: str = "text"
     """The ``keep`` columns and ``score`` of each row; a null text is scored as empty, a null of the metadata as missing.
 
     ``metadata`` are those that the model was fitted with, if any. The model's size is bounded by its
-    buckets and by the rows it was fitted on.
+    buckets and by the rows it was fitted on. Each row stands for itself: repeated ones are scored alike, an empty table
+    gives no rows, and columns are taken by what ``keep`` names, so names of others don't matter.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
@@ -480,12 +481,16 @@ def _fitted(kind, df: DataFrame, labels: DataFrame, label_col: str, usable: Colu
 
 
 def fit_quality(df: DataFrame, labels: DataFrame, usable: Column, label_col: str = "quality", **names) -> FactorisationMachine:
-    """A factorisation machine fitted on ``sample``'s rows; without any it scores all alike (0.5)."""
+    """A factorisation machine fitted on ``sample``'s rows; without any (empty tables, no usable labels) it scores all alike (0.5).
+
+    Rows of one id teach once, by the least of their texts; other columns are left aside."""
     return _fitted(FactorisationMachine, df, labels, label_col, usable, **names)
 
 
 def fit_toxicity(df: DataFrame, labels: DataFrame, usable: Column, label_col: str = "toxic", **names) -> ConvolutionalClassifier:
-    """A convolutional network fitted on ``sample``'s rows and calibrated on their last fifth."""
+    """A convolutional network fitted on ``sample``'s rows and calibrated on their last fifth; without any it isn't trained.
+
+    Rows of one id teach once, by the least of their texts; other columns are left aside."""
     return _fitted(ConvolutionalClassifier, df, labels, label_col, usable, **names)
 
 

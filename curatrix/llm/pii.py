@@ -323,7 +323,7 @@ def mask(df: DataFrame, text_col: str = "text", length_col: str | None = "n_char
     """``df`` with each span of its texts replaced by <KIND>; overlapping spans by the first's.
 
     Null texts stay null. ``length_col``, if the table has it, gets the new length.
-    All other columns stay.
+    All other columns stay, whatever their names. Repeated rows are masked alike; an empty table stays empty.
     """
 
     def factory():
