@@ -24,8 +24,8 @@ PAIRWISE = 64
 MINIMA, PER_BLOCK = 80, 5
 #: Pairs whose share of equal minima is this far below the similarity aren't compared (five standard deviations).
 MARGIN = 0.22
-#: Texts of a block that are compared pair by pair; those of a larger one with the first and some others.
-BLOCK_PAIRS = 32
+#: Texts of a block that are compared pair by pair; those of a larger one with the first and with a part of about so many.
+BLOCK_PAIRS, PART = 32, 4
 #: Ids of documents to drop are broadcast up to so many, and so many bytes; else joined by shuffle.
 BROADCAST_IDS, BROADCAST_BYTES = 1_000_000, 32 << 20
 #: Words and hashes of a text are made for about so many bytes at a time.
@@ -242,7 +242,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts of the same words, in whatever case and with whatever white space, are one node. Pairs that may be similar come from
     fingerprints within two bits (``links``), and from blocks of minima. All are compared by their whole sets of shingle
     hashes. In a block of more than BLOCK_PAIRS texts each is compared with the first one and with those that it meets in a
-    random part of about BLOCK_PAIRS / 4, so that work grows with the texts; a link that only the others would give may be missed, and so
+    random part of about PART, so that work grows with the texts; a link that only the others would give may be missed, and so
     may two in a thousand pairs that no block brings together. A text without words is similar to its like. Null texts are empty; repeated
     rows, null ids and other columns are as in ``near_groups``.
     """
@@ -311,13 +311,13 @@ def _candidates(nodes: DataFrame, similarity: float) -> DataFrame:
     few = met.where(F.col("n") <= BLOCK_PAIRS).groupBy("c", "k").agg(F.array_sort(F.collect_list("node")).alias("v"))
     each = F.flatten(F.transform("v", lambda x, i: F.transform(F.slice("v", i + 2, F.size("v")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     listed = few.select(F.explode(each).alias("x")).select("x.a", "x.b")
-    # A crowded block is dealt into parts of about BLOCK_PAIRS / 4, each block in its own way; no task holds it.
+    # A crowded block is dealt into parts of about PART, each block in its own way; no task holds it.
     many = met.where(F.col("n") > BLOCK_PAIRS)
     stars = many.select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    share = F.greatest(F.ceil(F.col("n") / (BLOCK_PAIRS / 4)), F.lit(1))
+    share = F.greatest(F.ceil(F.col("n") / PART), F.lit(1))
     dealt = many.select("c", "k", F.pmod(F.xxhash64("node", "c"), share).alias("part"), "node")
     near_by = dealt.groupBy("c", "k", "part").agg(F.array_sort(F.collect_list("node")).alias("v"))
-    steps = F.flatten(F.transform("v", lambda x, i: F.transform(F.slice("v", i + 2, BLOCK_PAIRS // 4), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    steps = F.flatten(F.transform("v", lambda x, i: F.transform(F.slice("v", i + 2, F.size("v")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     all_ = [t.select("a", "b") for t in (same, near, listed, stars, near_by.select(F.explode(steps).alias("x")).select("x.a", "x.b"))]
     out = all_[0]
     for t in all_[1:]:
