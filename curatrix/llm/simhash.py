@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.dedup import components
+from ..operators.joins import shuffled
 from . import common
 
 BITS = 64
@@ -120,7 +121,7 @@ def links(prints: DataFrame, distance: int = 2, spare: int = 3) -> DataFrame:
     keyed = prints.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, (m, _) in enumerate(masks)])).alias("x")).select("fp", "x.c", "x.k")
     sizes = keyed.groupBy("c", "k").agg(F.count("*").alias("n")).where("n > 1")
     # The join below needs the rows of a bucket, not their number, to be held: it may be split.
-    met = keyed.join(sizes, ["c", "k"])
+    met = shuffled(keyed, sizes, ["c", "k"])
     few = (
         met.where(F.col("n") <= PAIRWISE)
         .groupBy("c", "k")
@@ -307,7 +308,7 @@ def _candidates(nodes: DataFrame, similarity: float) -> DataFrame:
     blocks = [F.struct(F.lit(i).alias("c"), F.xxhash64(F.slice("least", i * PER_BLOCK + 1, PER_BLOCK)).alias("k")) for i in range(MINIMA // PER_BLOCK)]
     keyed = nodes.select("node", F.explode(F.array(*blocks)).alias("x")).select("node", "x.c", "x.k")
     sizes = keyed.groupBy("c", "k").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1")
-    met = keyed.join(sizes, ["c", "k"])
+    met = shuffled(keyed, sizes, ["c", "k"])
     few = met.where(F.col("n") <= BLOCK_PAIRS).groupBy("c", "k").agg(F.array_sort(F.collect_list("node")).alias("v"))
     each = F.flatten(F.transform("v", lambda x, i: F.transform(F.slice("v", i + 2, F.size("v")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     listed = few.select(F.explode(each).alias("x")).select("x.a", "x.b")

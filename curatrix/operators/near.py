@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.sinks import checkpointed, forgotten
-from .joins import met
+from .joins import met, shuffled
 from .selection import positions
 
 BLOCKS, MOST = 6, 3
@@ -54,7 +54,7 @@ def _buckets(prints: DataFrame, choices: list[list[int]]) -> DataFrame:
     """fp, c, k, n: the buckets of more than one fingerprint; written."""
     keyed = _keyed(prints, choices)
     sizes = keyed.groupBy("c", "k").agg(F.count("*").alias("n")).where("n > 1")
-    return checkpointed(keyed.join(sizes, ["c", "k"]))
+    return checkpointed(shuffled(keyed, sizes, ["c", "k"]))
 
 
 def _placed(many: DataFrame, flips: DataFrame) -> DataFrame:
@@ -90,7 +90,7 @@ def near_counts(nodes: DataFrame, distance: int = 3) -> DataFrame:
     few = buckets.where(F.col("n") <= LISTED)
     left, right = few.select("c", "k", F.col("fp").alias("a")), few.select("c", "k", F.col("fp").alias("b")).join(held, "b")
     bits = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    pairs = left.join(right, ["c", "k"]).withColumn("bits", bits).where(F.col("bits").between(1, distance)).withColumn("part", taken * F.col("weight"))
+    pairs = shuffled(left, right, ["c", "k"]).withColumn("bits", bits).where(F.col("bits").between(1, distance)).withColumn("part", taken * F.col("weight"))
     listed = pairs.groupBy(F.col("a").alias("fp"), "split").agg(*[at(d) for d in (1, 2, 3)], *[first(d) for d in (1, 2, 3)])
 
     many = checkpointed(buckets.where(F.col("n") > LISTED).select("fp", "c"))
@@ -100,7 +100,7 @@ def near_counts(nodes: DataFrame, distance: int = 3) -> DataFrame:
     when = lambda d, c: F.when(F.col("d") == d, F.col(c))
     balls = added.groupBy("c", "ball", "split").agg(*[F.coalesce(F.sum(when(d, "weight")), F.lit(0)).alias(f"c{d}") for d in (1, 2)], *[F.min(when(d, "id")).alias(f"m{d}") for d in (1, 2)])
     reads = _placed(many, _flips(spark, choices, 0, 1 if distance == MOST else 0))
-    seen = reads.join(checkpointed(balls), ["c", "ball"])
+    seen = shuffled(reads, checkpointed(balls), ["c", "ball"])
     own, off = F.col("d") == 0, F.col("d") == 1
     found = seen.groupBy("fp", "c", "split").agg(
         F.sum(F.when(own, F.col("c1"))).alias("n1"), F.sum(F.when(own, F.col("c2"))).alias("n2"), F.sum(F.when(off, F.col("c2"))).alias("o3"),
@@ -173,7 +173,7 @@ def near_keep(df: DataFrame, id_col: str, print_col: str, priority: Column, dist
     many = checkpointed(buckets.where(F.col("n") > LISTED).select("fp", "c"))
     crowded = not many.isEmpty()
     l, r = few.select("c", "k", F.col("fp").alias("a")), few.select("c", "k", F.col("fp").alias("b"))
-    pairs = l.join(r, ["c", "k"]).where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)).select("a", "b").distinct()
+    pairs = shuffled(l, r, ["c", "k"]).where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)).select("a", "b").distinct()
     pairs = checkpointed(pairs)
     adding, reading = _flips(spark, choices, 1, min(distance, 2)), _flips(spark, choices, 0, 1 if distance == MOST else 0)
 
@@ -182,7 +182,7 @@ def near_keep(df: DataFrame, id_col: str, print_col: str, priority: Column, dist
         out = pairs.join(some.select(F.col("fp").alias("b"), "o"), "b").join(readers.select(F.col("fp").alias("a")), "a").select(F.col("a").alias("fp"), "o")
         if crowded and distance:
             balls = _placed(many.join(some, "fp"), adding).groupBy("c", "ball").agg(*[F.min(F.when(F.col("d") == d, F.col("o"))).alias(f"m{d}") for d in (1, 2)])
-            seen = _placed(many.join(readers.select("fp"), "fp"), reading).join(balls, ["c", "ball"])
+            seen = shuffled(_placed(many.join(readers.select("fp"), "fp"), reading), balls, ["c", "ball"])
             out = out.unionByName(seen.select("fp", F.when(F.col("d") == 0, F.least("m1", "m2")).otherwise(F.col("m2")).alias("o")))
         return out.where("o is not null").groupBy("fp").agg(F.min("o").alias("first"))
 

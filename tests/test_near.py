@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from curatrix.operators import audit, joins, near
+from curatrix.operators import audit, dedup, joins, near
 
 
 def made_prints(rng, n, bases=2, flips=5):
@@ -121,3 +121,20 @@ def test_joins_of_large_and_small_keys(spark, monkeypatch, how):
     want = {(i, k, most[k] if k != 99 else None) for i, k in rows if how == "left" or k != 99}
     got = joins.met(df, facts, ["k"], "n", how)
     assert got.columns == ["i", "k", "most"] and {tuple(r) for r in got.collect()} == want
+
+
+def test_exploded_fingerprints_meet_by_shuffle(spark, monkeypatch):
+    """They look small to Spark, and would pass through the driver if one side were broadcast."""
+    plans, plain = [], near.checkpointed
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df)
+
+    for module in (near, dedup):
+        monkeypatch.setattr(module, "checkpointed", noted)
+    prints = spark.range(50).select(F.xxhash64("id").alias("fp"))
+    near._buckets(plain(prints), near._choices(near.MOST))
+    dedup.spanning_links(plain(prints))
+    met = [p for p in plans if "Generate" in p]
+    assert len(met) == 2 and not any("Broadcast" in p for p in met)
