@@ -11,26 +11,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tokens import bounded_batches
+
 #: Python works on slices of an Arrow batch of about this many text bytes, so that
 #: temporary arrays stay small whatever the batch size is.
 SLICE_BYTES = 1 << 20
-#: Most bytes of an Arrow batch between the JVM and Python; rows of long texts make large ones.
-BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Let no Arrow batch of this session grow far beyond BATCH_BYTES; a smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = str(spark.conf.get(key)).upper()
-    digits = now.rstrip("B")
-    if not digits.isdigit() or not 0 < int(digits) <= BATCH_BYTES:
-        spark.conf.set(key, BATCH_BYTES)
-
-
 def column(df: DataFrame, name: str) -> Column:
     """A top-level column by its literal name, dots and spaces included."""
     return df["`" + name.replace("`", "``") + "`"]

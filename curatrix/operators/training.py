@@ -65,7 +65,7 @@ def training_rows(
     system = last_system(turns, key, order, role, text).withColumnRenamed(key, "__key")
     held = pairs.join(system, F.col(key).eqNullSafe(F.col("__key")), "left").select(key, "pairs", F.when(F.coalesce("system", F.lit("")) != "", F.col("system")).otherwise(F.lit(template.system)).alias("system"))
     said = held.select(key, prompted("pairs", F.col("system"), template.prompt, template.separator).alias("x"))
-    sources, targets = tokens(spark, vocabulary, special_first=True), tokens(spark, vocabulary)
+    sources, targets = tokens(spark, vocabulary, special_first=True, places=False), tokens(spark, vocabulary, places=False)
     ids = lambda c: F.transform(c, lambda x: x["ids"])
     made = said.select(key, ids(sources(F.transform("x", lambda p: p["source"]))).alias("s"), ids(targets(F.transform("x", lambda p: p["target"]))).alias("t"))
     row = trained_turns("s", "t", limit, token_id(vocabulary, end), on_sources=on_sources)
@@ -92,7 +92,7 @@ def packed(rows: DataFrame, window: int, *order: str, ids: str = "input_ids", la
 
 def token_lengths(df: DataFrame, vocabulary: str, **texts: Column | str) -> DataFrame:
     """``df`` with the number of tokens of each named text; null texts have none."""
-    run = tokens(df.sparkSession, vocabulary)
+    run = tokens(df.sparkSession, vocabulary, places=False)
     sizes = F.transform(run(F.array(*[column(t).cast("string") for t in texts.values()])), lambda x: F.size(x["ids"]))
     out = df.withColumn("__tokens", sizes)
     for i, name in enumerate(texts):

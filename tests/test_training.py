@@ -150,3 +150,30 @@ def test_queries_over_the_given_table(spark):
     audit = {r.field: r for r in catalogue.QUERIES["token_length_audit"](spark, SF).collect()}
     assert (audit["dialogue"].n, audit["dialogue"].largest, audit["dialogue"].over_512) == (len(sums), max(sums.values()), sum(x > 512 for x in sums.values()))
     assert audit["dialogue"].p50 == sorted(sums.values())[-(-len(sums) // 2) - 1]
+
+
+def test_token_batches_are_bounded(spark):
+    """A batch is cut by its bytes, texts are encoded in slices, and rows that need no places get none."""
+    session = spark.newSession()
+    run = tokens.tokens(session, tokens.vocabulary(session, PATH), special_first=True, places=False)
+    assert int(session.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
+    texts = [["a b " * 50_000, "c d " * 40_000, None], None, ["e"], ["f " * 200_000]]
+    out = session.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t array<string>").select("i", run(F.col("t")).alias("x"))
+    assert out.schema["x"].dataType.elementType.names == ["ids"]
+    for r in out.collect():
+        assert [x.ids for x in r.x] == [LIBRARY.encode(t or "", add_special_tokens=j == 0).ids for j, t in enumerate(texts[r.i] or [])]
+
+
+def test_texts_are_sent_to_the_library_in_slices(monkeypatch):
+    import numpy as np
+
+    sent = []
+
+    class Noted:
+        def encode_batch(self, part, **more):
+            sent.append(sum(map(len, part)))
+            return LIBRARY.encode_batch(part, **more)
+
+    texts = ["word " * 20_000] * 12
+    made = tokens.encoded(Noted(), texts, np.zeros(12, bool))
+    assert max(sent) <= 1 << 18 and made.field("ids").to_pylist() == [LIBRARY.encode(texts[0]).ids] * 12
