@@ -27,6 +27,8 @@ MINIMA, PER_BLOCK = 80, 5
 MARGIN = 0.22
 #: Texts of a block that are compared pair by pair; those of a larger one with the first and with a part of about so many.
 BLOCK_PAIRS, PART = 32, 4
+#: Rows of a crowded block in a task, where its groups are compared with each other.
+ROWS = 1000
 #: Ids of documents to drop are broadcast up to so many, and so many bytes; else joined by shuffle.
 BROADCAST_IDS, BROADCAST_BYTES = 1_000_000, 32 << 20
 #: Words and hashes of a text are made for about so many bytes at a time.
@@ -243,8 +245,9 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts of the same words, in whatever case and with whatever white space, are one node. Pairs that may be similar come from
     fingerprints within two bits (``links``), and from blocks of minima. All are compared by their whole sets of shingle
     hashes. In a block of more than BLOCK_PAIRS texts each is compared with the first one and with those that it meets in a
-    random part of about PART, so that work grows with the texts; a link that only the others would give may be missed, and so
-    may two in a thousand pairs that no block brings together. A text without words is similar to its like. Null texts are empty; repeated
+    random part of about PART; after that, those of a block that aren't in one group yet are compared with all of its other groups, so
+    no link between groups is lost and work grows with the texts unless a block has many groups. Two in a thousand pairs are in no
+    common block and may be missed. A text without words is similar to its like. Null texts are empty; repeated
     rows, null ids and other columns are as in ``near_groups``.
     """
     spark = df.sparkSession
@@ -270,10 +273,8 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own = common.column(prints, id_col)
     nodes = prints.groupBy("words").agg(F.min(own).alias("first"), F.min("fingerprint").alias("fp"), F.min("least").alias("least"))
     nodes = common.written(nodes.withColumn("node", F.monotonically_increasing_id()), f"{root}/nodes")
-    pairs = common.written(_candidates(nodes, similarity), f"{root}/pairs")
-    # Sets of what takes part in a pair, from the text of the first row of a node.
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first", "words"), "node")
-    wanted = common.written(wanted, f"{root}/wanted")
+    blocks = _blocks(nodes)
+    pairs = common.written(_candidates(nodes, blocks, similarity), f"{root}/pairs")
 
     def sets():
         def work(texts: pa.Array) -> list[pa.Array]:
@@ -284,29 +285,77 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         return work
 
-    size = wanted.agg(F.count("*").alias("n")).first().n
-    named = wanted.select(F.col("first").alias("__first"), "node", "words")
-    texts = df.select(id_.alias("id"), common.text_or_empty(df, text_col).alias("text")).join(F.broadcast(named) if size <= BROADCAST_IDS else named, F.col("id") == F.col("__first"))
-    held = common.map_texts(texts, {"node": F.col("node"), "words": F.col("words")}, F.col("text"), "own binary, hashes array<long>", sets)
-    held = common.written(held.where("own = words").groupBy("node").agg(F.min("hashes").alias("hashes")), f"{root}/sets")  # rows of one id
-    a, b = held.select(F.col("node").alias("a"), F.col("hashes").alias("x")), held.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    close = pairs.join(a, "a").join(b, "b").withColumn("both", both).where(F.col("both") >= F.lit(similarity) * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
-    parts = components(common.written(close, f"{root}/links"))
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """Of a table of pairs those that are similar; written."""
+        # Sets of what takes part in a pair, from the text of the first row of a node.
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first", "words"), "node")
+        wanted = common.written(wanted, f"{root}/{name}-wanted")
+        size = wanted.agg(F.count("*").alias("n")).first().n
+        named = wanted.select(F.col("first").alias("__first"), "node", "words")
+        texts = df.select(id_.alias("id"), common.text_or_empty(df, text_col).alias("text")).join(F.broadcast(named) if size <= BROADCAST_IDS else named, F.col("id") == F.col("__first"))
+        held = common.map_texts(texts, {"node": F.col("node"), "words": F.col("words")}, F.col("text"), "own binary, hashes array<long>", sets)
+        held = common.written(held.where("own = words").groupBy("node").agg(F.min("hashes").alias("hashes")), f"{root}/{name}-sets")  # rows of one id
+        a, b = held.select(F.col("node").alias("a"), F.col("hashes").alias("x")), held.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
+        both = F.size(F.array_intersect("x", "y"))
+        close = pairs.join(a, "a").join(b, "b").withColumn("both", both).where(F.col("both") >= F.lit(similarity) * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
+        return common.written(close, f"{root}/{name}")
+
+    close = verified(pairs, "links")
+    parts = components(close)
+    rest = common.written(_apart(nodes, blocks, parts, pairs, similarity), f"{root}/rest")
+    if not rest.isEmpty():
+        parts = components(close.unionByName(verified(rest, "more")))
     grouped = nodes.select("words", "node", "first").join(parts.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").withColumn("root", F.coalesce("root", "node"))
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     found = common.written(grouped.join(least, "root").select(F.col("words").alias("__words"), "component_id"), f"{root}/groups")
     return prints.join(found, F.col("words") == F.col("__words")).select(own.alias(id_col), "fingerprint", "component_id")
 
 
-def _candidates(nodes: DataFrame, similarity: float) -> DataFrame:
+def _blocks(nodes: DataFrame) -> DataFrame:
+    """node, c, k: each node in its blocks of minima."""
+    blocks = [F.struct(F.lit(i).alias("c"), F.xxhash64(F.slice("least", i * PER_BLOCK + 1, PER_BLOCK)).alias("k")) for i in range(MINIMA // PER_BLOCK)]
+    return nodes.select("node", F.explode(F.array(*blocks)).alias("x")).select("node", "x.c", "x.k")
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs a, b those whose minima don't rule out that they are similar."""
+    left, right = nodes.select(F.col("node").alias("a"), F.col("least").alias("x")), nodes.select(F.col("node").alias("b"), F.col("least").alias("y"))
+    return pairs.join(left, "a").join(right, "b").where(_may_be("x", "y", similarity)).select("a", "b")
+
+
+def _may_be(x: str, y: str, similarity: float):
+    """Do two rows of minima agree in so many that their sets may be similar?"""
+    alike = F.aggregate(F.zip_with(x, y, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    return alike >= F.lit((similarity - MARGIN) * MINIMA)
+
+
+def _apart(nodes: DataFrame, keyed: DataFrame, parts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """a < b: nodes of a crowded block that are in different groups and haven't been compared.
+
+    A block of one group has none. In any other its largest group is met by the others only; the rows of a block are dealt into
+    tasks of ROWS of them, each of which meets all that are in smaller groups.
+    """
+    sizes = keyed.groupBy("c", "k").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_PAIRS)
+    roots = parts.select(F.col("node").alias("__node"), "root")
+    held = shuffled(keyed, sizes, ["c", "k"]).join(roots, F.col("node") == F.col("__node"), "left").select("c", "k", "n", "node", F.coalesce("root", "node").alias("root"))
+    groups = held.groupBy("c", "k", "root").agg(F.count("*").alias("m"))
+    top = groups.groupBy("c", "k").agg(F.max(F.struct("m", "root")).alias("top"), F.count("*").alias("groups")).where("groups > 1")
+    held = shuffled(held, top.select("c", "k", F.col("top.root").alias("top")), ["c", "k"])
+    # Minima go with the rows of a block, not with its pairs.
+    held = held.join(nodes.select(F.col("node").alias("__least_of"), "least"), F.col("node") == F.col("__least_of"))
+    deal = F.ceil(F.col("n") / ROWS)
+    one = held.select("c", "k", F.pmod(F.xxhash64("node"), deal).alias("p"), F.col("node").alias("u"), F.col("root").alias("ru"), "top", F.col("least").alias("x"))
+    few = held.where("root <> top").select("c", "k", F.explode(F.sequence(F.lit(0).cast("long"), deal - 1)).alias("p"), F.col("node").alias("v"), F.col("root").alias("rv"), F.col("least").alias("y"))
+    met = shuffled(one, few, ["c", "k", "p"]).where("ru <> rv and (ru = top or u < v)").where(_may_be("x", "y", similarity))
+    return met.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+
+
+def _candidates(nodes: DataFrame, keyed: DataFrame, similarity: float) -> DataFrame:
     """a < b: nodes that may be similar, by the first node of each fingerprint near another's and by blocks of minima."""
     of_print = nodes.groupBy("fp").agg(F.min("node").alias("head"))
     same = nodes.join(of_print, "fp").select(F.col("node").alias("a"), F.col("head").alias("b"))
     heads = [of_print.select(F.col("fp").alias(x), F.col("head").alias(f"h{x}")) for x in "ab"]
     near = links(of_print.select("fp"), 2).join(heads[0], "a").join(heads[1], "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"))
-    blocks = [F.struct(F.lit(i).alias("c"), F.xxhash64(F.slice("least", i * PER_BLOCK + 1, PER_BLOCK)).alias("k")) for i in range(MINIMA // PER_BLOCK)]
-    keyed = nodes.select("node", F.explode(F.array(*blocks)).alias("x")).select("node", "x.c", "x.k")
     sizes = keyed.groupBy("c", "k").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1")
     met = shuffled(keyed, sizes, ["c", "k"])
     few = met.where(F.col("n") <= BLOCK_PAIRS).groupBy("c", "k").agg(F.array_sort(F.collect_list("node")).alias("v"))
@@ -324,9 +373,7 @@ def _candidates(nodes: DataFrame, similarity: float) -> DataFrame:
     for t in all_[1:]:
         out = out.unionByName(t)
     out = out.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left, right = nodes.select(F.col("node").alias("a"), F.col("least").alias("x")), nodes.select(F.col("node").alias("b"), F.col("least").alias("y"))
-    alike = F.aggregate(F.zip_with("x", "y", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return out.join(left, "a").join(right, "b").where(alike >= F.lit((similarity - MARGIN) * MINIMA)).select("a", "b")
+    return _alike(out, nodes, similarity)
 
 
 def hex64(column):

@@ -165,3 +165,20 @@ def test_similar_texts_of_the_given_table_are_found(spark):
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
     missed = [i for i in least if got[i] != least[i]]
     assert len(missed) <= 0.1 * sum(least[i] != i for i in least)
+
+
+def test_crowded_blocks_lose_no_link(spark, monkeypatch):
+    """Two groups in the same blocks with one link between them, that neither the first text of a block nor a part of it need have."""
+    monkeypatch.setattr(simhash, "BLOCK_PAIRS", 1)
+    monkeypatch.setattr(simhash, "PART", 1)
+    monkeypatch.setattr(simhash, "ROWS", 7)
+    rng, rows = random.Random(5), []
+    put = lambda words, spots: [f"x{rng.randrange(10**6)}" if i in spots else w for i, w in enumerate(words)]
+    for _ in range(4):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        for side in (put(words, {20, 60, 100}), put(words, {140, 180, 220})):
+            rows += [(len(rows) + i, " ".join(put(side, {10 + 10 * x for x in rng.sample((0, 2, 4, 6, 10, 12, 14, 24, 26, 28), 2)} if i else ()))) for i in range(30)]
+    rng.shuffle(rows)
+    want = {i: c for (i, _), c in zip(rows, brute_similar(rows), strict=True)}
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert len(set(want.values())) == 4 and got == want
