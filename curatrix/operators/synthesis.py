@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import actions, dialogue
 from ..functions.text import column, pick, rank
+from .joins import spread
 from .policy import DEFAULT, Policy, Simulator, code_of
 
 # The scenarios' orders.
@@ -379,7 +380,7 @@ def trajectories(evidence: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     """
     parent = F.concat(F.col("record"), F.lit(":variant-"), F.col("variant").cast("string"))
     case = scenario_of(F.col("intent"), F.col("trajectory"), F.col("record"), F.col("variant"))
-    base = evidence.select("record", parent.alias("parent_id"), "split", case.alias("scenario")).withColumn("order", order_id("parent_id"))
+    base = spread(evidence, "record", "variant").select("record", parent.alias("parent_id"), "split", case.alias("scenario")).withColumn("order", order_id("parent_id"))
     made = base.join(F.broadcast(case_table(evidence.sparkSession, policy)), "scenario", "left")  # ten rows
     key, order = F.col("parent_id"), F.col("order")
     shown = F.when(F.col("scenario") != "missing_order_id", order)

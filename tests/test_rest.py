@@ -209,3 +209,11 @@ def test_guards():
     ):
         with pytest.raises(ValueError):
             call()
+
+
+def test_trajectories_of_one_partition_are_spread(spark):
+    from curatrix.operators import synthesis
+
+    rows = [(str(i), 0, "train", "damage", "single_call") for i in range(50)]
+    evidence = spark.createDataFrame(rows, "record string, variant int, split string, intent string, trajectory string").coalesce(1)
+    assert synthesis.trajectories(evidence).rdd.getNumPartitions() == 4
