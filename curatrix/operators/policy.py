@@ -149,11 +149,24 @@ def argument_error(tool: Column, arguments: Column) -> Column:
     return out
 
 
+def copied(x):
+    """A deep copy of what JSON texts give; what isn't a plain dict or list goes to copy.deepcopy."""
+    kind = type(x)
+    if kind is dict:
+        return {k: copied(v) for k, v in x.items()}
+    if kind is list:
+        return [copied(v) for v in x]
+    return x if kind in _PLAIN else copy.deepcopy(x)
+
+
+_PLAIN = frozenset((str, int, float, bool, type(None)))
+
+
 class Simulator:
     """Orders of one case; calls are answered and may add a request to an order."""
 
     def __init__(self, orders: dict[str, dict], policy: Policy = DEFAULT):
-        self.orders, self.policy = copy.deepcopy(orders), policy
+        self.orders, self.policy = copied(orders), policy
 
     @classmethod
     def of_scenarios(cls, scenarios: dict, policy: Policy = DEFAULT) -> Simulator:
@@ -166,7 +179,7 @@ class Simulator:
 
     def snapshot(self) -> dict[str, dict]:
         """The state as it is now; later calls don't change it."""
-        return copy.deepcopy(self.orders)
+        return copied(self.orders)
 
     def call(self, tool: str, args) -> dict:
         if tool not in self.policy.tools:
@@ -181,7 +194,7 @@ class Simulator:
         if isinstance(failure, dict):
             return self._no(tool, failure["code"], failure.get("message", ""), bool(failure.get("retryable")))
         made = getattr(self, f"_{tool}")(order, args)
-        return {"ok": True, "tool": tool, "data": copy.deepcopy(made)} if isinstance(made, dict) else self._no(tool, made, MESSAGES[made].format(self.policy.window))
+        return {"ok": True, "tool": tool, "data": copied(made)} if isinstance(made, dict) else self._no(tool, made, MESSAGES[made].format(self.policy.window))
 
     @staticmethod
     def _no(tool: str, code: str, message: str, retryable: bool = False) -> dict:
@@ -248,7 +261,7 @@ class Simulator:
         if args["request_type"] not in d["allowed_request_types"]:
             return "REQUEST_TYPE_NOT_ALLOWED"
         made = {"request_id": f"ASR-{order['order_id']}-001", "order_id": order["order_id"], "request_type": args["request_type"], "reason": args["reason"], "status": "submitted", "evidence_required": d["evidence_required"]}
-        order["after_sales_request"] = copy.deepcopy(made)
+        order["after_sales_request"] = copied(made)
         return made
 
 
@@ -261,28 +274,34 @@ def code_of(observation: dict) -> str:
 TRACE = "case_id string, codes array<string>, final_answer string, termination_reason string, parse_error string, calls string, observations string, state_before string, state_after string"
 
 
-def rollouts(cases: DataFrame, generate: Callable[[dict, list[dict]], str], max_steps: int = 6, policy: Policy = DEFAULT, spread: bool = True) -> DataFrame:
+def rollouts(cases: DataFrame, generate: Callable[[dict, list[dict]], str], max_steps: int = 6, policy: Policy = DEFAULT, spread: bool = True, columns: tuple[str, ...] = ()) -> DataFrame:
     """One trace for each case: case_id, orders (JSON: id to order), and whatever ``generate`` needs.
 
     ``generate(case, messages)`` gives the next output; calls are executed in the case's
     own simulator until a final answer, an output that can't be parsed, or ``max_steps``.
     Cases are independent. They are dealt out anew, as a case costs far more than its move and a
     small table may come in one partition; without ``spread`` they stay as the input is. The state
-    is kept as it is before the first and after the last call.
+    is kept as it is before the first and after the last call. ``columns`` names those of TRACE that are
+    wanted, all by default; JSON of others isn't written.
     """
     import json
 
     names = cases.columns
+    wanted = [c for c in TRACE.split(", ") if not columns or c.split()[0] in columns]
+    if columns and len(wanted) != len(set(columns)):
+        raise ValueError("columns are those of TRACE")
+    told = [c.split()[0] for c in wanted]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from ..functions.actions import parse
 
-        dump = lambda x: json.dumps(x, ensure_ascii=False, sort_keys=True)
+        dump = json.JSONEncoder(ensure_ascii=False, sort_keys=True).encode
+        shown = {c: dump if c in told else lambda x: None for c in ("calls", "observations", "state_before", "state_after")}
         for pdf in batches:
             out = []
             for case in pdf.to_dict("records"):
                 sim, messages, codes, calls, seen = Simulator(json.loads(case["orders"] or "{}"), policy), [], [], [], []
-                before = dump(sim.orders)
+                before = shown["state_before"](sim.orders)
                 final, reason, error = None, "max_steps", None
                 for _ in range(max_steps):
                     text = generate(case, messages)
@@ -300,12 +319,12 @@ def rollouts(cases: DataFrame, generate: Callable[[dict, list[dict]], str], max_
                         seen.append(got)
                         codes.append(code_of(got))
                         messages.append({"role": "observation", "content": dump(got)})
-                out.append((case["case_id"], codes, final, reason, error, dump(calls), dump(seen), before, dump(sim.orders)))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in TRACE.split(", ")])
+                out.append((case["case_id"], codes, final, reason, error, shown["calls"](calls), shown["observations"](seen), before, shown["state_after"](sim.orders)))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in TRACE.split(", ")])[told]
 
     if spread:
         cases = cases.repartition(int(cases.sparkSession.conf.get("spark.sql.shuffle.partitions")), "case_id")
-    return cases.select(*names).mapInPandas(run, TRACE)
+    return cases.select(*names).mapInPandas(run, ", ".join(wanted))
 
 
 def replay_requests(df: DataFrame, order_id: str, at: str, eligible: Column, kind: Column) -> DataFrame:
