@@ -27,8 +27,8 @@ MINIMA, PER_BLOCK = 80, 5
 MARGIN = 0.22
 #: Texts of a block that are compared pair by pair; those of a larger one with the first and with a part of about so many.
 BLOCK_PAIRS, PART = 32, 4
-#: Rows of a crowded block in a task, where its groups are compared with each other.
-ROWS = 1000
+#: Rows of a crowded block, and hashes of theirs, that meet as many others at a time where its groups are compared with each other.
+ROWS, HASHES = 500, 500_000
 #: Ids of documents to drop are broadcast up to so many, and so many bytes; else joined by shuffle.
 BROADCAST_IDS, BROADCAST_BYTES = 1_000_000, 32 << 20
 #: Words and hashes of a text are made for about so many bytes at a time.
@@ -245,7 +245,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts of the same words, in whatever case and with whatever white space, are one node. Pairs that may be similar come from
     fingerprints within two bits (``links``), and from blocks of minima. All are compared by their whole sets of shingle
     hashes. In a block of more than BLOCK_PAIRS texts each is compared with the first one and with those that it meets in a
-    random part of about PART; after that, those of a block that aren't in one group yet are compared with all of its other groups, so
+    random part of about PART; after that, those of a block that aren't in one group yet are compared with all of its other groups (``_met_apart``), so
     no link between groups is lost and work grows with the texts unless a block has many groups. Two in a thousand pairs are in no
     common block and may be missed. A text without words is similar to its like. Null texts are empty; repeated
     rows, null ids and other columns are as in ``near_groups``.
@@ -285,16 +285,18 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         return work
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """Of a table of pairs those that are similar; written."""
-        # Sets of what takes part in a pair, from the text of the first row of a node.
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first", "words"), "node")
-        wanted = common.written(wanted, f"{root}/{name}-wanted")
+    def hashed(some: DataFrame, name: str) -> DataFrame:
+        """node, hashes: the whole sets of nodes, from the text of the first row of each; written."""
+        wanted = common.written(some.distinct().join(nodes.select("node", "first", "words"), "node"), f"{root}/{name}-wanted")
         size = wanted.agg(F.count("*").alias("n")).first().n
         named = wanted.select(F.col("first").alias("__first"), "node", "words")
         texts = df.select(id_.alias("id"), common.text_or_empty(df, text_col).alias("text")).join(F.broadcast(named) if size <= BROADCAST_IDS else named, F.col("id") == F.col("__first"))
         held = common.map_texts(texts, {"node": F.col("node"), "words": F.col("words")}, F.col("text"), "own binary, hashes array<long>", sets)
-        held = common.written(held.where("own = words").groupBy("node").agg(F.min("hashes").alias("hashes")), f"{root}/{name}-sets")  # rows of one id
+        return common.written(held.where("own = words").groupBy("node").agg(F.min("hashes").alias("hashes")), f"{root}/{name}-sets")  # rows of one id
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """Of a table of pairs those that are similar; written."""
+        held = hashed(pairs.select(F.explode(F.array("a", "b")).alias("node")), name)
         a, b = held.select(F.col("node").alias("a"), F.col("hashes").alias("x")), held.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
         close = pairs.join(a, "a").join(b, "b").withColumn("both", both).where(F.col("both") >= F.lit(similarity) * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
@@ -302,9 +304,11 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     close = verified(pairs, "links")
     parts = components(close)
-    rest = common.written(_apart(nodes, blocks, parts, pairs, similarity), f"{root}/rest")
+    rest = common.written(_apart(blocks, parts), f"{root}/rest")
     if not rest.isEmpty():
-        parts = components(close.unionByName(verified(rest, "more")))
+        more = common.written(_met_apart(rest, hashed(rest.select("node"), "more"), similarity), f"{root}/more")
+        if not more.isEmpty():
+            parts = components(close.unionByName(more))
     grouped = nodes.select("words", "node", "first").join(parts.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").withColumn("root", F.coalesce("root", "node"))
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     found = common.written(grouped.join(least, "root").select(F.col("words").alias("__words"), "component_id"), f"{root}/groups")
@@ -329,25 +333,67 @@ def _may_be(x: str, y: str, similarity: float):
     return alike >= F.lit((similarity - MARGIN) * MINIMA)
 
 
-def _apart(nodes: DataFrame, keyed: DataFrame, parts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """a < b: nodes of a crowded block that are in different groups and haven't been compared.
-
-    A block of one group has none. In any other its largest group is met by the others only; the rows of a block are dealt into
-    tasks of ROWS of them, each of which meets all that are in smaller groups.
-    """
+def _apart(keyed: DataFrame, parts: DataFrame) -> DataFrame:
+    """c, k, node, root, top: the rows of crowded blocks of more than one group, each with its group and the block's largest one."""
     sizes = keyed.groupBy("c", "k").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_PAIRS)
     roots = parts.select(F.col("node").alias("__node"), "root")
-    held = shuffled(keyed, sizes, ["c", "k"]).join(roots, F.col("node") == F.col("__node"), "left").select("c", "k", "n", "node", F.coalesce("root", "node").alias("root"))
+    held = shuffled(keyed, sizes, ["c", "k"]).join(roots, F.col("node") == F.col("__node"), "left").select("c", "k", "node", F.coalesce("root", "node").alias("root"))
     groups = held.groupBy("c", "k", "root").agg(F.count("*").alias("m"))
     top = groups.groupBy("c", "k").agg(F.max(F.struct("m", "root")).alias("top"), F.count("*").alias("groups")).where("groups > 1")
-    held = shuffled(held, top.select("c", "k", F.col("top.root").alias("top")), ["c", "k"])
-    # Minima go with the rows of a block, not with its pairs.
-    held = held.join(nodes.select(F.col("node").alias("__least_of"), "least"), F.col("node") == F.col("__least_of"))
-    deal = F.ceil(F.col("n") / ROWS)
-    one = held.select("c", "k", F.pmod(F.xxhash64("node"), deal).alias("p"), F.col("node").alias("u"), F.col("root").alias("ru"), "top", F.col("least").alias("x"))
-    few = held.where("root <> top").select("c", "k", F.explode(F.sequence(F.lit(0).cast("long"), deal - 1)).alias("p"), F.col("node").alias("v"), F.col("root").alias("rv"), F.col("least").alias("y"))
-    met = shuffled(one, few, ["c", "k", "p"]).where("ru <> rv and (ru = top or u < v)").where(_may_be("x", "y", similarity))
-    return met.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    return shuffled(held, top.select("c", "k", F.col("top.root").alias("top")), ["c", "k"])
+
+
+def _met_apart(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a < b: similar nodes of different groups in the blocks of ``rest``.
+
+    The largest group of a block is met by the others only. Both sides of a block are dealt into parts of about ROWS rows and
+    HASHES hashes, and each pair of parts is compared as a whole: the join gives similar pairs and no candidates. Work
+    grows with a block's rows times those outside its largest group.
+    """
+    held = shuffled(rest, sets, ["node"])
+    outside = F.col("root") != F.col("top")
+    deals = lambda some: F.ceil(F.greatest(F.count_if(some) / ROWS, F.sum(F.when(some, F.size("hashes")).otherwise(0)) / HASHES, F.lit(1)))
+    dealt = held.groupBy("c", "k").agg(deals(F.lit(True)).alias("np"), deals(outside).alias("nq"))
+    held = shuffled(held, dealt, ["c", "k"])
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("node", F.lit(n)), F.col(n))
+    one = held.select("c", "k", own("np").alias("p"), every("nq").alias("q"), "node", "root", "top", "hashes")
+    others = held.where(outside).select(F.col("c").alias("oc"), F.col("k").alias("ok"), every("np").alias("op"), own("nq").alias("oq"), F.col("node").alias("other"), F.col("root").alias("other_root"), F.col("hashes").alias("other_hashes"))
+
+    def compared(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _similar(left, right, similarity)
+
+    return one.groupBy("c", "k", "p", "q").cogroup(others.groupBy("oc", "ok", "op", "oq")).applyInArrow(compared, "a long, b long").distinct()
+
+
+def _similar(left: pa.Table, right: pa.Table, similarity: float) -> pa.Table:
+    """a < b: pairs of a row of ``left`` and one of ``right`` of another group whose sets have ``similarity`` of their union in common."""
+    out = [np.zeros((0, 2), np.int64)]
+    if left.num_rows and right.num_rows:
+        u, ru, top = (left.column(c).to_numpy() for c in ("node", "root", "top"))
+        v, rv = (right.column(c).to_numpy() for c in ("other", "other_root"))
+        sizes, hashes = _flat(right.column("other_hashes"))
+        order = np.argsort(hashes, kind="stable")
+        hashes, owner = hashes[order], np.repeat(np.arange(len(v)), sizes)[order]
+        n, own = _flat(left.column("hashes"))
+        ends = np.cumsum(n)
+        for i in range(len(u)):
+            mine = own[ends[i] - n[i] : ends[i]]
+            lo, hi = np.searchsorted(hashes, mine, "left"), np.searchsorted(hashes, mine, "right")
+            count = hi - lo
+            at = np.repeat(hi - np.cumsum(count), count) + np.arange(count.sum())
+            both = np.bincount(owner[at], minlength=len(v))
+            # Of two rows outside the largest group each pair comes twice, once from either side.
+            close = (rv != ru[i]) & ((ru[i] == top[i]) | (u[i] < v)) & (both >= similarity * (n[i] + sizes - both))
+            out.append(np.stack([np.minimum(u[i], v[close]), np.maximum(u[i], v[close])], axis=1))
+    pairs = np.concatenate(out)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """How many hashes each row has, and the hashes of all rows."""
+    lists = pa.concat_arrays(column.chunks)
+    return np.diff(lists.offsets.to_numpy()).astype(np.int64), lists.flatten().to_numpy()
 
 
 def _candidates(nodes: DataFrame, keyed: DataFrame, similarity: float) -> DataFrame:

@@ -182,3 +182,18 @@ def test_crowded_blocks_lose_no_link(spark, monkeypatch):
     want = {i: c for (i, _), c in zip(rows, brute_similar(rows), strict=True)}
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert len(set(want.values())) == 4 and got == want
+
+
+def test_groups_of_a_crowded_block_meet_without_rows_of_candidates(spark, monkeypatch):
+    """Dealt into small parts; what the join gives are the similar pairs and no others."""
+    monkeypatch.setattr(simhash, "ROWS", 7)
+    monkeypatch.setattr(simhash, "HASHES", 150)
+    rng = random.Random(3)
+    sets = {i: sorted(set(rng.sample(range(30), 24)) | ({100 + i} if i % 3 else set())) for i in range(90)}
+    group = {i: 0 if i < 30 else i for i in sets}
+    rest = spark.createDataFrame([(1, 5, i, group[i], 0) for i in sets], "c int, k long, node long, root long, top long")
+    held = spark.createDataFrame(list(sets.items()), "node long, hashes array<long>")
+    got = sorted((r.a, r.b) for r in simhash._met_apart(rest, held, 0.8).collect())
+    alike = lambda a, b: len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})
+    want = [(a, b) for a in sets for b in sets if a < b and group[a] != group[b] and alike(a, b)]
+    assert want and got == want
