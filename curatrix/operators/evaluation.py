@@ -44,6 +44,21 @@ def canonical_calls(calls: Column) -> Column:
     return F.transform(calls, lambda c: F.struct(c["name"].alias("name"), canonical_json(c["arguments"]).alias("arguments")))
 
 
+def _plain(calls: Column) -> Column:
+    """name and arguments of each call as they are."""
+    return F.transform(calls, lambda c: F.struct(c["name"].alias("name"), c["arguments"].alias("arguments")))
+
+
+def _names(calls: Column) -> Column:
+    return F.transform(calls, lambda c: c["name"])
+
+
+def same_calls(a: Column, b: Column) -> Column:
+    """Are two lists of calls equal in canonical form? Equal texts are, other names aren't; JSON is read for the rest only."""
+    canonical = F.when(_names(a) == _names(b), canonical_calls(a) == canonical_calls(b)).otherwise(_names(a) == _names(b))
+    return F.when(a == b, True).otherwise(canonical)
+
+
 def fact_issues(answer: Column, inputs: Column, evidence: Column) -> Column:
     """Identifiers and states that an answer claims without support, sorted.
 
@@ -52,7 +67,7 @@ def fact_issues(answer: Column, inputs: Column, evidence: Column) -> Column:
     found = lambda c: F.regexp_extract_all(c, F.lit(IDENTIFIER), F.lit(0))
     ids = F.array_except(found(answer), F.concat(found(inputs), found(evidence)))
     known = F.regexp_extract_all(evidence, F.lit(_STATUS), F.lit(1))
-    claimed = F.array_compact(F.array(*[F.when(answer.rlike(NEGATED + p), F.lit(s)) for p, s in CLAIMS.items()]))
+    claimed = F.array_compact(F.array(*[F.when(answer.rlike(p) & answer.rlike(NEGATED + p), F.lit(s)) for p, s in CLAIMS.items()]))
     states = F.array_except(F.concat(F.regexp_extract_all(answer, F.lit(_STATED), F.lit(1)), claimed), known)
     return F.array_sort(F.concat(F.transform(ids, lambda i: F.concat(F.lit("unsupported_identifier:"), i)), F.transform(states, lambda s: F.concat(F.lit("unsupported_state:"), s))))
 
@@ -73,25 +88,26 @@ def evaluate(cases: DataFrame, traces: DataFrame) -> DataFrame:
     j = own.join(t.withColumn("__nth", nth), "case_id", "full_outer")
     bad = F.col("__case").isNull() | (F.coalesce("__nth", F.lit(1)) > 1)
     j = j.withColumn("case_id", F.when(bad, F.raise_error(F.lit("traces have repeated or unknown cases")).cast(cases.schema["case_id"].dataType)).otherwise(F.col("case_id")))
-    actual, wanted = canonical_calls(F.col("t_calls")), F.transform("acceptable", canonical_calls)
-    wanted = F.when(F.size(wanted) > 0, wanted).otherwise(F.array(F.array().cast(CALLS)))
-    names = lambda calls: F.transform(calls, lambda c: c["name"])
+    acceptable = F.when(F.size("acceptable") > 0, F.col("acceptable")).otherwise(F.array(F.array().cast(CALLS)))
     answer = F.trim(F.coalesce("t_answer", F.lit("")))
-    state = lambda a: F.coalesce(_at(F.col("t_state_after"), a["path"]) == canonical_json(a["equals"]), F.lit(False))
     issues = fact_issues(answer, F.coalesce("inputs", F.lit("[]")), F.coalesce("t_evidence", F.lit("[]")))
+    # Columns of their own, so that each is made once for a row and not wherever it is read.
+    j = j.withColumns({"__acceptable": F.transform(acceptable, _plain), "__calls": _plain(F.col("t_calls")), "__names": _names(F.col("t_calls")), "__facts": issues})
+    names, calls = F.col("__names"), F.col("__calls")
+    state = lambda a: F.coalesce(_at(F.col("t_state_after"), a["path"]) == canonical_json(a["equals"]), F.lit(False))
     checks = {
         "parse_success": F.coalesce(F.size("t_parse_errors"), F.lit(0)) <= 0,
-        "tool_selection_valid": F.exists(wanted, lambda s: names(s) == names(actual)),
-        "arguments_valid": F.exists(wanted, lambda s: s == actual),
-        "forbidden_tool_absent": ~F.arrays_overlap(names(actual), F.coalesce("must_not_call", F.array().cast("array<string>"))),
+        "tool_selection_valid": F.exists("__acceptable", lambda s: _names(s) == names),
+        "arguments_valid": F.exists("__acceptable", lambda s: same_calls(s, calls)),
+        "forbidden_tool_absent": ~F.arrays_overlap(names, F.coalesce("must_not_call", F.array().cast("array<string>"))),
         "observation_outcomes_valid": F.coalesce("t_codes", F.array().cast("array<string>")) == F.coalesce("codes", F.array().cast("array<string>")),
         "final_answer_present": answer != "",
         "answer_requirements_met": F.forall(F.coalesce("term_groups", F.array().cast("array<array<string>>")), lambda g: F.exists(g, lambda x: F.contains(answer, x))),
         "state_assertions_met": F.forall(F.coalesce("assertions", F.array().cast("array<struct<path:string,equals:string>>")), state),
-        "facts_faithful": F.size(issues) == 0,
+        "facts_faithful": F.size("__facts") == 0,
         "within_step_limit": ~F.coalesce(F.col("t_termination_reason") == "max_steps", F.lit(False)),
     }
-    j = j.withColumn("checks", F.when(F.col("traced"), F.struct(*[F.coalesce(c, F.lit(False)).alias(n) for n, c in checks.items()]))).withColumn("__facts", issues)
+    j = j.withColumn("checks", F.when(F.col("traced"), F.struct(*[F.coalesce(c, F.lit(False)).alias(n) for n, c in checks.items()])))
     passed = F.coalesce(_all([F.col(f"checks.{n}") for n in CHECKS]), F.lit(False))
     named = F.array_compact(F.array(*[F.when(~F.col(f"checks.{n}"), F.lit(e)) for n, e in CHECKS.items()]))
     errors = F.when(F.col("traced"), F.array_sort(F.array_distinct(F.concat(named, "__facts")))).otherwise(F.array(F.lit("missing_trace")))
@@ -109,7 +125,8 @@ def _all(flags: list[Column]) -> Column:
 
 def _at(document: Column, path: Column) -> Column:
     """Canonical JSON at a dotted path that varies by row; null where a part is missing."""
-    return F.aggregate(F.split(path, r"\."), canonical_json(document), lambda doc, part: F.to_json(F.element_at(F.from_json(doc, "map<string,variant>"), part)))
+    inner = lambda v, part: F.element_at(F.try_variant_get(v, "$", "map<string,variant>"), part)
+    return F.to_json(F.aggregate(F.split(path, r"\."), F.try_parse_json(document), inner))
 
 
 def exact_checks(expected: DataFrame, predictions: DataFrame) -> DataFrame:
