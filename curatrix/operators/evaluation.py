@@ -158,25 +158,30 @@ def first_divergence(turns: DataFrame, expected: DataFrame) -> DataFrame:
     """Where each trace first leaves the expected calls: case_id, step, reason, level, primary_error, chosen_call, rejected.
 
     turns: case_id, step, kind (tool_calls, final, parse_error), calls, output. expected:
-    case_id, calls, answer. ``reason`` is selected, or why there is no pair. The calls
-    before a turn are counted by a window over the case; a case's turns are few.
+    case_id, calls, answer, one row for each case. ``reason`` is selected, or why there is no pair. The calls
+    before a turn are counted by a window over the case; a case's turns are few. Arguments
+    are brought into canonical form where texts differ, and for the pair that is returned.
     """
     w = Window.partitionBy("case_id").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
     n = F.when(F.col("kind") == "tool_calls", F.greatest(F.size("calls"), F.lit(0))).otherwise(0)
-    e = expected.select("case_id", canonical_calls(F.col("calls")).alias("wanted"), "answer")
-    t = turns.withColumn("done", F.coalesce(F.sum(n).over(w), F.lit(0)).cast("int")).join(e, "case_id")
-    actual = canonical_calls(F.col("calls"))
-    size = F.size(actual)
+    e = expected.select("case_id", _plain(F.col("calls")).alias("wanted"), "answer")
+    t = turns.withColumn("calls", _plain(F.col("calls")))
+    t = t.withColumn("done", F.coalesce(F.sum(n).over(w), F.lit(0)).cast("int")).join(e, "case_id")
+    size = F.size("calls")
     next_ = F.get("wanted", F.col("done"))
-    same = (F.col("kind") == "tool_calls") & (size > 0) & (F.slice("wanted", F.col("done") + 1, F.greatest(size, F.lit(0))) == actual)
-    parted = t.withColumn("actual", actual).where(~F.coalesce(same, F.lit(False)))
-    one = F.struct("step", "kind", "actual", "output", "done", "wanted", "answer", next_.alias("next"))
+    t = t.withColumn("due", F.slice("wanted", F.col("done") + 1, F.greatest(size, F.lit(0))))
+    same = (F.col("kind") == "tool_calls") & (size > 0) & same_calls(F.col("due"), F.col("calls"))
+    parted = t.where(~F.coalesce(same, F.lit(False)))
+    one = F.struct("step", "kind", F.col("calls").alias("actual"), "output", "answer", next_.alias("next"))
     first = parted.groupBy("case_id").agg(F.min_by(one, "step").alias("d"))
     d = lambda c: F.col(f"d.{c}")
     over = d("next").isNull()
     final, call = d("kind") == "final", d("kind") == "tool_calls"
+    # Cases without a divergence come by the same join, so that the work above is done once.
+    first = expected.select("case_id").join(first, "case_id", "left")
     reason = (
-        F.when(d("kind") == "parse_error", "parse_error_not_near_miss")
+        F.when(F.col("d").isNull(), "no_actionable_first_divergence")
+        .when(d("kind") == "parse_error", "parse_error_not_near_miss")
         .when(~(final | call), "unsupported_turn_kind")
         .when(call & (F.size(d("actual")) <= 0), "empty_tool_call")
         .when(call & (F.size(d("actual")) > 1), "multi_call_divergence_requires_alignment")
@@ -188,9 +193,7 @@ def first_divergence(turns: DataFrame, expected: DataFrame) -> DataFrame:
     chosen = F.when(over, d("answer")).otherwise(text(d("next")))
     rejected = F.when(final, F.trim(d("output"))).otherwise(text(F.get(d("actual"), F.lit(0))))
     picked = reason == "selected"
-    out = first.select("case_id", d("step").alias("step"), reason.alias("reason"), *[F.when(picked, c).alias(n_) for n_, c in (("level", level), ("primary_error", error), ("chosen", chosen), ("rejected", rejected))])
-    rest = expected.select("case_id").join(first, "case_id", "left_anti").select("case_id", F.lit("no_actionable_first_divergence").alias("reason"))
-    return out.unionByName(rest, allowMissingColumns=True)
+    return first.select("case_id", d("step").alias("step"), reason.alias("reason"), *[F.when(picked, c).alias(n_) for n_, c in (("level", level), ("primary_error", error), ("chosen", chosen), ("rejected", rejected))])
 
 
 def bucket(level: Column, chosen_kind: Column, rejected_kind: Column) -> Column:
