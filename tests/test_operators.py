@@ -1,7 +1,9 @@
 import hashlib
 import random
+import sys
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +108,48 @@ def test_null_beside_texts_leaves_their_fingerprints(spark):
     assert got[1] is None and all(got[i] % (1 << 64) == simhash_brute(texts[i]) for i in (0, 2))
 
 
+@pytest.mark.parametrize("slots, piece, pieces", [(1 << 20, 1 << 16, 256), (4, 7, 3), (2, 1, 1)])
+def test_fingerprints_of_odd_texts(monkeypatch, slots, piece, pieces):
+    """Texts cut in pieces, grams that share a slot, characters of more than 16 bits, zeros, and null."""
+    monkeypatch.setattr(dedup, "SLOTS", slots)
+    monkeypatch.setattr(dedup, "PIECE", piece)
+    monkeypatch.setattr(dedup, "PIECES", pieces)
+    rng = random.Random(5)
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    texts = [some("abc\0 \u00e9\uffff", n) for n in range(30)] + [some("a\0\U0001f600\U0001f601 \U0010ffff", n) for n in range(30)]
+    texts += [None, "", " \u3000", "abcd", "\0", "\0" * 4, "\0" * 5, "\uffff" * 6, "\U0001f600", "\U0001f600" * 4, "ab\U0001f600\0\0cd", some("abcdef", 70_000 if piece > 7 else 500)]
+    for size in (7, 100):
+        batches = [pd.Series(texts[i : i + size], dtype=object) for i in range(0, len(texts), size)] + [pd.Series([], dtype=object)]
+        got = [None if pd.isna(v) else v % (1 << 64) for b in dedup.simhash.func(iter(batches)) for v in b.tolist()]
+        assert got == [None if t is None else simhash_brute(t) for t in texts]
+
+
+def test_calls_for_fingerprints_grow_with_texts_and_grams_not_with_characters():
+    """50 texts of 4,000 characters have 512 different grams; a look-up in Python for each text's grams took 61,499 calls."""
+    rng = random.Random(6)
+    texts = pd.Series(["".join(rng.choice("abcdefgh"[k % 2 :: 2] + " ") for _ in range(4000)) for k in range(50)])
+    calls = [0]
+
+    def count(*_):
+        calls[0] += 1
+
+    sys.setprofile(count)
+    try:
+        list(dedup.simhash.func(iter([texts[:25], texts[25:]])))
+    finally:
+        sys.setprofile(None)
+    assert calls[0] < 15_000
+
+
+def test_fingerprints_need_no_normalized_white_space(spark):
+    """All that counts as white space there is left out of a fingerprint anyway."""
+    every = spark.createDataFrame([(f"x{chr(c)}y",) for c in range(0x10000) if not 0xD800 <= c < 0xE000], "t string")
+    blank = [r.t[1] for r in every.where(text.normalized("t") == "x y").collect()]
+    assert len(blank) > 20 and all(c.isspace() for c in blank)
+    odd = spark.createDataFrame([(f"{c} Some{c}{c}Words \u0130\u03a3{c}to\u03a3 hash{c}",) for c in blank] + [(None,), (" ",)], "t string")
+    assert odd.where(~dedup.simhash(F.lower("t")).eqNullSafe(dedup.simhash(text.normalized("t")))).count() == 0
+
+
 def test_near_pair_of_one_bit(spark):
     df = spark.createDataFrame([(0, 0), (1, 1)], "id long, fp long")
     assert [tuple(r) for r in dedup.banded_pairs(df, "id", "fp").collect()] == [(0, 1, 1)]
