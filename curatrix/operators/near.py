@@ -157,8 +157,9 @@ def near_keep(df: DataFrame, id_col: str, print_col: str, priority: Column, dist
 
     Rows of one fingerprint: the first one stands for all, the others are rejected. Rows without a fingerprint count as
     of one that is near no other. Among the others, rounds take every fingerprint that no earlier undecided one is near to, and
-    reject what is near to those. Within crowded buckets no pair is listed: a place carries the earliest undecided one that
-    is one, and that is two bits off it. Each round is written; their number grows with the longest chain of ever
+    reject what is near to those. A pair is listed once, from the later one to the earlier one, and goes on to the next
+    round only while both are undecided. Within crowded buckets no pair is listed: a place carries the earliest undecided
+    one that is one, and that is two bits off it. Each round is written; their number grows with the longest chain of ever
     earlier neighbours.
     """
     if not 0 <= distance <= MOST:
@@ -173,29 +174,36 @@ def near_keep(df: DataFrame, id_col: str, print_col: str, priority: Column, dist
     many = checkpointed(buckets.where(F.col("n") > LISTED).select("fp", "c"))
     crowded = not many.isEmpty()
     l, r = few.select("c", "k", F.col("fp").alias("a")), few.select("c", "k", F.col("fp").alias("b"))
-    pairs = shuffled(l, r, ["c", "k"]).where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)).select("a", "b").distinct()
-    pairs = checkpointed(pairs)
+    pairs = shuffled(l, r, ["c", "k"]).where("a < b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance).select("a", "b").distinct()
+    placed = pairs.join(prints.select(F.col("fp").alias("a"), F.col("o").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("o").alias("y")), "b")
+    later = F.col("x") > F.col("y")
+    pairs = checkpointed(placed.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("fp"), F.when(later, F.col("b")).otherwise(F.col("a")).alias("before")))
     adding, reading = _flips(spark, choices, 1, min(distance, 2)), _flips(spark, choices, 0, 1 if distance == MOST else 0)
+    crowded = crowded and distance > 0
 
-    def earliest(some: DataFrame, readers: DataFrame) -> DataFrame:
-        """fp, first: for each of ``readers`` (fp) the least ``o`` among those of ``some`` (fp, o) within the distance of it."""
-        out = pairs.join(some.select(F.col("fp").alias("b"), "o"), "b").join(readers.select(F.col("fp").alias("a")), "a").select(F.col("a").alias("fp"), "o")
-        if crowded and distance:
-            balls = _placed(many.join(some, "fp"), adding).groupBy("c", "ball").agg(*[F.min(F.when(F.col("d") == d, F.col("o"))).alias(f"m{d}") for d in (1, 2)])
-            seen = shuffled(_placed(many.join(readers.select("fp"), "fp"), reading), balls, ["c", "ball"])
-            out = out.unionByName(seen.select("fp", F.when(F.col("d") == 0, F.least("m1", "m2")).otherwise(F.col("m2")).alias("o")))
-        return out.where("o is not null").groupBy("fp").agg(F.min("o").alias("first"))
+    def behind(some: DataFrame, readers: DataFrame) -> DataFrame:
+        """fp: those of ``readers`` (fp, o) that an earlier one of ``some`` (fp, o) is near to in a crowded bucket."""
+        balls = _placed(many.join(some, "fp"), adding).groupBy("c", "ball").agg(*[F.min(F.when(F.col("d") == d, F.col("o"))).alias(f"m{d}") for d in (1, 2)])
+        seen = shuffled(_placed(many.join(readers.withColumnRenamed("o", "own"), "fp"), reading), balls, ["c", "ball"])
+        return seen.where(F.when(F.col("d") == 0, F.least("m1", "m2")).otherwise(F.col("m2")) < F.col("own")).select("fp")
 
     open_ = checkpointed(prints)
     taken = None
     while not open_.isEmpty():
-        first = earliest(open_, open_)
-        new = checkpointed(open_.join(first, "fp", "left").where("first is null or first > o").select("fp", "o"))
+        waiting = pairs.select("fp")
+        if crowded:
+            waiting = checkpointed(waiting.unionByName(behind(open_, open_)).distinct())
+        new = checkpointed(open_.join(waiting, "fp", "left_anti"))
         taken = new if taken is None else taken.unionByName(new)
-        rest = open_.join(new.select("fp"), "fp", "left_anti")
-        near = earliest(new, rest).select("fp")
-        before, open_ = open_, checkpointed(rest.join(near, "fp", "left_anti"))
-        forgotten(before)
+        # What is near to a taken one comes after it; else that would have had to wait.
+        rest = open_.join(waiting, "fp", "left_semi")
+        near = pairs.join(new.select(F.col("fp").alias("before")), "before", "left_semi").select("fp")
+        if crowded:
+            near = near.unionByName(behind(new, rest))
+        was_open, open_ = open_, checkpointed(rest.join(near, "fp", "left_anti"))
+        had, pairs = pairs, checkpointed(pairs.join(open_.select("fp"), "fp", "left_semi").join(open_.select(F.col("fp").alias("before")), "before", "left_semi").select("fp", "before"))
+        for table in (was_open, had, *([waiting] if crowded else [])):
+            forgotten(table)
     heads = head.where("fp is null").select(F.col("key.id").alias("__id"))
     if taken is not None:
         heads = heads.unionByName(head.join(taken.select("fp"), "fp").select(F.col("key.id").alias("__id")))

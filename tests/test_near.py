@@ -94,6 +94,22 @@ def test_greedy_choice(spark, listed, distance):
     assert near.near_keep(df.limit(0), "id", "fp", F.col("p"), distance).count() == 0
 
 
+def test_greedy_pairs_are_listed_once_and_while_undecided(spark, monkeypatch):
+    """In a chain of eight, each three bits from the next, rounds take one and reject the next; all pairs were read in both directions in each round."""
+    written, plain = [], near.checkpointed
+
+    def noted(df):
+        out = plain(df)
+        if out.columns == ["fp", "before"]:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(near, "checkpointed", noted)
+    df = spark.createDataFrame([(i, (1 << 3 * i) - 1) for i in range(8)], "id long, fp long")
+    assert sorted(r.id for r in near.near_keep(df, "id", "fp", F.lit(0)).where("accepted").collect()) == [0, 2, 4, 6]
+    assert written == [7, 5, 3, 1, 0]
+
+
 def test_findings_of_one_class_grow_with_its_rows(spark, monkeypatch):
     """A crowd within three bits of each other: pairs would be 19,900."""
     monkeypatch.setattr(near, "LISTED", 50)
